@@ -6,14 +6,17 @@
    (from a sketch of counts that covers all documents and has a fixed size) and then by
    hash, so frequent passages stay out of the prefixes. Each task sends a class's
    prefix once.
-3. All classes with one prefix shingle meet in the cell of the smallest key of them. Only
-   such classes are read again; their whole sets go to their cells.
-4. A cell is an inverted index. For each set A, smallest first, T = ceil(t |A|) of its
+3. All classes with one prefix shingle meet in the cell of the smallest key of them, first
+   with a parity bitmap each, one bit a shingle. The bits in which two bitmaps differ are
+   at most the shingles in which the sets differ, so most pairs end here, and none that is
+   a link. What hangs together in a cell is a group, named by its members, and cells that
+   lead to the same group are one. Only members of groups are read again.
+4. A group is an inverted index. For each set A, smallest first, T = ceil(t |A|) of its
    shingles must occur in a smaller partner: the L longest lists are set aside
    (DivideSkip), the short ones are merged with counts, whoever has T - L occurrences is
    probed in the long ones by binary search, and whoever reaches T is held against the
-   exact bound. Cells with more than `block` sets are split: each pair of blocks is a task
-   of its own, so no cell needs one executor's memory.
+   exact bound. Cells with more than `block` sets are split before: each pair of blocks is
+   a task of its own, so none needs more than one executor's memory.
 5. Links are joined to components by repeated star contraction, all in DataFrames.
 
 Hashes of shingles have 64 bits; those of sets 128.
@@ -86,6 +89,13 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(np.ascontiguousarray(s).tobytes()))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of the least power of two >= |s| bits (64 at least): is the number of shingles of each bit odd?"""
+    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    place = (s >> np.uint64(24)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -96,24 +106,25 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        names, counts, seen = ["doc_id", "n_shingles", "k1", "k2", "counts"], np.zeros(SLOTS, np.int64), set()
+        names, counts, seen = ["doc_id", "n_shingles", "k1", "k2", "bits", "counts"], np.zeros(SLOTS, np.int64), set()
         for batch in batches:
-            sizes, keys, new = [], [], [np.zeros(0, np.uint64)]
+            sizes, keys, bits, new = [], [], [], [np.zeros(0, np.uint64)]
             for text in batch.column(1):
                 s = shingles(text.as_py(), n)
                 sizes.append(len(s))
                 keys.append(set_key(s))
+                bits.append(parity(s))
                 if keys[-1] not in seen:
                     seen.add(keys[-1])
                     new.append(s)
             counts += np.bincount((np.concatenate(new) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             if len(seen) > 100_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], pa.nulls(len(keys), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], pa.array(bits, pa.binary()), pa.nulls(len(keys), pa.binary())], names)
         blob = zstandard.ZstdCompressor(level=3).compress(counts.astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([blob], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bits binary, counts binary")
 
 
 def frequencies(blobs: DataFrame) -> np.ndarray:
@@ -185,11 +196,87 @@ def memberships(docs: DataFrame, order: np.ndarray, percent: int, n: int) -> Dat
     return rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "k1").mapInArrow(runs, "k1 long, cell long").distinct()
 
 
-def links_of(sizes: np.ndarray, members: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """All pairs of sets with 100 * |A and B| >= percent * |A or B|, by T-occurrence search with DivideSkip.
+class Bitmaps:
+    """Parity bitmaps of a cell's members; which could be links of a given one."""
+
+    def __init__(self, sizes: list[int], bits: list[bytes], percent: int):
+        self.sizes, self.percent, self.bits = np.array(sizes), percent, np.array([8 * len(b) for b in bits])
+        self.rows, self.maps = {}, {}
+        for width in np.unique(self.bits).tolist():
+            at = np.flatnonzero(self.bits == width)
+            self.rows[width] = at
+            self.maps[width] = np.frombuffer(b"".join([bits[k] for k in at.tolist()]), "<u8").reshape(len(at), -1)
+
+    @staticmethod
+    def _fold(maps: np.ndarray) -> np.ndarray:
+        """To half the bits: the parity of a union of places is the exclusive or."""
+        half = maps.shape[-1] // 2
+        return maps[..., :half] ^ maps[..., half:]
+
+    def possible(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` whose sizes and bitmaps allow a link with k."""
+        width, found = int(self.bits[k]), []
+        mine = self.maps[width][np.searchsorted(self.rows[width], k)]
+        for w in (width // 2, width, width * 2):
+            if w in self.rows:
+                at = np.flatnonzero(np.isin(self.rows[w], others, assume_unique=True)) if len(others) < len(self.sizes) else np.arange(len(self.rows[w]))
+                rows = self.rows[w][at]
+                n, m = int(self.sizes[k]), self.sizes[rows]
+                near = (100 * m >= self.percent * n) & (100 * n >= self.percent * m)
+                at, rows, m = at[near], rows[near], m[near]
+                maps, own = self.maps[w][at], mine
+                if w < width:
+                    own = self._fold(own)
+                elif w > width:
+                    maps = self._fold(maps)
+                differ = np.bitwise_count(maps ^ own).sum(axis=1).astype(np.int64)
+                # |A and B| <= (|A| + |B| - differ) / 2, and a link needs (100 + percent) * |A and B| >= percent * (|A| + |B|).
+                found.append(rows[(100 + self.percent) * (n + m - differ) >= 2 * self.percent * (n + m)])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def sieve(cells: DataFrame, percent: int) -> DataFrame:
+    """cells (cell, i, j, side, class_id, n_shingles, bits) sorted by task -> (class_id, grp): groups of two and more that may hold links."""
 
-    left: marks; where given, only pairs of a marked and an unmarked set.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        task, held = None, []
+
+        def close() -> pa.RecordBatch | None:
+            ids = np.array([h[1] for h in held])
+            maps = Bitmaps([h[2] for h in held], [h[3] for h in held], percent)
+            rest, out = np.arange(len(held)), []
+            while len(rest):
+                group, todo, rest = [], [int(rest[0])], rest[1:]
+                while todo:
+                    k = todo.pop()
+                    group.append(k)
+                    if len(rest):
+                        near = maps.possible(k, rest)
+                        if len(near):
+                            todo += near.tolist()
+                            rest = np.setdiff1d(rest, near, assume_unique=True)
+                if len(group) > 1:
+                    own = np.sort(ids[group])
+                    out.append((own, np.full(len(own), xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["class_id", "grp"]) if out else None
+
+        for batch in batches:
+            for cell, i, j, side, class_id, n, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (cell, i, j) != task:
+                    if len(held) > 1 and (done := close()) is not None:
+                        yield done
+                    task, held = (cell, i, j), []
+                held.append((side, class_id, n, bits))
+        if len(held) > 1 and (done := close()) is not None:
+            yield done
+
+    return cells.mapInArrow(run, "class_id long, grp long")
+
+
+def links_of(sizes: np.ndarray, members: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """All pairs of sets with 100 * |A and B| >= percent * |A or B|, by T-occurrence search with DivideSkip."""
     by_size = np.argsort(sizes, kind="stable")
     rank_size = sizes[by_size]
     terms = np.concatenate([members[k] for k in by_size.tolist()])
@@ -197,7 +284,6 @@ def links_of(sizes: np.ndarray, members: list[np.ndarray], percent: int, left: n
     vocabulary, term = np.unique(terms, return_inverse=True)
     order = np.argsort(term, kind="stable")  # lists of owners, rising
     lists, bounds = owners[order], np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-    marks = None if left is None else left[by_size]
     starts = np.concatenate([[0], np.cumsum(rank_size)])
     for q in range(1, len(by_size)):
         n = int(rank_size[q])
@@ -221,8 +307,6 @@ def links_of(sizes: np.ndarray, members: list[np.ndarray], percent: int, left: n
             continue
         found, counts = np.unique(merged, return_counts=True)
         keep = counts >= need - n_long
-        if marks is not None:
-            keep &= marks[found] != marks[q]
         found, counts = found[keep], counts[keep]
         for done, k in enumerate(long_.tolist()):
             if not len(found):
@@ -237,21 +321,19 @@ def links_of(sizes: np.ndarray, members: list[np.ndarray], percent: int, left: n
             yield int(by_size[f]), int(by_size[q])
 
 
-def search(cells: DataFrame, percent: int) -> DataFrame:
-    """cells (cell, i, j, side, doc_id, shingles) sorted by task -> a spanning set of links (a, b) of each task's link graph.
+def search(groups: DataFrame, percent: int) -> DataFrame:
+    """groups (grp, doc_id, shingles) sorted by group -> (a, b): a spanning set of links of each group's link graph.
 
-    A task's links are contracted to a forest at once: what leaves it grows with its
+    A group's links are contracted to a forest at once: what leaves it grows with its
     documents, not with its links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, []
+        group, held = None, []
 
         def close() -> pa.RecordBatch | None:
-            members = [np.frombuffer(h[2], "<u8") for h in held]
-            sizes = np.array([len(m) for m in members])
-            left = np.array([h[0] for h in held]) == 0
-            parent = list(range(len(held)))
+            members = [np.frombuffer(h[1], "<u8") for h in held]
+            parent, out = list(range(len(held))), []
 
             def root(x: int) -> int:
                 while parent[x] != x:
@@ -259,25 +341,24 @@ def search(cells: DataFrame, percent: int) -> DataFrame:
                     x = parent[x]
                 return x
 
-            out = []
-            for x, y in links_of(sizes, members, percent, None if left.all() else left):
+            for x, y in links_of(np.array([len(m) for m in members]), members, percent):
                 rx, ry = root(x), root(y)
                 if rx != ry:
                     parent[rx] = ry
-                    out.append((held[x][1], held[y][1]))
+                    out.append((held[x][0], held[y][0]))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"]) if out else None
 
         for batch in batches:
-            for cell, i, j, side, doc_id, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (cell, i, j) != task:
+            for grp, doc_id, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if grp != group:
                     if len(held) > 1 and (done := close()) is not None:
                         yield done
-                    task, held = (cell, i, j), []
-                held.append((side, doc_id, blob))
+                    group, held = grp, []
+                held.append((doc_id, blob))
         if len(held) > 1 and (done := close()) is not None:
             yield done
 
-    return cells.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -319,33 +400,35 @@ def join_groups(docs: DataFrame, percent: int = 80, n: int = 5, block: int = 800
     ship(spark)
     kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     known = cut(sets(kept, n), "join-sets")
-    mine = known.where("counts IS NULL").select("doc_id", "n_shingles", "k1", "k2")
+    mine = known.where("counts IS NULL")
     order = frequencies(known.where("counts IS NOT NULL"))
     usable = mine.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "join-classes")
+    classes = cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "join-classes")
     cells = cut(memberships(kept, order, percent, n), "join-cells")
     sized = cells.groupBy("cell").agg(F.count("*").alias("members")).select(F.col("cell").alias("of"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")
-    placed = cells.join(sized, F.col("cell") == F.col("of")).select("k1", "cell", "blocks", own.alias("own"))
+    placed = cells.withColumnRenamed("k1", "p1").join(sized, F.col("cell") == F.col("of")).join(classes, F.col("p1") == F.col("k1"))
+    placed = placed.select("cell", own.alias("own"), "blocks", "class_id", "n_shingles", "bits")
     # In a cell of one block, one task (0, 0). Else block x meets every block: as the left side from x on, as the right up to x.
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.col("cell"), F.least(F.col("own"), y).alias("i"), F.greatest(F.col("own"), y).alias("j"), F.when(F.col("own") <= y, 0).otherwise(1).alias("side")))
-    tasks = placed.select(F.col("k1").alias("t1"), F.explode(others).alias("t")).groupBy("t1").agg(F.collect_list("t").alias("tasks"))
-    wanted = classes.join(tasks, F.col("k1") == F.col("t1")).select("class_id", "k1", "k2", "tasks")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("i"), F.greatest(F.col("own"), y).alias("j"), F.when(F.col("own") <= y, 0).otherwise(1).alias("side")))
+    placed = placed.select("cell", F.explode(others).alias("t"), "class_id", "n_shingles", "bits").select("cell", "t.i", "t.j", "t.side", "class_id", "n_shingles", "bits")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = sieve(placed.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j"), percent)
+    grouped = cut(grouped.distinct().groupBy("class_id").agg(F.collect_list("grp").alias("groups")), "join-groups")
+    wanted = grouped.withColumnRenamed("class_id", "w").join(classes, F.col("w") == F.col("class_id")).select("class_id", "k1", "k2", "groups")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tasks_at = batch.column(4)
+            groups_at = batch.column(4)
             for k, (doc_id, text, k1, k2) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True)):
                 s = shingles(text, n)
                 if set_key(s) == (k1, k2):  # rows of one id with other texts are other classes
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), tasks_at.slice(k, 1), pa.array([s.astype("<u8").tobytes()])], ["doc_id", "tasks", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), groups_at.slice(k, 1), pa.array([s.astype("<u8").tobytes()])], ["doc_id", "groups", "shingles"])
 
-    texts = kept.join(wanted, kept["doc_id"] == wanted["class_id"]).select("doc_id", "text", "k1", "k2", "tasks")
-    full = texts.mapInArrow(whole_sets, "doc_id long, tasks array<struct<cell: long, i: int, j: int, side: int>>, shingles binary")
-    full = full.select("doc_id", "shingles", F.explode("tasks").alias("t")).select("t.cell", "t.i", "t.j", "t.side", "doc_id", "shingles")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = full.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "doc_id")
-    found = cut(search(dealt, percent), "join-links")
+    texts = kept.join(wanted, kept["doc_id"] == wanted["class_id"]).select("doc_id", "text", "k1", "k2", "groups")
+    full = texts.mapInArrow(whole_sets, "doc_id long, groups array<long>, shingles binary")
+    full = full.select(F.explode("groups").alias("grp"), "doc_id", "shingles")
+    found = cut(search(full.repartition(parts, "grp").sortWithinPartitions("grp", "doc_id"), percent), "join-links")
     # One id with several texts ties their classes.
     several = usable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select(F.col("doc_id").alias("several"))
     ties = usable.join(several, F.col("doc_id") == F.col("several"), "left_semi").join(classes, ["k1", "k2"]).where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
