@@ -99,18 +99,30 @@ class ShardIndex:
         terms, owners, weights = (np.concatenate(x) if x else np.zeros(0) for x in (terms, owners, weights))
         order = np.argsort(terms, kind="stable")
         self.owners, self.weights = owners[order].astype(np.int64), weights[order]
-        self.vocabulary, first = np.unique(terms[order], return_index=True)
-        self.bounds = np.append(first, len(order))
+        vocabulary, first, inverse = np.unique(terms, return_index=True, return_inverse=True)
+        sizes = np.bincount(inverse, minlength=len(vocabulary)).astype(np.int64) if len(terms) else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        # The lists of each tail's terms, tail after tail.
+        self.starts, self.sizes = (ends - sizes)[inverse], sizes[inverse]
+        self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in self.terms])]).astype(np.int64)
         self.n = len(tails)
 
-    def neighbours(self, k: int) -> np.ndarray:
-        """All tails by falling BM25 score to tail k; those without a common term last, in order."""
-        at = np.searchsorted(self.vocabulary, self.terms[k])
-        spans = [slice(self.bounds[i], self.bounds[i + 1]) for i in at.tolist()]
-        if not spans:
-            return np.arange(self.n)
-        scores = np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), minlength=self.n)
-        return np.argsort(-scores, kind="stable")
+    def neighbours(self, k: int, used: np.ndarray) -> Iterator[int]:
+        """The unused tails by falling BM25 score to tail k, ties and those without a common term in order."""
+        a, b = self.bounds[k], self.bounds[k + 1]
+        sizes = self.sizes[a:b]
+        if sizes.sum():
+            at = np.repeat(self.starts[a:b] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            scores = np.bincount(self.owners[at], self.weights[at], minlength=self.n)
+        else:
+            scores = np.zeros(self.n)
+        rest = np.flatnonzero(~used)
+        mine = scores[rest]
+        if len(rest) > 64:  # the first few nearly always do
+            top = mine >= np.partition(mine, len(mine) - 32)[len(mine) - 32]
+            yield from rest[top][np.argsort(-mine[top], kind="stable")].tolist()
+            rest, mine = rest[~top], mine[~top]
+        yield from rest[np.argsort(-mine, kind="stable")].tolist()
 
 
 def pack_shard(tails: list[tuple], window: int, index: ShardIndex) -> Iterator[tuple[list[tuple], int]]:
@@ -124,7 +136,8 @@ def pack_shard(tails: list[tuple], window: int, index: ShardIndex) -> Iterator[t
             if order == len(tails):
                 break
             seed, at = order, 0
-        ranked = iter(index.neighbours(seed).tolist())
+        used[seed] = True
+        ranked = index.neighbours(seed, used)
         piece = seed
         seed = -1
         while piece is not None:
@@ -139,7 +152,7 @@ def pack_shard(tails: list[tuple], window: int, index: ShardIndex) -> Iterator[t
                 seed, at = (piece, at) if at < n else (-1, 0)
                 break
             at = 0
-            piece = next((p for p in ranked if not used[p]), None)
+            piece = next(ranked, None)
     if row:
         yield row, window - room
 
