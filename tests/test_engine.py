@@ -65,7 +65,7 @@ def by_hand_segments(spans, low, target, high):
 
 def test_structure_units_segments(ctx):
     kinds = {r.ctx_id: r.k for r in ctx.select("ctx_id", structure(F.col("text")).alias("k")).collect()}
-    assert [kinds[k] for k in (2, 3, 6, 7, 10)] == ["lines", "paragraphs", "sections", "code", "rows"]
+    assert [kinds[k] for k in (11, 3, 6, 7, 10)] == ["lines", "paragraphs", "sections", "code", "rows"]
     got = {}
     for r in text.units(ctx).collect():
         got.setdefault(r.ctx_id, []).append((r.item, r.start, r.end, r.source))
