@@ -78,7 +78,7 @@ def features(text: str | None) -> np.ndarray:
     return np.clip(x, 0, 4)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias by minibatches (Adam) on the non-negative risk."""
     rng = np.random.default_rng(seed)
     d = positive.shape[1]
