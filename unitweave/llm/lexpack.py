@@ -62,13 +62,16 @@ def document_frequencies(tokens: DataFrame) -> tuple[int, float, np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
+        df, last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0):
-                seen = np.unique(widen(blob.as_py()))
-                if len(seen) and seen[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(seen[-1]) + 1 - len(df), np.int64)])
-                df[seen] += 1
+            for blob in batch.column(0).to_pylist():
+                ids = widen(blob)
+                if len(ids) and (most := int(ids.max())) >= len(df):
+                    df = np.concatenate([df, np.zeros(most + 1 - len(df), np.int64)])
+                    last = np.zeros(most + 1, np.int64)
+                places = np.arange(len(ids))
+                last[ids] = places
+                df[ids[last[ids] == places]] += 1  # one place for each different id, without a sort
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "docs"])
 
@@ -97,13 +100,13 @@ class ShardIndex:
             owners.append(np.full(len(t), k, np.int32))
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[k] / mean)))
         terms, owners, weights = (np.concatenate(x) if x else np.zeros(0) for x in (terms, owners, weights))
-        order = np.argsort(terms, kind="stable")
+        terms = terms.astype(np.int64)
+        narrow_ = terms.astype(np.uint16) if not len(terms) or terms.max() < 1 << 16 else terms  # sorted by radix
+        order = np.argsort(narrow_, kind="stable")
         self.owners, self.weights = owners[order].astype(np.int64), weights[order]
-        vocabulary, first, inverse = np.unique(terms, return_index=True, return_inverse=True)
-        sizes = np.bincount(inverse, minlength=len(vocabulary)).astype(np.int64) if len(terms) else np.zeros(0, np.int64)
-        ends = np.cumsum(sizes)
+        sizes = np.bincount(terms)
         # The lists of each tail's terms, tail after tail.
-        self.starts, self.sizes = (ends - sizes)[inverse], sizes[inverse]
+        self.starts, self.sizes = (np.cumsum(sizes) - sizes)[terms], sizes[terms]
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in self.terms])]).astype(np.int64)
         self.n = len(tails)
 
