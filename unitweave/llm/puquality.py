@@ -89,7 +89,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     for t in range(1, steps + 1):
         p = p_all[rng.integers(0, len(p_all), min(512, len(p_all)))]
         u = u_all[rng.integers(0, len(u_all), min(1024, len(u_all)))]
-        gp, gu = p @ w, u @ w
+        w32 = w.astype(np.float32)  # a product of mixed types would copy the batch as doubles
+        gp, gu = p @ w32, u @ w32
         sp, su = _sigmoid(gp), _sigmoid(gu)
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         grad_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
