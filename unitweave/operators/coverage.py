@@ -48,3 +48,54 @@ def last_before(rows: DataFrame, key: str, order: str, mark: str, value: str) ->
     """As-of: each row that isn't a mark with the value of the last mark before it."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("as_of", F.last(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w)).where(~F.col(mark))
+
+
+def place(parts: DataFrame, ctx: DataFrame) -> DataFrame:
+    """parts (part_id, ctx_id, part) with placed_at: where the text has the part, if it has it once.
+
+    Occurrences that overlap count; an absent, repeated, empty or null part is not placed.
+    """
+    j = parts.join(ctx.select("ctx_id", "text"), "ctx_id", "left")
+    j = j.withColumn("p1", F.expr("locate(part, text)")).withColumn("p2", F.expr("locate(part, text, p1 + 1)"))
+    at = F.when((F.col("part") != "") & (F.col("p1") > 0) & (F.col("p2") == 0), F.col("p1") - 1)
+    return j.select("part_id", "ctx_id", at.cast("long").alias("placed_at"))
+
+
+def verify_spans(claims: DataFrame, ctx: DataFrame) -> DataFrame:
+    """claims (part_id, ctx_id, part, start, end) with placed_at: start, if the text has the part exactly there."""
+    j = claims.join(ctx.select("ctx_id", "text"), "ctx_id", "left")
+    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text"))
+    same = F.expr("substring(text, CAST(start + 1 AS INT), CAST(end - start AS INT)) = part")
+    return j.select("part_id", "ctx_id", F.when(inside & same, F.col("start")).cast("long").alias("placed_at"))
+
+
+def lifted(spans: DataFrame, nodes: DataFrame, max_depth: int = 2) -> DataFrame:
+    """ctx_id, start, end: spans (node_id, start, end) of a tree, in the text of every node above and of their own.
+
+    nodes (node_id, parent_id, placed_at); what is below an unplaced node counts for
+    nothing above it. One join for each level, and a run has at most max_depth levels.
+    """
+    found = level = spans.select("node_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    up = nodes.where("parent_id IS NOT NULL AND placed_at IS NOT NULL").select("node_id", "parent_id", "placed_at")
+    for _ in range(max_depth):
+        level = level.join(up, "node_id").select(F.col("parent_id").alias("node_id"), (F.col("start") + F.col("placed_at")).alias("start"), (F.col("end") + F.col("placed_at")).alias("end"))
+        found = found.unionByName(level)
+    return found.withColumnRenamed("node_id", "ctx_id")
+
+
+def tree_certificate(spans: DataFrame, nodes: DataFrame, failed: DataFrame, threshold: float = 0.98, max_depth: int = 2) -> DataFrame:
+    """node_id, covers: enough of the node's text, no failed unit, no unplaced child, and every child covers.
+
+    nodes (node_id, parent_id, placed_at, chars), failed (node_id).
+    """
+    sizes = nodes.select(F.col("node_id").alias("ctx_id"), "chars")
+    own = certificate(fraction(lifted(spans, nodes, max_depth), sizes), failed.select(F.col("node_id").alias("ctx_id")), threshold)
+    unplaced = nodes.where("parent_id IS NOT NULL AND placed_at IS NULL").select(F.col("parent_id").alias("ctx_id"))
+    bad = own.where("NOT covers").select("ctx_id").unionByName(unplaced).distinct()
+    up = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("ctx_id"), "parent_id")
+    level = bad
+    for _ in range(max_depth):
+        level = level.join(up, "ctx_id").select(F.col("parent_id").alias("ctx_id")).distinct()
+        bad = bad.unionByName(level)
+    bad = bad.distinct().withColumn("bad", F.lit(True))
+    return own.join(bad, "ctx_id", "left").select(F.col("ctx_id").alias("node_id"), F.col("bad").isNull().alias("covers"))
