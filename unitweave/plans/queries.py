@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from unitweave.functions.leaf import parse_replies, validate
 from unitweave.functions.text import digest, structure
-from unitweave.operators import coverage, pairs, text
+from unitweave.operators import coverage, delivery, pairs, text
 from unitweave.plans.schema import parse
+from unitweave.streaming import trace
 
 Query = Callable[[SparkSession, str], DataFrame]
 SYM = {"pairs_sym_any": pairs.Sym(("purchase", "signup")), "pairs_sym_after": pairs.Sym(("click", "view"), ("error", "after", "2024-01-05")), "pairs_sym_before": pairs.Sym(("view", "error"), ("signup", "before", "2024-01-25"))}
@@ -88,9 +89,44 @@ def queries() -> dict[str, Query]:
     found["leaf_validate_bool"] = lambda s, d: _t(s, d, "events").select("event_id", validate(F.when(F.col("value") > 50, F.concat(F.lit(" **Yes** "), F.lit("."))).when(F.col("value") > 20, F.lit("no")).otherwise(F.col("event_type")), parse({"type": "boolean"})).alias("r")).select("event_id", "r.ok", "r.value")
     found["leaf_validate_enum"] = lambda s, d: _t(s, d, "events").select("event_id", validate(F.upper("event_type"), parse({"type": "string", "enum": ["click", "View", "error"]})).alias("r")).select("event_id", "r.ok", "r.value")
     found["reply_parse"] = _reply_parse
+    found["out_pair_issues"] = lambda s, d: delivery.check_pairs(_answers(s, d)).select("answer_id", "code", "n")
+    found["out_record_issues"] = lambda s, d: delivery.check_records(_answers(s, d), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True)).select("answer_id", "code", "n")
+    found["out_render"] = lambda s, d: delivery.render_records(_t(s, d, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("pos"), F.array((F.col("event_id") % 7).cast("string"), (F.col("event_id") % 5 + 2).cast("string")).alias("fields")), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True))
+    found["cov_place"] = lambda s, d: coverage.place(_docs(s, d).select(F.col("ctx_id").alias("part_id"), "ctx_id", F.substring("text", 5, 30).alias("part")), _docs(s, d)).select("ctx_id", "placed_at")
+    found["cov_tree_spans"] = lambda s, d: coverage.lifted(_leaves(s, d).select("node_id", F.lit(0).alias("start"), (F.col("event_id") % 40 + 30).alias("end")), _leaves(s, d), max_depth=1)
+    found["cov_tree_certificate"] = _tree_certificate
+    found["trace_trajectory"] = lambda s, d: trace.trajectory(_log(s, d)).drop("seconds")
     return found
 
 
+def _leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Events as nodes under their users; each 13th has no known place."""
+    return _t(spark, d, "events").select("event_id", (F.col("event_id") + 10**9).alias("node_id"), F.col("user_id").alias("parent_id"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 900).alias("placed_at"), F.lit(40).cast("long").alias("chars"))
+
+
+def _tree_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """Placed events as children of their users; some too short to cover their text, one in 101 failed."""
+    leaves = _leaves(spark, d).where("placed_at IS NOT NULL")
+    users = leaves.select(F.col("parent_id").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("long").alias("placed_at"), F.lit(1000).cast("long").alias("chars")).distinct()
+    spans = leaves.select("node_id", F.lit(0).alias("start"), F.when(F.col("event_id") % 300 == 7, 20).otherwise(40).alias("end"))
+    own = users.select("node_id", F.lit(0).alias("start"), F.when(F.col("node_id") % 5 == 0, 30).otherwise(1000).alias("end"))
+    failed = leaves.where("event_id % 101 = 0").select("node_id")
+    return coverage.tree_certificate(spans.unionByName(own), leaves.drop("event_id").unionByName(users), failed, max_depth=1)
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer for each user, a line for each event, some of them wrong."""
+    x, y = (F.col("event_id") % 7).cast("string"), (F.col("event_id") % 5 + 2).cast("string")
+    line = F.when(F.col("event_type") == "error", "junk").when(F.col("event_type") == "view", F.concat(x, F.lit(", "), y)).otherwise(F.concat(F.lit("("), x, F.lit(", "), y, F.lit(")")))
+    return _t(spark, d, "events").groupBy(F.col("user_id").alias("answer_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda z: z["line"]), "\n").alias("text"))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.create_map(*[F.lit(x) for x in ("click", "model_turn", "view", "tool_call", "purchase", "subcall", "error", "finish")])
+    null = lambda t: F.lit(None).cast(t)
+    return _t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.try_element_at(kinds, F.col("event_type")).alias("kind"), (F.col("event_id") % 50).alias("turn"), (F.col("value") > 50).alias("ok"), (F.col("event_id") % 100).alias("prompt_tokens"), null("long").alias("completion_tokens"), null("double").alias("seconds"))
+
+
 def _reply_parse(spark: SparkSession, d: str) -> DataFrame:
     """Replies made of a user's events, each event type an answer; ids repeat modulo 50."""
     e = _t(spark, d, "events").withColumn("item", F.col("event_id") % 50)
@@ -143,4 +179,25 @@ def oracle_sql() -> dict[str, str]:
         w AS (SELECT DISTINCT user_id AS fragment, unnest(range(30)) AS item FROM events),
         j AS (SELECT coalesce(w.fragment, a.fragment) AS fragment, coalesce(w.item, a.item) AS item, CASE WHEN w.item IS NULL THEN 'foreign' WHEN c IS NULL THEN 'missing' WHEN c > 1 THEN 'repeated' WHEN v NOT IN ('click', 'view', 'purchase') THEN 'invalid' END AS problem, v FROM w FULL JOIN a ON w.fragment = a.fragment AND w.item = a.item)
         SELECT fragment, item, problem, CASE WHEN problem IS NULL THEN v END AS value FROM j"""
+    lines = "l AS (SELECT user_id AS answer_id, event_id, event_type AS t, event_id % 7 AS x, event_id % 5 + 2 AS y FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, t <> 'error', x, y ORDER BY event_id) > 1 AS again FROM l)"
+    issue = lambda code, test: f"SELECT answer_id, '{code}' AS code, count(*) AS n FROM r WHERE {test} GROUP BY answer_id"
+    pair = {"pair_parentheses_required": "t = 'view'", "invalid_pair_line": "t = 'error'", "pair_order": "t <> 'error' AND x >= y", "duplicate_pair": "t <> 'error' AND again"}
+    found["out_pair_issues"] = f"WITH {lines} " + " UNION ALL ".join(issue(*z) for z in pair.items())
+    record = {"record_delimiters": "t IN ('error', 'view')", "field_count": "t = 'error'", "record_order": "t <> 'error' AND x >= y", "duplicate_record": "t <> 'error' AND again"}
+    found["out_record_issues"] = f"WITH {lines} " + " UNION ALL ".join(issue(*z) for z in record.items())
+    found["out_render"] = """WITH l AS (SELECT user_id AS answer_id, event_id AS pos, least(event_id % 7, event_id % 5 + 2) AS x, greatest(event_id % 7, event_id % 5 + 2) AS y FROM events),
+        m AS (SELECT answer_id, min(pos) AS pos, '(' || x || ', ' || y || ')' AS line FROM l GROUP BY answer_id, x, y)
+        SELECT answer_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM m GROUP BY answer_id"""
+    found["cov_place"] = """WITH p AS (SELECT doc_id, text, substr(text, 5, 30) AS part FROM documents), f AS (SELECT *, strpos(text, part) AS p1 FROM p)
+        SELECT doc_id AS ctx_id, CASE WHEN part <> '' AND p1 > 0 AND strpos(substr(text, p1 + 1), part) = 0 THEN p1 - 1 END::BIGINT AS placed_at FROM f"""
+    found["cov_tree_spans"] = """SELECT event_id + 1000000000 AS ctx_id, 0::BIGINT AS start, event_id % 40 + 30 AS "end" FROM events
+        UNION ALL SELECT user_id, event_id % 900, event_id % 900 + event_id % 40 + 30 FROM events WHERE event_id % 13 <> 0"""
+    found["cov_tree_certificate"] = """WITH e AS (SELECT event_id, user_id, event_id % 900 AS pos, event_id % 300 = 7 AS short FROM events WHERE event_id % 13 <> 0),
+        c AS (SELECT event_id, user_id, NOT short AND event_id % 101 <> 0 AS covers FROM e),
+        s AS (SELECT user_id AS u, pos AS a, pos + CASE WHEN short THEN 20 ELSE 40 END AS b FROM e UNION ALL SELECT DISTINCT user_id, 0, CASE WHEN user_id % 5 = 0 THEN 30 ELSE 1000 END FROM e),
+        r AS (SELECT *, max(b) OVER (PARTITION BY u ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),
+        f AS (SELECT u, sum(greatest(0, b - greatest(a, coalesce(m, 0)))) >= 980 AS enough FROM r GROUP BY u)
+        SELECT event_id + 1000000000 AS node_id, covers FROM c UNION ALL SELECT u, enough AND (SELECT bool_and(covers) FROM c WHERE c.user_id = f.u) FROM f"""
+    found["trace_trajectory"] = """SELECT user_id AS run_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'click') AS turns, count(*) FILTER (WHERE event_type = 'view') AS tool_calls, count(*) FILTER (WHERE event_type = 'purchase') AS subcalls,
+        count(*) FILTER (WHERE event_type = 'purchase' AND value <= 50) AS failed_subcalls, sum(event_id % 100)::BIGINT AS tokens, max(event_id % 50) AS last_turn, bool_or(event_type = 'error') AS finished FROM events GROUP BY user_id"""
     return found
