@@ -336,6 +336,35 @@ def test_backoff_scores(spark, docs, rows, empty):
     assert alone.train_tokens in (0, 1)
 
 
+def test_backoff_records_every_repeated_ngram(spark):
+    """Scores are those of an automaton with all n-grams that occur twice, also of words that are rare in a longer corpus."""
+    rng = np.random.default_rng(5)
+    common = [" ".join(f"c{w}" for w in rng.integers(0, 30, 60)) for _ in range(1500)]
+    rare = [f"c{k % 9} rare{k} pair{k} tail{k} c{k % 7}" for k in range(40)]
+    texts = [*common, *rare, *rare, "rare1 pair2 never pair3 tail3"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    grams = {k: Counter() for k in (1, 2, 3)}
+    for k, t in enumerate(texts):
+        if not held(k):
+            w = ["", *t.split(), ""]
+            grams[1].update((x,) for x in w[1:])
+            for m in (2, 3):
+                grams[m].update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
+    n, ids = sum(grams[1].values()), {w: i for i, (w,) in enumerate(grams[1])}
+    once, twice = (sum(c == x for c in grams[1].values()) for x in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    number = lambda g: tuple(ids[w] for w in g)
+    counts = {number(g): c for m in (2, 3) for g, c in grams[m].items() if c >= 2}
+    logs = [math.log10((c - d) / n) for c in grams[1].values()]
+    machine = backoff_lm.Automaton(logs, counts, {number(g): c for m in (1, 2) for g, c in grams[m].items()})
+    unknown = math.log10(d * len(ids) / n)
+    got = {r.doc_id: r.score for r in backoff_lm.score_corpus(table, block_rows=100).collect()}
+    for k, t in enumerate(texts):
+        way = [(ids.get(w, -1), logs[ids[w]] if w in ids else unknown) for w in [*t.split(), ""]]
+        assert got[k] == pytest.approx(machine.score(way, machine.longest((ids[""],))), abs=1e-6)
+
+
 def test_automaton_is_a_distribution():
     logs = [math.log10(p) for p in (0.4, 0.3, 0.2)]  # 0.1 for the rest
     machine = backoff_lm.Automaton(logs, {(0, 1): 3, (0, 0): 1, (1, 2): 2, (0, 1, 2): 2, (0, 1, 0): 1}, {(0,): 6, (1,): 4, (2,): 2, (0, 1): 3})

@@ -1,13 +1,13 @@
 """A language model as a weighted backoff automaton, learnt and applied without a table of all words in one place.
 
-Learning: word counts of blocks of rows are summed over all training documents. Words
-are states of order one; n-grams of frequent words (at least a share of all N tokens)
-with that share themselves are states of higher orders, found order by order as an
-n-gram can't be more frequent than its parts. The share is rare / sqrt(1 + N / 2^27), so
-an order has at most sqrt(1 + N / 2^27) / rare n-grams: their number grows with the
-corpus, by its square root (2^14 for a small one, about 7 million for 10^13 tokens), and
-they can be broadcast; words are not bounded, so each block of documents gets the counts
-of its own words only.
+Learning: documents are tokenized once, into parts of some thousand documents that are
+kept in a cut table. Every n-gram, from words up to the highest order, has a key of 64
+bits made of the hashes of its words. Each part sends its different keys with their
+counts, sorted, to buckets of keys; a bucket adds up the counts over all training
+documents and answers each part in the order of its keys. So every n-gram that occurs
+at least `least` times in training documents is recorded, however rare it is against the
+whole, and none is broadcast or sent to the driver. A second exchange of the same form adds up what
+each context leaves: for each n-gram one part speaks for its context.
 
 Weights: a word has (c - d) / N, and d * V / N is left for unknown ones, with the
 absolute discount d = n1 / (n1 + 2 n2). In a context h with c(h) occurrences and T(h)
@@ -15,25 +15,27 @@ different recorded followers, an arc has c(h, w) / (c(h) + T(h)) plus the failur
 weight times the probability in the shorter context; the failure weight is what the
 arcs leave.
 
-Scoring: one pass from left to right. The state is the longest known context; a word
-without an arc there follows failure arcs, adding their weights, until a state has one.
+Scoring: the state is the longest known context; a word without an arc there follows
+failure arcs, adding their weights, until a state has one. A part has the counts and
+weights of all its own n-grams, so this is done for all its words at once, from the
+shortest context to the longest. Automaton is the same model as states and arcs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import WORD, crc_mod, cut, drop_cut, ship
+from unitweave.llm.common import WORD, crc_mod, cut, ship
 
 WORDS = re.compile(WORD)
 END = ""  # no word is empty: the key of the end token
@@ -120,202 +122,230 @@ class Automaton:
         return total
 
 
-def _blocked(docs: DataFrame, rows: int) -> DataFrame:
-    """block, train (0/1), doc_id, text. A block is a run of rows of one file, whatever the splits of a scan.
+def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of an n-gram from that of its first n - 1 words and its last word's."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Where docs isn't read from files as they are, it is written first.
-    """
-    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows)).alias("block")
-    columns = [block, docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")]
-    try:
-        return docs.select(*columns)
-    except AnalysisException:
-        kept = cut(docs.select(*columns[1:]), "lm-documents")
-        return kept.select(block, "doc_id", "text")
 
+def planes(a: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, behind their number; planes that are zero at the top are left out."""
+    a = np.ascontiguousarray(a).astype("<u8")
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-def _count_words(docs: DataFrame) -> DataFrame:
-    """(block, word, c): words of all documents of each block, with their number in training documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counts, others = None, Counter(), set()
+def numbers(blob: bytes) -> np.ndarray:
+    own = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = own.T
+    return out.view("<u8").ravel()
 
-        def out() -> pa.RecordBatch:
-            for w in others.difference(counts):
-                counts[w] = 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), block)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["block", "word", "c"])
 
-        for batch in batches:
-            for b, train, text in zip(*[batch.column(k) for k in range(3)], strict=True):
-                b = b.as_py()
-                if b != block or len(counts) + len(others) > 3_000_000:
-                    if counts or others:
-                        yield out()
-                    block, counts, others = b, Counter(), set()
-                words = tokens(text.as_py())
-                words.append(END)
-                if train.as_py():
-                    counts.update(words)
-                else:
-                    others.update(words)
-        if counts or others:
-            yield out()
+PART = "part long, kind int, n int, bucket long, a binary, b binary, c binary, d binary, e binary"
+SENT = "bucket long, n int, part long, keys binary, x binary, y binary"
+_NAMES = {schema: [c.split()[0] for c in schema.split(", ")] for schema in (PART, SENT, RESULT)}
 
-    return docs.select("block", "train", "text").mapInArrow(run, "block long, word string, c long")
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], _NAMES[schema])
 
-def _number_words(docs: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """(words): runs of training documents as 32-bit ids of frequent words, -1 for any other word and between documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)  # bounded by n / least
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        end = get(END, -1)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                flat: list[int] = []
-                for text in batch.column(0).slice(k, 1000).to_pylist():
-                    flat.append(end)
-                    flat += map(get, tokens(text), repeat(-1))
-                    flat += (end, -1)
-                yield pa.RecordBatch.from_pydict({"words": [np.array(flat, "<i4").tobytes()]})
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow each other with the same first `width` columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:width] != key:
+                if held:
+                    yield key, held
+                key, held = row[:width], []
+            held.append(row)
+    if held:
+        yield key, held
 
-    return cut(docs.where("train = 1").select("text").mapInArrow(run, "words binary"), "lm-numbers")
 
+def _parts(docs: DataFrame, block_rows: int) -> DataFrame:
+    """(part, n, a, b, c, d, e): n tokens; word numbers, the words' hashes, and of each document tokens, id, flags (1 training, 2 null id).
 
-def _count_ngrams(numbered: DataFrame, size: int, levels: list[np.ndarray]) -> DataFrame:
-    """(code, c) over training documents: n-grams of frequent words whose parts of n - 1 words are known.
-
-    A word's number is its id; the number of a longer n-gram is its place in the sorted
-    codes of its level, and its code is number(first n - 1) * size + id(last).
-    levels: the codes of orders 2 to n - 1.
+    Each document has an end token at its beginning and at its end.
     """
-    shared = numbered.sparkSession.sparkContext.broadcast(levels)  # each bounded by n / least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 2
+        base, seq = TaskContext.get().partitionId() << 32, 0
+        ids: dict[str, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        flat, sizes, names, flags = [], [], [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["code", "c"])
+            hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in ids], np.uint64)
+            row = (base | seq, 0, len(flat), 0, planes(np.array(flat, np.uint64)), planes(hashes), planes(np.array(sizes, np.uint64)), planes(np.array(names, np.int64).view(np.uint64)), bytes(flags))
+            return _batch(PART, [row])
 
         for batch in batches:
-            for blob in batch.column(0):
-                word = np.frombuffer(blob.as_py(), "<i4").astype(np.int64)
-                number = word
-                for level in shared.value:
-                    last = word[len(word) - len(number) + 1 :]
-                    codes = np.where((number[:-1] >= 0) & (last >= 0), number[:-1] * size + last, -1)
-                    at = np.minimum(np.searchsorted(level, codes), len(level) - 1)
-                    number = np.where(level[at] == codes, at, -1)
-                last = word[len(word) - len(number) + 1 :]
-                codes = (number[:-1] * size + last)[(number[:-1] >= 0) & (number[1:] >= 0) & (last >= 0)]
-                found, c = np.unique(codes, return_counts=True)
-                merged, at = np.unique(np.concatenate([held[0], found]), return_inverse=True)
-                held = [merged, np.bincount(at, np.concatenate([held[1], c]), minlength=len(merged)).astype(np.int64)]
-                if len(merged) > 2_000_000:
+            for doc_id, train, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = [END, *tokens(text), END]
+                flat += map(ids.__getitem__, own)
+                sizes.append(len(own))
+                names.append(0 if doc_id is None else doc_id)
+                flags.append(train + (2 if doc_id is None else 0))
+                if len(sizes) >= block_rows or len(flat) >= 1 << 20:
                     yield out()
-                    held = [np.zeros(0, np.int64)] * 2
-        if len(held[0]):
+                    seq += 1
+                    ids.clear()
+                    flat, sizes, names, flags = [], [], [], []
+        if sizes:
             yield out()
 
-    return numbered.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, PART)
+
+
+class Part:
+    """The n-grams of a part: of each order its different keys in order (uniq), and each position's place in them (at)."""
+
+    def __init__(self, row: tuple, order: int):
+        self.number, flat, hashes, sizes = row[0], numbers(row[4]).astype(np.int64), numbers(row[5]), numbers(row[6]).astype(np.int64)
+        self.ids, self.flags = numbers(row[7]).view(np.int64), np.frombuffer(row[8], np.uint8)
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
+        self.depth = np.arange(len(flat)) - np.repeat(self.first, sizes)
+        self.train = np.repeat(self.flags & 1, sizes).astype(bool)
+        by_hash, back = np.unique(hashes, return_inverse=True)
+        self.uniq, self.at = {1: by_hash}, {1: back[flat]}
+        words = hashes[flat]
+        keys = words
+        for k in range(2, order + 1):
+            keys = np.concatenate([keys[:1], _mix(keys[:-1], words[1:])])
+            here = self.here(k)
+            self.uniq[k], found = np.unique(keys[here], return_inverse=True)
+            self.at[k] = np.full(len(flat), -1)
+            self.at[k][here] = found
+
+    def here(self, k: int) -> np.ndarray:
+        """Positions at which an n-gram of order k ends; the first end token of a document is only a context."""
+        return np.flatnonzero(self.depth >= max(1, k - 1))
+
+    def counts(self, k: int) -> np.ndarray:
+        here = self.here(k)
+        return np.bincount(self.at[k][here[self.train[here]]], minlength=len(self.uniq[k]))
 
 
-def score_corpus(docs: DataFrame, order: int = 3, rare: float = 2.0**-14, block_rows: int = 4096, folds: int = 7, held: int = 2) -> DataFrame:
+def _send(part: int, k: int, buckets: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> list[tuple]:
+    """Rows of SENT: the keys (sorted) by bucket, as differences."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    out = []
+    for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
+        own = keys[a:z]
+        out.append((int(bucket[a]), k, part, planes(np.concatenate([own[:1], own[1:] - own[:-1]])), planes(x[a:z]), b"" if y is None else planes(y[a:z])))
+    return out
+
+
+def _collect(rows: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of rows of one bucket and order: the bounds of the rows, each key's place, and the first place of each key."""
+    keys = [np.cumsum(numbers(r[3]), dtype=np.uint64) for r in rows]
+    _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return np.cumsum([0, *map(len, keys)]).tolist(), at, first
+
+
+def _arranged(sent: DataFrame, parts: int, *by: str) -> DataFrame:
+    return sent.repartition(parts, by[0]).sortWithinPartitions(*by)
+
+
+def score_corpus(docs: DataFrame, order: int = 3, least: int = 2, block_rows: int = 4096, folds: int = 7, held: int = 2) -> DataFrame:
     """Per document: RESULT. Learns from documents whose crc32(doc_id as text) mod folds is not `held`.
 
-    Scores are log10 probabilities of the words and one end token. A null text is an
-    empty one: its end token alone. A null id counts as an empty text in the fold rule.
-    Repeated rows are learnt as often as they are there, and scored each. Without any
-    training document every token is unknown and has probability 1. Texts are read
-    whole; an empty table gives an empty result.
+    N-grams of two words and more are recorded from `least` occurrences in training
+    documents on. Scores are log10 probabilities of the words and one end token. A null
+    text is an empty one: its end token alone. A null id counts as an empty text in the
+    fold rule. Repeated rows are learnt as often as they are there, and scored each.
+    Without any training document every token is unknown and has probability 1. Texts are
+    read whole; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    blocked = _blocked(docs, block_rows).withColumn("train", (crc_mod(F.col("doc_id"), folds) != held).cast("int"))
-    by_word = Window.partitionBy("word")
-    words = _count_words(blocked).withColumns({"total": F.sum("c").over(by_word), "one": F.row_number().over(by_word.orderBy("block"))})
-    words = cut(words.select("block", "word", "total", (F.col("one") == 1).alias("one")), "lm-words")
-    seen = words.where("one AND total > 0")
-    n, v, n1, n2 = seen.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("total") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("total") == 2).cast("long")), F.lit(0))).first()
-    least = max(2, math.ceil(n * rare / math.sqrt(1 + n / 2**27)))
-    # At most n / least words have that many of all tokens.
-    frequent = sorted(((r.word, r.total) for r in seen.where(F.col("total") >= least).select("word", "total").toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    ids = {w: k for k, (w, _) in enumerate(frequent)}
-    totals: dict[tuple[int, ...], int] = {(k,): c for k, (_, c) in enumerate(frequent)}
-    counts: dict[tuple[int, ...], int] = {}
-    grams, levels = [(k,) for k in range(len(frequent))], []
-    numbered = _number_words(blocked, ids) if grams and order > 1 else None
-    for _ in range(2, order + 1):
-        if grams:
-            found = _count_ngrams(numbered, len(ids), levels).where(F.col("c") >= least)
-            level = dict(sorted((r.code, r.c) for r in found.toLocalIterator()))  # at most n / least
-            named = {code: (*grams[code // len(ids)], code % len(ids)) for code in level}
-            counts |= {named[code]: c for code, c in level.items()}
-            grams = list(named.values())
-            levels.append(np.array(list(level), np.int64))
-    if numbered is not None:
-        drop_cut(numbered)
-    totals |= counts
-    unknown = math.log10(d * v / n) if v else 0.0
-    automaton = Automaton([math.log10((c - d) / n) for _, c in frequent], counts, totals)
-    shared = spark.sparkContext.broadcast((automaton, ids))
-    base_unit, end = math.log10(n + v + 1), ids.get(END, -1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, numbers = shared.value
-        block, place, placed, parts, measures = None, {}, 0, [], None
-        start = 1 + end if end >= 0 else 0
-        names = [c.split()[0] for c in RESULT.split(", ")]
-
-        for batch in batches:
-            blocks, kinds, xs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            texts = batch.column(3)
-            starts = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | ((kinds[1:] == 0) != (kinds[:-1] == 0))])) if len(blocks) else []
-            for a, z in zip(starts, [*starts[1:], len(blocks)], strict=True):
-                if blocks[a] != block:
-                    block, place, placed, parts, measures = blocks[a], {}, 0, [], None
-                if kinds[a] == 0:  # the counts of a block's words come before its documents
-                    part, x = texts.slice(a, z - a).to_numpy(zero_copy_only=False).tolist(), xs[a:z].astype(np.float64)
-                    number = np.full(len(x), -1, np.int32)
-                    for k in np.flatnonzero(x >= least).tolist():
-                        number[k] = numbers.get(part[k], -1)
-                    place.update(zip(part, range(placed, placed + len(part)), strict=True))  # a word may come twice, from two tasks
-                    placed += len(part)
-                    parts.append((number, x))
-                    continue
-                if measures is None:  # of each word of the block by its place: id or -1, log10 alone, base, known
-                    number, x = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    known = x > 0
-                    measures = (number, np.where(known, np.log10(np.where(known, x - d, 1.0) / max(1, n)), unknown), np.log10(x + 1) - base_unit, known)
-                    parts = []
-                get = place.__getitem__
-                for k in range(a, z, 256):
-                    m = min(256, z - k)
-                    flat, sizes = [], []
-                    for text in texts.slice(k, m).to_pylist():
-                        own = tokens(text)
-                        flat += map(get, own)
-                        flat.append(place[END])
-                        sizes.append(len(own) + 1)
-                    at = np.array(flat, np.int64)
-                    ends = np.cumsum(sizes)
-                    first = ends - sizes
-                    alone, base, known = (np.add.reduceat(c[at], first, dtype=t) for c, t in zip(measures[1:], (np.float64, np.float64, np.int64), strict=True))
-                    ids_ = measures[0][at]
-                    # Of a run of other words, its first stands for all.
-                    kept = np.ones(len(ids_), bool)
-                    kept[1:] = (ids_[1:] >= 0) | (ids_[:-1] >= 0)
-                    kept[first] = True
-                    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(kept, first, dtype=np.int64))]).tolist()
-                    way = ids_[kept].tolist()
-                    more = np.array([machine.gain(way[i:j], start) for i, j in zip(bounds, bounds[1:], strict=False)])
-                    out = [batch.column(2).slice(k, m), kinds[k : k + m] == 2, np.array(sizes, np.int64), known, np.full(m, n, np.int64), base, alone + more]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in out], names)
-
-    mine = words.select("block", F.lit(0).alias("kind"), F.col("total").alias("x"), F.col("word").alias("text"))
-    theirs = blocked.select("block", (2 - F.col("train")).alias("kind"), F.col("doc_id").alias("x"), "text")
+    train = (crc_mod(F.col("doc_id"), folds) != held).cast("int").alias("train")
+    rows = cut(_parts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).select("doc_id", train, "text"), block_rows), "lm-parts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = mine.unionByName(theirs).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    return dealt.mapInArrow(run, RESULT)
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(parts, math.ceil(order * size / 2**23))
+
+    def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, [row] in _runs(batches, 1):
+            part = Part(row, order)
+            for k in part.uniq:
+                if len(part.uniq[k]):  # texts without words have no higher orders
+                    yield _batch(SENT, _send(part.number, k, buckets, part.uniq[k], part.counts(k)))
+
+    def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, k), own in _runs(batches, 2):
+            bounds, at, first = _collect(own)
+            total = np.bincount(at, np.concatenate([numbers(r[4]) for r in own])).astype(np.int64)
+            answer = total[at] * 2
+            answer[first] += 1  # the part that speaks for this n-gram
+            out = [(r[2], 1, k, bucket, planes(answer[a:z]), b"", b"", b"", b"") for r, a, z in zip(own, bounds, bounds[1:], strict=False)]
+            if k == 1:  # N, V and the words that occur once and twice
+                sums = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
+                out.append((-1, 9, k, bucket, sums.tobytes(), b"", b"", b"", b""))
+            yield _batch(PART, out)
+
+    answers = cut(_arranged(rows.mapInArrow(send_counts, SENT), parts, "bucket", "n", "part").mapInArrow(add_counts, PART), "lm-counts")
+    n, v, n1, n2 = np.sum([np.frombuffer(r.a, np.int64) for r in answers.where("kind = 9").select("a").toLocalIterator()] or [np.zeros(4, np.int64)], axis=0).tolist()
+    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    unknown, base_unit = d * v / n if v else 1.0, math.log10(n + v + 1)
+
+    def totals_of(own: list[tuple], part: Part) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        answer = {k: np.concatenate([numbers(r[4]) for r in own if r[1] == 1 and r[2] == k] or [np.zeros(0, np.uint64)]) for k in part.uniq}
+        return {k: (a >> np.uint64(1)).astype(np.int64) for k, a in answer.items()}, {k: (a & np.uint64(1)).astype(bool) for k, a in answer.items()}
+
+    def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _runs(batches, 1):
+            part = Part(own[0], order)
+            total, speaks = totals_of(own, part)
+            for k in range(2, order + 1):
+                here = part.here(k)
+                context = np.zeros(len(part.uniq[k]), np.int64)
+                context[part.at[k][here]] = part.at[k - 1][here - 1]
+                mine = speaks[k] & (total[k] >= least)
+                kinds = np.bincount(context[mine], minlength=len(part.uniq[k - 1]))
+                sums = np.bincount(context[mine], total[k][mine], minlength=len(part.uniq[k - 1])).astype(np.int64)
+                asked = total[k - 1] >= least  # no other has recorded followers
+                if asked.any():
+                    yield _batch(SENT, _send(part.number, k - 1, buckets, part.uniq[k - 1][asked], kinds[asked], sums[asked]))
+
+    def add_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, k), own in _runs(batches, 2):
+            bounds, at, _ = _collect(own)
+            kinds, sums = (np.bincount(at, np.concatenate([numbers(r[c]) for r in own])).astype(np.int64)[at] for c in (4, 5))
+            yield _batch(PART, [(r[2], 2, k, bucket, planes(kinds[a:z]), planes(sums[a:z]), b"", b"", b"") for r, a, z in zip(own, bounds, bounds[1:], strict=False)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _runs(batches, 1):
+            part = Part(own[0], order)
+            total, _ = totals_of(own, part)
+            scored = part.depth > 0
+            c = total[1][part.at[1]]
+            p = np.where(c > 0, np.maximum(c - d, 1e-300) / max(1, n), unknown)
+            known, base = (c > 0) & scored, np.where(scored, np.log10(c + 1) - base_unit, 0.0)
+            for k in range(2, order + 1):
+                kinds, sums = np.zeros(len(total[k - 1])), np.zeros(len(total[k - 1]))
+                asked = total[k - 1] >= least
+                if asked.any():
+                    kinds[asked], sums[asked] = (np.concatenate([numbers(r[x]) for r in own if r[1] == 2 and r[2] == k - 1]) for x in (4, 5))
+                all_ = np.maximum(1, np.maximum(total[k - 1], sums) + kinds)
+                here = part.here(k)
+                h, c = part.at[k - 1][here - 1], total[k][part.at[k][here]]
+                p[here] = np.where(c >= least, c / all_[h], 0.0) + (1 - sums / all_)[h] * p[here]
+            logs = np.where(scored, np.log10(p), 0.0)
+            base, logs, known = (np.add.reduceat(x, part.first, dtype=t) for x, t in ((base, np.float64), (logs, np.float64), (known, np.int64)))
+            ids = pa.array(part.ids, mask=part.flags & 2 > 0)
+            columns = [ids, part.flags & 1 == 0, part.sizes - 1, known, np.full(len(base), n, np.int64), base, logs]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _NAMES[RESULT])
+
+    totals = rows.union(answers.where("kind = 1"))
+    contexts = _arranged(totals, parts, "part", "kind", "n", "bucket").mapInArrow(send_contexts, SENT)
+    contexts = _arranged(contexts, parts, "bucket", "n", "part").mapInArrow(add_contexts, PART)
+    return _arranged(totals.union(contexts), parts, "part", "kind", "n", "bucket").mapInArrow(score, RESULT)
