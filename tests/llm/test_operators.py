@@ -245,6 +245,39 @@ def test_surrogates_formats():
     assert surrogates.pseudonymize(PII, KEY)[0] == new != surrogates.pseudonymize(PII, b"other")[0]
 
 
+def test_surrogates_further_forms():
+    token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    cases = {
+        "secret": [token, token.lower(), "aB" + token[2:]],
+        "phone": ["+33 1 23 45 67 89", "+49 30 1234567", "+33 (0)1 23 45 67 89", "01 23 45 67 89", "030 1234567", "(030) 1234567", "+4915112345678"],
+        "national_id": ["123-45-6789", "AB 12 34 56 C", "12345678Z"],
+        "ip": ["2001:db8:0:12:34ab:0:0:7f", "2001:DB8::7F3A", "fe80::1a2b:3c4d", "fd12:3456::1b"],
+    }
+    for kind, entities in cases.items():
+        for e in entities:
+            new, counts, pairs = surrogates.pseudonymize(f'it is "{e}", so', KEY)
+            assert counts == {kind: 1} and pairs[0][:2] == (kind, e) and e not in new and new == f'it is "{pairs[0][2]}", so'
+            sub = pairs[0][2]
+            assert len(sub) == len(e) and re.sub("[0-9A-Za-z]", "x", sub) == re.sub("[0-9A-Za-z]", "x", e)
+            if kind in ("secret", "ip"):
+                assert surrogates.hex_case(sub) == surrogates.hex_case(e)
+            if kind == "ip":
+                assert surrogates.address6_class(sub) == surrogates.address6_class(e) != "invalid"
+    assert surrogates._dni(surrogates.surrogate("national_id", "12345678Z", KEY))
+    short = [f"{a}::{b}" for a in "12ab" for b in "0123456789abcdef"]
+    assert len({surrogates.surrogate("ip", x, KEY) for x in short}) == len(short)
+    for kept in ("at 12:30:45 on 2024-10-11", "std::vector a::b", "aa:bb:cc:dd:ee:ff", "version 1.2.3 of 12345678"):
+        assert surrogates.pseudonymize(kept, KEY)[0] == kept
+
+
+def test_surrogates_names_without_title():
+    new, counts, pairs = surrogates.pseudonymize("Later Anna Schmidt came; Schmidt and Luc Moreau left.", KEY)
+    m = dict((a, b) for _, a, b in pairs)
+    assert set(m) == {"Anna", "Schmidt", "Luc", "Moreau"} and counts == {"name": 5}
+    assert m["Anna"] in surrogates.FIRST_NAMES["female"] and m["Luc"] in surrogates.FIRST_NAMES["male"]
+    assert new == f"Later {m['Anna']} {m['Schmidt']} came; {m['Schmidt']} and {m['Luc']} {m['Moreau']} left."
+
+
 def test_surrogates_names():
     new, _, pairs = surrogates.pseudonymize("Dr. Anna Schmidt met Mr Петров. Later Schmidt left; Anna smiled.", KEY)
     m = dict((a, b) for _, a, b in pairs)

@@ -20,6 +20,7 @@ salt, in that document); collisions() does the first check over a whole corpus.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -37,27 +38,35 @@ FIRST_NAMES = {
 }
 #: Titles and the gender they state.
 TITLES = {"Mr": "male", "Herr": "male", "Monsieur": "male", "Señor": "male", "Mrs": "female", "Ms": "female", "Miss": "female", "Frau": "female", "Madame": "female", "Mme": "female", "Señora": "female", "Señorita": "female", "Dr": "", "Prof": ""}
-KINDS = ("email", "phone", "ip", "card", "iban", "secret", "name")
+KINDS = ("email", "phone", "ip", "card", "iban", "secret", "name", "national_id")
 _NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w’'-]+"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+_LISTED = "|".join(sorted((n for names in FIRST_NAMES.values() for n in names), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = re.compile("|".join((
     r"(?P<email>(?<![\w.+-])[\w.+-]*\w[\w.+-]*@\w[\w-]*(?:\.\w[\w-]*)+)",
-    rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d))",
+    rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)|(?<![\w:.])(?=[A-Fa-f:]*\d)(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,6}})?::(?:{_GROUPS}{{0,6}})?)(?![\w:]|\.\d))",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
-    r"(?P<secret>(?<!\w)(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?!\w))",
+    r"(?P<secret>(?<!\w)(?:[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?!\w))",
     r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
-    r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w))",
+    r"(?P<national_id>(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-HJ-NP-TV-Z])(?![\w-]))",
+    r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)"
+    r"|(?<![\w.])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w)|(?<![\w.])0\d(?:[ .-]\d{2}){4}(?!\w)|(?<![\w.])(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{5,8}(?!\w))",
     rf"(?P<name>(?<!\w)(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?)",
+    rf"(?P<person>(?<!\w)(?:{_LISTED}) {_NAME})",
 )))
 #: A text without any of these has none of the entities.
-HINTS = ("@", *"0123456789", *TITLES)
-_HEX, _DIGITS = "0123456789abcdef", "0123456789"
+HINTS = ("@", *"0123456789", *TITLES, *(n for names in FIRST_NAMES.values() for n in names))
+_DIGITS = "0123456789"
+#: Alphabets of hex digits by the case of a whole number.
+_HEX = {"digits": (_DIGITS + "abcdef",), "lower": (_DIGITS + "abcdef",), "upper": (_DIGITS + "ABCDEF",), "mixed": (_DIGITS, "abcdef", "ABCDEF")}
 #: Alphabets by script and case.
 _SCRIPTS = (
     "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _DIGITS, "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ",
 )
 _ALPHABET = {c: a for a in _SCRIPTS for c in a}
+_GLOBAL, _UNIQUE_LOCAL = ipaddress.IPv6Network("2000::/3"), ipaddress.IPv6Network("fc00::/7")
 
 
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -76,9 +85,9 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
             return x
 
 
-def reshape(text: str, key: bytes, tweak: str, fixed: int = 0, alphabet: str | None = None, allowed=None) -> str:
+def reshape(text: str, key: bytes, tweak: str, fixed: int = 0, alphabets: tuple[str, ...] = (), allowed=None) -> str:
     """text with its characters permuted inside their classes; `fixed` first characters stay."""
-    sets = [None if k < fixed else (alphabet if alphabet and c in alphabet else _ALPHABET.get(c)) for k, c in enumerate(text)]
+    sets = [None if k < fixed else next((a for a in alphabets if c in a), _ALPHABET.get(c)) for k, c in enumerate(text)]
     form = "".join(c if s is None else s[0] for c, s in zip(text, sets, strict=True))
     size, x = 1, 0
     for c, s in zip(text, sets, strict=True):
@@ -117,6 +126,38 @@ def _ip(ip: str, key: bytes, tweak: str) -> str:
             return found
 
 
+def hex_case(s: str) -> str:
+    """The case of a hex number's letters, a class that a replacement keeps."""
+    lower, upper = any(c in "abcdef" for c in s), any(c in "ABCDEF" for c in s)
+    return "mixed" if lower and upper else "lower" if lower else "upper" if upper else "digits"
+
+
+def _hex(entity: str, key: bytes, tweak: str, also=lambda s: None) -> str:
+    case = hex_case(entity)
+    return reshape(entity, key, f"{tweak}|{'hex' if case in ('digits', 'lower') else case}", alphabets=_HEX[case], allowed=lambda s: (hex_case(s), also(s)))
+
+
+def address6_class(ip: str) -> str:
+    try:
+        a = ipaddress.IPv6Address(ip)
+    except ValueError:
+        return "invalid"
+    return "loopback" if a.is_loopback else "link" if a.is_link_local else "multicast" if a.is_multicast else "private" if a in _UNIQUE_LOCAL else "global" if a in _GLOBAL else "other"
+
+
+def _dni(number: str) -> bool:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(number[:8]) % 23] == number[-1]
+
+
+def _national_id(entity: str, key: bytes, tweak: str) -> str:
+    """A Spanish number keeps whether its letter is right; the last letter of a British one is A to D."""
+    if re.fullmatch(r"\d{8}-?[A-Z]", entity):
+        return reshape(entity, key, f"{tweak}|dni", alphabets=("ABCDEFGHJKLMNPQRSTVWXYZ",), allowed=_dni)
+    if entity[-1] in "ABCD":
+        return reshape(entity, key, f"{tweak}|nino", allowed=lambda s: s[-1] in "ABCD")
+    return reshape(entity, key, f"{tweak}|national")
+
+
 def _mod97(iban: str) -> int:
     s = iban.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
@@ -155,6 +196,8 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: str = "") -> str:
     """The replacement of an entity; of a name, without its title."""
     if kind == "email":
         return _email(entity, key, tweak)
+    if kind == "ip" and ":" in entity:
+        return _hex(entity, key, f"{tweak}|ip6", address6_class)
     if kind == "ip":
         return _ip(entity, key, tweak)
     if kind == "iban":
@@ -162,9 +205,11 @@ def surrogate(kind: str, entity: str, key: bytes, tweak: str = "") -> str:
     if kind == "card":
         return reshape(entity, key, f"{tweak}|card", 1, allowed=luhn)
     if kind == "secret":
-        if set(entity) <= set(_HEX):
-            return reshape(entity, key, f"{tweak}|hex", alphabet=_HEX)
+        if re.fullmatch("[0-9A-Fa-f]+", entity):
+            return _hex(entity, key, tweak)
         return reshape(entity, key, f"{tweak}|secret", 4 if entity[:4] == "AKIA" or entity[3:4] == "_" else 3)
+    if kind == "national_id":
+        return _national_id(entity, key, tweak)
     if kind == "phone":
         return reshape(entity, key, f"{tweak}|phone", re.match(r"(?:\+\d{1,3}(?=[ .-]))?", entity).end())
     raise ValueError(kind)
@@ -184,6 +229,11 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
             for k, w in enumerate(words):
                 listed = any(w in names for names in FIRST_NAMES.values())
                 people.setdefault(w, (k == 0 and (len(words) > 1 or listed), gender))
+        elif kind == "person":  # a listed first name and a capitalised word, without a title
+            first, last = unicodedata.normalize("NFC", m[0]).split(" ")
+            gender = next(g for g, names in FIRST_NAMES.items() if first in names)
+            people.setdefault(first, (True, gender))
+            people.setdefault(last, (False, gender))
         else:
             spans.append((m.start(), m.end(), kind, m[0]))
     if people:  # every later mention of the same words is the same person
