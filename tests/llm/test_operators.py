@@ -340,6 +340,30 @@ def test_jaccard_join(spark, docs, rows, empty, block):
         assert {k for k in kept if k is not None} == {d for d in heads if d >= 0} and None in kept
 
 
+@pytest.mark.parametrize("block", [8000, 3])
+def test_jaccard_links_are_counted(spark, rows, block):
+    """Each document's number of links against brute force, also of classes that share several cells and blocks."""
+    rng = np.random.default_rng(6)
+    near = []
+    for k in range(40):
+        w = BASE.split() * 2
+        for j in rng.choice(len(w), k % 4, replace=False):
+            w[j] = f"z{rng.integers(0, 3)}"
+        near.append((900 + k, " ".join(w), "en", "a", 1, "k", 2))
+    mine = [*rows, *near, near[3]]
+    sets = {(r[0], frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))) for r in mine if r[0] is not None and (w := words(lower(r[1])))}
+    links = lambda d, s: sum(100 * len(s & t) >= 80 * len(s | t) for e, t in sets if (e, t) != (d, s))
+    want = []
+    for r in mine:
+        w = words(lower(r[1]))
+        s = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        want.append((-1 if r[0] is None else r[0], len(s), -1 if r[0] is None else links(r[0], s) if s else 0))
+    got = overlap_join.join_groups(spark.createDataFrame(mine, SCHEMA), block=block).collect()
+    fill = lambda x: -1 if x is None else x
+    assert sorted((fill(r.doc_id), r.n_shingles, fill(r.n_links)) for r in got) == sorted(want)
+    assert max(x for *_, x in want) > 20
+
+
 def test_divide_skip_finds_all_links():
     rng = np.random.default_rng(2)
     for _ in range(20):

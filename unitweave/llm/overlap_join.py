@@ -322,18 +322,22 @@ def links_of(sizes: np.ndarray, members: list[np.ndarray], percent: int) -> Iter
 
 
 def search(groups: DataFrame, percent: int) -> DataFrame:
-    """groups (grp, doc_id, shingles) sorted by group -> (a, b): a spanning set of links of each group's link graph.
+    """groups (grp, doc_id, shingles, groups, k1, k2, copies) sorted by group -> (a, b, n, k1, k2).
 
-    A group's links are contracted to a forest at once: what leaves it grows with its
-    documents, not with its links.
+    Rows with a and b are a spanning set of links of each group's link graph; rows with
+    n say how many documents of other classes are linked with the class k1, k2. A
+    link of two classes that share several groups is counted in the smallest of them.
+    A group's links are contracted to a forest and summed at once: what leaves it grows
+    with its documents, not with its links.
     """
+    names = ["a", "b", "n", "k1", "k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        group, held, seen = None, [], set()
 
         def close() -> pa.RecordBatch | None:
             members = [np.frombuffer(h[1], "<u8") for h in held]
-            parent, out = list(range(len(held))), []
+            parent, out, linked = list(range(len(held))), [], [0] * len(held)
 
             def root(x: int) -> int:
                 while parent[x] != x:
@@ -342,23 +346,30 @@ def search(groups: DataFrame, percent: int) -> DataFrame:
                 return x
 
             for x, y in links_of(np.array([len(m) for m in members]), members, percent):
+                gx, gy = held[x][2], held[y][2]
+                if len(gx) == 1 or len(gy) == 1 or min(gx & gy) == group:
+                    linked[x] += held[y][4]
+                    linked[y] += held[x][4]
                 rx, ry = root(x), root(y)
                 if rx != ry:
                     parent[rx] = ry
-                    out.append((held[x][0], held[y][0]))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"]) if out else None
+                    out.append((held[x][0], held[y][0], None, None, None))
+            out += [(None, None, c, *h[3]) for c, h in zip(linked, held, strict=True) if c]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names) if out else None
 
         for batch in batches:
-            for grp, doc_id, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for grp, doc_id, blob, groups_, k1, k2, copies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if grp != group:
                     if len(held) > 1 and (done := close()) is not None:
                         yield done
-                    group, held = grp, []
-                held.append((doc_id, blob))
+                    group, held, seen = grp, [], set()
+                if (k1, k2) not in seen:  # a row may be repeated
+                    seen.add((k1, k2))
+                    held.append((doc_id, blob, frozenset(groups_), (k1, k2), copies))
         if len(held) > 1 and (done := close()) is not None:
             yield done
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(run, "a long, b long, n long, k1 long, k2 long")
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -389,7 +400,11 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def join_groups(docs: DataFrame, percent: int = 80, n: int = 5, block: int = 8000) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id.
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id, n_links.
+
+    n_links is the number of other documents of Jaccard >= percent / 100, copies among
+    them, without expanding pairs; repeated rows of one id and set count once, an id with
+    several sets once for each. It is 0 for an empty set and null for a null id.
 
     Documents without words, and null texts, have an empty set and are linked with
     nothing. Repeated rows (one id, whatever the texts) are returned each; rows of one
@@ -415,29 +430,35 @@ def join_groups(docs: DataFrame, percent: int = 80, n: int = 5, block: int = 800
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = sieve(placed.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j"), percent)
     grouped = cut(grouped.distinct().groupBy("class_id").agg(F.collect_list("grp").alias("groups")), "join-groups")
-    wanted = grouped.withColumnRenamed("class_id", "w").join(classes, F.col("w") == F.col("class_id")).select("class_id", "k1", "k2", "groups")
+    sizes = usable.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    sizes = cut(sizes, "join-sizes")
+    wanted = grouped.withColumnRenamed("class_id", "w").join(classes, F.col("w") == F.col("class_id")).join(sizes, ["k1", "k2"]).select("class_id", "k1", "k2", "groups", "copies")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups_at = batch.column(4)
+            groups_at, copies_at = batch.column(4), batch.column(5)
             for k, (doc_id, text, k1, k2) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True)):
                 s = shingles(text, n)
                 if set_key(s) == (k1, k2):  # rows of one id with other texts are other classes
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), groups_at.slice(k, 1), pa.array([s.astype("<u8").tobytes()])], ["doc_id", "groups", "shingles"])
+                    columns = [pa.array([doc_id]), groups_at.slice(k, 1), pa.array([s.astype("<u8").tobytes()]), pa.array([k1]), pa.array([k2]), copies_at.slice(k, 1)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "groups", "shingles", "k1", "k2", "copies"])
 
-    texts = kept.join(wanted, kept["doc_id"] == wanted["class_id"]).select("doc_id", "text", "k1", "k2", "groups")
-    full = texts.mapInArrow(whole_sets, "doc_id long, groups array<long>, shingles binary")
-    full = full.select(F.explode("groups").alias("grp"), "doc_id", "shingles")
+    texts = kept.join(wanted, kept["doc_id"] == wanted["class_id"]).select("doc_id", "text", "k1", "k2", "groups", "copies")
+    full = texts.mapInArrow(whole_sets, "doc_id long, groups array<long>, shingles binary, k1 long, k2 long, copies long")
+    full = full.select(F.explode("groups").alias("grp"), "doc_id", "shingles", "groups", "k1", "k2", "copies")
     found = cut(search(full.repartition(parts, "grp").sortWithinPartitions("grp", "doc_id"), percent), "join-links")
     # One id with several texts ties their classes.
     several = usable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select(F.col("doc_id").alias("several"))
     ties = usable.join(several, F.col("doc_id") == F.col("several"), "left_semi").join(classes, ["k1", "k2"]).where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    groups = components(found.union(ties))
-    c = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "class_id")
+    groups = components(found.where("n IS NULL").select("a", "b").union(ties))
+    linked = found.where("n IS NOT NULL").groupBy("k1", "k2").agg(F.sum("n").alias("linked"))
+    c = classes.select("k1", "k2", "class_id").join(sizes, ["k1", "k2"]).join(linked, ["k1", "k2"], "left")
+    c = c.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = mine.join(c, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")
+    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), n_links)
     out = out.join(groups, F.col("class_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", "n_links")
 
 
 def keep_representatives(docs: DataFrame, **params) -> DataFrame:

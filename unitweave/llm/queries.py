@@ -52,7 +52,7 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_join.join_groups(table(spark, sf_dir, "documents")).drop("class_id")
+    return overlap_join.join_groups(table(spark, sf_dir, "documents")).drop("class_id", "n_links")  # the columns of its SQL
 
 
 def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
