@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -203,6 +204,26 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(docs).count() == len(rows) and licenses.scan(empty).count() == 0
 
 
+def test_licenses_as_they_are_usually_written(spark):
+    """Wrapped at any width, with usual titles and named holders; lines of the wording that begin with 'copyright' stay."""
+    texts, want = [], []
+    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"):
+        body = (licenses.KNOWN | licenses.MORE)[name].replace("Copyright (c) holder\n", "")
+        title, _, rest = body.partition("\n") if name not in ("Unlicense",) else ("", "", body)
+        for width in range(40, 101, 4):
+            wrapped = "\n\n".join(textwrap.fill(part, width) for part in rest.split("\n"))
+            for head in (title, "", "The MIT License (MIT)" if name == "MIT" else title):
+                texts.append(f"{head}\n\nCopyright (c) 2020, Some Body\nAll rights reserved.\n\n{wrapped}\n")
+                want.append(name)
+    bsd = licenses.KNOWN["BSD-3-Clause"].partition("\n")[2].replace("the name of the copyright holder", "the name of Acme Inc.").replace("3. Neither", "* Neither")
+    isc = "copyright notice and this permission notice appear in all copies."
+    texts += [bsd, licenses.KNOWN["ISC"].replace(isc, "\n" + isc), licenses.KNOWN["ISC"].replace("hereby granted", "hereby refused"), "copyright holder of this", "MIT License"]
+    want += ["BSD-3-Clause", "ISC", None, None, None]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(k, (got[k] or "").removesuffix(" (no title)") or None) for k in range(len(texts))] == list(enumerate(want))
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= {r.license_id for r in licenses.known_forms(spark).collect()}
+
+
 def test_rules(docs, rows, empty):
     got = quality_rules.apply_rules(docs).collect()
     want = []

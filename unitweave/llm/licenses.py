@@ -35,6 +35,32 @@ KNOWN = {
     "notice CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+#: Further texts, which the SQL doesn't have.
+MORE = {
+    "Unlicense": f"{_UNLICENSE}\n{_AS_IS.replace('AUTHORS OR COPYRIGHT HOLDERS', 'AUTHORS')}\nFor more information, please refer to <https://unlicense.org/>",
+}
+#: Digests of the form() of long texts, taken from Debian's common-licenses; "short" is without the appendix.
+FORMS = {
+    "Apache-2.0": "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543",
+    "Apache-2.0 short": "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40",
+    "Artistic-1.0-Perl": "c9bcba9e70d36ab628a0944e717aa88f7b65f5755a9f3061c584801892429806",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-1.0 short": "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-2.0 short": "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+    "GPL-3.0": "f6eaf8069e6992495ee63002d3cf837d745ad9c33d0c2129f4dd67750ebe0094",
+    "GPL-3.0 short": "7e1ec759902e79fd98df32aeafb56e0fcc9348cebf7b52c7a875052ac012ad4a",
+    "LGPL-2.0": "9645df35bc8e107839fb024e61e6728ee32745a72194667211f31f7bad57b7d8",
+    "LGPL-2.0 short": "5b76795361ffca92776bfb6f87f31cc8c230526d08f639d965de248bd171ca59",
+    "LGPL-2.1": "a5875b4abd0df481e41a66665de9bea2d629872285f8f890c7ff03f4f87cb0ef",
+    "LGPL-2.1 short": "e8fff5aab68f3784c88bdf6c7d677d555dbfc3274d7e0a03da4870604bf989ed",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "9c38a92c43b96c05d7c74eae14658e08f767c6c8865f2bf2143a1fb58853f1f0",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
 #: Spellings that mean the same, after case and punctuation are gone; applied in this order.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"),
@@ -46,12 +72,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null.
 
-    Lines that state a copyright or that all rights are reserved are left out; letters
+    Lines that state a copyright or that all rights are reserved are left out, but not
+    lines of a licence that begin with 'copyright notice', 'copyright holder' or an item (c); letters
     A-Z become small; what is neither a letter, a digit nor beyond ASCII becomes one
     space; equivalent spellings of whole words are made alike.
     """
     t = F.translate(text, _UPPER, _LOWER)
-    t = F.regexp_replace(t, "(^|\n)[ \t]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*", "\n")
+    t = F.regexp_replace(t, "(^|\n)[ \t]*(copyright(?!\\s+(notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|and|or|in|to|is)\\b)|\\(c\\)(?![ \t]+(you|the|an?|any|all|if|in|to|for|each|such|every|this|that|it|no|must|may|under|prominently|cause|accompany)\\b)|©|all rights reserved)[^\n]*", "\n")
     t = F.regexp_replace(t, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F‘’“”–— ]+", " ")
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
     for a, b in SPELLINGS:
@@ -59,10 +86,33 @@ def canonical(text: Column) -> Column:
     return F.trim(t)
 
 
-def known_digests(spark) -> DataFrame:
-    """license_id, digest, one row for each digest."""
-    rows = spark.createDataFrame(sorted(KNOWN.items()), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+#: What differs between copies of one licence, in the canonical form.
+_SAME = (
+    (r"^(the )?(mit license( mit)?|mit|expat license|isc license( iscl?)?|(bsd zero clause|zero clause bsd|bsd 0 clause) license( 0bsd)?|((bsd 2 clause|2 clause bsd)( simplified)?|simplified bsd) license|((bsd 3 clause|3 clause bsd)( new or revised| new| revised)?|new bsd|revised bsd|modified bsd|bsd) license) ", ""),
+    (r"\b[123] (?=redistributions |neither the name)", ""),
+    (r"neither the names? of .{1,200}? nor the names of (its|their) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this software is provided by .{1,200}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"in no event shall .{1,200}? be liable for any direct indirect", "in no event shall the copyright holder or contributors be liable for any direct indirect"),
+)
+
+
+def form(canonical_text: Column) -> Column:
+    """A canonical form without a licence's title, numbers of its conditions and names of holders."""
+    for a, b in _SAME:
+        canonical_text = F.regexp_replace(canonical_text, a, b)
+    return canonical_text
+
+
+def known_digests(spark, of=lambda t: t) -> DataFrame:
+    """license_id, digest, one row for each digest; `of` is applied to the canonical forms."""
+    rows = spark.createDataFrame(sorted((KNOWN | MORE).items()), "license_id string, text string")
+    return rows.select("license_id", F.sha2(of(canonical(F.col("text"))), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
+def known_forms(spark) -> DataFrame:
+    """license_id, digest of form(), one row for each digest."""
+    rows = [(k.removesuffix(" short"), d) for k, d in FORMS.items()]
+    return known_digests(spark, form).select("license_id", "digest").union(spark.createDataFrame(rows, "license_id string, digest string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -71,12 +121,19 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     A null text has a null digest and no licence; an empty one has the digest of the
     empty form. Repeated rows are reported alike; other columns are ignored. Texts of
     any length are hashed whole. `known` (digest, license_id) may be of any size: Spark
-    broadcasts it only under its size threshold.
+    broadcasts it only under its size threshold. Without it, a text that is no known
+    licence as it stands is also compared by its form().
     """
+    forms = known_forms(docs.sparkSession) if known is None else None
     known = known_digests(docs.sparkSession) if known is None else known
     known = known.select(F.col("digest").alias("known_digest"), "license_id")
-    mine = docs.select(docs["doc_id"], F.sha2(canonical(docs["text"]), 256).alias("digest"))
-    return mine.join(known, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license_id")
+    mine = docs.select(docs["doc_id"], canonical(docs["text"]).alias("t"))
+    mine = mine.select("doc_id", F.sha2("t", 256).alias("digest"), *([F.sha2(form(F.col("t")), 256).alias("form")] if forms else []))
+    found = mine.join(known, F.col("digest") == F.col("known_digest"), "left")
+    if forms:
+        forms = forms.select(F.col("digest").alias("known_form"), F.col("license_id").alias("form_id"))
+        found = found.join(forms, F.col("form") == F.col("known_form"), "left").withColumn("license_id", F.coalesce("license_id", "form_id"))
+    return found.select("doc_id", "digest", "license_id")
 
 
 def _sql_canonical(t: str) -> str:
