@@ -92,6 +92,25 @@ def test_mix(docs, rows, empty):
     assert mixing.repeat_documents(empty).count() == 0
 
 
+def test_mix_cuts_one_document_a_source(spark):
+    """Rows without an id share a hash: all but one are taken whole or not at all, and the targets are met."""
+    texts = [" ".join(f"w{k}" for k in range(1 + i % 9)) for i in range(60)]  # each text several times
+    rows_ = [(None, t, s) for s in "abc" for t in texts * (1 if s == "b" else 4)] + [(k, "one two three", "b") for k in range(5)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    got = mixing.mix(table).collect()
+    partial, taken, target = Counter(), Counter(), {}
+    for r in got:
+        partial[r.source] += 0 < r.extra < r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == len(rows_) and max(partial.values()) == 1
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target) and any(0 < r.extra for r in got)
+    again = Counter()
+    for r in mixing.repeat_documents(table).collect():
+        again[r.source] += len(words(r.text))
+    assert again == taken
+
+
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_planes(plane):
     rng = np.random.default_rng(1)

@@ -10,7 +10,8 @@ A source's target is then taken as whole epochs of every document, and a fractio
 epoch: documents in the order of a seeded hash, up to the target; the document at
 the border gives its first words only. The border is found by two histogram levels
 over the hash and exact sums in the one bin that is left, so no source is ever
-sorted as a whole.
+sorted as a whole. Rows of one hash (repeated or null ids) follow each other by a hash
+of the text, found in the same way, and equal rows one by one.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ def seeded_hash(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    """60 bits of a text's hash: the order of rows that share a seeded hash."""
+    return F.shiftrightunsigned(F.xxhash64(text.cast("string")), 64 - HASH_BITS)
+
+
 def water_fill(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], max_epochs: int) -> DataFrame:
     """sizes (source, source_size) -> with weight, cap and target (double).
 
@@ -70,38 +76,67 @@ def _border(bins: DataFrame, wanted: DataFrame, keys: list[str], bin_col: str) -
 def _limits(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: str = "mix-1:") -> tuple[DataFrame, DataFrame]:
     """The sizes of all documents, and for each source its target, whole epochs and border."""
     h = F.col("h")
-    sized = cut(docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), seeded_hash(docs["doc_id"], seed).alias("h")), "mix-sizes")
+    sized = cut(docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), seeded_hash(docs["doc_id"], seed).alias("h"), text_hash(docs["text"]).alias("t")), "mix-sizes")
     coarse = sized.groupBy("source", F.shiftright(h, HASH_BITS - BITS).alias("a")).agg(F.sum("size").alias("words"))
     sizes = coarse.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = water_fill(sizes, weights, share, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = cut(plan.withColumn("rest", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("whole") * F.col("source_size"))).coalesce(1), "mix-plan")
     open_ = plan.where("rest > 0").select(F.col("source").alias("w_source"), "rest")
+    at_h = cut(_find(sized, open_, "h", coarse).coalesce(1), "mix-border")
+    ends = at_h.select("w_source", F.col("h").alias("border"), F.lit(None).cast("long").alias("tie"), F.col("rest").alias("part"), "equal").where("equal = 1")
+    many = at_h.where("equal > 1")
+    if not many.isEmpty():
+        tied = sized.join(many.select(F.col("w_source").alias("s0"), F.col("h").alias("h0")), sized["source"].eqNullSafe(F.col("s0")) & (sized["h"] == F.col("h0"))).select("source", "size", "t")
+        at_t = _find(tied, many.select("w_source", "rest"), "t")
+        at_t = at_t.join(many.select(F.col("w_source").alias("s0"), F.col("h").alias("border")), at_t["w_source"].eqNullSafe(F.col("s0")))
+        ends = ends.union(at_t.select("w_source", "border", F.col("t").alias("tie"), F.col("rest").alias("part"), "equal"))
+    limits = cut(plan.join(ends, plan["source"].eqNullSafe(ends["w_source"]), "left").drop("w_source").withColumnRenamed("source", "p_source").coalesce(1), "mix-limits")
+    return sized, limits
+
+
+def _find(sized: DataFrame, open_: DataFrame, key: str, coarse: DataFrame | None = None) -> DataFrame:
+    """(w_source, key, rest, words, equal): the value of a hash at which a source's fractional epoch ends, and the words taken of its rows."""
+    k = F.col(key)
+    if coarse is None:
+        coarse = sized.groupBy("source", F.shiftright(k, HASH_BITS - BITS).alias("a")).agg(F.sum("size").alias("words"))
     at_a = _border(coarse, open_, [], "a")
-    in_a = sized.join(at_a.select(F.col("w_source").alias("s1"), "a"), sized["source"].eqNullSafe(F.col("s1")) & (F.shiftright(h, HASH_BITS - BITS) == F.col("a")))
-    fine = in_a.groupBy("source", F.shiftright(h, HASH_BITS - 2 * BITS).alias("b")).agg(F.sum("size").alias("words"))
+    in_a = sized.join(at_a.select(F.col("w_source").alias("s1"), "a"), sized["source"].eqNullSafe(F.col("s1")) & (F.shiftright(k, HASH_BITS - BITS) == F.col("a")))
+    fine = in_a.groupBy("source", F.shiftright(k, HASH_BITS - 2 * BITS).alias("b")).agg(F.sum("size").alias("words"))
     at_b = _border(fine, at_a.select("w_source", "rest"), [], "b")
-    in_b = sized.join(at_b.select(F.col("w_source").alias("s1"), "b"), sized["source"].eqNullSafe(F.col("s1")) & (F.shiftright(h, HASH_BITS - 2 * BITS) == F.col("b")))
-    last = in_b.groupBy("source", "h").agg(F.sum("size").alias("words"), F.count("*").alias("equal"))
-    at_h = _border(last, at_b.select("w_source", "rest"), [], "h")
-    at_h = at_h.select("w_source", F.col("h").alias("border"), F.floor(F.col("rest") / F.col("equal")).cast("long").alias("part"))
-    limits = cut(plan.join(at_h, plan["source"].eqNullSafe(at_h["w_source"]), "left").drop("w_source").withColumnRenamed("source", "p_source").coalesce(1), "mix-limits")
-    return sized, limits
+    in_b = sized.join(at_b.select(F.col("w_source").alias("s1"), "b"), sized["source"].eqNullSafe(F.col("s1")) & (F.shiftright(k, HASH_BITS - 2 * BITS) == F.col("b")))
+    last = in_b.groupBy("source", key).agg(F.sum("size").alias("words"), F.count("*").alias("equal"))
+    return _border(last, at_b.select("w_source", "rest"), [], key)
+
+
+def _fraction(d: DataFrame, limits: DataFrame, order: Column) -> DataFrame:
+    """d (m_source, m_size, m_h, m_t, ...) with its source's limits and `extra`: the words taken in the fractional epoch."""
+    d = d.join(limits, d["m_source"].eqNullSafe(limits["p_source"]))
+    at = F.coalesce((F.col("m_h") == F.col("border")) & (F.col("m_t") == F.coalesce("tie", "m_t")), F.lit(False))
+    before = F.lit(0).cast("long")
+    if limits.where("equal > 1").isEmpty():
+        d = d.withColumn("before", before)
+    else:  # equal rows at a border, one after the other; only these are sorted
+        upto = F.sum("m_size").over(Window.partitionBy("m_source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        d = d.where(~at).withColumn("before", before).unionByName(d.where(at).withColumn("before", F.coalesce(upto, before)))
+    full = (F.col("m_h") < F.col("border")) | ((F.col("m_h") == F.col("border")) & (F.col("m_t") < F.col("tie")))
+    extra = F.when(full, F.col("m_size")).when(at, F.greatest(F.lit(0), F.least("m_size", F.col("part") - F.col("before")))).otherwise(0)
+    return d.withColumn("extra", extra.cast("long"))
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mix of `docs` (doc_id, text, source): each row with size, source_size, target, taken.
 
     Nulls: a null text has size 0; null sources are one source, last in order; a null
-    id is hashed as an empty one. Repeated rows and equal hashes are taken alike: at
-    the border each gets the same number of words. A source without words has target
+    id is hashed as an empty one. Rows of one hash follow each other by their texts'
+    hash, equal ones in any order, so one document a source is partial. A source without words has target
     0. An empty table gives an empty table. Other columns of docs are ignored.
     """
     sized, limits = _limits(docs, **params)
-    h = F.col("h")
-    out = sized.join(limits, sized["source"].eqNullSafe(limits["p_source"]))
-    extra = F.when(h < F.col("border"), F.col("size")).when(h == F.col("border"), F.least(F.col("size"), F.col("part"))).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "whole", F.coalesce(extra, F.lit(0)).cast("long").alias("extra"), (F.col("whole") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"), "border", "part", "h")
+    d = sized.select("doc_id", F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("h").alias("m_h"), F.col("t").alias("m_t"))
+    out = _fraction(d, limits, F.col("m_size"))
+    taken = F.col("whole") * F.col("m_size") + F.col("extra")
+    return out.select("doc_id", F.col("m_source").alias("source"), F.col("m_size").alias("size"), "source_size", "target", "whole", "extra", taken.cast("long").alias("taken"), "border", "part", F.col("m_h").alias("h"))
 
 
 def repeat_documents(docs: DataFrame, **params) -> DataFrame:
@@ -113,9 +148,9 @@ def repeat_documents(docs: DataFrame, **params) -> DataFrame:
     seed = params.get("seed", "mix-1:")
     _, limits = _limits(docs, **params)
     names = docs.columns
-    d = docs.select(F.struct(*[docs[c] for c in names]).alias("d"), docs["source"].cast("string").alias("m_source"), n_words(docs["text"]).alias("m_size"), seeded_hash(docs["doc_id"], seed).alias("m_h"))
-    d = d.join(limits, d["m_source"].eqNullSafe(limits["p_source"]))
-    extra = F.coalesce(F.when(F.col("m_h") < F.col("border"), F.col("m_size")).when(F.col("m_h") == F.col("border"), F.least(F.col("m_size"), F.col("part"))), F.lit(0)).cast("long")
+    d = docs.select(F.struct(*[docs[c] for c in names]).alias("d"), docs["source"].cast("string").alias("m_source"), n_words(docs["text"]).alias("m_size"), seeded_hash(docs["doc_id"], seed).alias("m_h"), text_hash(docs["text"]).alias("m_t"))
+    d = _fraction(d, limits, F.xxhash64("d"))
+    extra = F.col("extra")
     full = F.when(F.col("m_size") == 0, 1).otherwise(F.col("whole") + (extra == F.col("m_size")).cast("long")).cast("int")
     cuts = F.when((extra > 0) & (extra < F.col("m_size")), extra).otherwise(0)
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full), F.when(cuts > 0, F.array(cuts.cast("long"))).otherwise(F.array().cast("array<bigint>")))
