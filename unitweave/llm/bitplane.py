@@ -140,9 +140,11 @@ class ShardReader:
 
 
 def _file_system(path: str):
+    """pyarrow's file system and path for a URI of Spark's (file, hdfs, viewfs, s3a, gs, abfss and the like)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1 << 16, plane: str = "byte", level: int = 3, folder: str | None = None) -> DataFrame:
@@ -179,7 +181,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1 <<
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [folder + name], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.doc_ids)], "n_ids": [writer.n_ids], "n_bytes": [size]})
 
     kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    dealt = kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id may go to several files: their texts' hash is the second key.
+    dealt = kept.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     manifest = dealt.mapInArrow(write, "shard long, path string, first_id long, n_docs long, n_ids long, n_bytes long")
     return cut(manifest, "token-manifest")
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts with a byte-level BPE of the tokenizers library.
 
-A text is cut before every single space that follows a non-space. The pre-tokenizer
-of a byte-level BPE never joins two sides of such a place, so the ids of the text
-are the ids of the pieces, one after the other. Invented and rare words make the
+A text is cut before every single space or line break that follows a non-space. The
+pre-tokenizer of a byte-level BPE never joins two sides of such a place, so the ids of
+the text are the ids of the pieces, one after the other. Invented and rare words make the
 merges the slow part; pieces repeat, so the ids of a piece are kept (up to a bound)
 and only new ones go to the library.
 """
@@ -14,12 +14,15 @@ import re
 #: Marks that make one pre-token when they follow a word.
 _MARKS = ".,;:!?*$%&#|()"
 #: White space to any of the libraries, and characters on which they may not agree.
-_SPACE_BEFORE = re.compile("[\\s᠎​-‏⁠﻿] ")
 _SPACE = re.compile("[\\s᠎​-‏⁠﻿]")
 _CUT = re.compile("(?<![\\s᠎​-‏⁠﻿]) ")
 _LOADED: dict[str, "Encoder"] = {}
 
 
+class _Odd(Exception):
+    """White space beside a cut: the pieces of such a text are not independent."""
+
+
 def byte_letters() -> dict[int, str]:
     """The letter by which a byte-level BPE writes each byte: printable Latin-1 as it is, the rest from U+0100 on."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -27,66 +30,75 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """Pre-token -> ids, by the library's model."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.model, self.letters = tokenizer.model, byte_letters()
-        self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
-
-    def __missing__(self, token: str) -> bytes:
-        written = "\u0120" + token[1:] if token[0] == " " else token  # letters of ASCII stand for themselves
-        if not token.isascii():
-            written = token.encode().decode("latin-1").translate(self.letters)
-        found = self.model.tokenize(written)
-        out = self[token] = self.ids[found[0].id] if len(found) == 1 else b"".join([self.ids[t.id] for t in found])
-        return out
-
-
 class _Pieces(dict):
-    """Piece of a text, without the space before it -> ids."""
+    """Piece of a text, without the space before it -> ids, by the library. A line break at its beginning has no space before it."""
 
-    def __init__(self, tokenizer, words: _Words, space: str):
+    def __init__(self, encoder: "Encoder", space: str):
         super().__init__()
-        self.tokenizer, self.words, self.space = tokenizer, words, space
+        self.encoder, self.space = encoder, space
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.ids(piece, self.space)
-        return out
-
-    def ids(self, piece: str, space: str) -> bytes:
         word = piece.rstrip(_MARKS)
         if word.isalpha() and (word.isascii() or max(word) <= "\u00ff"):
-            mark = piece[len(word):]
-            return self.words[space + word] + self.words[mark] if mark else self.words[space + word]
-        lines = piece.split("\n")
-        if len(lines) > 1 and all(lines) and not _SPACE.search("".join(lines)):  # a line break between two non-spaces stands alone
-            return self.words.line.join([self.ids(x, space if k == 0 else "") for k, x in enumerate(lines)])
-        return b"".join([self.words.ids[i] for i in self.tokenizer.encode(space + piece, add_special_tokens=False).ids])
+            out = self[word] + self.encoder.mark(piece[len(word):]) if len(word) < len(piece) else self.encoder.word(self.space + word)
+        else:
+            line = piece[:1] == "\n"
+            rest = piece[1:] if line else piece
+            if not rest or _SPACE.match(rest) or _SPACE.match(rest[-1]):
+                raise _Odd
+            out = self.encoder.line + self.encoder.first[rest] if line else self.encoder.library(self.space + rest)
+        self[piece] = out
+        return out
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, max_kept: int = 500_000):
+    def __init__(self, path: str, max_kept: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_kept = Tokenizer.from_file(path), max_kept
-        self.words = _Words(self.tokenizer)
-        self.words.line = b"".join([self.words.ids[i] for i in self.tokenizer.encode("\n", add_special_tokens=False).ids])
-        self.first = _Pieces(self.tokenizer, self.words, "")
-        self.later = _Pieces(self.tokenizer, self.words, " ")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.line, self.marks = self.library("\n"), {}
+        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+
+    def library(self, text: str) -> bytes:
+        return b"".join([self.ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def word(self, token: str) -> bytes:
+        """Of one pre-token, by the library's model."""
+        written = "\u0120" + token[1:] if token[0] == " " else token  # letters of ASCII stand for themselves
+        if not token.isascii():
+            written = token.encode().decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(written)
+        return self.ids[found[0].id] if len(found) == 1 else b"".join([self.ids[t.id] for t in found])
+
+    def mark(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.word(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = found
+        return found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        pieces = _CUT.split(text) if _SPACE_BEFORE.search(text) else text.split(" ")
-        out = self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
-        for kept in (self.first, self.later, self.words):
-            if len(kept) > self.max_kept:
-                kept.clear()
-        return out
+        if len(self.first) + len(self.later) > self.max_kept:
+            self.first.clear()
+            self.later.clear()
+        pieces = text.replace("\n", " \n").split(" ")
+        end = pieces.pop() if pieces[-1] == "\n" else ""  # a line break after the last word
+        try:
+            return (self.first[pieces[0]] if pieces[0] else b"") + b"".join(map(self.later.__getitem__, pieces[1:])) + (self.line if end else b"")
+        except _Odd:
+            pieces = _CUT.split(text)
+            return b"".join([self.library(pieces[0]), *map(self.odd, pieces[1:])])
+
+    def odd(self, piece: str) -> bytes:
+        """Of a piece that follows a space and may hold or end in white space."""
+        return self.library(" " + piece) if not piece or _SPACE.search(piece) else self.later[piece]
 
 
 def encoder(path: str) -> Encoder:
@@ -94,3 +106,8 @@ def encoder(path: str) -> Encoder:
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
+
+
+def release() -> None:
+    """Frees what this worker process keeps of its encoders."""
+    _LOADED.clear()
