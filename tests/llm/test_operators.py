@@ -180,6 +180,7 @@ def test_packing(docs, rows, empty):
         assert all(p.ids_crc32 == crc(own[0][p.start : p.start + p.length]) for p in pieces)
         cover = Counter(x for p in pieces for x in range(p.start, p.start + p.length))
         assert cover == Counter({k: len(own) for k in range(len(own[0]))})
+        assert len({p.row_id for p in pieces}) == len(own)  # copies of one id are told apart
     used = 0
     for _, pieces in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
         at = 0
@@ -192,25 +193,79 @@ def test_packing(docs, rows, empty):
     assert lexpack.pack(empty, tokenizer_path()).count() == 0
 
 
-def test_bm25_neighbours():
+def bm25(tails, query, df):
+    """Scores of all tails for the tokens of one, written out."""
+    n, mean, out = len(tails), sum(map(len, tails)) / len(tails), []
+    for t in tails:
+        tf, s = Counter(t), 0.0
+        for w in set(query):
+            if tf[w]:
+                s += max(0.0, math.log((n - df[w] + 0.5) / (df[w] + 0.5))) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        out.append(round(s, 9))
+    return out
+
+
+def test_packing_fills_windows_with_neighbours(spark):
+    """Against a plain greedy packing by whole BM25 scores, with all terms and tails nominated."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"{'abcde'[k % 5]}word{w}" for w in rng.integers(0, 80, rng.integers(0, 420))) for k in range(60)]
+    texts += [texts[3], texts[3], texts[7] + " and more", None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [[*i, 0] for i in encode(texts)]
+    tails = [i[len(i) // 256 * 256 :] for i in ids]
+    tails = [t for t in tails if t]
+    place = lexpack.places([np.array(t, "<u4") for t in tails])
+    tails = [tails[k] for k in np.argsort(place, kind="stable")]
+    df = Counter(w for t in tails for w in set(t))
+    used, windows, row, room, seed, at = set(), [], [], 256, None, 0
+    while seed is not None or len(used) < len(tails):
+        if seed is None:
+            seed, at = min(k for k in range(len(tails)) if k not in used), 0
+        used.add(seed)
+        score = bm25(tails, tails[seed], df)
+        queue = [seed, *sorted((k for k in range(len(tails)) if k not in used), key=lambda k: (-score[k], k))]
+        seed = None
+        for k in queue:
+            used.add(k)
+            part = tails[k][at : at + room]
+            row, room, at = row + part, room - len(part), at + len(part)
+            if not room:
+                windows.append(row)
+                row, room = [], 256
+                seed, at = (k, at) if at < len(tails[k]) else (None, 0)
+                break
+            at = 0
+    rest = []
+    for bit in range(8, -1, -1):
+        if len(row) >> bit & 1:
+            rest.append(row[: 1 << bit])
+            row = row[1 << bit :]
+    pieces = lexpack.pack(table, tokenizer_path(), window=256, terms=10_000, nominated=1_000).where("shard IS NOT NULL").orderBy("sequence_id", "offset").collect()
+    got = [sum((ids[p.doc_id][p.start : p.start + p.length] for p in own), []) for _, own in itertools.groupby(pieces, key=lambda p: p.sequence_id)]
+    assert got == windows + rest
+
+
+def test_nominated_neighbours():
+    """The rarest terms find most of the best neighbours of a brute-force search, ranked by whole scores."""
     rng = np.random.default_rng(0)
-    tails = [rng.integers(0, 60, rng.integers(0, 40)).astype("<u4") for _ in range(30)]
-    n, mean, df = 500, 20.0, rng.integers(0, 400, 60)
-    index = lexpack.ShardIndex(tails, [len(t) for t in tails], n, mean, df)
-    for k in (0, 7, 29):
-        score = []
-        for t in tails:
-            tf = Counter(t.tolist())
-            s = 0.0
-            for w in set(tails[k].tolist()):
-                idf = max(0.0, math.log((n - df[w] + 0.5) / (df[w] + 0.5)))
-                s += idf * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t) / mean)) if tf[w] else 0
-            score.append(s)
-        used = np.zeros(30, bool)
+    words_ = (rng.zipf(1.3, (900, 120)) % 3000).astype("<u2")
+    words_[450:] = np.where(rng.random((450, 120)) < 0.3, words_[:450], words_[450:])
+    tails = [t[: rng.integers(20, 120)] for t in words_]
+    df = np.zeros(1 << 16, np.int64)
+    for t in tails:
+        df[np.unique(t)] += 1
+    index = lexpack.ShardIndex(tails, float(np.mean([len(t) for t in tails])), lexpack.inverse_frequencies(len(tails), df), 64, 48)
+    counts, found = Counter({w: int(df[w]) for w in np.flatnonzero(df).tolist()}), 0
+    for k in range(0, 900, 45):
+        score = bm25([t.tolist() for t in tails], tails[k].tolist(), counts)
+        used = np.zeros(900, bool)
         used[[k, 3]] = True
-        order = list(index.neighbours(k, used))
-        assert sorted(order) == [j for j in range(30) if not used[j]]
-        assert [score[j] for j in order] == pytest.approx(sorted((score[j] for j in order), reverse=True))
+        got = list(index.neighbours(k, used))
+        assert sorted(got) == [j for j in range(900) if not used[j]]
+        assert [score[j] for j in got[:48]] == sorted((score[j] for j in got[:48]), reverse=True)
+        least = sorted((s for j, s in enumerate(score) if not used[j]), reverse=True)[9]
+        found += sum(score[j] >= least for j in got[:10])
+    assert found >= 0.9 * 200
 
 
 def test_licenses(spark, docs, rows, empty):
