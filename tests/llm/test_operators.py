@@ -488,45 +488,75 @@ def test_backoff_scores(spark, docs, rows, empty):
     assert alone.train_tokens in (0, 1)
 
 
-def test_backoff_records_every_repeated_ngram(spark):
-    """Scores are those of an automaton with all n-grams that occur twice, also of words that are rare in a longer corpus."""
-    rng = np.random.default_rng(5)
-    common = [" ".join(f"c{w}" for w in rng.integers(0, 30, 60)) for _ in range(1500)]
-    rare = [f"c{k % 9} rare{k} pair{k} tail{k} c{k % 7}" for k in range(40)]
-    texts = [*common, *rare, *rare, "rare1 pair2 never pair3 tail3"]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+def learnt(texts, training):
+    """The model by plain counting: counts by order, N, log10 probabilities of words, of unknown ones, strengths of the priors."""
     grams = {k: Counter() for k in (1, 2, 3)}
     for k, t in enumerate(texts):
-        if not held(k):
-            w = ["", *t.split(), ""]
+        if training(k):
+            w = ["", *words(lower(t)), ""]
             grams[1].update((x,) for x in w[1:])
             for m in (2, 3):
                 grams[m].update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
-    n, ids = sum(grams[1].values()), {w: i for i, (w,) in enumerate(grams[1])}
-    once, twice = (sum(c == x for c in grams[1].values()) for x in (1, 2))
+    n, once, twice = sum(grams[1].values()), *(sum(c == x for c in grams[1].values()) for x in (1, 2))
     d = once / (once + 2 * twice) if once and twice else 0.5
+    prior = {}
+    for k in (2, 3):
+        low, high, want = 0.01, 1000.0, sum(c == 1 for c in grams[k].values())
+        while high / low > 1 + 1e-12:
+            m = math.sqrt(low * high)
+            low, high = (m, high) if sum(c * m / (c + m) for c in grams[k - 1].values()) < want else (low, m)
+        prior[k] = low
+    return grams, n, {w: math.log10((c - d) / n) for (w,), c in grams[1].items()}, math.log10(d * len(grams[1]) / n), prior
+
+
+def test_backoff_scores_by_brute_force(spark, rows):
+    """Scores are those of the automaton with all n-grams of the training documents, and of its formula, word by word."""
+    rng = np.random.default_rng(5)
+    common = [" ".join(f"c{w}" for w in rng.integers(0, 30, rng.integers(0, 60))) for _ in range(900)]
+    rare = [f"c{k % 9} rare{k} Pair{k} tail{k} c{k % 7}" for k in range(40)]
+    texts = [*common, *rare, *rare, "rare1 pair2 never pair3 tail3", *[r[1] for r in rows if r[1] is None or len(r[1]) < 5000]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams, n, logs, unknown, prior = learnt(texts, lambda k: zlib.crc32(str(k).encode()) % 7 != 2)
+    ids = {w: i for i, w in enumerate(logs)}
     number = lambda g: tuple(ids[w] for w in g)
-    counts = {number(g): c for m in (2, 3) for g, c in grams[m].items() if c >= 2}
-    logs = [math.log10((c - d) / n) for c in grams[1].values()]
-    machine = backoff_lm.Automaton(logs, counts, {number(g): c for m in (1, 2) for g, c in grams[m].items()})
-    unknown = math.log10(d * len(ids) / n)
+    machine = backoff_lm.Automaton(list(logs.values()), {number(g): c for m in (2, 3) for g, c in grams[m].items()}, {number(g): c for m in (1, 2) for g, c in grams[m].items()}, prior)
     got = {r.doc_id: r.score for r in backoff_lm.score_corpus(table, block_rows=100).collect()}
     for k, t in enumerate(texts):
-        way = [(ids.get(w, -1), logs[ids[w]] if w in ids else unknown) for w in [*t.split(), ""]]
-        assert got[k] == pytest.approx(machine.score(way, machine.longest((ids[""],))), abs=1e-6)
+        said = [*words(lower(t)), ""]
+        way = [(ids.get(w, -1), logs.get(w, unknown)) for w in said]
+        assert got[k] == pytest.approx(machine.score(way, machine.state[(ids[""],)]), abs=1e-6)
+        total, past = 0.0, [""]
+        for w in said:
+            p = 10 ** logs.get(w, unknown)
+            for m in (2, 3):
+                h = tuple(past[-m + 1 :])
+                if len(h) == m - 1 and grams[m - 1][h]:
+                    p = (grams[m][(*h, w)] + prior[m] * p) / (grams[m - 1][h] + prior[m])
+            total += math.log10(p)
+            past.append(w)
+        assert got[k] == pytest.approx(total, abs=1e-6)
 
 
 def test_automaton_is_a_distribution():
     logs = [math.log10(p) for p in (0.4, 0.3, 0.2)]  # 0.1 for the rest
-    machine = backoff_lm.Automaton(logs, {(0, 1): 3, (0, 0): 1, (1, 2): 2, (0, 1, 2): 2, (0, 1, 0): 1}, {(0,): 6, (1,): 4, (2,): 2, (0, 1): 3})
+    counts = {(0, 1): 3, (0, 0): 1, (1, 2): 2, (0, 1, 2): 2, (0, 1, 0): 1}
+    machine = backoff_lm.Automaton(logs, counts, {(0,): 4, (1,): 2, (0, 1): 3, (0, 0): 0, (1, 2): 0, (2,): 0}, {2: 1.5, 3: 0.5})
     for context in ((), (0,), (1,), (2,), (0, 1), (1, 2)):
-        s = machine.longest(context)
-        total = sum(10 ** machine.log(s, w) for w in range(3)) + 10 ** (machine.to_root[s] + math.log10(0.1))
-        assert total == pytest.approx(1)
-    words_ = [(0, logs[0], 0, 0), (1, logs[1], 0, 0), (2, logs[2], 0, 0), (-1, -1.0, 0, 0), (0, logs[0], 0, 0)]
-    by_hand = logs[0] + machine.log(machine.longest((0,)), 1) + machine.log(machine.longest((0, 1)), 2) + machine.to_root[machine.longest((0, 1, 2))] - 1.0 + logs[0]
-    assert machine.score(words_) == pytest.approx(by_hand)
+        s, rest = machine.longest(context), 0.0
+        total = sum(10 ** machine.log(s, w) for w in range(3))
+        while s:
+            rest, s = rest + machine.weight[s], machine.fail[s]
+        assert total + 10**rest * 0.1 == pytest.approx(1)
+
+
+def test_numbers_in_planes():
+    rng = np.random.default_rng(4)
+    for a in ([], [0], [2**64 - 1, 0, 5], rng.integers(0, 1 << 40, 999).tolist()):
+        assert backoff_lm.numbers(backoff_lm.planes(np.array(a, np.uint64))).tolist() == a
+    counts = rng.integers(0, 5000, 3000)
+    low, n = backoff_lm._bins(counts)
+    assert n.sum() == (counts > 0).sum() and all(n[low == x].sum() == (counts == x).sum() for x in (1, 2, 63))
+    assert all(any(x <= c < x + max(1, c / 32) for x in low) for c in counts[counts > 0])
 
 
 def test_pipeline_stages(spark, tmp_path, docs):
