@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitweave.llm.common import WORD, crc_mod, cut, ship
@@ -267,7 +267,8 @@ def score_corpus(docs: DataFrame, order: int = 3, block_rows: int = 4096, folds:
     ship(spark)
     train = (crc_mod(F.col("doc_id"), folds) != held).cast("int").alias("train")
     rows = cut(_parts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).select("doc_id", train, "text"), block_rows), "lm-parts")
-    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size, tasks = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.shiftright("part", 32)), F.lit(0)) + 1).first()
+    of_bucket, of_part = F.col("bucket"), F.shiftright("part", 32) + F.col("part").bitwiseAND(0xFFFFFFFF) * tasks  # dealt evenly
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(order * size / 2**23))
     bits = min(64, max(1, order * size).bit_length() + 20)
     width = lambda k: 64 if k == 1 else bits
@@ -291,7 +292,7 @@ def score_corpus(docs: DataFrame, order: int = 3, block_rows: int = 4096, folds:
                 out.append((-1, 9, 0, 0, int(total.sum()), b"", b"", b"", b"", b""))
             yield _batch(PART, out)
 
-    answers = cut(_arranged(rows.mapInArrow(send_counts, SENT), buckets, "bucket", "n", "part").mapInArrow(add_counts, PART), "lm-counts")
+    answers = cut(_arranged(rows.mapInArrow(send_counts, SENT), buckets, of_bucket, "bucket", "n", "part").mapInArrow(add_counts, PART), "lm-counts")
     counts: dict[int, dict[int, int]] = defaultdict(dict)  # order -> value (a few hundred bins) -> n-grams
     for r in answers.where("kind = 9").groupBy("n", "bucket").agg(F.sum("m").alias("m")).collect():
         counts[r.n][r.bucket] = r.m
@@ -318,8 +319,9 @@ def score_corpus(docs: DataFrame, order: int = 3, block_rows: int = 4096, folds:
             columns = [ids, part.flags & 1 == 0, part.sizes - 1, known, np.full(len(base), n, np.int64), base, logs]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _NAMES[RESULT])
 
-    return _arranged(rows.union(answers.where("kind = 1")), buckets, "part", "kind", "n", "bucket").mapInArrow(score, RESULT)
+    return _arranged(rows.union(answers.where("kind = 1")), buckets, of_part, "part", "kind", "n", "bucket").mapInArrow(score, RESULT)
 
 
-def _arranged(sent: DataFrame, parts: int, *by: str) -> DataFrame:
-    return sent.repartition(parts, by[0]).sortWithinPartitions(*by)
+def _arranged(sent: DataFrame, parts: int, place: Column, *by: str) -> DataFrame:
+    """Rows dealt to partition `place` modulo parts, and sorted there."""
+    return sent.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions(*by)
