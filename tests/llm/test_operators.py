@@ -111,6 +111,28 @@ def test_mix_cuts_one_document_a_source(spark):
     assert again == taken
 
 
+def test_mix_of_small_sources_as_its_sql(spark):
+    """Also where a rounded target is a whole number of epochs (sources of 5 and 4 words)."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    cases = [[5, 4], [7, 1], [3, 3, 3], [0, 6], [1], [100, 1, 2, 40]] + [rng.integers(0, 12, rng.integers(1, 5)).tolist() for _ in range(6)]
+    for case, sizes in enumerate(cases):
+        found = []
+        for k, size in enumerate(sizes):  # each source's words in documents of 1 to 3
+            while size > 0:
+                n = min(size, 1 + len(found) % 3)
+                found.append((1000 * case + len(found), " ".join(["w"] * n), f"s{k}"))
+                size -= n
+            found.append((1000 * case + len(found), "", f"s{k}"))
+        documents = spark.createDataFrame(found, "doc_id long, text string, source string")
+        got = mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken").collect()
+        con = duckdb.connect()
+        con.register("documents", documents.toPandas())
+        assert sorted(map(tuple, got)) == sorted(con.execute(mixing.ORACLE).fetchall())
+        assert len(sizes) != 2 or sizes != [5, 4] or sorted(Counter({s: sum(r.taken for r in got if r.source_size == s) for s in (5, 4)}).items()) == [(4, 4), (5, 10)]
+
+
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_planes(plane):
     rng = np.random.default_rng(1)

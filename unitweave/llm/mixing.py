@@ -80,8 +80,10 @@ def _limits(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[
     coarse = sized.groupBy("source", F.shiftright(h, HASH_BITS - BITS).alias("a")).agg(F.sum("size").alias("words"))
     sizes = coarse.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = water_fill(sizes, weights, share, max_epochs)
-    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = cut(plan.withColumn("rest", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("whole") * F.col("source_size"))).coalesce(1), "mix-plan")
+    # Epochs of the rounded target: what is left is less than an epoch, so its border is in the source.
+    plan = plan.withColumn("rounded", F.round("target").cast("long"))
+    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("rounded div source_size")).otherwise(0).cast("long"))
+    plan = cut(plan.withColumn("rest", F.col("rounded") - F.col("whole") * F.col("source_size")).drop("rounded").coalesce(1), "mix-plan")
     open_ = plan.where("rest > 0").select(F.col("source").alias("w_source"), "rest")
     at_h = cut(_find(sized, open_, "h", coarse).coalesce(1), "mix-border")
     ends = at_h.select("w_source", F.col("h").alias("border"), F.lit(None).cast("long").alias("tie"), F.col("rest").alias("part"), "equal").where("equal = 1")
