@@ -388,23 +388,79 @@ def test_surrogates_further_forms():
 
 
 def test_surrogates_names_without_title():
-    new, counts, pairs = surrogates.pseudonymize("Later Anna Schmidt came; Schmidt and Luc Moreau left.", KEY)
+    new, counts, pairs = surrogates.pseudonymize("Later Anna Schmidt came; Schmidt's car and Luc Moreau left. ANNA SCHMIDT", KEY)
     m = dict((a, b) for _, a, b in pairs)
-    assert set(m) == {"Anna", "Schmidt", "Luc", "Moreau"} and counts == {"name": 5}
-    assert m["Anna"] in surrogates.FIRST_NAMES["female"] and m["Luc"] in surrogates.FIRST_NAMES["male"]
-    assert new == f"Later {m['Anna']} {m['Schmidt']} came; {m['Schmidt']} and {m['Luc']} {m['Moreau']} left."
+    assert set(m) == {"Anna", "Schmidt", "Luc", "Moreau", "ANNA", "SCHMIDT"} and counts == {"name": 7}
+    assert m["Anna"] in surrogates.FIRST_NAMES["female", "latin"] and m["Luc"] in surrogates.FIRST_NAMES["male", "latin"]
+    assert new == f"Later {m['Anna']} {m['Schmidt']} came; {m['Schmidt']}'s car and {m['Luc']} {m['Moreau']} left. {m['Anna'].upper()} {m['Schmidt'].upper()}"
 
 
 def test_surrogates_names():
     new, _, pairs = surrogates.pseudonymize("Dr. Anna Schmidt met Mr Петров. Later Schmidt left; Anna smiled.", KEY)
     m = dict((a, b) for _, a, b in pairs)
-    assert m["Anna"] in surrogates.FIRST_NAMES["female"] and re.fullmatch("[А-Я][а-я]{5}", m["Петров"]) and re.fullmatch("[A-Z][a-z]{6}", m["Schmidt"])
+    assert m["Anna"] in surrogates.FIRST_NAMES["female", "latin"] and re.fullmatch("[А-Я][а-я]{4}в", m["Петров"]) and re.fullmatch("[A-Z][a-z]{5}t", m["Schmidt"])
     assert new == f"Dr. {m['Anna']} {m['Schmidt']} met Mr {m['Петров']}. Later {m['Schmidt']} left; {m['Anna']} smiled."
+    for clean in ("MS Windows and DR Congo", "Annabel Lee", "the Road to 12 places", "born in 1980", "Drive 5 km"):
+        assert surrogates.pseudonymize(clean, KEY)[0] == clean
+
+
+def test_surrogates_take_their_time():
+    """A title that contradicts a listed name, names of every length, digits alone as hex: nothing is searched for."""
+    import time
+
+    names = [n for group in surrogates.FIRST_NAMES.values() for n in group]
+    began = time.time()
+    for title in surrogates.TITLES:
+        for name in names[::3]:
+            surrogates.pseudonymize(f"{title} {name} Smith", KEY)
+    for secret in ("1" * 32, "12345678" * 16, "0" * 40):
+        assert surrogates.surrogate("secret", secret, KEY).isdigit()
+    for ip in ("192.168.1.7", "172.20.3.4", "10.1.2.3", "127.0.0.1", "0.0.0.1", "fe80::1a2b:3c4d", "ff02::1"):
+        surrogates.surrogate("ip", ip, KEY)
+    assert time.time() - began < 10
+
+
+def test_surrogates_same_person_in_all_documents():
+    said = ["Mrs Robert Smith called.", "Then Robert Smith left.", "Ms Smith and Anna Smith", "all of them: " + " Mr ".join(("", *surrogates.FIRST_NAMES["male", "latin"])) + ", Robert Smith"]
+    found = [{(e, s) for _, e, s in surrogates.pseudonymize(t, KEY)[2]} for t in said]
+    both = [dict(f) for f in found]
+    assert len({b["Smith"] for b in both}) == 1 and both[0]["Robert"] == both[1]["Robert"] == both[3]["Robert"] != "Robert"
+    for names in surrogates.FIRST_NAMES.values():
+        moved = [surrogates.surrogate("name", n, KEY) for n in names]
+        assert sorted(moved) == sorted(names) and all(a != b for a, b in zip(names, moved, strict=True))
+    assert len(set(both[3].values())) == len(both[3]) >= 50
+
+
+def test_surrogates_by_words():
+    cases = {"birth_date": ["born on {1980-03-12}", "Date of birth: {12.03.1980}", "né le {01/02/1999}", "geboren am {31.12.1900}"], "passport": ["passport no. {AB1234567}", "Reisepass Nr. {123456789}"], "address": ["at {12 Baker Street}, London", "in der {Gartenstraße 7}", "au {5, rue de Rivoli} ici", "en la {Calle Mayor 12}"]}
+    for kind, texts in cases.items():
+        for t in texts:
+            entity, plain = re.search("{(.*)}", t)[1], t.replace("{", "").replace("}", "")
+            new, counts, pairs = surrogates.pseudonymize(plain, KEY)
+            assert counts == {kind: 1} and pairs[0][1] == entity != pairs[0][2] and new == plain.replace(entity, pairs[0][2])
+            assert re.sub(r"\d", "0", pairs[0][2]) == re.sub(r"\d", "0", entity) if kind == "birth_date" else len(pairs[0][2]) == len(entity)
+
+
+def test_every_mapping_is_one_to_one():
+    """All entities of small classes, also those with wrong check digits."""
+    for kind, entities in {
+        "card": [f"4000-0000-000{k // 100}-{k % 100:02d}0{j}" for k in range(30) for j in range(10)],
+        "iban": [f"DE{c:02d}370400440532{k:06d}" for c in (2, 50, 89, 98) for k in range(50)],
+        "national_id": [f"{k:08d}{x}" for k in range(40) for x in "TRWAG"] + [f"AB 12 34 5{k} {c}" for k in range(10) for c in "ABCD"],
+        "ip": [f"192.168.{a}.{b}" for a in range(4) for b in range(50)] + [f"172.16.{a}.9" for a in range(99)] + [f"8.8.{a}.8" for a in range(200)],
+        "phone": [f"+49 30 12345{k:02d}" for k in range(100)] + [f"030 12345{k:02d}" for k in range(100)],
+        "name": ["Li", "Lu", "Al", "O'Brien", "Anna-Maria", "Müller", "Muller", "SMITH", "Smith", "Smyth", "Ng", *surrogates.FIRST_NAMES["female", "latin"]],
+        "birth_date": [f"19{y}-01-0{d}" for y in range(10, 90) for d in range(1, 10)],
+        "address": [f"{k} Baker Street" for k in range(1, 300)],
+    }.items():
+        moved = [surrogates.surrogate(kind, e, KEY) for e in entities]
+        assert len(set(moved)) == len(set(entities)) and not any(a == b for a, b in zip(entities, moved, strict=True)), kind
 
 
 def test_permutation_is_one_to_one():
     for size in (1, 2, 10, 1000):
-        assert sorted(surrogates.permute(x, size, KEY, "t") for x in range(size)) == list(range(size))
+        assert sorted(surrogates.permute(x, size, KEY, "t") for x in range(size)) == list(range(size)) == sorted(surrogates.move(x, size, KEY, "t") for x in range(size))
+        assert all(surrogates.permute(surrogates.permute(x, size, KEY, "t"), size, KEY, "t", back=True) == x and (size == 1 or surrogates.move(x, size, KEY, "t") != x) for x in range(size))
     ips = {surrogates.surrogate("ip", f"10.0.{i}.{j}", KEY) for i in range(8) for j in range(64)}
     assert len(ips) == 512
 
@@ -416,6 +472,9 @@ def test_surrogates_table(spark, docs, rows, empty):
     many = spark.createDataFrame([(i, f"write to user{i}@mail.example.com or 56.1.{i}.7") for i in range(200)] * 2, "doc_id long, text string")
     assert surrogates.collisions(many).count() == 0 and surrogates.replace_entities(empty).count() == 0
     assert surrogates.replace_entities(many).groupBy("doc_id").agg({"text": "count"}).count() == 200
+    clash = spark.createDataFrame([(1, "a@b.org and 10.0.0.1", "kept")], "doc_id long, text string, n_email string")
+    row = surrogates.replace_entities(clash).first()
+    assert row.n_email == "kept" and row.n_ip == 1 and "a@b.org" not in row.text and surrogates.replace_entities(clash).columns.count("n_email") == 1
 
 
 def brute_groups(rows):
