@@ -167,7 +167,7 @@ def document_frequencies(blobs: DataFrame) -> np.ndarray:
         total = add(x for batch in batches for x in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_pydict({"df": [zstandard.ZstdCompressor(level=3).compress(total.astype("<i8").tobytes())]})
 
-    return add(bytes(r.df) for r in blobs.select("df").coalesce(8).mapInArrow(merge, "df binary").toLocalIterator())
+    return add(bytes(r.df) for r in blobs.select("df").coalesce(8).mapInArrow(merge, "df binary").collect())
 
 
 def inverse_frequencies(n_docs: int, df: np.ndarray) -> np.ndarray:
