@@ -3,8 +3,10 @@
 Measures are whole numbers (thousandths, hundredths). A sketch is a log-linear
 histogram: values up to 64 are exact, larger ones keep six leading bits, so a quantile
 is off by less than 1/32 of its value. Sketches merge by adding counts, in any order,
-with the same result; as rows (group, measure, bin, count) a merge is a groupBy. A
-group with few documents uses the merged sketch of its language, or of all documents.
+with the same result; as rows (group, measure, bin, count) a merge is a groupBy. To each
+group's sketch, PRIOR documents are added that are spread like its language's, and to each
+language's as many spread like all documents: a group of a few documents is judged mostly
+by its language, one of many by itself, and nothing changes at a border.
 
 From the quartiles of a group come its fences: q3 + 3 * spread and, for the length of
 words, q1 - 3 * spread, where spread = max(q3 - q1, the least spread of the measure).
@@ -32,7 +34,8 @@ MEASURES = {
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 80, False),
     "repeats": ("n_repeat_words", "n_words", 1000, 80, False),
 }
-MIN_GROUP = 50
+#: Documents added to a sketch from the one above it.
+PRIOR = 50
 
 
 def base_measures(text: str | None) -> tuple[int, ...]:
@@ -90,29 +93,31 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """keys, measure, total, q1, q3: the bins at which a quarter and three quarters of the values are reached."""
-    own = Window.partitionBy(*keys, "measure")
-    run = sketches.withColumns({"upto": F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(own)})
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
-    return run.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
-
-
 def fences(measures: DataFrame) -> DataFrame:
     """lang, source and for each measure m: low_m, high_m.
 
-    measures: the rows that count. Quartiles are of the group itself from MIN_GROUP
-    documents on, else of its language, else of all.
+    measures: the rows that count. The weights of bins are whole numbers: a language's are
+    counts times the number of all documents, a group's times both numbers.
     """
+    big = lambda c: F.col(c).cast("decimal(38,0)")
     own = cut(sketch(measures), "rules-sketch")
     by_lang = cut(merge(own, "lang"), "rules-sketch-lang")
-    q_own = quartiles(own, "lang", "source")
-    q_lang = quartiles(by_lang, "lang").select(F.col("lang").alias("l2"), F.col("measure").alias("m2"), F.col("total").alias("t2"), F.col("q1").alias("q1_2"), F.col("q3").alias("q3_2"))
-    q_all = quartiles(merge(by_lang)).select(F.col("measure").alias("m3"), F.col("q1").alias("q1_3"), F.col("q3").alias("q3_3"))
-    q = q_own.join(q_lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("measure") == F.col("m2"))).join(q_all, F.col("measure") == F.col("m3"))
-    pick = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(c)).when(F.col("t2") >= MIN_GROUP, F.col(f"{c}_2")).otherwise(F.col(f"{c}_3"))
+    of_all = merge(by_lang).withColumn("a_total", F.sum("n").over(Window.partitionBy("measure"))).select(F.col("measure").alias("m1"), F.col("bin").alias("b"), F.col("n").alias("a_n"), "a_total")
+    lang = by_lang.groupBy("lang", "measure").agg(F.sum("n").alias("l_total")).join(of_all, F.col("measure") == F.col("m1")).drop("m1")
+    l_own = by_lang.select(F.col("lang").alias("l2"), F.col("measure").alias("m2"), F.col("bin").alias("b2"), F.col("n").alias("l_n"))
+    lang = lang.join(l_own, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("measure") == F.col("m2")) & (F.col("b") == F.col("b2")), "left").na.fill(0, ["l_n"])
+    in_order = lambda *keys: Window.partitionBy(*keys, "measure").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    lang = lang.withColumn("l_upto", F.sum(big("l_n") * big("a_total") + F.lit(PRIOR) * big("a_n")).over(in_order("lang")))
+    lang = lang.select(F.col("lang").alias("l3"), F.col("measure").alias("m3"), "b", "l_upto", ((big("l_total") + F.lit(PRIOR)) * big("a_total")).cast("decimal(38,0)").alias("unit"))
+    group = own.groupBy("lang", "source", "measure").agg(F.sum("n").alias("total")).join(lang, F.col("lang").eqNullSafe(F.col("l3")) & (F.col("measure") == F.col("m3"))).drop("l3", "m3")
+    g_own = own.select(F.col("lang").alias("l4"), F.col("source").alias("s4"), F.col("measure").alias("m4"), F.col("bin").alias("b4"), F.col("n").alias("g_n"))
+    same = F.col("lang").eqNullSafe(F.col("l4")) & F.col("source").eqNullSafe(F.col("s4")) & (F.col("measure") == F.col("m4")) & (F.col("b") == F.col("b4"))
+    group = group.join(g_own, same, "left").na.fill(0, ["g_n"]).withColumn("g_upto", F.sum("g_n").over(in_order("lang", "source")))
+    upto, total = big("g_upto") * F.col("unit") + F.lit(PRIOR) * F.col("l_upto"), (big("total") + F.lit(PRIOR)) * F.col("unit")
+    at = lambda q: F.min(F.when(upto * 4 >= total * q, F.col("b")))
+    q = group.groupBy("lang", "source", "measure").agg(at(1).alias("q1"), at(3).alias("q3"))
     spread = F.element_at(F.create_map(*[x for m, s in MEASURES.items() for x in (F.lit(m), F.lit(s[3]))]), F.col("measure"))
-    q = q.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"), spread.alias("least"))
+    q = q.withColumn("least", spread)
     q = q.withColumn("spread", F.greatest(F.col("q3") - F.col("q1"), F.col("least")))
     of = lambda m, c: F.max(F.when(F.col("measure") == m, c))
     return q.groupBy("lang", "source").agg(*[x for m in MEASURES for x in (of(m, F.col("q1") - 3 * F.col("spread")).alias(f"low_{m}"), of(m, F.col("q3") + 3 * F.col("spread")).alias(f"high_{m}"))])
@@ -144,9 +149,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     bins = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END"
     parts = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, ({a} * {k}) // {b} AS v FROM ok" for m, (a, b, k, _, _) in MEASURES.items())
-    q = lambda name, src, keys: f"{name} AS (SELECT {keys}measure, max(total) AS total, min(bin) FILTER (WHERE upto * 4 >= total) AS q1, min(bin) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS total FROM (SELECT {keys}measure, bin, count(*) AS n FROM {src} GROUP BY ALL)) GROUP BY ALL)"
-    pick = lambda c: f"CASE WHEN o.total >= {MIN_GROUP} THEN o.{c} WHEN l.total >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END"
-    least = "CASE o.measure " + " ".join(f"WHEN '{m}' THEN {s[3]}" for m, s in MEASURES.items()) + " END"
+    least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s[3]}" for m, s in MEASURES.items()) + " END"
     high = lambda m: f"max(CASE WHEN measure = '{m}' THEN q3 + 3 * spread END) AS high_{m}, max(CASE WHEN measure = '{m}' THEN q1 - 3 * spread END) AS low_{m}"
     tests = " AND ".join(f"({a} * {k}) // greatest({b}, 1) <= high_{m}" + (f" AND ({a} * {k}) // greatest({b}, 1) >= low_{m}" if low else "") for m, (a, b, k, _, low) in MEASURES.items())
     return rf"""
@@ -162,8 +165,19 @@ WITH t AS (SELECT doc_id, lang, source, row_number() OVER () AS r, coalesce(text
  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
  ok AS (SELECT * FROM b WHERE NOT base_failed),
  v AS (SELECT lang, source, measure, {bins} AS bin FROM ({parts})),
- {q('o', 'v', 'lang, source, ')}, {q('l', 'v', 'lang, ')}, {q('a', 'v', '')},
- f AS (SELECT o.lang, o.source, o.measure, {pick('q1')} AS q1, {pick('q3')} AS q3, {least} AS least FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN a ON o.measure = a.measure),
+ o AS (SELECT lang, source, measure, bin, count(*) AS n FROM v GROUP BY ALL), l AS (SELECT lang, measure, bin, count(*) AS n FROM v GROUP BY ALL),
+ a AS (SELECT measure, bin, n, (sum(n) OVER (PARTITION BY measure))::HUGEINT AS total FROM (SELECT measure, bin, count(*) AS n FROM v GROUP BY ALL)),
+ lt AS (SELECT lang, measure, sum(n)::HUGEINT AS total FROM l GROUP BY ALL),
+ lw AS (SELECT lt.lang, lt.measure, a.bin, coalesce(l.n, 0)::HUGEINT * a.total + {PRIOR} * a.n::HUGEINT AS w, (lt.total + {PRIOR}) * a.total AS unit
+    FROM lt JOIN a ON lt.measure = a.measure LEFT JOIN l ON l.lang IS NOT DISTINCT FROM lt.lang AND l.measure = lt.measure AND l.bin = a.bin),
+ lc AS (SELECT *, (sum(w) OVER (PARTITION BY lang, measure ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::HUGEINT AS upto FROM lw),
+ gt AS (SELECT lang, source, measure, sum(n)::HUGEINT AS total FROM o GROUP BY ALL),
+ gc AS (SELECT gt.lang, gt.source, gt.measure, lc.bin, gt.total, lc.unit, lc.upto,
+    (sum(coalesce(o.n, 0)) OVER (PARTITION BY gt.lang, gt.source, gt.measure ORDER BY lc.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::HUGEINT AS own
+    FROM gt JOIN lc ON gt.lang IS NOT DISTINCT FROM lc.lang AND gt.measure = lc.measure
+    LEFT JOIN o ON o.lang IS NOT DISTINCT FROM gt.lang AND o.source IS NOT DISTINCT FROM gt.source AND o.measure = gt.measure AND o.bin = lc.bin),
+ f AS (SELECT lang, source, measure, min(bin) FILTER (WHERE (own * unit + {PRIOR} * upto) * 4 >= (total + {PRIOR}) * unit) AS q1,
+    min(bin) FILTER (WHERE (own * unit + {PRIOR} * upto) * 4 >= (total + {PRIOR}) * unit * 3) AS q3, {least} AS least FROM gc GROUP BY ALL),
  h AS (SELECT lang, source, {', '.join(map(high, MEASURES))} FROM (SELECT *, greatest(q3 - q1, least) AS spread FROM f) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {tests}, false) AS kept
 FROM b LEFT JOIN h ON b.lang IS NOT DISTINCT FROM h.lang AND b.source IS NOT DISTINCT FROM h.source
