@@ -36,8 +36,13 @@ KNOWN = {
 }
 
 _UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 #: Further texts, which the SQL doesn't have.
 MORE = {
+    "MIT-0": f"MIT No Attribution\n{_PERMIT.partition(', subject to the following')[0]}.\n{_AS_IS}",
+    "Zlib": _ZLIB,
+    "BSL-1.0": f"Boost Software License - Version 1.0 - August 17th, 2003\n{_BOOST}",
     "Unlicense": f"{_UNLICENSE}\n{_AS_IS.replace('AUTHORS OR COPYRIGHT HOLDERS', 'AUTHORS')}\nFor more information, please refer to <https://unlicense.org/>",
 }
 #: Digests of the form() of long texts, taken from Debian's common-licenses; "short" is without the appendix.
@@ -72,23 +77,24 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null.
 
-    Lines that state a copyright or that all rights are reserved are left out, but not
+    Lines that state a copyright or that all rights are reserved (also behind the marks of a
+    comment, which count as punctuation) are left out, but not
     lines of a licence that begin with 'copyright notice', 'copyright holder' or an item (c); letters
     A-Z become small; what is neither a letter, a digit nor beyond ASCII becomes one
     space; equivalent spellings of whole words are made alike.
     """
     t = F.translate(text, _UPPER, _LOWER)
-    t = F.regexp_replace(t, "(^|\n)[ \t]*(copyright(?!\\s+(notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|and|or|in|to|is)\\b)|\\(c\\)(?![ \t]+(you|the|an?|any|all|if|in|to|for|each|such|every|this|that|it|no|must|may|under|prominently|cause|accompany)\\b)|©|all rights reserved)[^\n]*", "\n")
+    t = F.regexp_replace(t, "(^|\n)[ \t/*#;%!<-]*(copyright(?!\\s+(notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|and|or|in|to|is)\\b)|\\(c\\)(?![ \t]+(you|the|an?|any|all|if|in|to|for|each|such|every|this|that|it|no|must|may|under|prominently|cause|accompany)\\b)|©|all rights reserved)[^\n]*", "\n")
     t = F.regexp_replace(t, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F‘’“”–— ]+", " ")
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
-    for a, b in SPELLINGS:
+    for a, b in SPELLINGS * 2:  # of two in a row, the second has lost the space before it
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
 #: What differs between copies of one licence, in the canonical form.
 _SAME = (
-    (r"^(the )?(mit license( mit)?|mit|expat license|isc license( iscl?)?|(bsd zero clause|zero clause bsd|bsd 0 clause) license( 0bsd)?|((bsd 2 clause|2 clause bsd)( simplified)?|simplified bsd) license|((bsd 3 clause|3 clause bsd)( new or revised| new| revised)?|new bsd|revised bsd|modified bsd|bsd) license) ", ""),
+    (r"^(the )?(mit no attribution|zlib license|boost software license version 1 0( august 17th 2003)?|mit license( mit)?|mit|expat license|isc license( iscl?)?|(bsd zero clause|zero clause bsd|bsd 0 clause) license( 0bsd)?|((bsd 2 clause|2 clause bsd)( simplified)?|simplified bsd) license|((bsd 3 clause|3 clause bsd)( new or revised| new| revised)?|new bsd|revised bsd|modified bsd|bsd) license) ", ""),
     (r"\b[123] (?=redistributions |neither the name)", ""),
     (r"neither the names? of .{1,200}? nor the names of (its|their) contributors", "neither the name of the copyright holder nor the names of its contributors"),
     (r"this software is provided by .{1,200}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
@@ -138,9 +144,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def _sql_canonical(t: str) -> str:
     t = f"translate({t}, '{_UPPER}', '{_LOWER}')"
-    t = rf"regexp_replace({t}, '(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+    t = rf"regexp_replace({t}, '(^|\n)[ \t/*#;%!<-]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
     t = rf"' ' || trim(regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F‘’“”–—\x{{A0}}]+', ' ', 'g')) || ' '"
-    for a, b in SPELLINGS:
+    for a, b in SPELLINGS * 2:
         t = f"replace({t}, ' {a} ', ' {b} ')"
     return f"trim({t})"
 
