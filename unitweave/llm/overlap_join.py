@@ -15,8 +15,8 @@
    shingles must occur in a smaller partner: the L longest lists are set aside
    (DivideSkip), the short ones are merged with counts, whoever has T - L occurrences is
    probed in the long ones by binary search, and whoever reaches T is held against the
-   exact bound. Cells with more than `block` sets are split before: each pair of blocks is
-   a task of its own, so none needs more than one executor's memory.
+   exact bound. Cells with more than `block` sets, or `block_bytes` bytes of them, are split
+   before: each pair of blocks is a task of its own, so none needs more than one executor's memory.
 5. Links are joined to components by repeated star contraction, all in DataFrames.
 
 Hashes of shingles have 64 bits; those of sets 128.
@@ -144,7 +144,7 @@ def frequencies(blobs: DataFrame) -> np.ndarray:
     n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = blobs.select("counts").coalesce(max(1, min(8, n))).mapInArrow(merge, "counts binary")
     total = np.zeros(SLOTS, np.float64)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most 8
         total += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), "<u4")
     return (4 * np.log2(1 + total)).astype(np.uint8)
 
@@ -300,12 +300,14 @@ def links_of(sizes: np.ndarray, members: list[np.ndarray], percent: int) -> Iter
         while n_long and size[longest_first[n_long - 1]] <= 2:  # lists as short as that are cheaper to merge
             n_long -= 1
         short, long_ = longest_first[n_long:], longest_first[:n_long]
-        # Heap merge of the short lists, with counts; as arrays it is a concatenation and one counting pass.
+        # The short lists are runs in order: a stable sort merges them from a stack of runs, as a heap would, and equal owners are counted.
         merged = np.concatenate([lists[a[k] : b[k]] for k in short.tolist()]) if len(short) else np.zeros(0, np.int64)
         merged = merged[(merged >= first) & (merged < q)]
         if not len(merged):
             continue
-        found, counts = np.unique(merged, return_counts=True)
+        merged.sort(kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+        found, counts = merged[new], np.diff(np.concatenate([new, [len(merged)]]))
         keep = counts >= need - n_long
         found, counts = found[keep], counts[keep]
         for done, k in enumerate(long_.tolist()):
@@ -399,7 +401,7 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def join_groups(docs: DataFrame, percent: int = 80, n: int = 5, block: int = 8000) -> DataFrame:
+def join_groups(docs: DataFrame, percent: int = 80, n: int = 5, block: int = 8000, block_bytes: int = 64 << 20) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id, n_links.
 
     n_links is the number of other documents of Jaccard >= percent / 100, copies among
@@ -420,9 +422,13 @@ def join_groups(docs: DataFrame, percent: int = 80, n: int = 5, block: int = 800
     usable = mine.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "join-classes")
     cells = cut(memberships(kept, order, percent, n), "join-cells")
-    sized = cells.groupBy("cell").agg(F.count("*").alias("members")).select(F.col("cell").alias("of"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    joined = cells.withColumnRenamed("k1", "p1").join(classes, F.col("p1") == F.col("k1")).select("cell", "k1", "class_id", "n_shingles", "bits")
+    joined = cut(joined, "join-placed")
+    # Only large cells are named, so this table is small and needs no shuffle by cell where Spark can broadcast it.
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") * 8 / block_bytes)).cast("int")
+    large = cut(joined.groupBy("cell").agg(blocks.alias("blocks")).where("blocks > 1").select(F.col("cell").alias("of"), "blocks"), "join-large")
+    placed = joined.join(large, F.col("cell") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")
-    placed = cells.withColumnRenamed("k1", "p1").join(sized, F.col("cell") == F.col("of")).join(classes, F.col("p1") == F.col("k1"))
     placed = placed.select("cell", own.alias("own"), "blocks", "class_id", "n_shingles", "bits")
     # In a cell of one block, one task (0, 0). Else block x meets every block: as the left side from x on, as the right up to x.
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("i"), F.greatest(F.col("own"), y).alias("j"), F.when(F.col("own") <= y, 0).otherwise(1).alias("side")))
