@@ -17,8 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1."""
-    model = puquality.train(docs, table(spark, sf_dir, "labels"))
-    return puquality.score(docs.select(*COLUMNS), model).where("score >= 0.5").select(*COLUMNS)
+    return puquality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,43 @@ def test_pu_quality(spark, empty):
     assert puquality.classify(empty, none).count() == 0
 
 
+def test_pu_rows_against_dense_matrices():
+    import pyarrow as pa
+
+    x = np.stack([puquality.features(t) for t in (TEXTS[0], TEXTS[1], TEXTS[5], TEXTS[11], TEXTS[17], "x" * 300_000, "ß" * 5 + " Ωmega 12,3")])
+    at = [np.flatnonzero(r) for r in x]
+    rows_ = puquality.Rows(pa.array([a.astype("<u2").tobytes() for a in at]).slice(1), pa.array([r[a].astype("<f2").tobytes() for r, a in zip(x, at, strict=True)]).slice(1))
+    x, w, of = x.astype(np.float16).astype(float)[1:], np.random.default_rng(1).normal(size=puquality.SIZE + 1), np.arange(6.0)
+    assert rows_.scores(w) == pytest.approx(x @ w[:-1] + w[-1], abs=1e-9)
+    assert rows_.sums(of) == pytest.approx(np.concatenate([x.T @ of, [of.sum()]]), abs=1e-9)
+
+
+def test_pu_minimum_and_prior():
+    a = np.diag([1.0, 50.0, 3.0])
+    found = puquality.minimise(lambda w: (float((w - 1) @ a @ (w - 1)) / 2 + 1, a @ (w - 1)), np.zeros(3), np.ones(3), 50)
+    assert found == pytest.approx(np.ones(3), abs=0.02)
+    rng = np.random.default_rng(2)
+    hist = lambda g: np.bincount(np.clip((g + 8) * 100, 0, 1999).astype(int), minlength=2000)
+    for prior in (0.2, 0.5, 0.9):
+        text = np.where(rng.random(20000) < prior, rng.normal(2, 1, 20000), rng.normal(-2, 1, 20000))
+        assert puquality.prior_of(hist(rng.normal(2, 1, 5000)), hist(text)) == pytest.approx(prior, abs=0.05)
+    assert puquality.prior_of(np.zeros(5), np.ones(5)) == 0.5
+
+
+def test_pu_keeps_rows_whole(spark, rows, empty):
+    """Repeated rows, null ids, clashing names: the rows that stay are rows of the table, each as often as its scores say."""
+    mine = [*rows * 3, *[(3000 + k, f"Quite a plain sentence, number {k}, about nothing much.\nAnd another one.", "en", "s", 1, "k", k) for k in range(60)], *[(4000 + k, f"BUY!! {k}$$$ NOW!! " * 9, "en", "s", 1, "k", k) for k in range(30)]]
+    table = spark.createDataFrame(mine, SCHEMA).withColumnRenamed("n", "score").withColumnRenamed("key", "x")
+    labels = spark.createDataFrame([(3000 + k, 1, 0) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    kept = puquality.keep_good(table, labels)
+    assert kept.columns == table.columns
+    verdict = Counter(r.doc_id for r in puquality.classify(table, labels).where("predicted = 1").collect())
+    got = [tuple(r) for r in kept.collect()]
+    assert Counter(g[0] for g in got) == verdict and not Counter(got) - Counter(map(tuple, mine))
+    assert sum(3000 <= g[0] < 3060 for g in got if g[0] is not None) == 60 and sum(g[0] >= 4000 for g in got if g[0] is not None) == 0
+    assert puquality.keep_good(empty, labels).count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     v = [(i, rng.normal(size=8).round(2).tolist()) for i in range(700)]
@@ -303,20 +340,25 @@ def test_licenses(spark, docs, rows, empty):
 def test_licenses_as_they_are_usually_written(spark):
     """Wrapped at any width, with usual titles and named holders; lines of the wording that begin with 'copyright' stay."""
     texts, want = [], []
-    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"):
+    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "MIT-0", "Zlib", "BSL-1.0"):
         body = (licenses.KNOWN | licenses.MORE)[name].replace("Copyright (c) holder\n", "")
-        title, _, rest = body.partition("\n") if name not in ("Unlicense",) else ("", "", body)
+        title, _, rest = body.partition("\n") if name not in ("Unlicense", "Zlib") else ("", "", body)
         for width in range(40, 101, 4):
             wrapped = "\n\n".join(textwrap.fill(part, width) for part in rest.split("\n"))
             for head in (title, "", "The MIT License (MIT)" if name == "MIT" else title):
                 texts.append(f"{head}\n\nCopyright (c) 2020, Some Body\nAll rights reserved.\n\n{wrapped}\n")
                 want.append(name)
     bsd = licenses.KNOWN["BSD-3-Clause"].partition("\n")[2].replace("the name of the copyright holder", "the name of Acme Inc.").replace("3. Neither", "* Neither")
+    header = "\n".join(f"{mark} {x}".rstrip() for mark in ("//",) for x in textwrap.wrap(licenses.KNOWN["ISC"].partition("\n")[2], 60))
+    texts += ["// Copyright (c) 1999 Some Body\n// All rights reserved.\n//\n" + header, "/*\n * Copyright 2001 X\n *\n" + header.replace("//", " *") + "\n */", "# (c) 2020 Y\n" + header.replace("//", "#")]
+    want += ["ISC"] * 3
     isc = "copyright notice and this permission notice appear in all copies."
     texts += [bsd, licenses.KNOWN["ISC"].replace(isc, "\n" + isc), licenses.KNOWN["ISC"].replace("hereby granted", "hereby refused"), "copyright holder of this", "MIT License"]
     want += ["BSD-3-Clause", "ISC", None, None, None]
     got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [(k, (got[k] or "").removesuffix(" (no title)") or None) for k in range(len(texts))] == list(enumerate(want))
+    twice = spark.createDataFrame([(0, "licence licence licence modelled modelled"), (1, "license license license modeled modeled")], "doc_id long, text string")
+    assert len({r.digest for r in licenses.scan(twice.unionByName(twice)).collect()}) == 1
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= {r.license_id for r in licenses.known_forms(spark).collect()}
 
 
@@ -333,6 +375,30 @@ def test_rules(docs, rows, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+def test_verdicts_by_plain_counting(docs, rows):
+    """kept on the odd rows: sketches, shrinkage and fences with whole numbers in Python."""
+    measures = {"word_length": (1, 0, 100, 60, True), "symbols": (2, 0, 1000, 80, False), "dup_lines": (3, 5, 1000, 80, False), "repeats": (4, 0, 1000, 80, False)}
+    low = lambda v: v if v < 64 else v >> v.bit_length() - 6 << v.bit_length() - 6
+    base = [(r[0], r[2], r[3], quality_rules.base_measures(r[1])) for r in rows]
+    fails = lambda m: m[0] < 50 or 100 * m[4] > 50 * m[0]
+    value = lambda m, x: m[x[0]] * x[2] // max(1, m[x[1]])
+    kept = {}
+    for k, (doc, lang, source, m) in enumerate(base):
+        good = not fails(m)
+        for x in measures.values() if good else ():
+            every = [(o[1], o[2], low(value(o[3], x))) for o in base if not fails(o[3])]
+            a, lg, own = Counter(e[2] for e in every), Counter(e[2] for e in every if e[0] == lang), Counter(e[2] for e in every if e[:2] == (lang, source))
+            w = {b: own[b] * (lg.total() + 50) * a.total() + 50 * (lg[b] * a.total() + 50 * a[b]) for b in a}
+            upto = list(itertools.accumulate(w[b] for b in sorted(a)))
+            q1, q3 = (next(b for b, u in zip(sorted(a), upto, strict=True) if u * 4 >= upto[-1] * q) for q in (1, 3))
+            spread = max(q3 - q1, x[3])
+            good = good and value(m, x) <= q3 + 3 * spread and (not x[4] or value(m, x) >= q1 - 3 * spread)
+        kept[k] = (-1 if doc is None else doc, m[:5], good)
+    got = quality_rules.apply_rules(docs).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, tuple(r)[1:6], r.kept) for r in got) == sorted(kept.values())
+    assert any(v[2] for v in kept.values())
+
+
 def test_adaptive_limits(spark):
     text = lambda k, mark: " ".join(f"word{(k * 31 + j * j) % 503}{mark if j % 2 else ''}" for j in range(80))
     rows = [(k, text(k, ""), "en", "calm") for k in range(200)] + [(1000 + k, text(k, "#"), "en", "tags") for k in range(200)] + [(5000, text(1, "#"), "en", "calm")]
