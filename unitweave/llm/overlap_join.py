@@ -142,9 +142,9 @@ def frequencies(blobs: DataFrame) -> np.ndarray:
     import zstandard
 
     n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = blobs.select("counts").coalesce(max(1, min(8, n))).mapInArrow(merge, "counts binary")
+    parts = blobs.select("counts").coalesce(max(1, min(8, n))).mapInArrow(merge, "counts binary").repartition(1).mapInArrow(merge, "counts binary")
     total = np.zeros(SLOTS, np.float64)
-    for row in parts.collect():  # at most 8
+    for row in parts.collect():  # one
         total += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), "<u4")
     return (4 * np.log2(1 + total)).astype(np.uint8)
 
