@@ -706,13 +706,65 @@ def test_numbers_in_planes():
     assert all(any(x <= c < x + max(1, c / 32) for x in low) for c in counts[counts > 0])
 
 
-def test_pipeline_stages(spark, tmp_path, docs):
-    import corpus_pipeline
-
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    step = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, str(tmp_path))
-        assert step.columns == corpus_pipeline.COLUMNS, name
-    assert corpus_pipeline.run(spark, str(tmp_path)).select("sequence_id").distinct().count() > 0
+def write_tables(spark, folder, found, labels):
+    spark.createDataFrame(found, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_by_plain_python(spark, tmp_path, rows):
+    """Every stage against its meaning, on nulls, empty texts, repeats and ties; then the chain."""
+    import corpus_pipeline as pipe
+
+    good = [(600 + k, f"A plain sentence, number {k}, of no great interest.\nAnd one more by a@b{k}.org, for good measure {k * 7}.", "en", "ab"[k % 2], None) for k in range(40)]
+    junk = [(700 + k, f"BUY!! {k}$$$ NOW!! " * 9, "en", "c", 3) for k in range(20)]
+    found = [*[(*r[:4], r[4]) for r in rows], *good, good[3], *junk]
+    folder = str(tmp_path)
+    write_tables(spark, folder, found, [(600 + k, 1, 0) for k in range(0, 40, 2)] + [(700, 0, 0), (None, 1, 0), (601, None, 0)])
+    step = spark.read.parquet(f"{folder}/documents.parquet")
+    key = lambda t: tuple((v is not None, v) if not isinstance(v, str) else (True, v) for v in t)
+    tuples = lambda df: [tuple(r) for r in df.collect()]
+    kept = tuples(pipe.quality(spark, step, folder))
+    assert not Counter(kept) - Counter(found) and set(good) <= set(kept) and not set(junk) & set(kept)
+    step = spark.createDataFrame(kept, step.schema)
+    one = tuples(pipe.near_copies(spark, step, folder))
+    heads = {d: c for d, _, c in brute_groups(kept)}
+    assert Counter(one) == Counter(r for r in kept if r[0] is None or heads[r[0]] == r[0])
+    step = spark.createDataFrame(one, step.schema)
+    clean = tuples(pipe.personal_data(spark, step, folder))
+    want = [(r[0], surrogates.pseudonymize(r[1], b"unitweave-surrogates")[0], *r[2:4]) for r in one]
+    assert sorted((key((*w, None if w[1] is None else len(w[1]))) for w in want)) == sorted(map(key, clean)) and not any("a@b" in (r[1] or "") for r in clean)
+    step = spark.createDataFrame(clean, step.schema)
+    mixed = tuples(pipe.mixture(spark, step, folder))
+    taken = {(r.doc_id, r.source): 0 for r in mixing.mix(step).collect()}
+    for r in mixing.mix(step).collect():
+        taken[r.doc_id, r.source] += r.taken
+    again = Counter()
+    for r in mixed:
+        again[r[0], r[3]] += len(words(r[1]))
+        assert any((r[1] or "") == (t[1] or "")[: len(r[1] or "")] for t in clean if t[0] == r[0]) and r[4] == (None if r[1] is None else len(r[1]))
+    assert {k: v for k, v in again.items() if v} == {k: v for k, v in taken.items() if v}
+    assert sum(not words(r[1]) for r in mixed) == sum(not words(r[1]) for r in clean)
+    pieces = pipe.packing(spark, spark.createDataFrame(mixed, step.schema), folder).collect()
+    ids = [[*i, 0] for i in encode([r[1] for r in mixed])]
+    by_row = defaultdict(list)
+    for p in pieces:
+        by_row[p.row_id].append(p)
+    assert sorted((key((own[0].doc_id,)), own[0].doc_tokens) for own in by_row.values()) == sorted((key((r[0],)), len(i)) for r, i in zip(mixed, ids, strict=True))
+    texts = Counter((r[0], tuple(i)) for r, i in zip(mixed, ids, strict=True))
+    for own in by_row.values():
+        own.sort(key=lambda p: p.start)
+        assert [p.start for p in own] == list(itertools.accumulate((p.length for p in own), initial=0))[:-1]
+        assert any(all(crc(i[p.start : p.start + p.length]) == p.ids_crc32 for p in own) for d, i in texts if d == own[0].doc_id and len(i) == own[0].doc_tokens)
+    whole = pipe.run(spark, folder).collect()
+    assert sorted((key((p.doc_id,)), p.start, p.length if p.length == 1024 else 0) for p in whole if p.start == 0) == sorted((key((p.doc_id,)), p.start, p.length if p.length == 1024 else 0) for p in pieces if p.start == 0)
+    assert sum(p.length for p in whole) == sum(map(len, ids))
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    write_tables(spark, str(tmp_path), [], [])
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 AS score", "2 AS words", "3 AS h")
+    for name, stage in pipe.STAGES[:-1]:
+        assert stage(spark, step, str(tmp_path)).columns == pipe.COLUMNS, name
+    assert pipe.run(spark, str(tmp_path)).count() == 0
