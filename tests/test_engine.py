@@ -1,7 +1,6 @@
 """The engine's operators against plain Python on literal fixtures."""
 
 import datetime
-import itertools
 import random
 import re
 
@@ -10,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitweave.functions.leaf import parse_replies, validate
-from unitweave.functions.text import bare, structure
+from unitweave.functions.text import bare
 from unitweave.operators import coverage, pairs, sweep, text
 from unitweave.plans.budget import Budget
 from unitweave.plans.schema import parse
@@ -27,84 +26,85 @@ def ctx(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "ctx_id int, text string")
 
 
-def marks(t, kind):
-    doc = [m.start() for m in re.finditer(r"^(?:-{3,}|={3,}|#{1,2} |<\|doc\||\x0c)", t, re.M)]
-    blank = [m.end() for m in re.finditer(r"\n[ \t]*\n", t)]
-    own = {"code": [m.start() for m in re.finditer(r"^(?:def |class |async def )", t, re.M)] + blank, "sections": [m.start() for m in re.finditer(r"^#{1,6} .*$", t, re.M)] + blank, "paragraphs": blank}.get(kind)
-    own = list(itertools.accumulate(map(len, t.splitlines(keepends=True)))) if own is None else own
-    return sorted({0, len(t), *doc, *own})
-
-
-def by_hand_units(t, kind):
-    out, m = [], marks(t, kind)
-    for a, b in zip(m, m[1:], strict=False):
-        if out and (not t[a:b].strip() or not t[out[-1][0] : out[-1][1]].strip()):
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return [s for s in out if t[s[0] : s[1]].strip()]
-
-
-def by_hand_segments(spans, low, target, high):
-    out, cur = [], None
-    for a, b in spans:
-        while b - a > high:
-            out += [cur] if cur else []
-            cur = None
-            out.append((a, a + high, 1))
-            a += high
-        cur = (cur[0], b, cur[2] + 1) if cur else (a, b, 1)
-        if cur[1] - cur[0] >= target:
-            out.append(cur)
-            cur = None
-    out += [cur] if cur else []
-    if len(out) > 1 and out[-1][1] - out[-1][0] < low:
-        out[-2:] = [(out[-2][0], out[-1][1], out[-2][2] + out[-1][2])]
-    return out
-
-
-def test_structure_units_segments(ctx):
-    kinds = {r.ctx_id: r.k for r in ctx.select("ctx_id", structure(F.col("text")).alias("k")).collect()}
-    assert [kinds[k] for k in (11, 3, 6, 7, 10)] == ["lines", "paragraphs", "sections", "code", "rows"]
-    got = {}
-    for r in text.units(ctx).collect():
-        got.setdefault(r.ctx_id, []).append((r.item, r.start, r.end, r.source))
+def test_structure_units_segments(ctx, spark):
+    """Properties of the layout: what tiles, what is blank, where cuts may be, how large segments are."""
+    found = {r.ctx_id: r.structure for r in text.kinds(ctx).collect()}
+    assert [found[k] for k in (11, 3, 6, 7, 10)] == ["lines", "paragraphs", "sections", "code", "rows"]
+    units = {k: [] for k in range(len(TEXTS))}
+    for r in text.units(ctx).orderBy("ctx_id", "item").collect():
+        units[r.ctx_id].append(r)
     for k, t in enumerate(TEXTS):
-        want = by_hand_units(t, kinds[k])
-        assert sorted(got.get(k, [])) == [(i, a, b, t[a:b]) for i, (a, b) in enumerate(want)], k
-    for band in ((400, 4000, 12000), (80, 400, 700)):
-        segs = text.segments(ctx, low=band[0], target=band[1], high=band[2])
-        found = {}
-        for r in segs.collect():
-            found.setdefault(r.ctx_id, []).append((r.seg_no, r.start, r.end, r.units, r.ref))
+        assert "".join(u.source for u in units[k]) == (t if t.strip() else "")
+        assert [u.item for u in units[k]] == list(range(len(units[k]))) and all(u.source.strip() and t[u.start : u.end] == u.source for u in units[k])
+    starts = lambda k: [u.source.split()[0] for u in units[k]]
+    assert starts(2) == ["alpha", "beta"][: len(units[2])] and starts(6) == ["#", "text", "#", "more"] and starts(7) == ["def", "def"] and starts(8) == ["x", "y", "z"]
+    assert starts(9)[0] == "---" and "===" in starts(9) and len(units[10]) == 9
+    for low, target, high in ((400, 4000, 12000), (80, 400, 700)):
+        segs = text.segments(ctx, low=low, target=target, high=high, text=True)
+        own = {k: [] for k in range(len(TEXTS))}
+        for r in segs.orderBy("ctx_id", "seg_no").collect():
+            own[r.ctx_id].append(r)
         for k, t in enumerate(TEXTS):
-            want = by_hand_segments(by_hand_units(t, kinds[k]), *band)
-            assert sorted(found.get(k, [])) == [(i, a, b, n, f"s{i:04d}") for i, (a, b, n) in enumerate(want)], (k, band)
+            s, ends = own[k], {u.end for u in units[k]}
+            assert "".join(x.text for x in s) == (t if t.strip() else "") and [x.ref for x in s] == [f"s{i:04d}" for i in range(len(s))]
+            large = [u for u in units[k] if u.end - u.start > high]
+            inside = lambda e: any(u.start < e < u.end and (e - u.start) % high == 0 for u in large)
+            assert all(x.end in ends or inside(x.end) for x in s)  # cut at units, or every `high` characters of a large one
+            begins = {u.start for u in large}
+            for i, x in enumerate(s[:-1]):
+                assert x.end - x.start >= target or x.end in begins  # closed by size, or before a large unit
+            for i, x in enumerate(s[:-1]):  # and no earlier unit would have closed it
+                earlier = [e for e in ends if x.start < e < x.end]
+                assert all(e - x.start < target for e in earlier) or i == len(s) - 2 and x.end == len(t)
+            assert len(s) < 2 or s[-1].end - s[-1].start >= low
+            pieces = ends | {u.start + j for u in large for j in range(0, u.end - u.start, high) if u.start + j}
+            assert [x.units for x in s] == [sum(x.start < e <= x.end for e in pieces) for x in s]
         ok = {r.ctx_id: r.tiles for r in text.tiles(segs, ctx).collect()}
         assert all(ok[k] == bool(t.strip() or not t) for k, t in enumerate(TEXTS))
         for slots in (1, 3):
-            p = {}
-            for r in text.parts(ctx, slots, low=band[0], target=band[1], high=band[2]).collect():
-                p.setdefault(r.ctx_id, []).append((r.start, r.end))
+            made = {k: [] for k in range(len(TEXTS))}
+            for r in text.parts(ctx, slots, low=low, target=target, high=high, text=True).orderBy("ctx_id", "part").collect():
+                made[r.ctx_id].append(r)
             for k, t in enumerate(TEXTS):
-                cuts, last = [], 0
-                ends = [s[2] for s in sorted(found.get(k, [])) if s[2] < len(t)]
-                for j in range(1, slots):
-                    left = [e for e in ends if e > last]
-                    if left:
-                        last = min(left, key=lambda e: abs(e - len(t) * j / slots))
-                        cuts.append(last)
-                bounds = [0, *cuts, len(t)]
-                assert sorted(p.get(k, [])) == [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+                assert "".join(p.text for p in made[k]) == t and len(made[k]) <= slots
+                ends = [x.end for x in own[k]]
+                for i, p in enumerate(made[k][:-1], 1):
+                    far = abs(p.end - len(t) * i / slots)
+                    assert p.end in ends and all(abs(e - len(t) * i / slots) >= far for e in ends if p.start < e < len(t))
     with pytest.raises(ValueError):
         text.segments(ctx, low=5, target=4, high=9)
+    sizes = [len(r.text) for r in text.partition(ctx.where("ctx_id = 13"), 900).collect()]
+    assert sum(sizes) == len(TEXTS[13]) and all(s <= 2700 for s in sizes)
+
+
+def test_store_refs_and_lint(ctx, spark, tmp_path):
+    store = text.ContextStore(spark, str(tmp_path))
+    m = store.bind(ctx, target=400, low=80, high=None)
+    assert m.count() == len(TEXTS) and store.band == {"target": 400, "low": 80}
+    first = store.segments()
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, text.segments(ctx, target=400, low=80).collect()))
+    assert store.segments().inputFiles() == first.inputFiles()  # read again, not made again
+    for r in store.by_ref("s0001").collect():
+        assert store.read("s0001").where(f"ctx_id = {r.ctx_id}").first().text == TEXTS[r.ctx_id][r.start : r.end]
+    gone = store.read("s0999").where("ctx_id = 13").first()
+    assert gone.text is None and gone.problem.startswith("no segment 's0999'; there are s0000 to s")
+    joined = text.to_segments(text.units(ctx, source=False), text.segments(ctx)).collect()
+    assert len(joined) == text.units(ctx).count() and {r.ref for r in joined if r.ctx_id == 12} == {"s0000"}
+    assert [text.empty_alternative(p) for p in ("a||b", r"a\||b", "[|]|b", "[||]", "a|b", r"\\||")] == [True, False, False, False, False, True]
+    for bad in ("(", "a||b", "x*"):
+        with pytest.raises(ValueError):
+            text.search(ctx, bad, regex=True)
+    hits = text.search(ctx, "line 1")
+    refs = {r.ctx_id: r for r in text.search_refs(hits).collect()}
+    assert refs[13].returned == min(40, refs[13].matches) and refs[13].refs == sorted({r.ref for r in hits.collect()})
 
 
 def test_search_read(ctx):
-    for pattern, regex in (("a", False), (r"\w+ \|", True), ("E", False), ("(", False)):
+    for pattern, regex in (("a", False), (r"\w+ \|", True), ("E", False), ("(", False), ("\n", False)):
         got = {}
         for r in text.search(ctx, pattern, regex).collect():
             got.setdefault(r.ctx_id, []).append((r.hit, r.start, r.line, r.excerpt, r.matches))
+            assert TEXTS[r.ctx_id] and (r.ref is None) == (not TEXTS[r.ctx_id].strip())
         for k, t in enumerate(TEXTS):
             m = list(re.finditer(pattern if regex else re.escape(pattern), t, re.I))
             want = [(i, x.start(), t.count("\n", 0, x.start()) + 1, t[max(0, x.start() - 80) : x.start() + 160].replace("\n", " ⏎ "), len(m)) for i, x in enumerate(m[:40])]

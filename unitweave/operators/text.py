@@ -1,37 +1,57 @@
 """Structure of texts: units, segments, parts, reading, searching.
 
-All operators take contexts (ctx_id, text) and work on any number of them at once.
+All operators take contexts (ctx_id, text) and work on any number of them at once. What
+needs a text's layout is one Arrow stage without a shuffle; the rest are column
+expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from unitweave.functions.text import digest, pieces, strip, structure
+from unitweave.functions import text as layout
 
 MIN_CHARS, TARGET_CHARS, MAX_CHARS = 400, 4_000, 12_000
-MAX_HITS, WINDOW = 40, 160
+MAX_HITS, BEFORE, AFTER = 40, 80, 160
 
 
 def contexts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(df[id_col].alias("ctx_id"), df[text_col].alias("text"))
+    return df.select(df[id_col].alias("ctx_id"), df[text_col].cast("string").alias("text"))
 
 
-def units(ctx: DataFrame) -> DataFrame:
-    """ctx_id, item, start, end, source: non-blank spans that tile each text.
+def _each(ctx: DataFrame, columns: str, make: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """Rows of make(text) behind their ctx_id, for every text that isn't null. Texts reach Python once, in batches."""
+    kept = ctx.select("ctx_id", "text")
+    own = StructType.fromDDL(columns)
+    schema = StructType([kept.schema["ctx_id"], *own.fields])
 
-    A blank piece joins the unit before it, leading blanks the first one. Null, empty
-    and blank texts have no unit.
-    """
-    cut = ctx.select("ctx_id", F.posexplode(pieces(F.col("text"), structure(F.col("text")))).alias("k", "piece"))
-    order = Window.partitionBy("ctx_id").orderBy("k")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    p = cut.withColumn("end", F.sum(F.length("piece")).over(upto)).withColumn("solid", (strip(F.col("piece")) != "").cast("int"))
-    p = p.withColumn("unit", F.greatest(F.lit(1), F.sum("solid").over(upto)))
-    u = p.groupBy("ctx_id", "unit").agg(F.min(F.col("end") - F.length("piece")).alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("source"), F.max("solid").alias("solid"))
-    u = u.where("solid = 1")
-    return u.select("ctx_id", (F.col("unit") - 1).alias("item"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "source")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in own.fields]
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                at, rows = [], []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    if text is not None:
+                        made = list(make(text))
+                        rows += made
+                        at += [k] * len(made)
+                if rows:
+                    values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *values], schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def _check_band(low: int, target: int, high: int) -> None:
@@ -39,31 +59,50 @@ def _check_band(low: int, target: int, high: int) -> None:
         raise ValueError(f"a band needs 0 < min <= target <= max, not {low}, {target}, {high}")
 
 
-def segments(ctx: DataFrame, target: int = TARGET_CHARS, low: int = MIN_CHARS, high: int = MAX_CHARS, prefix: str = "s") -> DataFrame:
-    """ctx_id, seg_no, ref, start, end, kind, units: units packed in order until `target` characters.
+def _spans(text: str, low: int, target: int, high: int) -> tuple[str, list[int], list[tuple[int, int, int]]]:
+    kind = layout.structure(text)
+    ends = layout.unit_ends(text, kind)
+    return kind, ends, layout.segment_spans(ends, low, target, high)
+
+
+def kinds(ctx: DataFrame) -> DataFrame:
+    """ctx_id, structure. Null texts have no row."""
+    return _each(ctx, "structure string", lambda t: [(layout.structure(t),)])
+
+
+def units(ctx: DataFrame, source: bool = True) -> DataFrame:
+    """ctx_id, item, start, end, source: non-blank spans that tile each text.
 
-    A unit over `high` closes what is open and is cut every `high` characters; a last
-    segment under `low` joins the one before. One fold for each text, on the JVM.
+    A blank piece joins the unit before it, leading blanks the first one. Null, empty
+    and blank texts have no unit. Without `source`, only the spans.
     """
+
+    def make(text: str) -> Iterator[tuple]:
+        start = 0
+        for k, end in enumerate(layout.unit_ends(text, layout.structure(text))):
+            yield (k, start, end, text[start:end]) if source else (k, start, end)
+            start = end
+
+    return _each(ctx, "item long, start long, end long" + (", source string" if source else ""), make)
+
+
+def segments(ctx: DataFrame, target: int = TARGET_CHARS, low: int = MIN_CHARS, high: int = MAX_CHARS, prefix: str = "s", text: bool = False) -> DataFrame:
+    """ctx_id, seg_no, ref, start, end, kind, units (and text, if asked for): units packed in order until `target` characters."""
     _check_band(low, target, high)
-    kinds = ctx.select("ctx_id", structure(F.col("text")).alias("kind"))
-    size = F.col("end") - F.col("start")
-    chunks = F.when(size > high, F.ceil(size / high) - 1).otherwise(0).cast("int")
-    u = units(ctx).select("ctx_id", "start", "end", chunks.alias("chunks"))
-    # Pieces of a large unit are items of their own: alone, except what is left at its end.
-    item = u.select("ctx_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks")), lambda k: F.struct((F.col("start") + k * high).alias("start"), F.when(k < F.col("chunks"), F.col("start") + (k + 1) * high).otherwise(F.col("end")).alias("end"), (k < F.col("chunks")).alias("alone")))).alias("i"))
-    folded = item.groupBy("ctx_id").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    fold = f"""aggregate(items, struct(cast(array() AS array<struct<start: bigint, end: bigint, units: bigint>>) AS done, cast(-1 AS bigint) AS s, cast(-1 AS bigint) AS e, cast(0 AS bigint) AS n),
-      (a, i) -> CASE
-        WHEN i.alone THEN struct(concat(IF(a.s < 0, a.done, concat(a.done, array(struct(a.s AS start, a.e AS end, a.n AS units)))), array(struct(i.start AS start, i.end AS end, cast(1 AS bigint) AS units))) AS done, cast(-1 AS bigint) AS s, cast(-1 AS bigint) AS e, cast(0 AS bigint) AS n)
-        WHEN i.end - IF(a.s < 0, i.start, a.s) >= {target} THEN struct(concat(a.done, array(struct(IF(a.s < 0, i.start, a.s) AS start, i.end AS end, a.n + 1 AS units))) AS done, cast(-1 AS bigint) AS s, cast(-1 AS bigint) AS e, cast(0 AS bigint) AS n)
-        ELSE struct(a.done AS done, IF(a.s < 0, i.start, a.s) AS s, i.end AS e, a.n + 1 AS n) END,
-      a -> IF(a.s < 0, a.done, concat(a.done, array(struct(a.s AS start, a.e AS end, a.n AS units)))))"""
-    closed = folded.withColumn("segs", F.expr(fold))
-    tail = f"""IF(size(segs) > 1 AND segs[size(segs) - 1].end - segs[size(segs) - 1].start < {low},
-      concat(slice(segs, 1, size(segs) - 2), array(struct(segs[size(segs) - 2].start AS start, segs[size(segs) - 1].end AS end, segs[size(segs) - 2].units + segs[size(segs) - 1].units AS units))), segs)"""
-    out = closed.select("ctx_id", F.posexplode(F.expr(tail)).alias("seg_no", "g")).join(kinds, "ctx_id")
-    return out.select("ctx_id", "seg_no", F.format_string(f"{prefix}%04d", "seg_no").alias("ref"), "g.start", "g.end", "kind", "g.units")
+
+    def make(t: str) -> Iterator[tuple]:
+        kind, _, spans = _spans(t, low, target, high)
+        for k, (a, b, n) in enumerate(spans):
+            yield (k, f"{prefix}{k:04d}", a, b, kind, n, *([t[a:b]] if text else []))
+
+    return _each(ctx, "seg_no int, ref string, start long, end long, kind string, units long" + (", text string" if text else ""), make)
+
+
+def partition(ctx: DataFrame, target_chars: int | None = None) -> DataFrame:
+    """ctx_id, part, text: whole units packed to a target size, none above three times that but single units."""
+    target = target_chars or TARGET_CHARS
+    made = segments(ctx, target, min(MIN_CHARS, target), 3 * target, text=True)
+    return made.select("ctx_id", F.col("seg_no").alias("part"), "text")
 
 
 def tiles(segs: DataFrame, ctx: DataFrame) -> DataFrame:
@@ -75,27 +114,62 @@ def tiles(segs: DataFrame, ctx: DataFrame) -> DataFrame:
     return all_.select("ctx_id", F.when(F.col("chars") == 0, F.col("first").isNull()).otherwise(F.coalesce((F.col("first") == 0) & (F.col("last") == F.col("chars")) & F.col("joined"), F.lit(False))).alias("tiles"))
 
 
-def parts(ctx: DataFrame, slots: int, **band: int) -> DataFrame:
-    """ctx_id, part, start, end: at most `slots` parts, cut at the segment end nearest each proportional bound."""
-    ends = segments(ctx, **band).groupBy("ctx_id").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    c = ctx.select("ctx_id", F.length("text").cast("long").alias("chars")).where("chars > 0").join(ends, "ctx_id", "left")
-    c = c.withColumn("ends", F.filter(F.coalesce("ends", F.array().cast("array<bigint>")), lambda e: e < F.col("chars")))
-    cuts = f"""IF({slots} < 2, cast(array() AS array<bigint>), aggregate(sequence(1, {max(1, slots - 1)}), cast(array() AS array<bigint>), (a, k) -> concat(a, transform(slice(array_sort(transform(
-        filter(ends, e -> e > coalesce(try_element_at(a, -1), 0)), e -> struct(abs(e - chars * k / {max(1, slots)}) AS far, e AS e))), 1, 1), x -> x.e))))"""
-    c = c.withColumn("b", F.expr(f"concat(array(cast(0 AS bigint)), {cuts}, array(chars))"))
-    p = c.select("ctx_id", F.posexplode(F.expr("transform(sequence(1, size(b) - 1), i -> struct(b[i - 1] AS start, b[i] AS end))")).alias("part", "p"))
-    return p.select("ctx_id", "part", "p.start", "p.end").where("end > start")
+def parts(ctx: DataFrame, slots: int, target: int = TARGET_CHARS, low: int = MIN_CHARS, high: int = MAX_CHARS, text: bool = False) -> DataFrame:
+    """ctx_id, part, start, end (and text): at most `slots` parts, cut at the segment end nearest each proportional bound."""
+    _check_band(low, target, high)
 
+    def make(t: str) -> Iterator[tuple]:
+        start = 0
+        for k, end in enumerate(layout.part_cuts([s[1] for s in _spans(t, low, target, high)[2]], len(t), max(1, slots))):
+            yield (k, start, end, *([t[start:end]] if text else []))
+            start = end
 
-def manifest(ctx: DataFrame, **band: int) -> DataFrame:
-    """One row for each text: sizes, structure, digest and segments in short."""
-    s = segments(ctx, **band)
-    n = F.col("end") - F.col("start")
-    s = s.groupBy("ctx_id").agg(F.count("*").alias("segments"), F.min(n).alias("seg_min"), F.max(n).alias("seg_max"), F.bround(F.avg(n)).cast("long").alias("seg_mean"), F.max("ref").alias("last_ref"), F.slice(F.array_sort(F.collect_list("ref")), 1, 5).alias("first_refs"))
-    t = F.coalesce("text", F.lit(""))
-    c = ctx.select("ctx_id", F.length(t).cast("long").alias("chars"), F.when(t == "", 0).otherwise(F.regexp_count(t, F.lit("\n")) + 1).cast("long").alias("lines"), digest(t).alias("sha256"), F.when(t == "", "empty").otherwise(structure(t)).alias("structure"), F.substring(t, 1, 400).alias("head"))
-    z = lambda c_: F.coalesce(c_, F.lit(0)).cast("long").alias(c_)
-    return c.join(s, "ctx_id", "left").select("ctx_id", "chars", "lines", "sha256", "structure", z("segments"), z("seg_min"), z("seg_max"), z("seg_mean"), "first_refs", "last_ref", "head")
+    return _each(ctx, "part int, start long, end long" + (", text string" if text else ""), make)
+
+
+def manifest(ctx: DataFrame, target: int = TARGET_CHARS, low: int = MIN_CHARS, high: int = MAX_CHARS) -> DataFrame:
+    """One row for each text: sizes, structure, digest and segments in short. A null text counts as an empty one."""
+    _check_band(low, target, high)
+
+    def make(t: str) -> Iterator[tuple]:
+        kind, _, spans = _spans(t, low, target, high)
+        sizes, refs = [b - a for a, b, _ in spans] or [0], [f"s{k:04d}" for k in range(len(spans))]
+        yield (len(t), t.count("\n") + 1 if t else 0, hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()[:16], kind if t else "empty", len(spans), min(sizes), max(sizes), round(sum(sizes) / len(sizes)), refs[:5], refs[-1] if refs else None, t[:400])
+
+    filled = ctx.select("ctx_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _each(filled, "chars long, lines long, sha256 string, structure string, segments long, seg_min long, seg_max long, seg_mean long, first_refs array<string>, last_ref string, head string", make)
+
+
+class ContextStore:
+    """Contexts with a band of segment sizes. Segments are written once for each content and band, and read from then on."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.ctx, self.band = spark, folder.rstrip("/"), None, {}
+
+    def bind(self, ctx: DataFrame, **band: int | None) -> DataFrame:
+        """Keeps the contexts and their band (target, low, high; what is empty or 0 is left out); their manifest."""
+        self.ctx, self.band = ctx, {k: v for k, v in band.items() if v}
+        return manifest(ctx, **self.band)
+
+    def identity(self) -> str:
+        """Of the contents, in any order, and the band."""
+        row = F.struct(F.col("ctx_id").cast("string"), "text")
+        sums = self.ctx.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")) for k in (1, 2)]).first()
+        return hashlib.sha256(json.dumps([*map(str, sums), sorted(self.band.items())]).encode()).hexdigest()[:32]
+
+    def segments(self) -> DataFrame:
+        path = f"{self.folder}/segments-{self.identity()}"
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            segments(self.ctx, **self.band).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def by_ref(self, ref: str) -> DataFrame:
+        """The segments of that name: none or one for each context."""
+        return self.segments().where(F.col("ref") == ref)
+
+    def read(self, ref_or_start: str | int, end: int | None = None) -> DataFrame:
+        return read_ref(self.ctx, ref_or_start, **self.band) if isinstance(ref_or_start, str) else read(self.ctx, ref_or_start, end)
 
 
 def read(ctx: DataFrame, start: int, end: int | None = None) -> DataFrame:
@@ -105,18 +179,57 @@ def read(ctx: DataFrame, start: int, end: int | None = None) -> DataFrame:
     return ctx.select("ctx_id", F.substring(F.col("text"), F.lit(a + 1), F.greatest(F.lit(0), stop - a)).alias("text"))
 
 
+def read_ref(ctx: DataFrame, ref: str, target: int = TARGET_CHARS, low: int = MIN_CHARS, high: int = MAX_CHARS) -> DataFrame:
+    """ctx_id, text, problem: the segment of that name; where a text has none, the problem names the refs it has."""
+    _check_band(low, target, high)
+
+    def make(t: str) -> Iterator[tuple]:
+        spans = _spans(t, low, target, high)[2]
+        found = next(((t[a:b], None) for k, (a, b, _) in enumerate(spans) if f"s{k:04d}" == ref), None)
+        yield found or (None, f"no segment {ref!r}; there are s0000 to s{len(spans) - 1:04d}" if spans else f"no segment {ref!r}; there is none")
+
+    return _each(ctx, "text string, problem string", make)
+
+
+def to_segments(spans: DataFrame, segs: DataFrame) -> DataFrame:
+    """spans (ctx_id, start, ...) with `ref`: the segment that holds their start."""
+    s = segs.select(F.col("ctx_id").alias("s_ctx"), "ref", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    return spans.join(s, (F.col("ctx_id") == F.col("s_ctx")) & (F.col("start") >= F.col("s_start")) & (F.col("start") < F.col("s_end"))).drop("s_ctx", "s_start", "s_end")
+
+
+def empty_alternative(pattern: str) -> bool:
+    """Has a regular expression an unescaped `||` outside a class, an alternative that matches nothing?"""
+    plain = re.sub(r"\\.", "..", pattern, flags=re.S)
+    return "||" in re.sub(r"\[[^\]]*\]?", lambda m: "." * len(m[0]), plain)
+
+
 def search(ctx: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = True, max_hits: int = MAX_HITS) -> DataFrame:
-    """ctx_id, hit, start, line, excerpt, matches: matches that don't overlap, the first max_hits of each text.
+    """ctx_id, hit, start, line, ref, excerpt, matches: matches that don't overlap, the first max_hits of each text.
 
-    `matches` counts all. The pattern must not match an empty string.
+    `matches` counts all; `ref` is the segment that holds the hit. A pattern that isn't
+    valid, that matches an empty text or has an empty alternative is refused by name.
     """
-    p = ("(?iu)" if ignore_case else "") + ("(?:" + pattern + ")" if regex else "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E")
-    c = ctx.where(F.col("text").rlike(p)).select("ctx_id", "text", F.split("text", p, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found"))
-    c = c.withColumn("matches", F.size("found").cast("long"))
-    g = c.select("ctx_id", "text", "matches", F.posexplode(F.slice(F.arrays_zip(F.col("gaps"), F.col("found")), 1, max_hits)).alias("hit", "z")).where("z.found IS NOT NULL")
-    before = Window.partitionBy("ctx_id").orderBy("hit").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("start", F.sum(F.length("z.gaps") + F.length("z.found")).over(before) - F.length("z.found"))
-    left = F.greatest(F.lit(0), F.col("start") - WINDOW // 2)
-    excerpt = F.replace(F.substring(F.col("text"), (left + 1).cast("int"), (F.col("start") + WINDOW - left).cast("int")), F.lit("\n"), F.lit(" ⏎ "))
-    line = F.regexp_count(F.substring(F.col("text"), F.lit(1), F.col("start").cast("int")), F.lit("\n")) + 1
-    return g.select("ctx_id", F.col("hit").cast("long").alias("hit"), F.col("start").cast("long").alias("start"), line.cast("long").alias("line"), excerpt.alias("excerpt"), "matches")
+    try:
+        compiled = re.compile(pattern if regex else re.escape(pattern), re.I if ignore_case else 0)
+    except re.error as e:
+        raise ValueError(f"{pattern!r} is no regular expression: {e}") from e
+    if compiled.search("") or regex and empty_alternative(pattern):
+        raise ValueError(f"{pattern!r} matches an empty text")
+
+    def make(t: str) -> Iterator[tuple]:
+        found = list(compiled.finditer(t))
+        if not found:
+            return
+        starts = [a for a, _, _ in _spans(t, MIN_CHARS, TARGET_CHARS, MAX_CHARS)[2]]
+        line = at = 0
+        for k, m in enumerate(found[:max_hits]):
+            line, at = line + t.count("\n", at, m.start()), m.start()
+            ref = f"s{bisect_right(starts, at) - 1:04d}" if starts else None
+            yield k, at, line + 1, ref, t[max(0, at - BEFORE) : at + AFTER].replace("\n", " ⏎ "), len(found)
+
+    return _each(ctx, "hit long, start long, line long, ref string, excerpt string, matches long", make)
+
+
+def search_refs(hits: DataFrame) -> DataFrame:
+    """ctx_id, matches, returned, refs: what a search found in each text, with the names of its hits' segments in order."""
+    return hits.groupBy("ctx_id").agg(F.max("matches").alias("matches"), F.count("*").alias("returned"), F.array_sort(F.collect_set("ref")).alias("refs"))

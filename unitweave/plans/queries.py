@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitweave.functions.leaf import parse_replies, validate
-from unitweave.functions.text import digest, structure
+from unitweave.functions.text import digest
 from unitweave.operators import coverage, delivery, pairs, text
 from unitweave.plans.schema import parse
 from unitweave.streaming import trace
@@ -63,6 +63,23 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select(F.col("user_id").alias("ctx_id")).distinct().withColumn("chars", F.lit(50_000))
 
 
+def _segments_sql(target: int, low: int, high: int) -> str:
+    """Segments of documents made of lines, cut by cut: at the first end that reaches the target, or where a line above `high` begins or is cut; a last one below `low` joins the one before."""
+    return f"""WITH RECURSIVE u0 AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x) + 1) AS c, length(text) AS n FROM documents),
+        u AS (SELECT doc_id, n, list_sort(list_distinct(list_transform(range(1, len(c) + 1), lambda i: least(n, list_sum(c[1:i])::BIGINT)))) AS ends FROM u0),
+        f AS (SELECT *, flatten(list_transform(range(1, len(ends) + 1), lambda i: CASE WHEN ends[i] - coalesce(ends[i - 1], 0) > {high} THEN range(coalesce(ends[i - 1], 0), ends[i], {high}) ELSE []::BIGINT[] END)) AS forced FROM u),
+        v AS (SELECT doc_id, n, list_sort(list_distinct(list_concat(ends, list_filter(forced, lambda x: x > 0)))) AS pieces, list_sort(forced) AS forced FROM f),
+        s(doc_id, k, a, b, n, pieces, forced) AS (SELECT doc_id, -1, 0::BIGINT, 0::BIGINT, n, pieces, forced FROM v UNION ALL
+            SELECT doc_id, k + 1, b, least(coalesce(list_filter(pieces, lambda x: x >= b + {target})[1], n), coalesce(list_filter(forced, lambda x: x > b)[1], n)), n, pieces, forced FROM s WHERE b < n),
+        w AS (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last FROM s WHERE k >= 0),
+        x AS (SELECT *, last > 0 AND max(CASE WHEN k = last THEN b - a END) OVER (PARTITION BY doc_id) < {low} AS short FROM w),
+        g AS (SELECT doc_id AS ctx_id, k AS seg_no, format('s{{:04d}}', k) AS ref, a, CASE WHEN short AND k = last - 1 THEN n ELSE b END AS b,
+            len(list_filter(pieces, lambda e: e > a AND e <= CASE WHEN short AND k = last - 1 THEN n ELSE b END)) AS units FROM x WHERE NOT (short AND k = last))"""
+
+
+SEGMENTS = _segments_sql(4000, 400, 12000)
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name, spec in (SYM | ASYM).items():
@@ -71,16 +88,20 @@ def queries() -> dict[str, Query]:
     found["pairs_every"] = lambda s, d: pairs.every_pair(_entries(s, d))
     found["pairs_f1"] = lambda s, d: pairs.f1(pairs.pairs(_entries(s, d), SYM["pairs_sym_after"]), pairs.pairs(_entries(s, d), ASYM["pairs_asym_ge"])).select("hits", "predicted", "truth")
     found["pairs_floor"] = lambda s, d: pairs.f1(pairs.every_pair(_entries(s, d)), pairs.pairs(_entries(s, d), ASYM["pairs_asym_eq"])).select("hits", "predicted", "truth")
-    found["doc_structure"] = lambda s, d: _docs(s, d).select("ctx_id", structure(F.col("text")).alias("structure"))
+    found["doc_structure"] = lambda s, d: text.kinds(_docs(s, d))
     found["doc_digest"] = lambda s, d: _docs(s, d).select("ctx_id", digest(F.col("text")).alias("digest"))
-    found["doc_units"] = lambda s, d: text.units(_docs(s, d)).select("ctx_id", F.col("item").cast("long").alias("item"), "start", "end")
+    found["doc_units"] = lambda s, d: text.units(_docs(s, d), source=False)
     found["doc_segments"] = lambda s, d: text.segments(_docs(s, d))
     found["doc_tiles"] = lambda s, d: text.tiles(text.segments(_docs(s, d)), _docs(s, d))
     found["doc_parts"] = lambda s, d: text.parts(_docs(s, d), 4)
-    found["doc_manifest"] = lambda s, d: text.manifest(_docs(s, d)).select("ctx_id", "chars", "lines", "sha256", "structure")
+    found["doc_manifest"] = lambda s, d: text.manifest(_docs(s, d)).withColumn("first_refs", F.array_join("first_refs", ","))
+    found["doc_partition"] = lambda s, d: text.partition(_docs(s, d), 1500).select("ctx_id", "part", digest(F.col("text")).alias("digest"))
+    found["doc_read_ref"] = lambda s, d: text.read_ref(_docs(s, d), "s0001")
+    found["doc_units_segments"] = lambda s, d: text.to_segments(text.units(_docs(s, d), source=False), text.segments(_docs(s, d))).select("ctx_id", "item", "ref")
+    found["doc_search_refs"] = lambda s, d: text.search_refs(text.search(_docs(s, d), "license")).withColumn("refs", F.array_join("refs", ","))
     found["doc_read_range"] = lambda s, d: text.read(_docs(s, d), 100, 300)
-    found["doc_search_literal"] = lambda s, d: text.search(_docs(s, d), "license").select("ctx_id", "hit", "start", "line", "matches")
-    found["doc_search_regex"] = lambda s, d: text.search(_docs(s, d), r"\d{3}-\d{4}", regex=True, ignore_case=False).select("ctx_id", "hit", "start", "line", "matches")
+    found["doc_search_literal"] = lambda s, d: text.search(_docs(s, d), "license")
+    found["doc_search_regex"] = lambda s, d: text.search(_docs(s, d), r"\d{3}-\d{4}", regex=True, ignore_case=False)
     found["cov_union"] = lambda s, d: coverage.union(_spans(s, d))
     found["cov_gaps"] = lambda s, d: coverage.gaps(_spans(s, d), _sizes(s, d))
     found["cov_fraction"] = lambda s, d: coverage.fraction(_spans(s, d), _sizes(s, d)).select("ctx_id", "covered", "chars")
@@ -157,15 +178,31 @@ def oracle_sql() -> dict[str, str]:
         m AS (SELECT doc_id, k, length(x) + CASE WHEN k < n - 1 THEN 1 ELSE 0 END AS c FROM l), z AS (SELECT * FROM m WHERE c > 0),
         e AS (SELECT doc_id, k, c, sum(c) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM z)
         SELECT doc_id AS ctx_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS item, (e - c)::BIGINT AS start, e::BIGINT AS "end" FROM e"""
-    found["doc_manifest"] = found["doc_structure"].replace("SELECT doc_id AS ctx_id,", "SELECT doc_id AS ctx_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, substr(sha256(text), 1, 16) AS sha256,")
-    found["doc_tiles"] = "SELECT doc_id AS ctx_id, true AS tiles FROM documents"
+    found["doc_segments"] = f"""{SEGMENTS}, k AS ({found['doc_structure']}) SELECT g.ctx_id, seg_no::INT AS seg_no, ref, a AS start, b AS "end", k.structure AS kind, units FROM g JOIN k ON g.ctx_id = k.ctx_id"""
+    found["doc_tiles"] = f"""{SEGMENTS}, j AS (SELECT *, lead(a, 1, b) OVER (PARTITION BY ctx_id ORDER BY seg_no) = b AS joined FROM g),
+        t AS (SELECT ctx_id, min(a) AS first, max(b) AS last, bool_and(joined) AS joined FROM j GROUP BY ctx_id)
+        SELECT doc_id AS ctx_id, coalesce(first = 0 AND last = length(text) AND joined, false) AS tiles FROM documents LEFT JOIN t ON doc_id = ctx_id"""
+    found["doc_parts"] = f"""{SEGMENTS}, e AS (SELECT ctx_id, list(b ORDER BY b) AS ends FROM g GROUP BY ctx_id), c AS (SELECT doc_id, length(text) AS n, list_filter(ends, lambda x: x < length(text)) AS ends FROM documents JOIN e ON doc_id = ctx_id),
+        p(doc_id, k, pos, n, ends) AS (SELECT doc_id, 0, 0::BIGINT, n, ends FROM c UNION ALL
+            SELECT doc_id, k + 1, list_sort(list_transform(list_filter(ends, lambda x: x > pos), lambda x: {{'far': abs(x - n * (k + 1) / 4.0), 'e': x}}))[1].e, n, ends FROM p WHERE k < 3 AND len(list_filter(ends, lambda x: x > pos)) > 0),
+        q AS (SELECT doc_id, k, pos AS start, n FROM p) SELECT doc_id AS ctx_id, k::INT AS part, start, lead(start, 1, n) OVER (PARTITION BY doc_id ORDER BY k) AS "end" FROM q"""
+    found["doc_manifest"] = f"""{SEGMENTS}, k AS ({found['doc_structure']}), m AS (SELECT ctx_id, count(*) AS segments, min(b - a) AS seg_min, max(b - a) AS seg_max, round_even(avg(b - a), 0)::BIGINT AS seg_mean, max(ref) AS last_ref,
+            string_agg(ref, ',' ORDER BY seg_no) FILTER (WHERE seg_no < 5) AS first_refs FROM g GROUP BY ctx_id)
+        SELECT doc_id AS ctx_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, substr(sha256(text), 1, 16) AS sha256, structure, segments, seg_min, seg_max, seg_mean, first_refs, last_ref, substr(text, 1, 400) AS head
+        FROM documents JOIN k ON doc_id = k.ctx_id JOIN m ON doc_id = m.ctx_id"""
+    found["doc_partition"] = f"""{_segments_sql(1500, 400, 4500)} SELECT g.ctx_id, seg_no::INT AS part, substr(sha256(substr(text, a + 1, b - a)), 1, 16) AS digest FROM g JOIN documents ON doc_id = ctx_id"""
+    found["doc_read_ref"] = f"""{SEGMENTS}, n AS (SELECT ctx_id, max(ref) AS last FROM g GROUP BY ctx_id) SELECT doc_id AS ctx_id, CASE WHEN g.ref IS NOT NULL THEN substr(text, a + 1, b - a) END AS text,
+        CASE WHEN g.ref IS NULL THEN 'no segment ''s0001''; there are s0000 to ' || last END AS problem FROM documents JOIN n ON doc_id = n.ctx_id LEFT JOIN g ON doc_id = g.ctx_id AND g.ref = 's0001'"""
+    found["doc_units_segments"] = f"""{SEGMENTS}, i AS ({found['doc_units']}) SELECT i.ctx_id, item, ref FROM i JOIN g ON i.ctx_id = g.ctx_id AND i.start >= a AND i.start < b"""
     found["doc_read_range"] = "SELECT doc_id AS ctx_id, substr(text, 101, 200) AS text FROM documents"
-    hits = r"""WITH c AS (SELECT doc_id, text, regexp_extract_all(text, '{0}') AS f, string_split_regex(text, '{0}') AS g FROM documents WHERE regexp_matches(text, '{0}')),
-        z AS (SELECT doc_id, text, len(f) AS matches, unnest(range(len(f))) AS hit, unnest(f) AS m, unnest(g[1:len(f)]) AS gap FROM c),
-        s AS (SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY hit) - length(m))::BIGINT AS start FROM z)
-        SELECT doc_id AS ctx_id, hit, start, length(text[1:start]) - length(replace(text[1:start], chr(10), '')) + 1 AS line, matches FROM s WHERE hit < 40"""
-    found["doc_search_literal"] = hits.format("(?i)license")
-    found["doc_search_regex"] = hits.format(r"\d{{3}}-\d{{4}}".replace("{{", "{").replace("}}", "}"))
+    hits = r"""{1}, c AS (SELECT doc_id, text, regexp_extract_all(text, '{0}') AS f, string_split_regex(text, '{0}') AS parts FROM documents WHERE regexp_matches(text, '{0}')),
+        z AS (SELECT doc_id, text, len(f) AS matches, unnest(range(len(f))) AS hit, unnest(f) AS m, unnest(parts[1:len(f)]) AS gap FROM c),
+        h AS (SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY hit) - length(m))::BIGINT AS start FROM z)
+        SELECT doc_id AS ctx_id, hit, start, length(text[1:start]) - length(replace(text[1:start], chr(10), '')) + 1 AS line, ref,
+            replace(substr(text, greatest(0, start - 80) + 1, start + 160 - greatest(0, start - 80)), chr(10), ' ⏎ ') AS excerpt, matches FROM h JOIN g ON g.ctx_id = doc_id AND start >= a AND start < b WHERE hit < 40"""
+    found["doc_search_literal"] = hits.format("(?i)license", SEGMENTS)
+    found["doc_search_regex"] = hits.format(r"\d{{3}}-\d{{4}}".replace("{{", "{").replace("}}", "}"), SEGMENTS)
+    found["doc_search_refs"] = f"""SELECT ctx_id, max(matches) AS matches, count(*) AS returned, list_aggregate(list_sort(list(DISTINCT ref)), 'string_agg', ',') AS refs FROM ({found['doc_search_literal']}) GROUP BY ctx_id"""
     found["cov_union"] = f'WITH {ISLANDS} SELECT ctx_id, s AS start, e AS "end" FROM o'
     found["cov_gaps"] = f"""WITH {ISLANDS}, w AS (SELECT * FROM o UNION ALL SELECT DISTINCT user_id, 50000, 50000 FROM events), l AS (SELECT ctx_id, coalesce(lag(e) OVER (PARTITION BY ctx_id ORDER BY s, e), 0) AS a, s AS b FROM w)
         SELECT ctx_id, a AS start, b AS "end" FROM l WHERE b > a"""
