@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from unitweave.functions.leaf import parse_replies, validate
 from unitweave.functions.text import bare
 from unitweave.operators import coverage, pairs, sweep, text
+from unitweave.plans import pair_specs
 from unitweave.plans.budget import Budget
 from unitweave.plans.schema import parse
 
@@ -152,6 +153,20 @@ def test_pairs(spark):
     df = lambda rows: spark.createDataFrame(rows, "a long, b long")
     assert tuple(pairs.f1(df([(1, 2), (1, 3)]), df([(1, 2)])).first())[3:5] == (0.5, 1.0)
     assert pairs.f1(df([]), df([])).first().f1 == 1.0
+    assert pairs.f1(df([(1, 2), (1, 3), (2, 3)]), df([(1, 2)])).first().precision == 0.3333
+    values = ['[[3, 1], ["2", "1"], [1, 3]]', "[]", "[[1, 1]]", "[[1, 2, 3]]", "[[true, 2]]", "[[1.5, 2]]", "[1, 2]", "no", "[[1, null]]", None, "[[1, 2]] x"]
+    got = spark.createDataFrame(list(enumerate(values)), "k int, v string").select("k", pairs.pairs_from_value(F.col("v")).alias("p")).orderBy("k").collect()
+    assert [r.p and [tuple(x) for x in r.p] if r.p is not None else None for r in got] == [[(1, 2), (1, 3)], [], *[None] * 9]
+    loose = ["22740 35839", '["26503, 92741", "x", "1 2 3", "5  4"]', "10\n20", "(2, 1)\n 3 , 4 \n5,6,7", 'years are "2024, 2025"', None]
+    got = pairs.parse_answer_loose(spark.createDataFrame(list(enumerate(loose)), "k int, text string"), key="k").collect()
+    assert {tuple(r) for r in got} == {(0, 22740, 35839), (1, 26503, 92741), (1, 4, 5), (3, 1, 2), (3, 3, 4)}
+    assert pairs.spec_f1(e, asym, pairs.Sym(("entity", "location"))).first() == pairs.f1(pairs.pairs(e, asym), pairs.pairs(e, pairs.Sym(("entity", "location")))).first()
+    one = pair_specs.spec({"kind": "asym", "a": [["entity", ">=", 1]], "b": [["location", "==", 2]]})
+    assert one == pairs.Asym((("entity", ">=", 1),), (("location", "==", 2),))
+    ask = {"task": 4, "query": "In which both users have at least one human being or location; human being instances must be after January 6, 2023", "spec": {"kind": "sym", "any": ["human being", "location"], "date_rule": ["human being", "after", "2023-01-06"]}}
+    assert pair_specs.check([ask]) == [] and pair_specs.spec(ask["spec"]) == pair_specs.TASKS[4]
+    wrong = [ask | {"query": "the other user has a human being"}, ask | {"spec": ask["spec"] | {"date_rule": None}}, {"task": 1, "query": "x", "spec": {"kind": "asym", "a": [["entity", ">=", 1]], "b": []}}]
+    assert [len(pair_specs.check([w])) for w in wrong] == [3, 1, 2]
     for answer, strict, listed in (("(22740, 35839)\n(35839, 52032)", 2, 2), ('[["35839", "22740"]]', 0, 1), ("22740 35839", 0, 0)):
         a = spark.createDataFrame([(answer,)], "text string")
         assert (pairs.parse_answer(a).count(), pairs.parse_answer(a, pairs.LISTED).count()) == (strict, listed)

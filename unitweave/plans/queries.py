@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from unitweave.functions.leaf import parse_replies, validate
 from unitweave.functions.text import digest
-from unitweave.operators import coverage, delivery, pairs, text
+from unitweave.functions import scalars
+from unitweave.operators import coverage, delivery, pairs, provenance, text
+from unitweave.plans.pair_specs import TASKS
 from unitweave.plans.schema import parse
 from unitweave.streaming import trace
 
@@ -26,6 +28,27 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("label"), F.to_date("ts").alias("date"))
 
 
+#: Labels of the tasks for the five kinds of events; large views count as a sixth.
+KINDS = {"signup": "human being", "error": "abbreviation", "click": "entity", "view": "location", "purchase": "numeric value"}
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Events of one in 37 as labelled records, a year earlier."""
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    label = F.when((F.col("event_type") == "view") & (F.col("value") > 50), "description and abstract concept").otherwise(F.try_element_at(kinds, F.col("event_type")))
+    return _t(spark, d, "events").where("event_id % 37 < 3").select(F.col("event_id").alias("index"), F.col("user_id").alias("user"), label.alias("label"), F.add_months(F.to_date("ts"), -12).alias("date"))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).drop("index")
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON list of pairs for each user; some have a pair of equal ids, or three."""
+    row = F.array((F.col("event_id") % 11).cast("string"), (F.col("event_id") % 11 + F.when(F.col("event_id") % 997 == 0, 0).otherwise(1 + F.col("event_id") % 3)).cast("string"))
+    return _t(spark, d, "events").groupBy(F.col("user_id").alias("answer_id")).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return text.contexts(_t(spark, d, "documents"))
 
@@ -50,6 +73,14 @@ def _asym_sql(s: pairs.Asym) -> str:
     return f"{ENTRIES}, x AS ({side(s.a)}), y AS ({side(s.b)}), p AS (SELECT DISTINCT least(x.u, y.u) AS a, greatest(x.u, y.u) AS b FROM x, y WHERE x.u <> y.u)"
 
 
+LABELLED = "r AS (SELECT event_id AS i, user_id AS u, CASE WHEN event_type = 'view' AND value > 50 THEN 'description and abstract concept' " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END AS label, (ts::DATE - INTERVAL 12 MONTH)::DATE AS d FROM events WHERE event_id % 37 < 3), e AS (SELECT u, label, d FROM r)"
+RATES = "round_even(CASE WHEN predicted + truth = 0 THEN 1.0 WHEN predicted = 0 THEN 0.0 ELSE hits / predicted END, 4)::DOUBLE AS precision, round_even(CASE WHEN predicted + truth = 0 THEN 1.0 WHEN truth = 0 THEN 0.0 ELSE hits / truth END, 4)::DOUBLE AS recall, round_even(CASE WHEN predicted + truth = 0 THEN 1.0 ELSE 2 * hits / (predicted + truth) END, 4)::DOUBLE AS f1"
+
+
+def _task_sql(spec: pairs.Sym | pairs.Asym) -> str:
+    return (_sym_sql(spec) if isinstance(spec, pairs.Sym) else _asym_sql(spec)).replace(ENTRIES, LABELLED)
+
+
 SPANS = "s AS (SELECT user_id AS ctx_id, (floor(epoch(ts))::BIGINT - 1704067200) // 60 AS a, (floor(epoch(ts))::BIGINT - 1704067200) // 60 + 30 + (event_id % 400) AS b FROM events)"
 ISLANDS = f"{SPANS}, r AS (SELECT *, max(b) OVER (PARTITION BY ctx_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s), i AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY ctx_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM r), o AS (SELECT ctx_id, min(a) AS s, max(b) AS e FROM i GROUP BY ctx_id, g)"
 
@@ -86,8 +117,18 @@ def queries() -> dict[str, Query]:
         found[name] = lambda s, d, spec=spec: pairs.pairs(_entries(s, d), spec)
         found[f"{name}_count"] = lambda s, d, spec=spec: pairs.pair_count(_entries(s, d), spec)
     found["pairs_every"] = lambda s, d: pairs.every_pair(_entries(s, d))
-    found["pairs_f1"] = lambda s, d: pairs.f1(pairs.pairs(_entries(s, d), SYM["pairs_sym_after"]), pairs.pairs(_entries(s, d), ASYM["pairs_asym_ge"])).select("hits", "predicted", "truth")
-    found["pairs_floor"] = lambda s, d: pairs.f1(pairs.every_pair(_entries(s, d)), pairs.pairs(_entries(s, d), ASYM["pairs_asym_eq"])).select("hits", "predicted", "truth")
+    found["pairs_f1"] = lambda s, d: pairs.f1(pairs.pairs(_entries(s, d), SYM["pairs_sym_after"]), pairs.pairs(_entries(s, d), ASYM["pairs_asym_ge"]))
+    found["pairs_spec_f1"] = lambda s, d: pairs.spec_f1(_entries(s, d), SYM["pairs_sym_after"], ASYM["pairs_asym_ge"])
+    found["pairs_floor"] = lambda s, d: pairs.task_counts(_entries(s, d), {0: ASYM["pairs_asym_eq"]}).select("n_pairs", "floor")
+    found["pairs_all_specs"] = lambda s, d: pairs.task_counts(_labelled(s, d), TASKS)
+    for task, spec in TASKS.items():
+        found[f"pairs_task_{task:02d}"] = lambda s, d, spec=spec: pairs.pairs(_labelled(s, d), spec)
+    found["pairs_macro"] = lambda s, d: pairs.macro(pairs.task_counts(_labelled(s, d), TASKS).select("task", "floor", (F.col("task") % 4 / 4).alias("f1")))
+    found["pairs_overlaid"] = lambda s, d: pairs.pairs(pairs.overlaid(_records(s, d), _records(s, d).where("index % 10 < 9 OR user % 3 = 0").select("index", F.when(F.col("index") % 7 == 0, F.lit("entity")).otherwise(F.col("label")).alias("label")), True), TASKS[2])
+    found["pairs_digest"] = lambda s, d: pairs.pair_set_sha256(_t(s, d, "events").select((F.col("user_id") % 50).alias("answer_id"), (F.col("event_id") % 13).alias("a"), (F.col("event_id") % 17 + 13).alias("b")))
+    found["answer_parse_paper"] = lambda s, d: pairs.parse_answer(_answers(s, d), key="answer_id")
+    found["answer_parse_loose"] = lambda s, d: pairs.parse_answer_loose(_answers(s, d), key="answer_id")
+    found["answer_value"] = lambda s, d: _values(s, d).select("answer_id", F.explode(pairs.pairs_from_value(F.col("value"))).alias("p")).select("answer_id", "p.a", "p.b")
     found["doc_structure"] = lambda s, d: text.kinds(_docs(s, d))
     found["doc_digest"] = lambda s, d: _docs(s, d).select("ctx_id", digest(F.col("text")).alias("digest"))
     found["doc_units"] = lambda s, d: text.units(_docs(s, d), source=False)
@@ -102,6 +143,23 @@ def queries() -> dict[str, Query]:
     found["doc_read_range"] = lambda s, d: text.read(_docs(s, d), 100, 300)
     found["doc_search_literal"] = lambda s, d: text.search(_docs(s, d), "license")
     found["doc_search_regex"] = lambda s, d: text.search(_docs(s, d), r"\d{3}-\d{4}", regex=True, ignore_case=False)
+    found["fn_preview"] = lambda s, d: _docs(s, d).select("ctx_id", scalars.preview(F.col("text")).alias("preview"), scalars.truncated(F.col("text"), 200).alias("short"))
+    found["fn_signature"] = lambda s, d: _docs(s, d).select("ctx_id", scalars.signature(F.concat(F.lit("  how many "), F.col("ctx_id").cast("string"), F.lit("?\n")), F.col("text")).alias("signature"))
+    found["fn_numbers"] = lambda s, d: _t(s, d, "events").select("event_id", *[f(F.col("props"), F.col("event_id") % 97).alias(n) for n, f in (("has_number", scalars.has_number), ("is_identifier", scalars.is_identifier))], scalars.lexical_tell(F.col("props"), 42, 17).alias("tell"))
+    found["fn_answer_tag"] = lambda s, d: _t(s, d, "events").select("event_id", scalars.answer_tag(F.concat(F.lit("so <Answer>\n"), F.col("event_type"), F.when(F.col("event_id") % 3 > 0, "</ANSWER> <answer>x</answer>").otherwise(""))).alias("answer"))
+    found["fn_label_of"] = lambda s, d: _t(s, d, "events").select("event_id", scalars.label_of(F.concat(F.lit("It is **"), F.upper("event_type"), F.when(F.col("event_id") % 5 == 0, " or view").otherwise("")), ["click", "view", "error"]).alias("label"))
+    found["fn_repeated_tail"] = lambda s, d: _docs(s, d).select("ctx_id", scalars.repeated_tail(F.col("text"), tail=600, least=5).alias("phrase"))
+    found["prov_sourced"] = lambda s, d: _docs(s, d).select("ctx_id", provenance.sourced(F.col("text")).alias("r")).select("ctx_id", "r.*")
+    found["prov_unitization"] = lambda s, d: provenance.unitization(text.units(_docs(s, d), source=False))
+    found["prov_locate"] = lambda s, d: provenance.locate(_docs(s, d), _slices(s, d)).select("record_id", "start", "end")
+    found["prov_verified"] = lambda s, d: provenance.verified(_claims(s, d), _docs(s, d)).select("call_id", "pos", "start", "end")
+    found["prov_recursive"] = lambda s, d: provenance.recursive_certificate(_docs(s, d), _delegated(s, d)).select("ctx_id", "chars", "covered_fraction", "complete", F.array_join(F.transform("gaps", lambda g: F.concat_ws("-", g["start"], g["end"])), ";").alias("gaps"))
+    found["prov_containment"] = lambda s, d: provenance.by_containment(text.segments(_docs(s, d), target=200, low=50, high=600).select(F.concat_ws("/", "ctx_id", "ref").alias("row_id"), "ctx_id", "start", "end", F.lit("x").alias("value")), text.units(_docs(s, d), source=False).withColumnRenamed("item", "index")).drop("value")
+    found["prov_basis"] = lambda s, d: provenance.semantic_basis(_t(s, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("sweep_id"), F.when(F.col("event_type") == "click", "semantic_search").otherwise("semantic_map").alias("operation"), F.when(F.col("event_type") == "signup", "context").otherwise("provided_items").alias("scope")))
+    found["prov_repeats"] = lambda s, d: provenance.repeats(_t(s, d, "events"), "user_id", "event_id", "event_type", "props").select("event_id", "repeated")
+    found["prov_streaks"] = lambda s, d: provenance.streaks(_t(s, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("bad"), (F.col("event_type") == "purchase").alias("good")), "user_id", "event_id", "bad", "good")
+    found["audit_sweep"] = lambda s, d: provenance.counters(_t(s, d, "labels").where("toxic = 1"), _t(s, d, "documents").where("n_chars % 7 = 0"), "doc_id")
+    found["audit_questions"] = lambda s, d: provenance.question_records(_t(s, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("call_id"), F.col("text").alias("question")), _t(s, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("index"), F.col("text").alias("question")))
     found["cov_union"] = lambda s, d: coverage.union(_spans(s, d))
     found["cov_gaps"] = lambda s, d: coverage.gaps(_spans(s, d), _sizes(s, d))
     found["cov_fraction"] = lambda s, d: coverage.fraction(_spans(s, d), _sizes(s, d)).select("ctx_id", "covered", "chars")
@@ -120,6 +178,26 @@ def queries() -> dict[str, Query]:
     return found
 
 
+def _slices(spark: SparkSession, d: str) -> DataFrame:
+    """A record of a slice of each document; of one in five, of another's words."""
+    docs = _docs(spark, d).withColumn("own", F.when(F.col("ctx_id") % 5 == 0, F.reverse(F.substring("text", 40, 500))).otherwise(F.substring("text", 40, 500)))
+    return docs.select(F.col("ctx_id").alias("record_id"), "ctx_id", provenance.sourced(F.col("own")).alias("r")).select("record_id", "ctx_id", "r.chars", "r.sha256", "r.head")
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """Six claims on each document, of which what was sent holds the first 90 characters once and again, reversed."""
+    spans = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for k, (a, b) in enumerate(((0, 90), (0, 90), (10, 40), (80, 120), (50, 50), (0, 10**7)))])
+    sent = F.concat(F.substring("text", 1, 90), F.lit(" | "), F.reverse(F.substring("text", 1, 90)))
+    return _docs(spark, d).select(F.col("ctx_id").alias("call_id"), "ctx_id", F.explode(spans).alias("c"), sent.alias("sent")).select("call_id", "ctx_id", "c.pos", "c.start", "c.end", "sent")
+
+
+def _delegated(spark: SparkSession, d: str) -> DataFrame:
+    """Two delegated spans of each even document."""
+    n = F.length("text").cast("long")
+    spans = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.floor(n / 2).alias("end")), F.struct(F.floor(n / 2 + F.col("ctx_id") % 4 * 10).alias("start"), n.alias("end")))
+    return _docs(spark, d).where("ctx_id % 2 = 0").select(digest(F.col("text")).alias("of"), F.explode(spans).alias("p")).select("of", "p.start", "p.end").where("start < end").distinct()
+
+
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
     """Events as nodes under their users; each 13th has no known place."""
     return _t(spark, d, "events").select("event_id", (F.col("event_id") + 10**9).alias("node_id"), F.col("user_id").alias("parent_id"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 900).alias("placed_at"), F.lit(40).cast("long").alias("chars"))
@@ -165,10 +243,24 @@ def oracle_sql() -> dict[str, str]:
         found[f"{name}_count"] = f"WITH {with_} SELECT count(*) AS n_pairs FROM p"
     every = "q AS (SELECT DISTINCT user_id AS u FROM events), w AS (SELECT x.u AS a, y.u AS b FROM q x JOIN q y ON x.u < y.u)"
     found["pairs_every"] = f"WITH {every} SELECT a, b FROM w"
-    f1 = "SELECT (SELECT count(*) FROM {0} JOIN {1} USING (a, b)) AS hits, (SELECT count(*) FROM {0}) AS predicted, (SELECT count(*) FROM {1}) AS truth"
     other = _asym_sql(ASYM["pairs_asym_ge"]).replace(ENTRIES + ", ", "").replace("p AS", "p2 AS")
-    found["pairs_f1"] = f"WITH {_sym_sql(SYM['pairs_sym_after'])}, {other} " + f1.format("p", "p2")
-    found["pairs_floor"] = f"WITH {every}, {_asym_sql(ASYM['pairs_asym_eq'])} " + f1.format("w", "p")
+    found["pairs_f1"] = f"WITH {_sym_sql(SYM['pairs_sym_after'])}, {other}, n AS (SELECT (SELECT count(*) FROM p JOIN p2 USING (a, b)) AS hits, (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM p2) AS truth) SELECT *, {RATES} FROM n"
+    found["pairs_spec_f1"] = found["pairs_f1"]
+    found["pairs_floor"] = f"WITH {every}, {_asym_sql(ASYM['pairs_asym_eq'])} SELECT (SELECT count(*) FROM p) AS n_pairs, 2 * (SELECT count(*) FROM p) / ((SELECT count(*) FROM p) + (SELECT count(*) FROM w)) AS floor"
+    each = " UNION ALL ".join(f"SELECT {k}::INT AS task, (WITH {_task_sql(s)} SELECT count(*) FROM p) AS n_pairs" for k, s in TASKS.items())
+    found["pairs_all_specs"] = f"WITH {LABELLED}, w AS (SELECT count(DISTINCT u) AS n FROM e), t AS ({each}) SELECT task, n_pairs, 2 * n_pairs / (n_pairs + n * (n - 1) / 2) AS floor FROM t, w"
+    for k, s in TASKS.items():
+        found[f"pairs_task_{k:02d}"] = f"WITH {_task_sql(s)} SELECT a, b FROM p"
+    found["pairs_macro"] = f"SELECT avg(task % 4 / 4) AS macro_f1, count(*) FILTER (WHERE task % 4 / 4 > floor) AS above_floor, count(*) AS tasks FROM ({found['pairs_all_specs']})"
+    over = LABELLED.replace("e AS (SELECT u, label, d FROM r)", "m AS (SELECT *, i % 10 < 9 OR u % 3 = 0 AS said FROM r), whole AS (SELECT u FROM m GROUP BY u HAVING bool_and(said)), e AS (SELECT u, CASE WHEN i % 7 = 0 THEN 'entity' ELSE label END AS label, d FROM m WHERE u IN (SELECT u FROM whole))")
+    found["pairs_overlaid"] = f"WITH {_sym_sql(TASKS[2]).replace(ENTRIES, over)} SELECT a, b FROM p"
+    found["pairs_digest"] = """WITH p AS (SELECT DISTINCT user_id % 50 AS answer_id, event_id % 13 AS a, event_id % 17 + 13 AS b FROM events)
+        SELECT answer_id, sha256(string_agg('(' || a || ', ' || b || ')', chr(10) ORDER BY a, b)) AS sha256 FROM p GROUP BY answer_id"""
+    said = "SELECT DISTINCT user_id AS answer_id, least(event_id % 7, event_id % 5 + 2) AS a, greatest(event_id % 7, event_id % 5 + 2) AS b FROM events WHERE event_type <> 'error'"
+    found["answer_parse_paper"] = f"{said} AND event_type <> 'view'"
+    found["answer_parse_loose"] = said
+    found["answer_value"] = """WITH v AS (SELECT user_id AS answer_id, event_id % 11 AS a, event_id % 11 + CASE WHEN event_id % 997 = 0 THEN 0 ELSE 1 + event_id % 3 END AS b FROM events)
+        SELECT DISTINCT answer_id, a, b FROM v WHERE answer_id NOT IN (SELECT answer_id FROM v WHERE a = b)"""
     rows = "string_split(rtrim(text, chr(10)), chr(10))"
     found["doc_structure"] = rf"""SELECT doc_id AS ctx_id, CASE WHEN regexp_matches(text, '(?m)^(def |class |async def )') THEN 'code' WHEN regexp_matches(text, '(?m)^#{{1,6}} .*$') THEN 'sections'
         WHEN len({rows}) >= 8 AND len(list_filter({rows}[1:200], lambda x: length(x) - length(replace(x, '|', '')) >= 2)) >= least(len({rows}), 200) * 0.6 THEN 'rows'
@@ -203,6 +295,37 @@ def oracle_sql() -> dict[str, str]:
     found["doc_search_literal"] = hits.format("(?i)license", SEGMENTS)
     found["doc_search_regex"] = hits.format(r"\d{{3}}-\d{{4}}".replace("{{", "{").replace("}}", "}"), SEGMENTS)
     found["doc_search_refs"] = f"""SELECT ctx_id, max(matches) AS matches, count(*) AS returned, list_aggregate(list_sort(list(DISTINCT ref)), 'string_agg', ',') AS refs FROM ({found['doc_search_literal']}) GROUP BY ctx_id"""
+    found["fn_preview"] = """SELECT doc_id AS ctx_id, CASE WHEN length(text) <= 600 THEN text ELSE substr(text, 1, 600) || chr(10) || '...[' || (length(text) - 600) || ' more chars]' END AS preview,
+        CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 100) || chr(10) || '...[' || (length(text) - 200) || ' chars omitted]...' || chr(10) || right(text, 100) END AS short FROM documents"""
+    found["fn_signature"] = "SELECT doc_id AS ctx_id, substr(sha256('how many ' || doc_id || '?' || chr(0) || sha256(text)), 1, 16) AS signature FROM documents"
+    found["fn_numbers"] = r"""WITH n AS (SELECT event_id, list_transform(regexp_extract_all(props, '\d[\d,.]*'), lambda x: try_cast(replace(replace(x, ',', ''), '.', '') AS HUGEINT)) AS a, list_transform(regexp_extract_all(props, '\b\d+\b'), lambda x: try_cast(x AS HUGEINT)) AS b FROM events)
+        SELECT event_id, list_contains(a, event_id % 97) AS has_number, list_contains(b, event_id % 97) AS is_identifier, CASE WHEN list_contains(a, 17) THEN 'lexical_answer' WHEN list_contains(a, 42) THEN 'answered' ELSE 'other_wrong_answer' END AS tell FROM n"""
+    found["fn_answer_tag"] = "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS answer FROM events"
+    found["fn_label_of"] = "SELECT event_id, CASE WHEN event_type IN ('click', 'error') AND event_id % 5 <> 0 THEN event_type WHEN event_type = 'view' THEN 'view' WHEN event_type NOT IN ('click', 'error') AND event_id % 5 = 0 THEN 'view' END AS label FROM events"
+    found["fn_repeated_tail"] = """WITH t AS (SELECT doc_id, right(text, 600) AS t FROM documents), p AS (SELECT doc_id, k, substr(t, k, 24) AS p FROM t, unnest(range(1, length(t) - 24 + 1)) AS u(k)),
+        n AS (SELECT doc_id, p, count(*) AS n, min(k) AS first FROM p GROUP BY ALL), b AS (SELECT doc_id, p, n FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1)
+        SELECT t.doc_id AS ctx_id, CASE WHEN n >= 5 THEN p END AS phrase FROM t LEFT JOIN b ON t.doc_id = b.doc_id"""
+    found["prov_sourced"] = "SELECT doc_id AS ctx_id, length(text) AS chars, substr(sha256(text), 1, 16) AS sha256, substr(text, 1, 240) AS head, CASE WHEN length(text) > 240 THEN right(text, 240) ELSE '' END AS tail, preview FROM documents JOIN (" + found["fn_preview"] + ") ON doc_id = ctx_id"
+    found["prov_unitization"] = f"SELECT ctx_id, substr(sha256(string_agg(start || '-' || \"end\", ';' ORDER BY start)), 1, 16) AS digest FROM ({found['doc_units']}) GROUP BY ctx_id"
+    found["prov_locate"] = """WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN reverse(substr(text, 40, 500)) ELSE substr(text, 40, 500) END AS own FROM documents), f AS (SELECT doc_id, own, strpos(text, own) AS pos FROM s)
+        SELECT doc_id AS record_id, CASE WHEN own <> '' AND pos > 0 THEN pos - 1 END AS start, CASE WHEN own <> '' AND pos > 0 THEN pos - 1 + length(own) END AS "end" FROM f"""
+    found["prov_verified"] = r"""WITH c AS (SELECT doc_id, text, substr(text, 1, 90) || ' | ' || reverse(substr(text, 1, 90)) AS sent, unnest([{'pos': 0, 'a': 0, 'b': 90}, {'pos': 1, 'a': 0, 'b': 90}, {'pos': 2, 'a': 10, 'b': 40}, {'pos': 3, 'a': 80, 'b': 120}, {'pos': 4, 'a': 50, 'b': 50}, {'pos': 5, 'a': 0, 'b': 10000000}]) AS c FROM documents),
+        b AS (SELECT doc_id, c.pos AS pos, c.a AS a, c.b AS b, sent, regexp_replace(substr(text, c.a + 1, c.b - c.a), '^\s+|\s+$', '', 'g') AS body FROM c WHERE c.a < c.b AND c.b <= length(text)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, body ORDER BY pos) AS nth FROM b WHERE body <> '') SELECT doc_id AS call_id, pos, a::BIGINT AS start, b::BIGINT AS "end" FROM n WHERE nth <= (length(sent) - length(replace(sent, body, ''))) / length(body)"""
+    found["prov_recursive"] = """WITH s AS (SELECT DISTINCT text, 0 AS a, length(text) // 2 AS b FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT text, floor(length(text) / 2 + doc_id % 4 * 10)::BIGINT, length(text) FROM documents WHERE doc_id % 2 = 0),
+        j AS (SELECT doc_id, length(documents.text) AS n, a, b FROM documents JOIN s ON documents.text = s.text WHERE a < b),
+        r AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM j),
+        g AS (SELECT doc_id, n, string_agg(m || '-' || a, ';' ORDER BY a) FILTER (WHERE a > m) AS inner_, max(b) AS top, sum(greatest(0, a - m)) AS open_ FROM r GROUP BY doc_id, n)
+        SELECT doc_id AS ctx_id, n AS chars, round((top - open_) / n, 6) AS covered_fraction, (top - open_) / n >= 0.98 AS complete, concat_ws(';', inner_, CASE WHEN top < n THEN top || '-' || n END) AS gaps FROM g"""
+    found["prov_containment"] = f"""{_segments_sql(200, 50, 600)}, i AS ({found['doc_units']}), j AS (SELECT g.ctx_id || '/' || ref AS row_id, i.item FROM g JOIN i ON g.ctx_id = i.ctx_id AND g.a <= i.start AND i."end" <= g.b)
+        SELECT row_id, CASE WHEN count(*) = 1 THEN min(item) END AS index, count(*) > 1 AS ambiguous FROM j GROUP BY row_id"""
+    found["prov_basis"] = """SELECT user_id AS run_id, arg_max(event_id, (event_type = 'signup')::BIGINT * 1000000000 + event_id) AS sweep_id, CASE WHEN bool_or(event_type = 'signup') THEN 'context' ELSE 'provided_items' END AS scope FROM events WHERE event_type <> 'click' GROUP BY user_id"""
+    found["prov_repeats"] = "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) > 1 AS repeated FROM events"
+    found["prov_streaks"] = """WITH p AS (SELECT user_id, event_type, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM events), n AS (SELECT user_id, part, count(*) FILTER (WHERE event_type = 'error') AS n FROM p GROUP BY ALL) SELECT user_id, max(n) AS longest FROM n GROUP BY user_id"""
+    found["audit_sweep"] = """WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), f AS (SELECT doc_id FROM documents WHERE n_chars % 7 = 0),
+        n AS (SELECT (SELECT count(*) FROM t JOIN f USING (doc_id)) AS true_positives, (SELECT count(*) FROM f WHERE doc_id NOT IN (FROM t)) AS false_positives, (SELECT count(*) FROM t WHERE doc_id NOT IN (FROM f)) AS false_negatives)
+        SELECT *, true_positives / (true_positives + false_positives) AS precision, true_positives / (true_positives + false_negatives) AS recall, 2 * true_positives / (2 * true_positives + false_positives + false_negatives) AS f1 FROM n"""
+    found["audit_questions"] = "SELECT c.conv_id AS call_id, r.conv_id || '/' || r.turn AS index FROM conversations c JOIN conversations r ON trim(c.text) = trim(r.text) WHERE c.turn = 0"
     found["cov_union"] = f'WITH {ISLANDS} SELECT ctx_id, s AS start, e AS "end" FROM o'
     found["cov_gaps"] = f"""WITH {ISLANDS}, w AS (SELECT * FROM o UNION ALL SELECT DISTINCT user_id, 50000, 50000 FROM events), l AS (SELECT ctx_id, coalesce(lag(e) OVER (PARTITION BY ctx_id ORDER BY s, e), 0) AS a, s AS b FROM w)
         SELECT ctx_id, a AS start, b AS "end" FROM l WHERE b > a"""
