@@ -4,8 +4,11 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from unitweave.functions import scalars
 from unitweave.operators import coverage, delivery
-from unitweave.sources.artifacts import Artifacts
+from unitweave.sources.artifacts import Artifacts, Submission
 from unitweave.streaming import trace
 
 
@@ -73,6 +76,55 @@ def test_artifacts(spark, tmp_path):
         store.save_text("answer", "again")
 
 
+def test_values_and_records(spark, tmp_path):
+    store = Artifacts(spark, str(tmp_path / "a"))
+    ref = store.save_value("v", {"b": (1, 2.5), "a": None})
+    assert store.resolve(ref) == {"a": None, "b": [1, 2.5]} and store.resolve("plain") == "plain" and store.resolve([1]) == [1]
+    with pytest.raises(KeyError):
+        store.resolve("artifact://absent")
+    for value, kind in ((None, "null"), (True, "boolean"), (3, "integer"), (1.5, "number"), ("x", "string"), ([1], "array"), ({"k": "é" * 90}, "object")):
+        for limit in (20_000, 0):
+            record = store.record(value, limit=limit)
+            assert record["json_type"] == kind and store.read_record(record) == value and record["storage"] == ("inline" if limit else "artifact")
+    with pytest.raises(ValueError):
+        store.read_record(store.record("x") | {"value": "y"})
+    for bad in (float("nan"), {1: 2}, {"a": [object()]}):
+        with pytest.raises(TypeError, match="value"):
+            store.record(bad)
+    answers = spark.createDataFrame([(1, ref), (2, "artifact://gone"), (3, "text")], "answer_id int, text string")
+    assert [r.answer_id for r in store.undelivered(answers, spark.createDataFrame([(ref,)], "ref string")).collect()] == [2]
+
+
+def test_submission(spark, tmp_path):
+    for k, value in enumerate(([], 0, None, {"a": 1})):
+        s = Submission(spark, str(tmp_path / f"s{k}"))
+        with pytest.raises(KeyError):
+            s.answer()
+        s.submit(value)
+        assert s.committed() and s.answer() == value
+        with pytest.raises(RuntimeError):
+            s.submit(1)
+    s = Submission(spark, str(tmp_path / "t"))
+    s.submit(spark.range(3))
+    assert s.answer().count() == 3
+
+
+def test_modes_and_scalars(spark):
+    for mode, contract in (("raw", False), ("validate_only", True), ("constrained", True)):
+        delivery.check_mode(mode, contract)
+    for mode, contract in (("raw", True), ("validate_repair", False), ("other", True)):
+        with pytest.raises(ValueError):
+            delivery.check_mode(mode, contract)
+    a = spark.createDataFrame([(1, "5"), (2, " -1_000 "), (3, "5 6"), (4, None), (5, "1e5"), (6, "1\n2")], "answer_id int, text string")
+    assert {r.answer_id for r in delivery.check_scalar(a, "integer").collect()} == {3, 4, 5, 6} and {r.answer_id for r in delivery.check_scalar(a, "number").collect()} == {3, 4, 6}
+    assert scalars.shape({"a": [1, "xy"], "b": None}) == "dict[2] of list[2] of int | str[2 chars] | null" and scalars.as_text(["a", "b"]) == "a\n\nb"
+    for bad in ([], ["a", {"x": 1}], 5, {"x": 1}):
+        with pytest.raises(ValueError):
+            scalars.as_text(bad)
+    assert spark.range(1).select(scalars.without(F.lit("at /home/me/x and /home"), "/home", "/home/me").alias("v")).first().v == "at <host>/x and <host>"
+    assert scalars.plan_key(spark.range(5).where("id > 1")) == scalars.plan_key(spark.range(5).where("id > 1")) and scalars.frame_shape(spark.range(1)) == "struct<id:bigint>"
+
+
 def test_event_log(spark, tmp_path):
     log, out = tmp_path / "log", tmp_path / "out"
     log.mkdir()

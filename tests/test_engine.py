@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from unitweave.functions.leaf import parse_replies, validate
 from unitweave.functions.text import bare
-from unitweave.operators import coverage, pairs, sweep, text
+from unitweave.operators import coverage, pairs, text
 from unitweave.plans import pair_specs
 from unitweave.plans.budget import Budget
 from unitweave.plans.schema import parse
@@ -196,25 +196,6 @@ def test_replies(spark):
     assert got == {("f", 0): ("repeated", None), ("f", 1): (None, "b"), ("f", 2): ("missing", None), ("f", 3): ("invalid", None), ("f", 99): ("foreign", None), ("g", 1): ("invalid", None), ("g", 2): ("missing", None)}
 
 
-def test_sweep(spark, tmp_path):
-    items = spark.createDataFrame([(1, k, f"shift {k} {'handover' if k % 3 == 0 else 'routine'}") for k in range(600)], "ctx_id int, item long, source string")
-    rule = sweep.rule_judge(lambda s: F.when(F.contains(s, F.lit("handover")), "yes").otherwise("no"))
-    s = sweep.semantic_map(items, {"type": "boolean"}, rule, str(tmp_path))
-    assert tuple(s.envelope.first()) == (600, 600, 0, "complete") and s.rows.where("value = 'true'").count() == 200
-    drop = sweep.fault_judge(rule, lambda r: F.regexp_replace(r, r"item (\d*)5: \w+", "item $15: maybe"))
-    s = sweep.semantic_map(items, {"type": "boolean"}, drop, str(tmp_path))
-    assert s.envelope.first().status == "complete"
-    s = sweep.semantic_map(items, {"type": "boolean"}, drop, str(tmp_path), retry=False)
-    assert tuple(s.envelope.first()) == (600, 540, 60, "partial") and {r.item % 10 for r in s.failed.collect()} == {5}
-    assert sweep.semantic_map(items.limit(0), {"type": "boolean"}, rule, str(tmp_path)).envelope.first().status == "unsent"
-
-
-def test_budget(spark):
-    b = Budget(max_calls=3, max_depth=1)
+def test_admission(spark):
     jobs = spark.createDataFrame([(k,) for k in range(6)], "job_seq long")
-    assert [r.sent for r in b.admit(jobs).orderBy("job_seq").collect()] == [True] * 3 + [False] * 3
-    child = b.child()
-    child.ledger.calls = 3
-    assert child.max_turns == 6 and b.exhausted() == "max_calls"
-    with pytest.raises(RuntimeError):
-        child.child()
+    assert [r.sent for r in Budget(max_calls=3).admit(jobs).orderBy("job_seq").collect()] == [True] * 3 + [False] * 3

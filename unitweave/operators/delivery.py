@@ -18,6 +18,8 @@ BARE_PAIR_LINE = r"^\s*(\d+)\s*,\s*(\d+)\s*$"
 INTEGER = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
 NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+)?|inf(?:inity)?|nan)\s*$"
 TYPES = ("integer", "number", "string")
+#: How an answer's text is treated.
+MODES = ("raw", "validate_only", "validate_repair", "constrained")
 
 
 @dataclass(frozen=True)
@@ -150,6 +152,38 @@ def render_records(rows: DataFrame, spec: Records) -> DataFrame:
     return made.groupBy("answer_id").agg(F.array_join(F.transform(in_order, lambda x: x["line"]), "\n").alias("text"))
 
 
+def check_scalar(answers: DataFrame, kind: str) -> DataFrame:
+    """answer_id, code: scalar_type where the text is no single value of the declared type."""
+    if kind not in TYPES:
+        raise ValueError(f"a scalar is one of {', '.join(TYPES)}")
+    one = matches(F.coalesce("text", F.lit("")), kind) & ~F.contains(F.coalesce("text", F.lit("")), F.lit("\n"))
+    return answers.where(~one if kind != "string" else F.col("text").isNull()).select("answer_id", F.lit("scalar_type").alias("code"))
+
+
+def check_mode(mode: str, contract: bool) -> None:
+    """raw goes without a contract, all others need one."""
+    if mode not in MODES:
+        raise ValueError(f"an output mode is one of {', '.join(MODES)}, not {mode!r}")
+    if contract == (mode == "raw"):
+        raise ValueError("raw output has no contract" if contract else f"{mode} needs a contract")
+
+
+def verdicts(answers: DataFrame, issues: DataFrame, differing: DataFrame | None = None) -> DataFrame:
+    """answer_id, valid: no issue, and the text says what was committed (no row of differences())."""
+    bad = issues.select("answer_id").distinct()
+    if differing is not None:
+        bad = bad.union(differing.select("answer_id")).distinct()
+    return answers.select("answer_id").join(bad.withColumn("bad", F.lit(True)), "answer_id", "left").select("answer_id", F.col("bad").isNull().alias("valid"))
+
+
+def feedback(issues: DataFrame, classes: int = 8) -> DataFrame:
+    """answer_id, text: the most frequent codes of each answer with how often and on which lines, `classes` at most."""
+    rank = F.row_number().over(Window.partitionBy("answer_id").orderBy(F.col("n").desc(), "code"))
+    line = F.concat(F.col("code"), F.lit(" x"), F.col("n").cast("string"), F.when(F.size("lines") > 0, F.concat(F.lit(" (lines "), F.array_join(F.col("lines").cast("array<string>"), ", "), F.lit(")"))).otherwise(""))
+    top = issues.withColumn("rank", rank).where(F.col("rank") <= classes).select("answer_id", F.struct("rank", line.alias("line")).alias("r"))
+    return top.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "; ").alias("text"))
+
+
 def differences(committed: DataFrame, presented: DataFrame) -> DataFrame:
     """answer_id, missing, extra: pairs (answer_id, a, b) that only one side has; equal answers give no row."""
     key = ["answer_id", "a", "b"]

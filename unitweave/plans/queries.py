@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from unitweave.functions.leaf import parse_replies, validate
 from unitweave.functions.text import digest
 from unitweave.functions import scalars
-from unitweave.operators import coverage, delivery, pairs, provenance, text
+from unitweave.operators import coverage, delivery, pairs, provenance, sweep, text
 from unitweave.plans.pair_specs import TASKS
 from unitweave.plans.schema import parse
+from unitweave.sources import corpora
+from unitweave.sources.work import folder
 from unitweave.streaming import trace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,22 +164,78 @@ def queries() -> dict[str, Query]:
     found["audit_questions"] = lambda s, d: provenance.question_records(_t(s, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("call_id"), F.col("text").alias("question")), _t(s, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("index"), F.col("text").alias("question")))
     found["cov_union"] = lambda s, d: coverage.union(_spans(s, d))
     found["cov_gaps"] = lambda s, d: coverage.gaps(_spans(s, d), _sizes(s, d))
-    found["cov_fraction"] = lambda s, d: coverage.fraction(_spans(s, d), _sizes(s, d)).select("ctx_id", "covered", "chars")
+    found["cov_fraction"] = lambda s, d: coverage.fraction(_spans(s, d), _sizes(s, d))
     found["rle_segments"] = lambda s, d: coverage.runs(_t(s, d, "events"), "user_id", "event_id", "event_type")
     found["trace_asof_batch"] = lambda s, d: coverage.last_before(_t(s, d, "events").withColumn("mark", F.col("event_type") == "signup"), "user_id", "event_id", "mark", "event_id").select("event_id", "as_of")
     found["leaf_validate_bool"] = lambda s, d: _t(s, d, "events").select("event_id", validate(F.when(F.col("value") > 50, F.concat(F.lit(" **Yes** "), F.lit("."))).when(F.col("value") > 20, F.lit("no")).otherwise(F.col("event_type")), parse({"type": "boolean"})).alias("r")).select("event_id", "r.ok", "r.value")
     found["leaf_validate_enum"] = lambda s, d: _t(s, d, "events").select("event_id", validate(F.upper("event_type"), parse({"type": "string", "enum": ["click", "View", "error"]})).alias("r")).select("event_id", "r.ok", "r.value")
     found["reply_parse"] = _reply_parse
-    found["out_pair_issues"] = lambda s, d: delivery.check_pairs(_answers(s, d)).select("answer_id", "code", "n")
-    found["out_record_issues"] = lambda s, d: delivery.check_records(_answers(s, d), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True)).select("answer_id", "code", "n")
+    found["out_pair_issues"] = lambda s, d: delivery.check_pairs(_answers(s, d)).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
+    found["out_record_issues"] = lambda s, d: delivery.check_records(_answers(s, d), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True)).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
     found["out_render"] = lambda s, d: delivery.render_records(_t(s, d, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("pos"), F.array((F.col("event_id") % 7).cast("string"), (F.col("event_id") % 5 + 2).cast("string")).alias("fields")), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True))
     found["cov_place"] = lambda s, d: coverage.place(_docs(s, d).select(F.col("ctx_id").alias("part_id"), "ctx_id", F.substring("text", 5, 30).alias("part")), _docs(s, d)).select("ctx_id", "placed_at")
     found["cov_tree_spans"] = lambda s, d: coverage.lifted(_leaves(s, d).select("node_id", F.lit(0).alias("start"), (F.col("event_id") % 40 + 30).alias("end")), _leaves(s, d), max_depth=1)
     found["cov_tree_certificate"] = _tree_certificate
-    found["trace_trajectory"] = lambda s, d: trace.trajectory(_log(s, d)).drop("seconds")
+    found["trace_trajectory"] = lambda s, d: trace.trajectory(_log(s, d))
+    found["trace_evidence"] = lambda s, d: trace.evidence(_calls(s, d))
+    found["trace_batches"] = lambda s, d: trace.batch_of(_calls(s, d))
+    found["trace_rollup"] = lambda s, d: trace.rolled_up(_tree(s, d))
+    found["trace_attribution"] = lambda s, d: trace.attribution(_t(s, d, "events").groupBy(F.col("user_id").alias("run_id")).agg((F.max("event_id") % 7 == 0).alias("correct"), F.count_if(F.col("event_type") == "purchase").alias("subcalls"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 99)).alias("received"), F.count_if(F.col("value") > 199).alias("named"), (F.max("event_id") % 100 / 50).alias("coverage"))).select("run_id", "needle_verdict", "aggregate_verdict")
+    found["cov_tree_deep"] = lambda s, d: coverage.lifted(_leaves(s, d).select("node_id", F.lit(0).alias("start"), (F.col("event_id") % 40 + 30).alias("end")), _deep(s, d), max_depth=2)
+    found["out_valid"] = lambda s, d: delivery.verdicts(_answers(s, d), delivery.check_pairs(_answers(s, d)).where("code <> 'invalid_pair_line'"), delivery.differences(_t(s, d, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("answer_id"), F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b")), pairs.parse_answer(_answers(s, d), key="answer_id").where("answer_id % 2 = 0")))
+    found["out_scalar_issues"] = lambda s, d: delivery.check_scalar(_t(s, d, "events").select(F.col("event_id").alias("answer_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit(" +"), F.col("event_id").cast("string"))).alias("text")), "integer")
+    found["out_feedback"] = lambda s, d: delivery.feedback(delivery.check_pairs(_answers(s, d)), 2)
+    found["corpus_truths"] = lambda s, d: corpora.truths(corpora.records(s, 1600))
+    found["corpus_records"] = lambda s, d: corpora.split_records(corpora.context(corpora.records(s, 240))).select("index", F.trim(F.regexp_replace("record", r"\s+", " ")).alias("record"))
+    found["plan_sum"] = lambda s, d: corpora.execute({"op": "sum", "column": "o_totalprice", "filters": {"o_orderstatus": "F", "o_orderdate": ["1994-01-01", "1994-12-31"]}}, _t(s, d, "orders")).select(F.round("value", 2).alias("value"))
+    found["plan_count"] = lambda s, d: corpora.execute({"op": "count", "filters": {"event_type": "view", "value": [10, 20]}}, _t(s, d, "events"))
+    found["plan_max"] = lambda s, d: corpora.execute({"op": "max", "column": "event_id", "of": "value", "filters": {"event_type": "click"}}, _t(s, d, "events"))
+    found["sweep_items"] = lambda s, d: sweep.context_items(_docs(s, d), parse({"type": "string", "enum": ["x" * 300]})).select("ctx_id", "item", "start", "end", "ref")
+    found["sweep_search"] = lambda s, d: _sweeps(s).semantic_search(_docs(s, d), "does it say tion?").rows.where("value = 'true'").select("ctx_id", "item", "start", "end")
+    found["sweep_failed"] = lambda s, d: _sweeps(s, 1, 2).semantic_search(_docs(s, d), "does it say tion?").failed.select("ctx_id", "item", "problem")
+    found["sweep_salvaged"] = lambda s, d: _sweeps(s, 1, 2).semantic_search(_docs(s, d), "does it say tion?").rows.groupBy("ctx_id").agg(F.count("*").alias("valid"), F.count_if(F.col("value") == "true").alias("positive"))
+    found["sweep_retry"] = _retried
+    found["sweep_provided"] = lambda s, d: _sweeps(s).semantic_map(None, "is it an answer?", {"type": "boolean"}, _t(s, d, "conversations").select(F.col("conv_id").alias("ctx_id"), F.col("turn").alias("item"), F.col("text").alias("source"))).rows.select("ctx_id", "item", "value")
     return found
 
 
+def _sweeps(spark: SparkSession, *faulty: int) -> sweep.Sweeps:
+    """A judge by rule; in the faulty waves every item whose number ends in 3 has an answer that isn't allowed."""
+    rule = sweep.rule_judge(lambda x: F.when(F.contains(x, F.lit("tion")), "yes").otherwise("no"))
+    judge = sweep.fault_judge(rule, lambda r: F.regexp_replace(r, r"(?m)^item (\d*3): \w+", "item $1: maybe"), *faulty) if faulty else rule
+    return sweep.Sweeps(spark, folder(spark, "sweeps"), judge)
+
+
+def _retried(spark: SparkSession, d: str) -> DataFrame:
+    """One row: a sweep after its further pass."""
+    runs = _sweeps(spark, 1, 2)
+    e = runs.retry_failed(runs.semantic_search(_docs(spark, d), "does it say tion?")).envelope
+    kept = {k: e[k] for k in ("status", "total", "presented", "returned", "valid", "unsent", "context_complete", "retry_exhausted", "waves", "positive_count", "examined_items")}
+    return spark.createDataFrame([tuple(kept.values())], "status string, total long, presented long, returned long, valid long, unsent long, context_complete boolean, retry_exhausted boolean, waves int, positive_count long, examined_items long")
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls: purchases that answer, signups that start batches."""
+    kinds = F.when(F.col("event_type") == "purchase", "subcall").when(F.col("event_type") == "signup", "batch_start").otherwise("tool_call")
+    said = F.when(F.col("event_id") % 4 == 0, "None found").when(F.col("event_id") % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), F.col("props")))
+    return _t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kinds.alias("kind"), F.col("event_id").alias("batch"), F.when(F.col("value") > 150, "late").alias("error"), said.alias("response"), F.col("event_type").alias("source_ref"), F.length("props").cast("long").alias("source_chars"), digest(F.col("props")).alias("source_sha256"), F.repeat("props", F.lit(20)).alias("source_preview"))
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """Events below users below ten groups."""
+    e = _t(spark, d, "events").select((F.col("event_id") + 10**9).alias("node_id"), F.col("user_id").alias("parent_id"), (F.col("event_id") % 5).alias("calls"), (F.col("event_id") % 4).alias("peak"))
+    users = e.select(F.col("parent_id").alias("node_id")).distinct().select("node_id", (F.col("node_id") % 10 + 10**8).alias("parent_id"), F.lit(1).cast("long").alias("calls"), F.lit(2).cast("long").alias("peak"))
+    roots = users.select(F.col("parent_id").alias("node_id")).distinct().select("node_id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("calls"), F.lit(0).cast("long").alias("peak"))
+    return e.unionByName(users).unionByName(roots)
+
+
+def _deep(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves below users, users at a place in one of ten groups."""
+    leaves = _leaves(spark, d).select("node_id", "parent_id", "placed_at")
+    users = leaves.select(F.col("parent_id").alias("node_id")).distinct().select("node_id", (F.col("node_id") % 10 + 10**8).alias("parent_id"), F.when(F.col("node_id") % 4 != 0, F.col("node_id") * 1000).alias("placed_at"))
+    return leaves.unionByName(users)
+
+
 def _slices(spark: SparkSession, d: str) -> DataFrame:
     """A record of a slice of each document; of one in five, of another's words."""
     docs = _docs(spark, d).withColumn("own", F.when(F.col("ctx_id") % 5 == 0, F.reverse(F.substring("text", 40, 500))).otherwise(F.substring("text", 40, 500)))
@@ -235,6 +293,11 @@ def _reply_parse(spark: SparkSession, d: str) -> DataFrame:
     return parse_replies(replies, wanted, parse({"type": "string", "enum": ["click", "view", "purchase"]}))
 
 
+def _case(k: str, values: tuple[str, ...]) -> str:
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{listed}])[{k} % {len(values)} + 1]"
+
+
 def oracle_sql() -> dict[str, str]:
     found = {}
     for name, spec in (SYM | ASYM).items():
@@ -329,7 +392,7 @@ def oracle_sql() -> dict[str, str]:
     found["cov_union"] = f'WITH {ISLANDS} SELECT ctx_id, s AS start, e AS "end" FROM o'
     found["cov_gaps"] = f"""WITH {ISLANDS}, w AS (SELECT * FROM o UNION ALL SELECT DISTINCT user_id, 50000, 50000 FROM events), l AS (SELECT ctx_id, coalesce(lag(e) OVER (PARTITION BY ctx_id ORDER BY s, e), 0) AS a, s AS b FROM w)
         SELECT ctx_id, a AS start, b AS "end" FROM l WHERE b > a"""
-    found["cov_fraction"] = f"WITH {ISLANDS} SELECT ctx_id, sum(e - s)::BIGINT AS covered, 50000 AS chars FROM o GROUP BY ctx_id"
+    found["cov_fraction"] = f"WITH {ISLANDS} SELECT ctx_id, sum(e - s)::BIGINT AS covered, 50000 AS chars, sum(e - s) / 50000 AS share FROM o GROUP BY ctx_id"
     found["rle_segments"] = """WITH l AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         g AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM l) SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS n FROM g GROUP BY user_id, run"""
     found["trace_asof_batch"] = "SELECT event_id, as_of FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS as_of FROM events) WHERE event_type <> 'signup'"
@@ -340,7 +403,8 @@ def oracle_sql() -> dict[str, str]:
         j AS (SELECT coalesce(w.fragment, a.fragment) AS fragment, coalesce(w.item, a.item) AS item, CASE WHEN w.item IS NULL THEN 'foreign' WHEN c IS NULL THEN 'missing' WHEN c > 1 THEN 'repeated' WHEN v NOT IN ('click', 'view', 'purchase') THEN 'invalid' END AS problem, v FROM w FULL JOIN a ON w.fragment = a.fragment AND w.item = a.item)
         SELECT fragment, item, problem, CASE WHEN problem IS NULL THEN v END AS value FROM j"""
     lines = "l AS (SELECT user_id AS answer_id, event_id, event_type AS t, event_id % 7 AS x, event_id % 5 + 2 AS y FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, t <> 'error', x, y ORDER BY event_id) > 1 AS again FROM l)"
-    issue = lambda code, test: f"SELECT answer_id, '{code}' AS code, count(*) AS n FROM r WHERE {test} GROUP BY answer_id"
+    lines += ", k AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY event_id) AS no FROM r)"
+    issue = lambda code, test: f"SELECT answer_id, '{code}' AS code, count(*) AS n, array_to_string(list(no ORDER BY no)[1:3], ',') AS lines FROM k WHERE {test} GROUP BY answer_id"
     pair = {"pair_parentheses_required": "t = 'view'", "invalid_pair_line": "t = 'error'", "pair_order": "t <> 'error' AND x >= y", "duplicate_pair": "t <> 'error' AND again"}
     found["out_pair_issues"] = f"WITH {lines} " + " UNION ALL ".join(issue(*z) for z in pair.items())
     record = {"record_delimiters": "t IN ('error', 'view')", "field_count": "t = 'error'", "record_order": "t <> 'error' AND x >= y", "duplicate_record": "t <> 'error' AND again"}
@@ -359,5 +423,40 @@ def oracle_sql() -> dict[str, str]:
         f AS (SELECT u, sum(greatest(0, b - greatest(a, coalesce(m, 0)))) >= 980 AS enough FROM r GROUP BY u)
         SELECT event_id + 1000000000 AS node_id, covers FROM c UNION ALL SELECT u, enough AND (SELECT bool_and(covers) FROM c WHERE c.user_id = f.u) FROM f"""
     found["trace_trajectory"] = """SELECT user_id AS run_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'click') AS turns, count(*) FILTER (WHERE event_type = 'view') AS tool_calls, count(*) FILTER (WHERE event_type = 'purchase') AS subcalls,
-        count(*) FILTER (WHERE event_type = 'purchase' AND value <= 50) AS failed_subcalls, sum(event_id % 100)::BIGINT AS tokens, max(event_id % 50) AS last_turn, bool_or(event_type = 'error') AS finished FROM events GROUP BY user_id"""
+        count(*) FILTER (WHERE event_type = 'purchase' AND value <= 50) AS failed_subcalls, sum(event_id % 100)::BIGINT AS tokens, 0.0::DOUBLE AS seconds, max(event_id % 50) AS last_turn, bool_or(event_type = 'error') AS finished, bool_or(event_type = 'view') AS used_the_tool,
+        count(*) FILTER (WHERE event_type = 'purchase') >= 4 AS subcalls_at_least_4, false AS made_a_sourced_subcall, 0::BIGINT AS batches, false AS recursion_observed, 0::BIGINT AS recursion_depth, false AS child_did_work, 0::BIGINT AS duplicates, 0::BIGINT AS protocol_errors FROM events GROUP BY user_id"""
+    found["trace_evidence"] = """SELECT user_id AS run_id, event_id AS seq, event_type AS source_ref, length(props) AS source_chars, substr(sha256(props), 1, 16) AS source_sha256, substr(repeat(props, 20), 1, 300) AS excerpt, substr(trim(props), 1, 300) AS said
+        FROM events WHERE event_type = 'purchase' AND value <= 150 AND event_id % 4 > 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 8"""
+    found["trace_batches"] = "SELECT run_id, seq, batch FROM (SELECT user_id AS run_id, event_id AS seq, event_type, coalesce(max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS batch FROM events) WHERE event_type = 'purchase'"
+    found["trace_rollup"] = """WITH e AS (SELECT event_id + 1000000000 AS n, user_id AS u, user_id % 10 + 100000000 AS g, event_id % 5 AS c, event_id % 4 AS p FROM events), u AS (SELECT DISTINCT u, g FROM e)
+        SELECT n AS node_id, c AS calls, p AS peak FROM e UNION ALL SELECT u, sum(c)::BIGINT + 1, greatest(2, max(p)) FROM e GROUP BY u
+        UNION ALL SELECT g, (sum(c) + (SELECT count(*) FROM u WHERE u.g = e.g))::BIGINT, greatest(2, max(p)) FROM e GROUP BY g"""
+    found["trace_attribution"] = """WITH f AS (SELECT user_id, max(event_id) % 7 = 0 AS ok, count(*) FILTER (WHERE event_type = 'purchase') AS s, count(*) FILTER (WHERE event_type = 'purchase' AND value > 99) AS r, count(*) FILTER (WHERE value > 199) AS n, max(event_id) % 100 / 50 AS c FROM events GROUP BY user_id)
+        SELECT user_id AS run_id, CASE WHEN ok THEN 'answered' WHEN s = 0 THEN 'no_delegation' WHEN r = 0 THEN 'retrieval_failure' WHEN n > 0 THEN 'synthesis_failure' ELSE 'atomic_failure' END AS needle_verdict,
+        CASE WHEN ok THEN 'answered' WHEN s = 0 THEN 'no_delegation' WHEN c < 0.98 THEN 'incomplete_coverage' ELSE 'atomic_or_aggregation' END AS aggregate_verdict FROM f"""
+    found["cov_tree_deep"] = found["cov_tree_spans"] + """ UNION ALL SELECT user_id % 10 + 100000000, user_id * 1000 + event_id % 900, user_id * 1000 + event_id % 900 + event_id % 40 + 30 FROM events WHERE event_id % 13 <> 0 AND user_id % 4 <> 0"""
+    found["out_valid"] = f"""WITH {lines}, bad AS (SELECT answer_id FROM r WHERE t = 'view' OR (t <> 'error' AND (x >= y OR again))),
+        p AS (SELECT DISTINCT answer_id, least(x, y) AS a, greatest(x, y) AS b FROM r WHERE t NOT IN ('error', 'view') AND answer_id % 2 = 0), c AS (SELECT DISTINCT answer_id, 1 AS a, 2 AS b FROM r WHERE answer_id % 2 = 0),
+        d AS ((FROM p EXCEPT FROM c) UNION ALL (FROM c EXCEPT FROM p)) SELECT DISTINCT answer_id, answer_id NOT IN (SELECT answer_id FROM bad) AND answer_id NOT IN (SELECT answer_id FROM d) AS valid FROM r"""
+    found["out_scalar_issues"] = "SELECT event_id AS answer_id, 'scalar_type' AS code FROM events WHERE event_id % 3 = 0"
+    found["out_feedback"] = f"""WITH {lines},
+        i AS ({" UNION ALL ".join(f"SELECT answer_id, '{code}' AS code, count(*) AS n, list(no ORDER BY no)[1:3] AS lines FROM k WHERE {test} GROUP BY answer_id" for code, test in pair.items())}),
+        t AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY n DESC, code) AS rank FROM i)
+        SELECT answer_id, string_agg(code || ' x' || n || ' (lines ' || array_to_string(lines, ', ') || ')', '; ' ORDER BY rank) AS text FROM t WHERE rank <= 2 GROUP BY answer_id"""
+    note = "CASE WHEN i % 11 = 4 THEN " + _case("i", corpora.STOPPED) + " WHEN i % 7 = 2 THEN " + _case("i", corpora.WORDS_ONLY) + " ELSE " + _case("i", corpora.QUIET) + " END"
+    made = f"WITH n AS (SELECT i, {_case('i', corpora.DEPOTS)} AS depot, {_case('i', corpora.CREWS)} AS crew, {note} AS note FROM range({{0}}) AS r(i))"
+    found["corpus_truths"] = made.format(1600) + " SELECT count(*) AS records, count(*) FILTER (WHERE i % 11 = 4) AS stoppages, count(*) FILTER (WHERE i % 11 <> 4 AND i % 7 = 2) AS traps, count(*) FILTER (WHERE crew = 'night') AS night_crew, count(*) FILTER (WHERE regexp_matches(note, '(?i)stop|idle|rain|fog|wind')) AS keyword_count FROM n"
+    found["corpus_records"] = made.format(240) + " SELECT i AS index, format('=== Record {:04d} === Depot: ', i) || depot || ' Crew: ' || crew || ' Note: ' || note AS record FROM n"
+    found["plan_sum"] = "SELECT round(coalesce(sum(o_totalprice), 0), 2) AS value FROM orders WHERE o_orderstatus = 'F' AND o_orderdate BETWEEN '1994-01-01' AND '1994-12-31'"
+    found["plan_count"] = "SELECT count(*) AS value FROM events WHERE event_type = 'view' AND value BETWEEN 10 AND 20"
+    found["plan_max"] = "SELECT arg_max(event_id, value) AS value FROM events WHERE event_type = 'click'"
+    cap = (4096 - 400) // (10 + 300)
+    found["sweep_items"] = f"""{SEGMENTS}, i AS ({found['doc_units']}), j AS (SELECT i.*, g.ref, row_number() OVER (PARTITION BY i.ctx_id, g.ref ORDER BY item) - 1 AS k, count(*) OVER (PARTITION BY i.ctx_id, g.ref) AS n FROM i JOIN g ON i.ctx_id = g.ctx_id AND i.start >= a AND i.start < b)
+        SELECT ctx_id, item, start, "end", CASE WHEN n > {cap} THEN ref || '.' || (k // {cap}) ELSE ref END AS ref FROM j"""
+    judged = f"WITH i AS ({found['doc_units']}), v AS (SELECT i.*, contains(substr(text, start + 1, \"end\" - start), 'tion') AS yes FROM i JOIN documents ON doc_id = ctx_id)"
+    found["sweep_search"] = f'{judged} SELECT ctx_id, item, start, "end" FROM v WHERE yes'
+    found["sweep_failed"] = f"{judged} SELECT ctx_id, item, 'invalid' AS problem FROM v WHERE item % 10 = 3"
+    found["sweep_salvaged"] = f"{judged} SELECT ctx_id, count(*) AS valid, count(*) FILTER (WHERE yes) AS positive FROM v WHERE item % 10 <> 3 GROUP BY ctx_id"
+    found["sweep_retry"] = f"{judged} SELECT 'complete' AS status, count(*) AS total, count(*) AS presented, count(*) AS returned, count(*) AS valid, 0 AS unsent, true AS context_complete, true AS retry_exhausted, 3 AS waves, count(*) FILTER (WHERE yes) AS positive_count, count(*) AS examined_items FROM v"
+    found["sweep_provided"] = "SELECT conv_id AS ctx_id, turn AS item, CASE WHEN contains(text, 'tion') THEN 'true' ELSE 'false' END AS value FROM conversations"
     return found
