@@ -158,6 +158,7 @@ def _total(rows: DataFrame, tasks: int, size: int, of: Callable[[Rows, np.ndarra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _KEPT.clear()  # of the stage before, in this worker process
         total = np.zeros(size)
         for batch in batches:
             role, half = (batch.column(c).to_numpy() for c in (0, 1))
