@@ -41,9 +41,15 @@ SHINGLE, STYLE_BITS = 4, 6
 FULL = 1 << 62
 
 
-def narrow(ids: np.ndarray) -> bytes:
-    """Two bytes an id where all fit, behind a byte that says so."""
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
+def narrowed(tails: list[np.ndarray], flat: np.ndarray) -> list[bytes]:
+    """Each tail's ids, two bytes an id where all of them (flat) fit, behind a byte that says so."""
+    mark, kind = (b"\x02", "<u2") if flat.max() < 1 << 16 else (b"\x04", "<u4")
+    raw, size, at, out = flat.astype(kind).tobytes(), int(kind[2]), 0, []
+    for t in tails:
+        end = at + size * len(t)
+        out.append(mark + raw[at:end])
+        at = end
+    return out
 
 
 def widen(blob: bytes) -> np.ndarray:
@@ -126,11 +132,12 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataF
                     seq += full
                     tails.append(np.frombuffer(ids, "<u4", offset=4 * window * full) if len(ids) > 4 * window * full else np.zeros(0, "<u4"))
                 has = np.array([len(t) > 0 for t in tails])
-                place = np.zeros(len(tails), np.int64)
+                place, blobs = np.zeros(len(tails), np.int64), [b"\x02"] * len(tails)
                 own = [t for t in tails if len(t)]
                 if own:
                     place[has] = places(own)
                     flat = np.concatenate(own)
+                    blobs = narrowed(tails, flat)
                     kind, shift = (np.uint32, 24) if flat.max() < 1 << 24 else (np.uint64, 32)
                     seen = np.sort(np.repeat(np.arange(len(own), dtype=kind) << kind(shift), [len(t) for t in own]) | flat.astype(kind, copy=False))
                     seen = seen[np.concatenate([[True], seen[1:] != seen[:-1]])] & kind((1 << shift) - 1)
@@ -139,7 +146,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataF
                         df = np.concatenate([df, np.zeros(len(more) - len(df), np.int64)])
                     df[: len(more)] += more
                 rows = len(tails)
-                columns = [np.arange(at, at + rows), part.column(0), np.array(n), np.array(firsts), pa.array(crcs, pa.list_(pa.int64())), pa.array([narrow(t) for t in tails], pa.binary()), place, pa.nulls(rows, pa.binary())]
+                columns = [np.arange(at, at + rows), part.column(0), np.array(n), np.array(firsts), pa.array(crcs, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), place, pa.nulls(rows, pa.binary())]
                 at += rows
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], _NAMES[TOKENS])
         blob = zstandard.ZstdCompressor(level=3).compress(df.astype("<i8").tobytes())

@@ -10,6 +10,7 @@ and only new ones go to the library.
 from __future__ import annotations
 
 import re
+from operator import itemgetter
 
 #: Marks that make one pre-token when they follow a word.
 _MARKS = ".,;:!?*$%&#|()"
@@ -35,12 +36,18 @@ class _Pieces(dict):
 
     def __init__(self, encoder: "Encoder", space: str):
         super().__init__()
-        self.encoder, self.space = encoder, space
+        self.encoder, self.space, self.written = encoder, space, "\u0120" * len(space)
+        self.tokenize, self.ids, self.letters = encoder.model.tokenize, encoder.ids, encoder.letters
+
+    def word(self, word: str) -> bytes:
+        """Of one pre-token behind the space, by the library's model; letters of ASCII stand for themselves."""
+        found = self.tokenize(self.written + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))
+        return self.ids[found[0].id] if len(found) == 1 else b"".join([self.ids[t.id] for t in found])
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_MARKS)
         if word.isalpha() and (word.isascii() or max(word) <= "\u00ff"):
-            out = self[word] + self.encoder.mark(piece[len(word):]) if len(word) < len(piece) else self.encoder.word(self.space + word)
+            out = self[word] + self.encoder.mark(piece[len(word):]) if len(word) < len(piece) else self.word(word)
         else:
             line = piece[:1] == "\n"
             rest = piece[1:] if line else piece
@@ -66,18 +73,10 @@ class Encoder:
     def library(self, text: str) -> bytes:
         return b"".join([self.ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
-    def word(self, token: str) -> bytes:
-        """Of one pre-token, by the library's model."""
-        written = "\u0120" + token[1:] if token[0] == " " else token  # letters of ASCII stand for themselves
-        if not token.isascii():
-            written = token.encode().decode("latin-1").translate(self.letters)
-        found = self.model.tokenize(written)
-        return self.ids[found[0].id] if len(found) == 1 else b"".join([self.ids[t.id] for t in found])
-
     def mark(self, marks: str) -> bytes:
         found = self.marks.get(marks)
         if found is None:
-            found = self.word(marks)
+            found = self.first.word(marks)
             if len(self.marks) < 10_000:
                 self.marks[marks] = found
         return found
@@ -91,7 +90,9 @@ class Encoder:
         pieces = text.replace("\n", " \n").split(" ")
         end = pieces.pop() if pieces[-1] == "\n" else ""  # a line break after the last word
         try:
-            return (self.first[pieces[0]] if pieces[0] else b"") + b"".join(map(self.later.__getitem__, pieces[1:])) + (self.line if end else b"")
+            first = self.first[pieces[0]] if pieces[0] else b""
+            rest = itemgetter(*pieces[1:])(self.later) if len(pieces) > 2 else map(self.later.__getitem__, pieces[1:])  # one call for all
+            return b"".join([first, *rest, self.line if end else b""])
         except _Odd:
             pieces = _CUT.split(text)
             return b"".join([self.library(pieces[0]), *map(self.odd, pieces[1:])])
