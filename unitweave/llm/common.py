@@ -88,6 +88,11 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def crc32_divides(doc_id: Column, m: int) -> Column:
+    """Does m divide the unsigned crc32 of the id as text? Null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % m == 0
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns asked for, so that others, whatever their names, never clash."""
     return df.select(*[df[n] for n in names])

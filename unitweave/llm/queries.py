@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm import backoff_lm, bitplane, exact_topk, lexpack, licenses, mixing, overlap_join, puquality, quality_rules, surrogates
-from unitweave.llm.common import table
+from unitweave.llm import backoff_lm, bitplane, exact_topk, lexpack, licenses, merkle, mixing, overlap_join, puquality, quality_rules, surrogates
+from unitweave.llm.common import crc32_divides, table
 
 
 def tokenizer_path() -> str:
@@ -59,10 +59,15 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=crc32_divides(docs["doc_id"], 7))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mix_sources, op2_token_shards, op3_pu_quality, op4_exact_top_k, op5_lexical_packing, op6_license_digests, op7_adaptive_rules, op8_surrogates, op9_jaccard_join, op10_backoff_scores)
+    ops = (op1_mix_sources, op2_token_shards, op3_pu_quality, op4_exact_top_k, op5_lexical_packing, op6_license_digests, op7_adaptive_rules, op8_surrogates, op9_jaccard_join, op10_backoff_scores, op13_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op4_exact_top_k": exact_topk.ORACLE, "op6_license_digests": licenses.oracle(), "op7_adaptive_rules": quality_rules.ORACLE, "op9_jaccard_join": overlap_join.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op4_exact_top_k": exact_topk.ORACLE, "op6_license_digests": licenses.oracle(), "op7_adaptive_rules": quality_rules.ORACLE, "op9_jaccard_join": overlap_join.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
