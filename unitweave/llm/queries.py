@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitweave.llm import backoff_lm, bitplane, divergence, exact_topk, lexpack, licenses, merkle, mixing, overlap_join, puquality, quality_rules, surrogates
+from unitweave.llm import backoff_lm, bitplane, circulant, divergence, exact_topk, lexpack, licenses, merkle, mixing, overlap_join, puquality, quality_rules, surrogates
 from unitweave.llm.common import crc32_divides, table
 
 
@@ -59,6 +59,10 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op11_circulant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -69,9 +73,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mix_sources, op2_token_shards, op3_pu_quality, op4_exact_top_k, op5_lexical_packing, op6_license_digests, op7_adaptive_rules, op8_surrogates, op9_jaccard_join, op10_backoff_scores, op12_source_divergence, op13_merkle_manifest)
+    ops = (op1_mix_sources, op2_token_shards, op3_pu_quality, op4_exact_top_k, op5_lexical_packing, op6_license_digests, op7_adaptive_rules, op8_surrogates, op9_jaccard_join, op10_backoff_scores, op11_circulant_groups, op12_source_divergence, op13_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op4_exact_top_k": exact_topk.ORACLE, "op6_license_digests": licenses.oracle(), "op7_adaptive_rules": quality_rules.ORACLE, "op9_jaccard_join": overlap_join.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op4_exact_top_k": exact_topk.ORACLE, "op6_license_digests": licenses.oracle(), "op7_adaptive_rules": quality_rules.ORACLE, "op9_jaccard_join": overlap_join.ORACLE, "op11_circulant_groups": circulant.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
