@@ -10,24 +10,33 @@
    holds the vocabulary of a language.
 3. The counts are sparse postings (language, term, source, count). For a pair of sources
    the sum over all kept terms is taken over the terms that both have; what one or none
-   has follows from sums over one source's postings and the number of terms.
+   has follows from sums over one source's postings and the number of terms. A task
+   reads whole terms and sends sums, not pairs of postings.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import cut, ship
+from unitweave.llm.common import cut, drop_cut, ship
 
 #: ASCII letters in lower case; every other ASCII byte is a delimiter; the bytes of other characters stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 SCALE = 1_000_000_000
+#: Below this, SCALE * (count + 1) is a 64-bit number.
+_SAFE = 9_000_000_000
+#: Rows of sums that a task holds at most before it sends them on, and pairs of postings that it compares at once.
+_HELD, _SLAB = 1 << 20, 1 << 20
+#: Groups whose facts may be broadcast; with more of them the facts come by a join before the postings are dealt.
+FEW_GROUPS = 50_000
 
 
 def _words(text: str) -> list[bytes]:
@@ -35,32 +44,33 @@ def _words(text: str) -> list[bytes]:
 
 
 def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """docs (lang, source, text) -> (chunk, lang, source, term, df, body): a row per term of a chunk and language, and a row per source with its text.
+    """docs (lang, source, text) -> (chunk, lang, source, term, df, body): a row per term of a chunk and language, and a row per source with its text, compressed.
 
     A chunk closes when its text has `chunk_bytes`; its number holds the task's, so a task
     that runs again names its chunks alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "lang", "source", "term", "df", "body"]
+        import zstandard
+
+        names, pack = ["chunk", "lang", "source", "term", "df", "body"], zstandard.ZstdCompressor(level=1)
         chunk, held, found, bodies = TaskContext.get().partitionId() << 32, 0, {}, {}
 
         def close() -> Iterator[pa.RecordBatch]:
             for lang, df in found.items():
-                if df:
-                    n = len(df)
-                    own = pa.array([t.decode() for t in df], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([lang] * n), pa.nulls(n, pa.string()), own, pa.array(list(df.values()), pa.int64()), pa.nulls(n, pa.string())], names)
+                if n := len(df):
+                    own, times = pa.array([t.decode() for t in df], pa.string()), pa.array(list(df.values()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([lang] * n, pa.string()), pa.nulls(n, pa.string()), own, times, pa.nulls(n, pa.binary())], names)
             for (lang, source), parts in bodies.items():
-                body = b" " + b" ".join(parts) + b" "
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([lang]), pa.array([source]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([body.decode()])], names)
+                body = pack.compress(b" " + b" ".join(parts) + b" ")
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang], pa.string()), pa.array([source], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([body], pa.binary())], names)
 
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = _words(text)
-                df = found.setdefault(lang, {})
-                for t in set(words):
-                    df[t] = df.get(t, 0) + 1
+                if (df := found.get(lang)) is None:
+                    df = found[lang] = Counter()
+                df.update(set(words))
                 parts = bodies.setdefault((lang, source), [])
                 held += 16  # a text without terms costs a name at most
                 if words:
@@ -71,41 +81,64 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                     chunk, held, found, bodies = chunk + 1, 0, {}, {}
         yield from close()
 
-    return docs.mapInArrow(run, "chunk long, lang string, source string, term string, df long, body string")
+    return docs.mapInArrow(run, "chunk long, lang string, source string, term string, df long, body binary")
 
 
 def recount(rows: DataFrame) -> DataFrame:
-    """(chunk, lang, source, term, body), terms before texts within a chunk and language -> (lang, source, term, n): occurrences by chunk."""
+    """rows (chunk, lang, source, term, first, body), terms before texts within a chunk and language -> (lang, source, term, n).
+
+    Occurrences by chunk; for each text a row without a term; and for each language rows
+    without a source, whose sum is the number of its kept terms (those marked `first`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
+        import zstandard
+
+        names, unpack = ["lang", "source", "term", "n"], zstandard.ZstdDecompressor()
+        at, vocabulary, automaton, kept = None, [], None, Counter()
+
+        def count(lang: str, source: str, body: bytes) -> pa.RecordBatch:
+            hits = np.zeros(0, np.int64)
+            if vocabulary:
+                hits = np.bincount(np.fromiter((k for _, k in automaton.iter(unpack.decompress(body).decode())), np.int64), minlength=len(vocabulary))
+            own = np.flatnonzero(hits)
+            n = len(own) + 1
+            return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([*[vocabulary[k] for k in own.tolist()], None], pa.string()), pa.array([*hits[own].tolist(), 0], pa.int64())], names)
 
-        at, vocabulary, automaton = None, [], None
         for batch in batches:
-            for chunk, lang, source, term, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for chunk, lang, source, term, first, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (chunk, lang) != at:
                     at, vocabulary, automaton = (chunk, lang), [], None
                 if term is not None:
                     vocabulary.append(term)
-                elif vocabulary:
-                    if automaton is None:
+                    kept[lang] += first
+                else:
+                    if vocabulary and automaton is None:
                         automaton = ahocorasick.Automaton()
                         for k, t in enumerate(vocabulary):
                             automaton.add_word(f" {t} ", k)
                         automaton.make_automaton()
-                    hits = np.bincount(np.fromiter((k for _, k in automaton.iter(body)), np.int64), minlength=len(vocabulary))
-                    own = np.flatnonzero(hits)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([source] * len(own)), pa.array([vocabulary[k] for k in own.tolist()], pa.string()), pa.array(hits[own])], ["lang", "source", "term", "n"])
+                    yield count(lang, source, body)
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.nulls(len(kept), pa.string()), pa.nulls(len(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names)
 
     return rows.mapInArrow(run, "lang string, source string, term string, n long")
 
 
 def parts_per_billion(count: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(10^9 (count + 1) / (total + kept)), exactly; null where the language keeps no terms and has no counts."""
+    """1 + floor(10^9 (count + 1) / (total + kept)), exactly."""
     wide = lambda c: c.cast("decimal(20,0)")
     return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide(count + 1), wide(total + kept)) + 1
 
 
+def shares(count: np.ndarray, total: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The same of arrays."""
+    if len(count) and count.max() > _SAFE:
+        return np.array([1 + SCALE * (c + 1) // (t + k) for c, t, k in zip(count.tolist(), total.tolist(), kept.tolist(), strict=True)], np.int64)
+    return 1 + SCALE * (count + 1) // (total + kept)
+
+
 def divergence(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / q)."""
     return F.call_function("div", (p - q) * (p - q), q)
@@ -116,51 +149,130 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // q
 
 
-def shared_terms(postings: DataFrame, block: int) -> DataFrame:
-    """postings (lang, term, no, p, base, i, j, left, right) sorted by (lang, i, j, term) -> (lang, a, b, x, both): sums over the terms that both sources have.
+class Sums:
+    """Exact sums by a 64-bit key, merged when they grow."""
+
+    def __init__(self, width: int):
+        self.parts, self.rows, self.width = [], 0, width
+
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        if len(keys):
+            self.parts.append(self._merged([(keys, *values)]))
+            self.rows += len(self.parts[-1][0])
+            if self.rows > _HELD:
+                self.settle()
+
+    @staticmethod
+    def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        keys, *values = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[new], *(np.add.reduceat(v[order], new) for v in values)
+
+    def settle(self) -> tuple[np.ndarray, ...] | None:
+        if self.parts:
+            self.parts = [self._merged(self.parts)]
+            self.rows = len(self.parts[0][0])
+        return self.parts[0] if self.parts else None
+
+
+PAIR, SHARE, TERM = 0, 1, 2
 
-    A task keeps a matrix of at most block x block sums for the language and pair of blocks it
-    is at, and sends what is not zero when it goes on.
+
+def measure(postings: DataFrame, top: int) -> DataFrame:
+    """postings (lang, term, no, n, total, v, lang_total), whole terms in a task and in order -> (kind, lang, a, b, x, times, term).
+
+    PAIR: of sources a and b, the sum over the terms that both have of what the pair's
+    divergence is beyond what the sums against bases say, and how many those are. SHARE:
+    how many terms have share b in source a. TERM: a task's first `top` terms of source a, with
+    value x. Sums are sent at a language's end, or earlier where a task would hold too much.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, term, held = None, None, []
-        sums = both = None
-
-        def add() -> None:
-            a = [(h[0] % block, h[1], h[2]) for h in held if h[3]]
-            b = [(h[0] % block, h[1], h[2]) for h in held if h[4]]
-            if a and b:
-                (ka, p, u), (kb, q, v) = (np.array(x, np.int64).T for x in (a, b))
-                p, u, q, v = p[:, None], u[:, None], q[None], v[None]
-                cells = np.ix_(ka, kb)
-                sums[cells] += _f(p, q) - _f(p, v) - _f(u, q) + _f(u, v)
-                both[cells] += 1
-
-        def close() -> pa.RecordBatch:
-            a, b = np.nonzero(both)
-            lang, i, j = at
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(a)), pa.array(a + i * block), pa.array(b + j * block), pa.array(sums[a, b]), pa.array(both[a, b])], ["lang", "a", "b", "x", "both"])
+        lang, pairs, times, best, rest = None, Sums(2), Sums(1), [], None
+
+        def rows(kind: int, a: np.ndarray, b: np.ndarray | None, x: np.ndarray | None, n: np.ndarray | None, terms: pa.Array | None = None) -> pa.RecordBatch:
+            long = lambda v: pa.nulls(len(a), pa.int64()) if v is None else pa.array(v, pa.int64())
+            columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array([lang] * len(a), pa.string()), long(a), long(b), long(x), long(n), pa.nulls(len(a), pa.string()) if terms is None else terms]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "lang", "a", "b", "x", "times", "term"])
+
+        def first_of_each() -> pa.Table:
+            table = pa.concat_tables(best).sort_by([("a", "ascending"), ("x", "descending"), ("term", "ascending")])
+            a = table["a"].to_numpy()
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], a[1:] != a[:-1]]), np.arange(len(a)), 0))
+            return table.filter(pa.array(np.arange(len(a)) - start < top))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal pairs, times, best
+            if found := pairs.settle():
+                yield rows(PAIR, found[0] >> 32, found[0] & 0xFFFFFFFF, found[1], found[2])
+            if found := times.settle():
+                yield rows(SHARE, found[0] >> 31, found[0] & 0x7FFFFFFF, None, found[1])
+            if best:
+                found = first_of_each()
+                yield rows(TERM, found["a"].to_numpy(), None, found["x"].to_numpy(), None, found["term"].combine_chunks())
+            pairs, times, best = Sums(2), Sums(1), []
+
+        def add(table: pa.Table) -> None:
+            """Whole terms of one language."""
+            nonlocal best
+            term = table["term"]
+            no, n, total, v, lang_total = (table[c].to_numpy() for c in ("no", "n", "total", "v", "lang_total"))
+            starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)]))
+            size = np.diff(np.concatenate([starts, [len(no)]]))
+            p, base = shares(n, total, v), shares(np.zeros_like(n), total, v)
+            q = np.repeat(shares(np.add.reduceat(n, starts), lang_total[starts], v[starts]), size)
+            times.add((no << 31) | p, np.ones(len(p), np.int64))
+            above = np.flatnonzero(p > q)
+            best.append(pa.table({"a": no[above], "x": _f(p[above], q[above]), "term": term.take(pa.array(above))}))
+            if sum(len(b) for b in best) > _HELD // 4:
+                best = [first_of_each()]
+            # Each posting against all postings of its term, some postings at a time.
+            of, first = np.repeat(size, size), np.repeat(starts, size)
+            ends = np.cumsum(of)
+            at = 0
+            while at < len(no):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLAB, "right")))
+                k = of[at:to]
+                left = np.repeat(np.arange(at, to), k)
+                right = np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[at:to], k)
+                other = left != right
+                left, right = left[other], right[other]
+                pa_, pb, ua, ub = p[left], p[right], base[left], base[right]
+                pairs.add((no[left] << 32) | no[right], _f(pa_, pb) - _f(pa_, ub) - _f(ua, pb) + _f(ua, ub), np.ones(len(left), np.int64))
+                at = to
 
         for batch in batches:
-            for lang, t, no, p, base, i, j, left, right in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (lang, i, j) != at or t != term:
-                    if held:
-                        add()
-                    term, held = t, []
-                    if (lang, i, j) != at:
-                        if at is not None:
-                            yield close()
-                        at, sums, both = (lang, i, j), np.zeros((block, block), np.int64), np.zeros((block, block), np.int64)
-                held.append((no, p, base, left, right))
-        if held:
-            add()
-            yield close()
-
-    return postings.mapInArrow(run, "lang string, a long, b long, x long, both long")
-
-
-def audit(docs: DataFrame, least: int = 3, top: int = 200, chunk_bytes: int = 4 << 20, block: int = 256) -> DataFrame:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            if not len(table):
+                continue
+            here, term = table["lang"], table["term"]
+            new_lang = pc.not_equal(here[1:], here[:-1]).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(new_lang | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)) + 1
+            last = int(new[-1]) if len(new) else 0  # the last term may go on
+            rest = table.slice(last)
+            for a, b in zip([0, *(x + 1 for x in np.flatnonzero(new_lang[: max(last - 1, 0)]).tolist())], [*(x + 1 for x in np.flatnonzero(new_lang[: max(last - 1, 0)]).tolist()), last], strict=True):
+                if a < b:
+                    if here[a].as_py() != lang:
+                        yield from close()
+                        lang = here[a].as_py()
+                    add(table.slice(a, b - a))
+            if pairs.rows + times.rows + sum(len(x) for x in best) > _HELD:
+                yield from close()
+        if rest is not None and len(rest):
+            if rest["lang"][0].as_py() != lang:
+                yield from close()
+                lang = rest["lang"][0].as_py()
+            add(rest)
+        yield from close()
+
+    return postings.mapInArrow(run, "kind int, lang string, a long, b long, x long, times long, term string")
+
+
+def audit(docs: DataFrame, least: int = 3, top: int = 200, chunk_bytes: int = 32 << 20) -> DataFrame:
     """lang, source, part, item, value, rank: how each source differs from the others of its language, and in which terms.
 
     Null texts, languages and sources are empty ones. Each row is a document, repeated rows
@@ -170,82 +282,67 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, chunk_bytes: int = 4
     item's UTF-8 bytes. A language of one source has no pairs. Other columns of docs,
     whatever their names, take no part. An empty table gives an empty result.
 
-    Sources within a language are numbered, `block` of them a block; the postings of a term
-    go to every pair of blocks, one where there are no more sources than that.
+    The work for a term is the square of the sources that have it, as the result's is of a
+    language's sources; what tasks send are sums by pair of sources.
     """
     spark = docs.sparkSession
     ship(spark)
     parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     read = cut(chunks(plain, chunk_bytes), "divergence-chunks")
-    bodies, found = read.where("body IS NOT NULL"), read.where("term IS NOT NULL").select("chunk", "lang", "term", "df")
-    kept = cut(found.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select(F.col("lang").alias("k_lang"), F.col("term").alias("k_term")), "divergence-kept")
-    own = found.join(kept, (F.col("lang") == F.col("k_lang")) & (F.col("term") == F.col("k_term")), "left_semi")
-    rows = own.select("chunk", "lang", F.lit(None).cast("string").alias("source"), "term", F.lit(None).cast("string").alias("body")).union(bodies.select("chunk", "lang", "source", "term", "body"))
-    rows = rows.repartition(max(parallelism, 1), "chunk", "lang").sortWithinPartitions("chunk", "lang", F.col("term").isNull())
-    counted = recount(rows).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    counted = cut(counted, "divergence-postings")
+    w = Window.partitionBy("lang", "term")  # a row a chunk at most
+    own = read.where("term IS NOT NULL").select("chunk", "lang", "term", F.sum("df").over(w).alias("df"), (F.min("chunk").over(w) == F.col("chunk")).alias("first")).where(F.col("df") >= least)
+    none = lambda t: F.lit(None).cast(t)
+    rows = own.select("chunk", "lang", none("string").alias("source"), "term", "first", none("binary").alias("body")).union(read.where("body IS NOT NULL").select("chunk", "lang", "source", none("string"), none("boolean"), "body"))
+    rows = rows.repartition(parallelism, "chunk", "lang").sortWithinPartitions("chunk", "lang", F.col("term").isNull())
+    counted = cut(recount(rows), "divergence-counts")
+    drop_cut(read)
 
     # Groups: as many rows as there are languages and sources.
-    sized = counted.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
-    groups = bodies.select("lang", "source").distinct().join(sized, ["lang", "source"], "left").na.fill(0, ["total", "terms"])
-    vocabulary = kept.groupBy("k_lang").agg(F.count("*").alias("v"))
-    groups = groups.join(vocabulary, F.col("lang") == F.col("k_lang"), "left").drop("k_lang").na.fill(0, ["v"])
-    w = Window.partitionBy("lang")
-    groups = groups.withColumns({"no": F.row_number().over(w.orderBy("source")) - 1, "blocks": F.ceil(F.count("*").over(w) / block).cast("int"), "lang_total": F.sum("total").over(w)})
+    groups = counted.where("source IS NOT NULL").groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    vocabulary = counted.where("source IS NULL").groupBy(F.col("lang").alias("v_lang")).agg(F.sum("n").alias("v"))
+    groups = groups.join(vocabulary, F.col("lang") == F.col("v_lang"), "left").drop("v_lang").na.fill(0, ["v"])
+    of = Window.partitionBy("lang")
+    groups = groups.withColumns({"no": (F.row_number().over(of.orderBy("source")) - 1).cast("long"), "lang_total": F.sum("total").over(of)})
     groups = cut(groups.withColumn("base", F.when(F.col("v") > 0, parts_per_billion(F.lit(0), F.col("total"), F.col("v")))), "divergence-groups")
 
-    facts = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "total", "v", "no", "blocks", "lang_total", "base")
-    postings = counted.join(facts, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source")))
-    postings = postings.select("lang", "source", "term", "n", "no", "blocks", "base", "v", "lang_total", parts_per_billion(F.col("n"), F.col("total"), F.col("v")).alias("p"))
+    facts = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "no", "total", "v", "lang_total")
+    few = groups.count() <= FEW_GROUPS
+    postings = counted.where("term IS NOT NULL").select("lang", "source", "term", "n").repartition(parallelism, "lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    postings = postings.join(F.broadcast(facts) if few else facts, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source"))).select("lang", "term", "no", "n", "total", "v", "lang_total")
+    if not few:
+        postings = postings.repartition(parallelism, "lang", "term")
+    measured = cut(measure(postings.sortWithinPartitions("lang", "term"), top), "divergence-measured")
 
-    # A language's q of a term needs its count there: the sum over its sources.
-    whole = counted.groupBy("lang", "term").agg(F.sum("n").alias("in_lang")).withColumnsRenamed({"lang": "w_lang", "term": "w_term"})
-    compared = postings.join(whole, (F.col("lang") == F.col("w_lang")) & (F.col("term") == F.col("w_term")))
-    compared = compared.select("lang", "source", F.col("term").alias("item"), "p", parts_per_billion(F.col("in_lang"), F.col("lang_total"), F.col("v")).alias("q")).where("p > q")
-    compared = compared.select("lang", "source", "item", divergence(F.col("p"), F.col("q")).alias("value"), F.pmod(F.xxhash64("item"), F.lit(64)).alias("salt"))
+    names = groups.select(F.col("lang").alias("n_lang"), F.col("no").alias("n_no"), "source")
+    compared = measured.where(F.col("kind") == TERM).select("lang", "a", F.col("term").alias("item"), F.col("x").alias("value"), F.pmod(F.xxhash64("term"), F.lit(64)).alias("salt"))
     best = [F.col("value").desc(), F.col("item")]
-    for keys in (["lang", "source", "salt"], ["lang", "source"]):  # a group's terms may be a third of all: first the best of each 64th
+    for keys in (["lang", "a", "salt"], ["lang", "a"]):  # a group's terms may be a third of all: first the best of each 64th
         compared = compared.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= top)
-    by_term = compared.select("lang", "source", F.lit("term").alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
-
-    own_block = F.floor(F.col("no") / block).cast("int")
-    placed = postings.withColumn("own", own_block).withColumn("t", F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right")))).otherwise(_placements())))
-    placed = placed.select("lang", "term", "no", "p", "base", "t.i", "t.j", "t.left", "t.right")
-    placed = placed.repartition(max(parallelism, 1), "lang", "term", "i", "j").sortWithinPartitions("lang", "i", "j", "term")
-    shared = shared_terms(placed, block).groupBy("lang", "a", "b").agg(F.sum("x").alias("x"), F.sum("both").alias("both"))
+    by_term = compared.join(names, (F.col("lang") == F.col("n_lang")) & (F.col("a") == F.col("n_no"))).select("lang", "source", F.lit("term").alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
 
     # One source's postings against another's base, by distinct share.
-    side = groups.select(F.col("lang").alias("o_lang"), F.col("source").alias("item"), F.col("no").alias("o_no"), F.col("base").alias("o_base"), F.col("terms").alias("o_terms"))
-    shares = postings.groupBy("lang", "no", "base", "p").agg(F.count("*").alias("times"))
-    crossed = shares.join(side.select("o_lang", "o_no", "o_base"), (F.col("lang") == F.col("o_lang")) & (F.col("no") != F.col("o_no")))
-    crossed = crossed.select("lang", "no", "o_no", (F.col("times") * divergence(F.col("p"), F.col("o_base"))).alias("to"), (F.col("times") * divergence(F.col("o_base"), F.col("p"))).alias("back"))
-    crossed = crossed.groupBy("lang", "no", "o_no").agg(F.sum("to").alias("to"), F.sum("back").alias("back"))
-
-    pairs = groups.join(side, (F.col("lang") == F.col("o_lang")) & (F.col("no") != F.col("o_no")))
-    x = shared.select(F.col("lang").alias("x_lang"), "a", "b", "x", "both")
-    pairs = pairs.join(x, (F.col("lang") == F.col("x_lang")) & (F.col("no") == F.col("a")) & (F.col("o_no") == F.col("b")), "left")
-    forth = crossed.select(F.col("lang").alias("f_lang"), F.col("no").alias("f_no"), F.col("o_no").alias("f_o"), "to")
-    back = crossed.select(F.col("lang").alias("b_lang"), F.col("no").alias("b_no"), F.col("o_no").alias("b_o"), "back")
+    other = groups.select(F.col("lang").alias("o_lang"), F.col("source").alias("item"), F.col("no").alias("o_no"), F.col("base").alias("o_base"))
+    held = measured.where(F.col("kind") == SHARE).groupBy(F.col("lang").alias("h_lang"), F.col("a").alias("h_no"), F.col("b").alias("p")).agg(F.sum("times").alias("times"))
+    crossed = held.join(other, (F.col("h_lang") == F.col("o_lang")) & (F.col("h_no") != F.col("o_no")))
+    crossed = crossed.groupBy("h_lang", "h_no", "o_no").agg(F.sum(F.col("times") * divergence(F.col("p"), F.col("o_base"))).alias("to"), F.sum(F.col("times") * divergence(F.col("o_base"), F.col("p"))).alias("back"), F.sum("times").alias("terms"))
+    shared = measured.where(F.col("kind") == PAIR).groupBy(F.col("lang").alias("x_lang"), F.col("a").alias("x_a"), F.col("b").alias("x_b")).agg(F.sum("x").alias("x"))
+
+    pairs = groups.join(other, (F.col("lang") == F.col("o_lang")) & (F.col("no") != F.col("o_no"))).select("lang", "source", "item", "no", "o_no", "v", "base", "o_base")
+    pairs = pairs.join(shared, (F.col("lang") == F.col("x_lang")) & (F.col("no") == F.col("x_a")) & (F.col("o_no") == F.col("x_b")), "left")
+    forth = crossed.select(F.col("h_lang").alias("f_lang"), F.col("h_no").alias("f_no"), F.col("o_no").alias("f_o"), "to", F.col("terms").alias("f_terms"))
+    back = crossed.select(F.col("h_lang").alias("b_lang"), F.col("h_no").alias("b_no"), F.col("o_no").alias("b_o"), "back", F.col("terms").alias("b_terms"))
     pairs = pairs.join(forth, (F.col("lang") == F.col("f_lang")) & (F.col("no") == F.col("f_no")) & (F.col("o_no") == F.col("f_o")), "left")
     pairs = pairs.join(back, (F.col("lang") == F.col("b_lang")) & (F.col("o_no") == F.col("b_no")) & (F.col("no") == F.col("b_o")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    # What only a has, what only b has, and what both have were summed against the bases and mended in x; the rest of the terms count as bases.
-    rest = (F.col("v") - F.col("terms") - F.col("o_terms")) * divergence(F.col("base"), F.col("o_base"))
+    # Terms that either has were summed against the other's base, mended in x where both have them; all others count as both bases.
+    rest = (F.col("v") - zero("f_terms") - zero("b_terms")) * divergence(F.col("base"), F.col("o_base"))
     value = F.when(F.col("v") > 0, zero("x") + zero("to") + zero("back") + rest).otherwise(F.lit(0)).cast("long")
     pairs = pairs.select("lang", "source", "item", value.alias("value"))
     by_pair = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*best)).cast("int").alias("rank"))
     return by_pair.union(by_term)
 
 
-def _placements() -> Column:
-    """As p, a posting meets each block's q; as q, each block's p; in its own block it is both."""
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_p = F.transform(every, lambda y: F.struct(F.col("own").alias("i"), y.alias("j"), F.lit(True).alias("left"), (y == F.col("own")).alias("right")))
-    as_q = F.transform(F.filter(every, lambda y: y != F.col("own")), lambda y: F.struct(y.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
-    return F.concat(as_p, as_q)
-
-
 #: DuckDB.
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
