@@ -9,12 +9,13 @@
    `rows` coordinates, and classes with a key in common meet in a bucket. Buckets with the
    same members are one. Two sets of Jaccard J miss each other in all bands with
    probability (1 - J^rows)^bands: 7e-10 at J = 0.8 for the 40 bands of 4.
-3. In each bucket every member is compared with one leader, on the whole sets, by joins of pairs
-   with sets: a bucket of n members costs n comparisons, none in one task. Links make
-   components. What remains are buckets whose members are in several components; there
-   other leaders are tried while buckets are large, and then each pair of members from
-   different components that sizes and parity bitmaps allow is compared too. So no
-   pair of a bucket is left out but those that links already join.
+3. In each bucket every member is compared with one leader, the member that shares most
+   buckets with others (a text from which others were made, where it is there), on the
+   whole sets, by joins of pairs with sets: a bucket of n members costs n comparisons,
+   none in one task. Links make components. What remains are buckets whose members are in
+   several components; there other leaders are tried while buckets are large, and then
+   each pair of members from different components that sizes and parity bitmaps allow is
+   compared too. So no pair of a bucket is left out but those that links already join.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFra
                 if len(s) and key not in seen:
                     seen.add(key)
                     at.append(k)
-                    bits.append(parity(s))
+                    bits.append(parity(s, 4))
                     signatures.append(maker.signature(s))
             if len(seen) > 100_000:
                 seen.clear()
@@ -96,16 +97,27 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFra
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """classes (cls, n_shingles, bands) -> (bucket, cls, n): members of each bucket of two and more; buckets of the same members are one."""
+    """classes (cls, n_shingles, bands) -> (bucket, cls, n, weight): members of each bucket of two and more; buckets of the same members are one.
+
+    weight: how many members the buckets of a class have together.
+    """
     rows = classes.select(F.explode("bands").alias("key"), "cls", F.col("n_shingles").alias("n"))
-    shared = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2")).where("low < high")
-    shared = shared.groupBy("low", "high", "size", "x1", "x2").agg(F.min("key").alias("bucket"))
-    return rows.join(shared.select("bucket"), F.col("key") == F.col("bucket")).select("bucket", "cls", "n")
+    shared = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select(F.col("key").alias("bucket"))
+    found = cut(rows.join(shared, F.col("key") == F.col("bucket")).select("key", "cls", "n"), "circulant-shared")
+    alike = found.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2"))
+    one = alike.groupBy("size", "x1", "x2").agg(F.min("key").alias("bucket"))
+    members = found.join(one.select("bucket", "size"), F.col("key") == F.col("bucket")).select("bucket", "cls", "n", "size")
+    weights = members.groupBy(F.col("cls").alias("w_cls")).agg(F.sum("size").alias("weight"))
+    return members.join(weights, F.col("cls") == F.col("w_cls")).select("bucket", "cls", "n", "weight")
 
 
 def star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """members (bucket, cls, comp, n) -> (a, b): each member with its bucket's leader of this turn, where sizes allow a link and components differ."""
-    lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp", "n")).alias("lead"))
+    """members (bucket, cls, comp, n, weight) -> (a, b): each member with its bucket's leader, where sizes allow a link and components differ.
+
+    The leader of the first turn is the member of most weight, later ones are drawn.
+    """
+    first = F.col("weight") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    lead = members.groupBy("bucket").agg(F.max(F.struct(first.alias("by"), "cls", "comp", "n")).alias("lead"))
     lead = lead.select(F.col("bucket").alias("l_bucket"), F.col("lead.cls").alias("l_cls"), F.col("lead.comp").alias("l_comp"), F.col("lead.n").alias("l_n"))
     pairs = members.join(lead, F.col("bucket") == F.col("l_bucket")).where((F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")))
     return pairs.select(F.least("cls", "l_cls").alias("a"), F.greatest("cls", "l_cls").alias("b")).distinct()
@@ -113,7 +125,7 @@ def star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     """members with their components, of the buckets in which there are several."""
-    placed = members.select("bucket", "cls", "n").join(groups, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("comp"), "n")
+    placed = members.join(groups, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("comp"), "n", "weight")
     several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select(F.col("bucket").alias("s_bucket"), "size")
     return placed.join(several, F.col("bucket") == F.col("s_bucket")).drop("s_bucket")
 
@@ -159,39 +171,40 @@ def remaining_pairs(members: DataFrame, classes: DataFrame, percent: int, block:
     return full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets have 100 * |A and B| >= percent * |A or B|; a cut table."""
+def whole_sets(members: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(cls, shingles): the sets of the classes that are in a bucket, made once from their texts."""
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(cls, s.astype("<u8").tobytes()) for text, cls, k1, k2 in zip(*[c.to_pylist() for c in batch.columns], strict=True) if set_key(s := shingles(text, n)) == (k1, k2)]
             if found:  # rows of one id with other texts are other classes
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["cls", "shingles"])
 
+    wanted = members.select(F.col("cls").alias("w")).distinct().join(classes.select("cls", "class_id", "k1", "k2"), F.col("w") == F.col("cls"))
+    texts = docs.join(wanted, docs["doc_id"] == wanted["class_id"]).select("text", "cls", "k1", "k2")
+    return texts.mapInArrow(run, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles"))  # a row may be repeated
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets have 100 * |A and B| >= percent * |A or B|."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, keep = [], [], []
+            keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (left, right))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            a, b = (batch.column(k).filter(keep) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    pairs = cut(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    wanted = wanted.join(classes.select("cls", "class_id", "k1", "k2"), F.col("w") == F.col("cls"))
-    texts = docs.join(wanted, docs["doc_id"] == wanted["class_id"]).select("text", "cls", "k1", "k2")
-    full = cut(texts.mapInArrow(whole_sets, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
-    joined = pairs.join(full.select(F.col("cls").alias("c1"), F.col("shingles").alias("x")), F.col("a") == F.col("c1")).drop("c1")
-    joined = joined.join(full.select(F.col("cls").alias("c2"), F.col("shingles").alias("y")), F.col("b") == F.col("c2")).select("a", "b", "x", "y")
-    links = cut(joined.mapInArrow(compare, "a long, b long"), f"{name}-links")
-    drop_cut(full)
-    return links
+                merged = np.concatenate([x, y])
+                merged.sort(kind="stable")  # two runs
+                both = int((merged[1:] == merged[:-1]).sum())
+                keep.append(100 * both >= percent * (len(merged) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    joined = pairs.join(sets.select(F.col("cls").alias("c1"), F.col("shingles").alias("x")), F.col("a") == F.col("c1")).drop("c1")
+    joined = joined.join(sets.select(F.col("cls").alias("c2"), F.col("shingles").alias("y")), F.col("b") == F.col("c2")).select("a", "b", "x", "y")
+    return joined.mapInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, n: int = 2, bands: int = 40, rows: int = 4, seed: int = 0, large: int = 256, turns: int = 4, block: int = 4000) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, n: int = 2, bands: int = 40, rows: int = 4, seed: int = 0, large: int = 20_000, turns: int = 4, block: int = 4000) -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
 
     Documents without words, and null texts, have an empty set, are linked with nothing and are
@@ -218,17 +231,19 @@ def near_groups(docs: DataFrame, percent: int = 80, n: int = 2, bands: int = 40,
     first = tied.groupBy("doc_id").agg(F.min("cls").alias("a")).withColumnRenamed("doc_id", "t_id")
     links = tied.join(first, F.col("doc_id") == F.col("t_id")).where("a < cls").select("a", F.col("cls").alias("b"))
 
+    sets = cut(whole_sets(members, classes, kept, n), "circulant-sets")
     rest = members.withColumn("comp", F.col("cls"))
     for turn in range(turns):
-        links = links.union(confirmed(star_pairs(rest, turn, percent), classes, kept, n, percent, f"circulant-{turn}"))
+        links = links.union(cut(confirmed(star_pairs(rest, turn, percent), sets, percent), f"circulant-links-{turn}"))
         groups = components(links)
         rest = cut(open_members(members, groups), f"circulant-open-{turn}")
         most = rest.agg(F.max("size")).first()[0] or 0
         if most <= large:
             break
     if most:
-        links = links.union(confirmed(remaining_pairs(rest, classes, percent, block), classes, kept, n, percent, "circulant-rest"))
-        groups = components(links)
+        pairs = cut(remaining_pairs(rest, classes, percent, block), "circulant-pairs")
+        groups = components(links.union(cut(confirmed(pairs, sets, percent), "circulant-links-rest")))
+    drop_cut(sets)
     placed = classes.select("cls", "k1", "k2", "class_id").join(groups, F.col("cls") == F.col("node"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "class_id", F.coalesce("component", "cls").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("class_id").alias("component_id")).withColumnRenamed("comp", "of")
     placed = cut(placed.join(least, F.col("comp") == F.col("of")).select("c1", "c2", "component_id"), "circulant-placed")

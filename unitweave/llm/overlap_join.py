@@ -89,9 +89,9 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(np.ascontiguousarray(s).tobytes()))
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Bitmap of the least power of two >= |s| bits (64 at least): is the number of shingles of each bit odd?"""
-    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+def parity(s: np.ndarray, times: int = 1) -> bytes:
+    """Bitmap of `times` the least power of two >= |s| bits (64 at least): is the number of shingles of each bit odd?"""
+    bits = times * max(64, 1 << max(0, len(s) - 1).bit_length())
     place = (s >> np.uint64(24)) & np.uint64(bits - 1)
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
