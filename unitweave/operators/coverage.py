@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitweave.operators import scan, trees
+
 
 def union(spans: DataFrame) -> DataFrame:
-    """ctx_id, start, end: the union as disjoint spans; touching spans are one. Empty and null spans are left out."""
-    w = Window.partitionBy("ctx_id").orderBy("start", "end")
-    s = spans.where("end > start").withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("island", F.sum((F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("ctx_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    """ctx_id, start, end: the union as disjoint spans; touching spans are one. Empty and null spans are left out.
+
+    Spans are joined inside stretches of their text first; what reaches over from the
+    stretches before decides which of the joined ones begin a span of the whole.
+    """
+    longest = scan.stretches(spans.where("end > start"), "start").groupBy("ctx_id", "stretch", "start").agg(F.max("end").alias("end"))
+    w = scan.inside("ctx_id", "start")
+    s = longest.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("island", F.sum((F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int")).over(scan.up_to_here(w)))
+    s = s.groupBy("ctx_id", "stretch", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    s = scan.carried(s, "ctx_id", before=(F.max("end"), F.max))
+    s = s.withColumn("first", F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), F.col("start"))).drop("before")
+    s = scan.carried(s, "ctx_id", open=(F.max("first"), F.max))
+    own = F.greatest(F.max("first").over(scan.up_to_here(w)), F.col("open"))
+    return s.withColumn("own", own).groupBy("ctx_id", "own").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("own")
 
 
 def gaps(spans: DataFrame, sizes: DataFrame) -> DataFrame:
     """ctx_id, start, end: what the spans leave of each text of `sizes` (ctx_id, chars)."""
     edge = sizes.select("ctx_id", F.col("chars").cast("long").alias("start"), F.col("chars").cast("long").alias("end"))
     u = union(spans).select("ctx_id", "start", "end").join(sizes.select("ctx_id"), "ctx_id", "left_semi").unionByName(edge)
-    w = Window.partitionBy("ctx_id").orderBy("start", "end")
-    g = u.select("ctx_id", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("a"), F.col("start").alias("b"))
+    u = scan.carried(scan.stretches(u, "start"), "ctx_id", before=(F.max("end"), F.max))
+    a = F.coalesce(F.lag("end").over(scan.inside("ctx_id", "start", "end")), "before", F.lit(0))
+    g = u.select("ctx_id", a.alias("a"), F.col("start").alias("b"))
     return g.where("b > a").select("ctx_id", F.col("a").cast("long").alias("start"), F.col("b").cast("long").alias("end"))
 
 
@@ -38,16 +51,21 @@ def certificate(fractions: DataFrame, failed: DataFrame, threshold: float = 0.98
 
 def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """key, run, value, n: run-length encoding of value in order."""
-    w = Window.partitionBy(key).orderBy(order)
-    r = rows.withColumn("new", (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int"))
-    r = r.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy(key, "run").agg(F.first(value).alias(value), F.count("*").alias("n")).select(key, F.col("run").cast("long").alias("run"), value, "n")
+    r = rows.select(F.col(key), F.col(order), F.struct(F.col(value).alias("is")).alias("held"))
+    r = scan.carried(scan.stretches(r, order), key, before=(F.max_by("held", order), scan.last))
+    w = scan.inside(key, order)
+    r = r.withColumn("new", (~F.col("held").eqNullSafe(F.coalesce(F.lag("held").over(w), "before")) | F.coalesce(F.lag("held").over(w), "before").isNull()).cast("int")).drop("before")
+    r = scan.carried(r, key, earlier=(F.sum("new"), F.sum))
+    r = r.withColumn("run", F.sum("new").over(scan.up_to_here(w)) + F.coalesce("earlier", F.lit(0)))
+    return r.groupBy(key, "run").agg(F.first("held").alias("held"), F.count("*").alias("n")).select(key, F.col("run").cast("long").alias("run"), F.col("held.is").alias(value), "n")
 
 
 def last_before(rows: DataFrame, key: str, order: str, mark: str, value: str) -> DataFrame:
     """As-of: each row that isn't a mark with the value of the last mark before it."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("as_of", F.last(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w)).where(~F.col(mark))
+    marked = F.when(F.col(mark), F.col(value))
+    r = scan.carried(scan.stretches(rows, order), key, carry=(F.max_by(F.struct(marked.alias("is")), F.when(marked.isNotNull(), F.col(order))), scan.last))
+    here = F.last(marked, ignorenulls=True).over(scan.up_to_here(scan.inside(key, order)))
+    return r.withColumn("as_of", F.coalesce(here, F.col("carry.is"))).where(~F.col(mark)).drop("stretch", "carry")
 
 
 def place(parts: DataFrame, ctx: DataFrame) -> DataFrame:
@@ -69,33 +87,40 @@ def verify_spans(claims: DataFrame, ctx: DataFrame) -> DataFrame:
     return j.select("part_id", "ctx_id", F.when(inside & same, F.col("start")).cast("long").alias("placed_at"))
 
 
-def lifted(spans: DataFrame, nodes: DataFrame, max_depth: int = 2) -> DataFrame:
+def lifted(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """ctx_id, start, end: spans (node_id, start, end) of a tree, in the text of every node above and of their own.
 
-    nodes (node_id, parent_id, placed_at); what is below an unplaced node counts for
-    nothing above it. One join for each level, and a run has at most max_depth levels.
+    nodes (node_id, parent_id, placed_at), a tree of any depth; what is below an unplaced
+    node counts for nothing above it. A ring of nodes is an error.
     """
-    found = level = spans.select("node_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    up = nodes.where("parent_id IS NOT NULL AND placed_at IS NOT NULL").select("node_id", "parent_id", "placed_at")
-    for _ in range(max_depth):
-        level = level.join(up, "node_id").select(F.col("parent_id").alias("node_id"), (F.col("start") + F.col("placed_at")).alias("start"), (F.col("end") + F.col("placed_at")).alias("end"))
-        found = found.unionByName(level)
-    return found.withColumnRenamed("node_id", "ctx_id")
+    own = spans.select(F.col("node_id").alias("ctx_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return trees.climb(_placed(nodes), own, _shifted)
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    return nodes.where("placed_at IS NOT NULL").select("node_id", "parent_id", F.col("placed_at").alias("by"))
 
 
-def tree_certificate(spans: DataFrame, nodes: DataFrame, failed: DataFrame, threshold: float = 0.98, max_depth: int = 2) -> DataFrame:
+def _shifted(known: DataFrame, jumps: DataFrame) -> DataFrame:
+    higher = known.join(jumps, F.col("ctx_id") == F.col("node")).select(F.col("above").alias("ctx_id"), (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.col("by")).alias("end"))
+    return known.unionByName(higher)
+
+
+def tree_certificate(spans: DataFrame, nodes: DataFrame, failed: DataFrame, threshold: float = 0.98) -> DataFrame:
     """node_id, covers: enough of the node's text, no failed unit, no unplaced child, and every child covers.
 
-    nodes (node_id, parent_id, placed_at, chars), failed (node_id).
+    nodes (node_id, parent_id, placed_at, chars), failed (node_id). On their way up, a
+    node's spans are kept as their union, so a root doesn't hold all spans of its tree.
     """
     sizes = nodes.select(F.col("node_id").alias("ctx_id"), "chars")
-    own = certificate(fraction(lifted(spans, nodes, max_depth), sizes), failed.select(F.col("node_id").alias("ctx_id")), threshold)
+    own = spans.select(F.col("node_id").alias("ctx_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    read = trees.climb(_placed(nodes), own, lambda known, jumps: union(_shifted(known, jumps)))
+    each = certificate(fraction(read, sizes), failed.select(F.col("node_id").alias("ctx_id")), threshold)
     unplaced = nodes.where("parent_id IS NOT NULL AND placed_at IS NULL").select(F.col("parent_id").alias("ctx_id"))
-    bad = own.where("NOT covers").select("ctx_id").unionByName(unplaced).distinct()
-    up = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("ctx_id"), "parent_id")
-    level = bad
-    for _ in range(max_depth):
-        level = level.join(up, "ctx_id").select(F.col("parent_id").alias("ctx_id")).distinct()
-        bad = bad.unionByName(level)
-    bad = bad.distinct().withColumn("bad", F.lit(True))
-    return own.join(bad, "ctx_id", "left").select(F.col("ctx_id").alias("node_id"), F.col("bad").isNull().alias("covers"))
+    bad = each.where("NOT covers").select("ctx_id").unionByName(unplaced).distinct()
+
+    def spread(known: DataFrame, jumps: DataFrame) -> DataFrame:
+        return known.unionByName(known.join(jumps, F.col("ctx_id") == F.col("node")).select(F.col("above").alias("ctx_id"))).distinct()
+
+    bad = trees.climb(trees.edges_of(nodes), bad, spread).withColumn("bad", F.lit(True))
+    return each.join(bad, "ctx_id", "left").select(F.col("ctx_id").alias("node_id"), F.col("bad").isNull().alias("covers"))

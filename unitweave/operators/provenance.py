@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from unitweave.functions.scalars import EDGE, preview
 from unitweave.functions.text import digest
-from unitweave.operators import coverage
+from unitweave.operators import coverage, scan
 
 COMPLETE = 0.98
 
@@ -131,8 +131,8 @@ def repeats(calls: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
 
 def streaks(turns: DataFrame, key: str, order: str, mark: str, reset: str) -> DataFrame:
     """key, longest: the longest run of marked rows; rows that neither mark nor reset don't break it."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    t = turns.withColumn("part", F.sum(F.col(reset).cast("int")).over(w))
+    t = scan.carried(scan.stretches(turns, order), key, earlier=(F.sum(F.col(reset).cast("int")), F.sum))
+    t = t.withColumn("part", F.sum(F.col(reset).cast("int")).over(scan.up_to_here(scan.inside(key, order))) + F.coalesce("earlier", F.lit(0)))
     return t.groupBy(key, "part").agg(F.count_if(F.col(mark)).alias("n")).groupBy(key).agg(F.max("n").alias("longest"))
 
 

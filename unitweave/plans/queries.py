@@ -174,14 +174,14 @@ def queries() -> dict[str, Query]:
     found["out_record_issues"] = lambda s, d: delivery.check_records(_answers(s, d), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True)).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
     found["out_render"] = lambda s, d: delivery.render_records(_t(s, d, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("pos"), F.array((F.col("event_id") % 7).cast("string"), (F.col("event_id") % 5 + 2).cast("string")).alias("fields")), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True))
     found["cov_place"] = lambda s, d: coverage.place(_docs(s, d).select(F.col("ctx_id").alias("part_id"), "ctx_id", F.substring("text", 5, 30).alias("part")), _docs(s, d)).select("ctx_id", "placed_at")
-    found["cov_tree_spans"] = lambda s, d: coverage.lifted(_leaves(s, d).select("node_id", F.lit(0).alias("start"), (F.col("event_id") % 40 + 30).alias("end")), _leaves(s, d), max_depth=1)
+    found["cov_tree_spans"] = lambda s, d: coverage.lifted(_leaves(s, d).select("node_id", F.lit(0).alias("start"), (F.col("event_id") % 40 + 30).alias("end")), _leaves(s, d))
     found["cov_tree_certificate"] = _tree_certificate
     found["trace_trajectory"] = lambda s, d: trace.trajectory(_log(s, d))
     found["trace_evidence"] = lambda s, d: trace.evidence(_calls(s, d))
     found["trace_batches"] = lambda s, d: trace.batch_of(_calls(s, d))
     found["trace_rollup"] = lambda s, d: trace.rolled_up(_tree(s, d))
     found["trace_attribution"] = lambda s, d: trace.attribution(_t(s, d, "events").groupBy(F.col("user_id").alias("run_id")).agg((F.max("event_id") % 7 == 0).alias("correct"), F.count_if(F.col("event_type") == "purchase").alias("subcalls"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 99)).alias("received"), F.count_if(F.col("value") > 199).alias("named"), (F.max("event_id") % 100 / 50).alias("coverage"))).select("run_id", "needle_verdict", "aggregate_verdict")
-    found["cov_tree_deep"] = lambda s, d: coverage.lifted(_leaves(s, d).select("node_id", F.lit(0).alias("start"), (F.col("event_id") % 40 + 30).alias("end")), _deep(s, d), max_depth=2)
+    found["cov_tree_deep"] = lambda s, d: coverage.lifted(_leaves(s, d).select("node_id", F.lit(0).alias("start"), (F.col("event_id") % 40 + 30).alias("end")), _deep(s, d))
     found["out_valid"] = lambda s, d: delivery.verdicts(_answers(s, d), delivery.check_pairs(_answers(s, d)).where("code <> 'invalid_pair_line'"), delivery.differences(_t(s, d, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("answer_id"), F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b")), pairs.parse_answer(_answers(s, d), key="answer_id").where("answer_id % 2 = 0")))
     found["out_scalar_issues"] = lambda s, d: delivery.check_scalar(_t(s, d, "events").select(F.col("event_id").alias("answer_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit(" +"), F.col("event_id").cast("string"))).alias("text")), "integer")
     found["out_feedback"] = lambda s, d: delivery.feedback(delivery.check_pairs(_answers(s, d)), 2)
@@ -268,7 +268,7 @@ def _tree_certificate(spark: SparkSession, d: str) -> DataFrame:
     spans = leaves.select("node_id", F.lit(0).alias("start"), F.when(F.col("event_id") % 300 == 7, 20).otherwise(40).alias("end"))
     own = users.select("node_id", F.lit(0).alias("start"), F.when(F.col("node_id") % 5 == 0, 30).otherwise(1000).alias("end"))
     failed = leaves.where("event_id % 101 = 0").select("node_id")
-    return coverage.tree_certificate(spans.unionByName(own), leaves.drop("event_id").unionByName(users), failed, max_depth=1)
+    return coverage.tree_certificate(spans.unionByName(own), leaves.drop("event_id").unionByName(users), failed)
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from unitweave.operators import coverage, trees
+
 EVENT = "run_id string, seq long, kind string, turn long, ok boolean, prompt_tokens long, completion_tokens long, seconds double, detail string, depth long, batch long, error string, response string, source_ref string, source_chars long, source_sha256 string, source_preview string"
 
 
@@ -60,19 +62,23 @@ def evidence(events: DataFrame, limit: int = 8) -> DataFrame:
 
 def batch_of(events: DataFrame) -> DataFrame:
     """run_id, seq, batch: of each subcall the last batch that started before it, 0 before any."""
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    started = F.last(F.when(F.col("kind") == "batch_start", F.col("batch")), ignorenulls=True).over(w)
-    return events.withColumn("started", started).where("kind = 'subcall'").select("run_id", "seq", F.coalesce("started", F.lit(0).cast("long")).alias("batch"))
-
-
-def rolled_up(nodes: DataFrame, max_depth: int = 2) -> DataFrame:
-    """node_id, calls, peak: sums and maxima over each node and all below it, of nodes (node_id, parent_id, calls, peak)."""
-    every = level = nodes.select("node_id", "calls", "peak")
-    up = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("n"), "parent_id")
-    for _ in range(max_depth):
-        level = level.join(up, F.col("node_id") == F.col("n")).select(F.col("parent_id").alias("node_id"), "calls", "peak")
-        every = every.unionByName(level)
-    return every.groupBy("node_id").agg(F.sum("calls").alias("calls"), F.max("peak").alias("peak"))
+    e = events.where("kind IN ('subcall', 'batch_start')").withColumn("starts", F.col("kind") == "batch_start")
+    return coverage.last_before(e, "run_id", "seq", "starts", "batch").select("run_id", "seq", F.coalesce("as_of", F.lit(0).cast("long")).alias("batch"))
+
+
+def rolled_up(nodes: DataFrame) -> DataFrame:
+    """node_id, calls, peak: sums and maxima over each node and all below it, of a tree of any depth (node_id, parent_id, calls, peak).
+
+    A round adds to each node's sums those of the nodes that many levels below, so no node
+    is expanded into its ancestors. A ring of nodes is an error.
+    """
+
+    def lift(known: DataFrame, jumps: DataFrame) -> DataFrame:
+        higher = known.join(jumps, F.col("node_id") == F.col("node")).select(F.col("above").alias("node_id"), "calls", "peak")
+        return known.unionByName(higher).groupBy("node_id").agg(F.sum("calls").alias("calls"), F.max("peak").alias("peak"))
+
+    own = nodes.groupBy("node_id").agg(F.sum("calls").alias("calls"), F.max("peak").alias("peak"))
+    return trees.climb(trees.edges_of(nodes), own, lift)
 
 
 def attribution(facts: DataFrame) -> DataFrame:
