@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from unitweave.functions.scalars import EDGE, preview
 from unitweave.functions.text import digest
 from unitweave.operators import coverage, scan
+from unitweave.operators.intervals import holding
 
 COMPLETE = 0.98
 
@@ -111,8 +112,9 @@ def by_containment(rows: DataFrame, records: DataFrame, labels: list[str] | None
     A row that holds several records is ambiguous and credited to none; one with none is
     left out, as is a value that is no label.
     """
-    r = records.select(F.col("ctx_id").alias("r_ctx"), "index", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    j = rows.join(r, (F.col("ctx_id") == F.col("r_ctx")) & (F.col("start") <= F.col("r_start")) & (F.col("r_end") <= F.col("end")))
+    r = records.select("ctx_id", "index", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    held = rows.select("row_id", F.col("ctx_id"), F.col("start").alias("from"), F.col("end").alias("to"), "value")
+    j = holding(r, held, "ctx_id", "r_start", "from", "to", closed=True).where("r_end <= to")
     n = j.groupBy("row_id").agg(F.count("*").alias("n"), F.min("index").alias("index"), F.first("value").alias("value"))
     good = F.col("value").isin(*labels) if labels else F.lit(True)
     return n.where((F.col("n") > 1) | good).select("row_id", F.when(F.col("n") == 1, F.col("index")).alias("index"), "value", (F.col("n") > 1).alias("ambiguous"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from unitweave.functions import text as layout
+from unitweave.operators.intervals import holding
 
 MIN_CHARS, TARGET_CHARS, MAX_CHARS = 400, 4_000, 12_000
 MAX_HITS, BEFORE, AFTER = 40, 80, 160
@@ -193,8 +194,8 @@ def read_ref(ctx: DataFrame, ref: str, target: int = TARGET_CHARS, low: int = MI
 
 def to_segments(spans: DataFrame, segs: DataFrame) -> DataFrame:
     """spans (ctx_id, start, ...) with `ref`: the segment that holds their start."""
-    s = segs.select(F.col("ctx_id").alias("s_ctx"), "ref", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    return spans.join(s, (F.col("ctx_id") == F.col("s_ctx")) & (F.col("start") >= F.col("s_start")) & (F.col("start") < F.col("s_end"))).drop("s_ctx", "s_start", "s_end")
+    s = segs.select("ctx_id", "ref", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    return holding(spans, s, "ctx_id", "start", "s_start", "s_end").drop("s_start", "s_end")
 
 
 def empty_alternative(pattern: str) -> bool:

@@ -11,6 +11,7 @@ from unitweave.functions.leaf import parse_replies, validate
 from unitweave.functions.text import digest
 from unitweave.functions import scalars
 from unitweave.operators import coverage, delivery, pairs, provenance, sweep, text
+from unitweave.plans import deep_queries
 from unitweave.plans.pair_specs import TASKS
 from unitweave.plans.schema import parse
 from unitweave.sources import corpora
@@ -196,6 +197,7 @@ def queries() -> dict[str, Query]:
     found["sweep_salvaged"] = lambda s, d: _sweeps(s, 1, 2).semantic_search(_docs(s, d), "does it say tion?").rows.groupBy("ctx_id").agg(F.count("*").alias("valid"), F.count_if(F.col("value") == "true").alias("positive"))
     found["sweep_retry"] = _retried
     found["sweep_provided"] = lambda s, d: _sweeps(s).semantic_map(None, "is it an answer?", {"type": "boolean"}, _t(s, d, "conversations").select(F.col("conv_id").alias("ctx_id"), F.col("turn").alias("item"), F.col("text").alias("source"))).rows.select("ctx_id", "item", "value")
+    found |= deep_queries.queries()
     return found
 
 
@@ -459,4 +461,5 @@ def oracle_sql() -> dict[str, str]:
     found["sweep_salvaged"] = f"{judged} SELECT ctx_id, count(*) AS valid, count(*) FILTER (WHERE yes) AS positive FROM v WHERE item % 10 <> 3 GROUP BY ctx_id"
     found["sweep_retry"] = f"{judged} SELECT 'complete' AS status, count(*) AS total, count(*) AS presented, count(*) AS returned, count(*) AS valid, 0 AS unsent, true AS context_complete, true AS retry_exhausted, 3 AS waves, count(*) FILTER (WHERE yes) AS positive_count, count(*) AS examined_items FROM v"
     found["sweep_provided"] = "SELECT conv_id AS ctx_id, turn AS item, CASE WHEN contains(text, 'tion') THEN 'true' ELSE 'false' END AS value FROM conversations"
+    found |= deep_queries.oracle_sql()
     return found
