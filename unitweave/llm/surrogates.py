@@ -57,6 +57,8 @@ TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Mrs", "Ms", "Miss", "Frau", "Mada
 KINDS = ("email", "phone", "ip", "card", "iban", "secret", "name", "national_id", "birth_date", "passport", "address")
 _LISTED = {name: group for group, names in FIRST_NAMES.items() for name in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩА-Я][\w’'-]+"
+#: In street names at most 80 characters, so that a long run with hyphens is not read again from each of its places.
+_STREET_NAME = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩА-Я][\w’'-]{1,80}"
 _GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Words before dates of birth and passport numbers, and in street names.
@@ -66,10 +68,10 @@ _PASSPORT = r"(?i:passport|reisepass|passeport|pasaporte)(?i: (?:no|nr|number|nu
 _HINTS = ("born", "birth", "dob", "geboren", "geburtsdatum", "né le", "née le", "naissance", "nacido", "nacida", "nacimiento", "passport", "reisepass", "passeport", "pasaporte", "street", "road", "avenue", "lane", "drive", "boulevard", "square", "straße", "strasse", "gasse", "platz", "weg", "allee", "rue", "place", "calle", "avenida", "plaza")
 _STREET, _ENDING = r"(?:Street|Road|Avenue|Lane|Drive|Boulevard|Square)", r"(?:straße|strasse|gasse|platz|weg|allee)"
 PATTERN = re.compile("|".join((
-    r"(?P<email>(?<![\w.+-])[\w.+-]*\w[\w.+-]*@\w[\w-]*(?:\.\w[\w-]*)+)",
+    r"(?P<email>(?<![\w.+-])(?=[.+-]*+\w)[\w.+-]++@\w[\w-]*+(?:\.\w[\w-]*+)+)",
     rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)|(?<![\w:.])(?=[A-Fa-f:]*\d)(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,6}})?::(?:{_GROUPS}{{0,6}})?)(?![\w:]|\.\d))",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
-    r"(?P<secret>(?<!\w)(?:[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?!\w))",
+    r"(?P<secret>(?<!\w)(?:[0-9A-Fa-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?!\w))",
     r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
     r"(?P<national_id>(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-HJ-NP-TV-Z])(?![\w-]))",
     r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)"
@@ -79,13 +81,15 @@ PATTERN = re.compile("|".join((
 BY_WORDS = re.compile("|".join((
     rf"(?<!\w){_BORN}:? (?P<birth_date>\d{{4}}-\d\d-\d\d|\d\d(?P<mark>[./])\d\d(?P=mark)\d{{4}})(?!\w)",
     rf"(?<!\w){_PASSPORT}:? (?P<passport>[A-Z]{{0,2}}\d{{6,9}}[A-Z]?)(?!\w)",
-    rf"(?P<address>(?<!\w)(?:[1-9]\d{{0,4}} {_NAME}(?: {_NAME})? {_STREET}|{_NAME}{_ENDING} [1-9]\d{{0,3}}|[1-9]\d{{0,3}},? (?:rue|avenue|boulevard|place) (?:(?:de la|de|du|des) )?{_NAME}|(?:Calle|Avenida|Plaza) (?:(?:de la|de|del) )?{_NAME},? [1-9]\d{{0,3}})(?!\w))",
+    rf"(?P<address>(?<!\w)(?:[1-9]\d{{0,4}} {_STREET_NAME}(?: {_STREET_NAME})? {_STREET}|{_STREET_NAME}{_ENDING} [1-9]\d{{0,3}}|[1-9]\d{{0,3}},? (?:rue|avenue|boulevard|place) (?:(?:de la|de|du|des) )?{_STREET_NAME}|(?:Calle|Avenida|Plaza) (?:(?:de la|de|del) )?{_STREET_NAME},? [1-9]\d{{0,3}})(?!\w))",
 )))
-#: A text without any of these has none of the entities but names.
-_SIGNS = re.compile("[0-9@]")
+#: A text without any of these has none of the entities but names: all others have a digit or an @, but secrets of letters.
+_SIGNS = re.compile("[0-9@]|AKIA|gh[pousr]_|sk-|[A-Fa-f]{32}")
 _AFTER_TITLE, _AFTER_FIRST = re.compile(rf"\.? ({_NAME})(?: ({_NAME}))?"), re.compile(rf" ({_NAME})")
 _POSSESSIVE = re.compile("['’][sS]$")
 _DIGITS = "0123456789"
+#: Characters that move together as one number.
+_BLOCK = 256
 #: Alphabets by script, case and kind of letter.
 _SCRIPTS = (
     "aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", _DIGITS, "àáâãäåèéêëìíîïòóôõöøùúûü", "çñ", "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "ÇÑ",
@@ -139,7 +143,16 @@ def alphabet(c: str) -> str | None:
 
 
 def reshape(text: str, sets: list[str | None], key: bytes, tweak: str) -> str:
-    """text with the characters that have an alphabet moved inside it, as one number."""
+    """text with the characters that have an alphabet moved inside it, as one number.
+
+    A long text moves block by block, each on a cycle that the blocks before it choose: one to one too, and in time that grows with its length.
+    """
+    if len(text) > _BLOCK:
+        out, chain = [], hashlib.blake2b(key=key)
+        for k in range(0, len(text), _BLOCK):
+            out.append(reshape(text[k : k + _BLOCK], sets[k : k + _BLOCK], key, f"{tweak}|{chain.hexdigest()}"))
+            chain.update(text[k : k + _BLOCK].encode("utf-8", "surrogatepass"))
+        return "".join(out)
     size, x, form = 1, 0, [c if s is None else s[0] for c, s in zip(text, sets, strict=True)]
     for c, s in zip(text, sets, strict=True):
         if s:
@@ -310,7 +323,7 @@ def name_word(word: str, key: bytes) -> str:
 def _name_part(word: str, key: bytes) -> str:
     if len(word) > 1 and word.isupper():  # follows the word in small letters
         small = word[0] + word[1:].lower()
-        if small.upper() == word:
+        if small != word and small.upper() == word:
             found = _name_part(small, key).upper()
             if len(found) == len(word) or small in _LISTED:
                 return found
@@ -370,6 +383,24 @@ def people(text: str) -> tuple[set[str], bool]:
     return {w for w in (_POSSESSIVE.sub("", w).rstrip("-'’") for w in found) if len(w) > 1}, hint
 
 
+def mentions(text: str, words: set[str]) -> list[tuple[int, int]]:
+    """Places where one of the words stands by itself: from the left, of several at one place the longest, none inside another."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    inner = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    places = sorted((end + 1 - n, -n) for end, n in found.iter(text) if not inner(end - n) and not inner(end + 1))
+    out, at = [], 0
+    for start, n in places:
+        if start >= at:
+            at = start - n
+            out.append((start, at))
+    return out
+
+
 def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, int], list[tuple[str, str, str]]]:
     """The text with surrogates, entities by kind, and (kind, entity, surrogate) of each different entity."""
     if not text:
@@ -384,14 +415,13 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
         spans += [(*m.span(), m.lastgroup, m[0]) for m in PATTERN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _, _ in own)]
         spans.sort()
     if words:  # every mention of the same words, also in capitals, is the same person
-        words |= {w.upper() for w in words}
         taken = iter([*spans, (len(text), len(text), "", "")])
         a, b, *_ = next(taken)
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)", text):
-            while b <= m.start():
+        for start, end in mentions(text, words | {w.upper() for w in words}):
+            while b <= start:
                 a, b, *_ = next(taken)
-            if a >= m.end():
-                spans.append((*m.span(), "name", m[0]))
+            if a >= end:
+                spans.append((start, end, "name", text[start:end]))
     if not spans:
         return text, {}, []
     spans.sort()
