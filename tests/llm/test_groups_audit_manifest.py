@@ -178,9 +178,9 @@ def test_audit_counts_as_the_automaton_must(spark):
     """A term that stands in another one, at the ends, and twice in a row."""
     rows = [("en", "s", t) for t in ["ab abc ab ab", "abc", "ab", "abc ab", "b"] * 3]
     read = divergence.chunks(spark.createDataFrame(rows, "lang string, source string, text string"), 1 << 20).collect()
-    vocabulary = [(0, "en", None, t, True, None) for t in ("ab", "abc", "b")] + [(0, "en", "s", None, None, bytes(r.body)) for r in read if r.body]
+    vocabulary = [(0, "en", None, t, 1, True, None) for t in ("ab", "abc", "b")] + [(0, "en", "s", None, None, None, bytes(r.body)) for r in read if r.body]
     found = Counter()
-    for r in divergence.recount(spark.createDataFrame(vocabulary, "chunk long, lang string, source string, term string, first boolean, body binary").coalesce(1)).collect():
+    for r in divergence.recount(spark.createDataFrame(vocabulary, "chunk long, lang string, source string, term string, df long, first boolean, body binary").coalesce(1)).collect():
         found[r.source, r.term] += r.n
     assert found == {("s", "ab"): 15, ("s", "abc"): 9, ("s", "b"): 3, ("s", None): 0, (None, None): 3}
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,8 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             for lang, df in found.items():
                 if n := len(df):
-                    own, times = pa.array([t.decode() for t in df], pa.string()), pa.array(list(df.values()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([lang] * n, pa.string()), pa.nulls(n, pa.string()), own, times, pa.nulls(n, pa.binary())], names)
+                    own, times = pa.array(list(df), pa.binary()).cast(pa.string()), pa.array(list(df.values()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.repeat(pa.scalar(lang, pa.string()), n), pa.nulls(n, pa.string()), own, times, pa.nulls(n, pa.binary())], names)
             for (lang, source), parts in bodies.items():
                 body = pack.compress(b" " + b" ".join(parts) + b" ")
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang], pa.string()), pa.array([source], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([body], pa.binary())], names)
@@ -85,10 +86,11 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
 
 def recount(rows: DataFrame) -> DataFrame:
-    """rows (chunk, lang, source, term, first, body), terms before texts within a chunk and language -> (lang, source, term, n).
+    """rows (chunk, lang, source, term, df, first, body), terms before texts within a chunk and language -> (lang, source, term, n).
 
     Occurrences by chunk; for each text a row without a term; and for each language rows
     without a source, whose sum is the number of its kept terms (those marked `first`).
+    An automaton takes its terms by falling frequency, as it looks for a node's children in the order they came.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,30 +98,41 @@ def recount(rows: DataFrame) -> DataFrame:
         import zstandard
 
         names, unpack = ["lang", "source", "term", "n"], zstandard.ZstdDecompressor()
-        at, vocabulary, automaton, kept = None, [], None, Counter()
+        at, vocabulary, often, automaton, kept = None, [], [], None, Counter()
 
         def count(lang: str, source: str, body: bytes) -> pa.RecordBatch:
             hits = np.zeros(0, np.int64)
-            if vocabulary:
-                hits = np.bincount(np.fromiter((k for _, k in automaton.iter(unpack.decompress(body).decode())), np.int64), minlength=len(vocabulary))
+            if len(vocabulary):
+                hits = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(unpack.decompress(body).decode())), np.int64), minlength=len(vocabulary))
             own = np.flatnonzero(hits)
-            n = len(own) + 1
-            return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([*[vocabulary[k] for k in own.tolist()], None], pa.string()), pa.array([*hits[own].tolist(), 0], pa.int64())], names)
+            terms = pa.concat_arrays([vocabulary.take(pa.array(own)) if len(own) else pa.nulls(0, pa.string()), pa.nulls(1, pa.string())])
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), terms, pa.array(np.append(hits[own], 0))], names)
 
         for batch in batches:
-            for chunk, lang, source, term, first, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (chunk, lang) != at:
-                    at, vocabulary, automaton = (chunk, lang), [], None
-                if term is not None:
-                    vocabulary.append(term)
-                    kept[lang] += first
+            chunk, lang, source, term, df, first, body = batch.columns
+            is_text = body.is_valid().to_numpy(zero_copy_only=False)
+            new = (pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False)) | (pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(new | is_text[1:] | is_text[:-1]) + 1  # each text, and each run of terms of a chunk and language, by itself
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)], strict=True):
+                here = (chunk[a].as_py(), lang[a].as_py())
+                if here != at:
+                    at, vocabulary, often, automaton = here, [], [], None
+                if is_text[a]:
+                    if automaton is None:
+                        if vocabulary:
+                            order = np.argsort(-np.concatenate(often), kind="stable")
+                            vocabulary = pa.concat_arrays(vocabulary).take(pa.array(order))
+                            automaton = ahocorasick.Automaton()
+                            for k, t in enumerate(vocabulary.to_pylist()):
+                                automaton.add_word(f" {t} ", k)
+                            automaton.make_automaton()
+                        else:
+                            automaton = ahocorasick.Automaton()
+                    yield count(at[1], source[a].as_py(), body[a].as_py())
                 else:
-                    if vocabulary and automaton is None:
-                        automaton = ahocorasick.Automaton()
-                        for k, t in enumerate(vocabulary):
-                            automaton.add_word(f" {t} ", k)
-                        automaton.make_automaton()
-                    yield count(lang, source, body)
+                    vocabulary.append(term[a:b])
+                    often.append(df[a:b].to_numpy())
+                    kept[at[1]] += pc.sum(first[a:b]).as_py()
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.nulls(len(kept), pa.string()), pa.nulls(len(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names)
 
@@ -194,7 +207,7 @@ def measure(postings: DataFrame, top: int) -> DataFrame:
 
         def rows(kind: int, a: np.ndarray, b: np.ndarray | None, x: np.ndarray | None, n: np.ndarray | None, terms: pa.Array | None = None) -> pa.RecordBatch:
             long = lambda v: pa.nulls(len(a), pa.int64()) if v is None else pa.array(v, pa.int64())
-            columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array([lang] * len(a), pa.string()), long(a), long(b), long(x), long(n), pa.nulls(len(a), pa.string()) if terms is None else terms]
+            columns = [pa.array(np.full(len(a), kind, np.int32)), pa.repeat(pa.scalar(lang, pa.string()), len(a)), long(a), long(b), long(x), long(n), pa.nulls(len(a), pa.string()) if terms is None else terms]
             return pa.RecordBatch.from_arrays(columns, ["kind", "lang", "a", "b", "x", "times", "term"])
 
         def first_of_each() -> pa.Table:
@@ -291,9 +304,9 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, chunk_bytes: int = 32
     plain = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     read = cut(chunks(plain, chunk_bytes), "divergence-chunks")
     w = Window.partitionBy("lang", "term")  # a row a chunk at most
-    own = read.where("term IS NOT NULL").select("chunk", "lang", "term", F.sum("df").over(w).alias("df"), (F.min("chunk").over(w) == F.col("chunk")).alias("first")).where(F.col("df") >= least)
+    own = read.where("term IS NOT NULL").select("chunk", "lang", "term", "df", F.sum("df").over(w).alias("docs"), (F.min("chunk").over(w) == F.col("chunk")).alias("first")).where(F.col("docs") >= least)
     none = lambda t: F.lit(None).cast(t)
-    rows = own.select("chunk", "lang", none("string").alias("source"), "term", "first", none("binary").alias("body")).union(read.where("body IS NOT NULL").select("chunk", "lang", "source", none("string"), none("boolean"), "body"))
+    rows = own.select("chunk", "lang", none("string").alias("source"), "term", "df", "first", none("binary").alias("body")).union(read.where("body IS NOT NULL").select("chunk", "lang", "source", none("string"), none("long"), none("boolean"), "body"))
     rows = rows.repartition(parallelism, "chunk", "lang").sortWithinPartitions("chunk", "lang", F.col("term").isNull())
     counted = cut(recount(rows), "divergence-counts")
     drop_cut(read)
