@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from unitweave.functions import text as layout
 from unitweave.functions.leaf import parse_replies
+from unitweave.operators import scan
+from unitweave.operators.identity import content_digest, hashed
 from unitweave.operators.text import _each
 from unitweave.plans.budget import Budget
 from unitweave.plans.schema import Leaf, parse
@@ -194,27 +196,30 @@ class Sweep:
     envelope: dict[str, Any]
 
 
-def _state(items: DataFrame, waves: list[DataFrame], leaf: Leaf) -> DataFrame:
-    """items with presented, returned, ok, value, problem: of all waves; the first valid value stays."""
-    parsed = []
-    for k, w in enumerate(waves, 1):
-        wanted = w.select(F.col("request").alias("fragment"), "ctx_id", F.explode("items.item").alias("item"), F.col("reply").isNotNull().alias("presented"))
-        p = parse_replies(w.select(F.col("request").alias("fragment"), F.coalesce("reply", F.lit("")).alias("reply")), wanted.select("fragment", "item"), leaf)
-        p = p.where("problem IS NULL OR problem <> 'foreign'")
-        parsed.append(wanted.join(p, ["fragment", "item"]).select("ctx_id", "item", "presented", "problem", "value", F.lit(k).alias("wave")))
-    if not parsed:
-        return items.selectExpr("*", "false AS presented", "false AS returned", "false AS ok", "CAST(NULL AS STRING) AS value", "'unsent' AS problem")
-    every = parsed[0]
-    for p in parsed[1:]:
-        every = every.unionByName(p)
+def _unasked(items: DataFrame) -> DataFrame:
+    """The state before the first wave."""
+    return items.selectExpr("*", "false AS presented", "false AS returned", "false AS ok", "CAST(NULL AS STRING) AS value", "'unsent' AS problem")
+
+
+def _read(wave: DataFrame, leaf: Leaf) -> DataFrame:
+    """request, ctx_id, item, presented, problem, value: what a wave says of each item it asked for."""
+    wanted = wave.select(F.col("request").alias("fragment"), "ctx_id", F.explode("items.item").alias("item"), F.col("reply").isNotNull().alias("presented"))
+    p = parse_replies(wave.select(F.col("request").alias("fragment"), F.coalesce("reply", F.lit("")).alias("reply")), wanted.select("fragment", "item"), leaf)
+    p = p.where("problem IS NULL OR problem <> 'foreign'")
+    return wanted.join(p, ["fragment", "item"]).select(F.col("fragment").alias("request"), "ctx_id", "item", "presented", "problem", "value")
+
+
+def _after(state: DataFrame, said: DataFrame) -> DataFrame:
+    """state with presented, returned, ok, value, problem after one more wave; the first valid value stays."""
     good = F.col("problem").isNull()
-    s = every.groupBy("ctx_id", "item").agg(
-        F.bool_or("presented").alias("presented"), F.bool_or(F.col("presented") & (good | (F.col("problem") != "missing"))).alias("returned"), F.bool_or(good).alias("ok"),
-        F.min_by(F.struct("value"), F.when(good, F.col("wave")))["value"].alias("value"), F.max_by("problem", "wave").alias("last"),
+    s = said.groupBy("ctx_id", "item").agg(
+        F.bool_or("presented").alias("p"), F.bool_or(F.col("presented") & (good | (F.col("problem") != "missing"))).alias("r"), F.bool_or(good).alias("o"),
+        F.max(F.when(good, F.struct("value")))["value"].alias("v"), F.max("problem").alias("last"),
     )
-    j = items.join(s, ["ctx_id", "item"], "left").na.fill(False, ["presented", "returned", "ok"])
-    problem = F.when(F.col("ok"), None).when(~F.col("presented"), "unsent").otherwise(F.col("last"))
-    return j.select(*PLACED, "presented", "returned", "ok", F.when(F.col("ok"), F.col("value")).alias("value"), problem.alias("problem"))
+    j = state.join(s, ["ctx_id", "item"], "left").na.fill(False, ["p", "r", "o"])
+    presented, ok = F.col("presented") | F.col("p"), F.col("ok") | F.col("o")
+    problem = F.when(ok, None).when(~presented, "unsent").otherwise(F.coalesce("last", "problem"))
+    return j.select(*PLACED, presented.alias("presented"), (F.col("returned") | F.col("r")).alias("returned"), ok.alias("ok"), F.when(F.col("ok"), F.col("value")).otherwise(F.col("v")).alias("value"), problem.alias("problem"))
 
 
 def note(e: dict[str, Any]) -> str:
@@ -238,10 +243,8 @@ class Sweeps:
 
     @staticmethod
     def identity(operation: str, instruction: str, schema: dict, placed: DataFrame, kind: str) -> str:
-        """Of the request and its items with their bounds, in any order of rows."""
-        row = F.struct(F.col("ctx_id").cast("string"), "item", "start", "end", "source")
-        sums = placed.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")) for k in (1, 2)]).first()
-        return hashlib.sha256(json.dumps([operation, instruction, schema, kind, *map(str, sums)], sort_keys=True).encode()).hexdigest()
+        """Of the request and a tree of hashes of its items with their bounds, in any order of rows."""
+        return hashlib.sha256(json.dumps([operation, instruction, schema, kind, content_digest(placed, "ctx_id", "item", "start", "end", "source")], sort_keys=True).encode()).hexdigest()
 
     def semantic_map(self, ctx: DataFrame, instruction: str, schema: dict, items: DataFrame | None = None, operation: str = "semantic_map") -> Sweep:
         """A value for each unit of ctx, or for each of `items` (ctx_id, item, source), which cover nothing but themselves."""
@@ -258,7 +261,7 @@ class Sweeps:
         attempt = 0 if not found else found["attempt"] + 1
         path = f"{self.folder}/{sweep_id}/{attempt}"
         placed.write.mode("overwrite").parquet(f"{path}/items")
-        e = {"sweep_id": sweep_id, "operation": operation, "instruction": instruction, "schema": schema, "scope": kind, "attempt": attempt, "waves": 0, "retry_exhausted": bool(found and found["retry_exhausted"])}
+        e = {"sweep_id": sweep_id, "operation": operation, "instruction": instruction, "schema": schema, "scope": kind, "attempt": attempt, "waves": 0, "reused": 0, "retry_exhausted": bool(found and found["retry_exhausted"])}
         for _ in range(2):
             if e["waves"] and self._counts(e)["unresolved"] == 0:
                 break
@@ -286,51 +289,77 @@ class Sweeps:
             e = self._wave(e)
         return self._publish(self._save(e) | {"cache_hit": False, "operation_run": "retry_failed"})
 
-    def _tables(self, e: dict) -> tuple[DataFrame, DataFrame]:
+    def _state(self, e: dict) -> DataFrame:
+        """The items with what is known of each: a table that each wave writes."""
         path = f"{self.folder}/{e['sweep_id']}/{e['attempt']}"
-        items = self.spark.read.parquet(f"{path}/items")
-        waves = [self.spark.read.parquet(f"{path}/wave-{k}") for k in range(1, e["waves"] + 1)]
-        return items, _state(items, waves, parse(e["schema"]))
+        return self.spark.read.parquet(f"{path}/state-{e['waves']}") if e["waves"] else _unasked(self.spark.read.parquet(f"{path}/items"))
 
     def _wave(self, e: dict) -> dict:
-        """Sends what is unresolved, as far as calls are left, in order; a request without a reply counts as not sent."""
+        """Sends what is unresolved, as far as calls are left, in order; a request without a reply counts as not sent.
+
+        A request that an earlier sweep in this folder had answered whole is not sent again: its
+        reply is taken, whatever sweep asked, since its words and items are the same.
+        """
         k, path = e["waves"] + 1, f"{self.folder}/{e['sweep_id']}/{e['attempt']}"
-        items, state = self._tables(e)
-        todo = requests((items if k == 1 else state.where("NOT ok")).select(*PLACED), e["instruction"], parse(e["schema"]), k)
-        n = todo.count()
+        leaf, kept = parse(e["schema"]), f"{self.folder}/replies"
+        state = self._state(e)
+        todo = requests(state.where("NOT ok").select(*PLACED), e["instruction"], leaf, k).withColumn("asked", hashed(F.col("instruction"), F.col("source")))
+        todo.write.mode("overwrite").parquet(f"{path}/asked-{k}")
+        todo = self.spark.read.parquet(f"{path}/asked-{k}")
+        columns = ["request", "ctx_id", "ref", "items", "asked", "reply"]
+        fresh, old = todo, None
+        if exists(self.spark, f"{kept}/_SUCCESS"):
+            known = self.spark.read.parquet(kept).groupBy(F.col("asked").alias("a")).agg(F.min("reply").alias("reply"))
+            old = todo.join(known, F.col("asked") == F.col("a")).select(*columns)
+            fresh = todo.join(known, F.col("asked") == F.col("a"), "left_anti")
+        n = fresh.count()
         granted = self.budget.ledger.reserve(n, self.budget.max_calls)
-        sent = todo if granted == n else todo.orderBy("request").limit(granted)
+        sent = fresh if granted == n else scan.numbered(fresh, "request").where(F.col("position") < granted).drop("position")
         replies = self.judge(sent).select(F.col("request").alias("r"), "reply")
+        answered = sent.join(replies, F.col("request") == F.col("r"), "left").select(*columns)
         table = f"{path}/wave-{k}"
-        sent.join(replies, F.col("request") == F.col("r"), "left").select("request", "ctx_id", "ref", "items", "reply").write.mode("overwrite").parquet(table)
-        self.budget.ledger.release(self.spark.read.parquet(table).where("reply IS NULL").count())
-        return e | {"waves": k}
+        (answered if old is None else answered.unionByName(old)).write.mode("overwrite").parquet(table)
+        wave = self.spark.read.parquet(table)
+        self.budget.ledger.release(wave.where("reply IS NULL").count())
+        _read(wave, leaf).write.mode("overwrite").parquet(f"{path}/said-{k}")
+        said = self.spark.read.parquet(f"{path}/said-{k}")
+        _after(state, said).write.mode("overwrite").parquet(f"{path}/state-{k}")
+        whole = said.groupBy(F.col("request").alias("w")).agg(F.bool_and(F.col("problem").isNull()).alias("whole")).where("whole")
+        wave.join(whole, F.col("request") == F.col("w"), "left_semi").select("asked", "reply").write.mode("append").parquet(kept)
+        return e | {"waves": k, "reused": e.get("reused", 0) + todo.count() - n}
 
     def _counts(self, e: dict) -> dict:
-        _, state = self._tables(e)
-        digest = [F.sum(F.when(F.col("ok"), F.xxhash64(F.lit(k), F.col("ctx_id").cast("string"), "item", "value", "source")).cast("decimal(38,0)")) for k in (1, 2)]
-        c = state.agg(F.count("*"), F.count_if("presented"), F.count_if("returned"), F.count_if("ok"), F.count_if(F.col("ok") & (F.col("value") == "true")), F.countDistinct(F.when(~F.col("ok") & F.col("presented"), F.struct("ctx_id", "ref"))), *digest).first()
-        total, presented, returned, valid, positive, errors = c[:6]
+        state = self._state(e)
+        c = state.agg(F.count("*"), F.count_if("presented"), F.count_if("returned"), F.count_if("ok"), F.count_if(F.col("ok") & (F.col("value") == "true")), F.countDistinct(F.when(~F.col("ok") & F.col("presented"), F.struct("ctx_id", "ref")))).first()
+        total, presented, returned, valid, positive, errors = c
         status = "unsent" if not presented else "complete" if valid == total else "partial" if valid else "failed"
         complete = total > 0 and valid == total
         out = {"total": total, "presented": presented, "returned": returned, "valid": valid, "unsent": total - presented, "unresolved": total - valid, "parse_errors": errors, "status": status if total else "failed", "complete": complete, "context_complete": complete if e["scope"] == "context" else None}
-        if valid:
-            out["rows_digest"] = hashlib.sha256(json.dumps([valid, *map(str, c[6:])]).encode()).hexdigest()
         return out | ({"examined_items": valid, "positive_count": positive} if e["operation"] == "semantic_search" else {})
 
     def _save(self, e: dict) -> dict:
         e = e | self._counts(e)
+        if e["valid"]:
+            e |= {"rows_digest": content_digest(self._state(e).where("ok"), "ctx_id", "item", "value", "source"), "rows_ref": self._rows_ref(e)}
         made = self.spark.range(1).select(F.lit(json.dumps(e)).alias("envelope"))
         made.write.mode("overwrite").parquet(f"{self.folder}/{e['sweep_id']}/envelope")
         return e
 
+    def _rows_ref(self, e: dict) -> str:
+        """Where the rows with a value are: a table, by path and wave, that rows_of() reads again."""
+        return f"{e['sweep_id']}/{e['attempt']}/state-{e['waves']}"
+
+    def rows_of(self, ref: str) -> DataFrame:
+        """The rows behind an envelope's rows_ref."""
+        return self.spark.read.parquet(f"{self.folder}/{ref}").where("ok").select("ctx_id", "item", "value", "source", "start", "end")
+
     def _load(self, sweep_id: str) -> dict | None:
         path = f"{self.folder}/{sweep_id}/envelope"
         return json.loads(self.spark.read.parquet(path).first().envelope) if exists(self.spark, f"{path}/_SUCCESS") else None
 
     def _publish(self, e: dict) -> Sweep:
         """The sweep as tables, also as the views semantic_rows and, of a search, search_results."""
-        _, state = self._tables(e)
+        state = self._state(e)
         rows = state.where("ok").select("ctx_id", "item", "value", "source", "start", "end")
         failed = state.where("NOT ok").select("ctx_id", "item", "source", "start", "end", "ref", "problem")
         done = Sweep(e["sweep_id"], e["operation"], rows, failed, e | {"note": note(e)})
@@ -362,7 +391,7 @@ class Sweeps:
         all_ = jobs.select("job_seq", "instruction", "source", why.alias("refused"))
         usable = all_.where("refused IS NULL")
         granted = self.budget.ledger.reserve(usable.count(), self.budget.max_calls)
-        chosen = usable.orderBy("job_seq").limit(granted).select(F.col("job_seq").cast("string").alias("request"), "instruction", "source", F.array(F.struct(F.lit(0).cast("long").alias("item"), F.col("source").alias("source"))).alias("items"))
+        chosen = scan.numbered(usable, "job_seq").where(F.col("position") < granted).select(F.col("job_seq").cast("string").alias("request"), "instruction", "source", F.array(F.struct(F.lit(0).cast("long").alias("item"), F.col("source").alias("source"))).alias("items"))
         replies = self.judge(chosen).select("request", "reply")
         out = all_.join(replies, all_["job_seq"].cast("string") == replies["request"], "left").select("job_seq", F.coalesce("reply", "refused").alias("reply"), F.col("request").isNotNull().alias("sent"))
         out.write.mode("overwrite").parquet(path)

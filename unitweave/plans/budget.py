@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitweave.operators import scan
+
 
 @dataclass
 class Ledger:
@@ -79,7 +81,6 @@ class Budget:
         return "max_depth" if self.depth >= self.max_depth else "max_nodes" if self.ledger.nodes >= self.max_nodes else None
 
     def admit(self, jobs: DataFrame, order: str = "job_seq") -> DataFrame:
-        """jobs with `sent`: the first ones by order, as many as calls are left. The limit is the operator's meaning. Claims are not booked here."""
+        """jobs with `sent`: the first ones by order, as many as calls are left, by their positions. Claims are not booked here."""
         left = max(0, self.max_calls - self.ledger.calls)
-        first = jobs.orderBy(order).limit(left).select(F.col(order).alias("admitted"))
-        return jobs.join(first, F.col(order) == F.col("admitted"), "left").withColumn("sent", F.col("admitted").isNotNull()).drop("admitted")
+        return scan.numbered(jobs, order).withColumn("sent", F.col("position") < left).drop("position")
