@@ -159,20 +159,88 @@ def test_analyze(spark, ctx, tmp_path):
     r = run("map", strategy="map")
     assert (r["status"], r["answer"], r["answer_valid"], r["strategy_satisfied"]) == ("complete", 201, True, True)
     r = run("auto")
-    assert (r["status"], r["answer"], r["strategy_satisfied"]) == ("unverified", 201, None)
+    assert (r["status"], r["answer"], r["answer_valid"], r["strategy_satisfied"]) == ("complete", 201, True, None)
+    assert r["coverage"]["complete"] and r["coverage"]["rows_digest"] and r["rows"].count() == 601
+    r = run("auto part", judge=sweep.fault_judge(RULE, broken(5), 1, 2))
+    assert (r["status"], r["answer_valid"]) == ("partial", True)
     r = run("part", strategy="map", judge=sweep.fault_judge(RULE, broken(5), 1, 2))
     assert (r["status"], r["answer_valid"]) == ("partial", False)
     r = run("none", strategy="map", budget=Budget(max_calls=0))
     assert (r["status"], r["answer"], r["answer_valid"]) == ("failed", None, False)
     r = run("kinds", strategy="classify", schema={"type": "string", "enum": ["Yes", "No"]})
     assert r["answer"] == {"Yes": 201, "No": 400} and r["status"] == "complete"
-    r = run("tree", strategy="recursive")
+    r = run("tree", strategy="recursive", budget=Budget(max_nodes=40))
     parts = r["parts"].where("ctx_id = 1").orderBy("part").collect()
     assert (r["status"], r["answer"]) == ("complete", 201)
     assert len(parts) == 4 and all(p.usable and p.status == "ok" for p in parts) and sum(p.positive for p in parts) == 200
     assert r["certificate"].where("ctx_id = 1").first().complete
     assert session.satisfied("classify", [{"operation": "semantic_map", "context_complete": None}, {"operation": "semantic_search", "context_complete": True}]) is False
+    assert r["ledger"]["nodes"] == 1 + r["parts"].count()
+    with pytest.raises(ValueError, match="parts of each of 4 contexts"):
+        run("few", strategy="recursive", budget=Budget(max_nodes=4))
+    r = run("half", strategy="recursive", budget=Budget(max_nodes=40), judge=sweep.fault_judge(RULE, broken(5), 1, 2))
+    assert (r["status"], r["answer_valid"], r["strategy_satisfied"]) == ("unverified", True, None) and r["answer"]  # no part was wholly read: nothing shows what was covered
     assert session.satisfied("recursive", [], ["rlm_map"], None) is None and session.satisfied("map", []) is False
     for bad in ({"strategy": "x"}, {"strategy": "classify"}):
         with pytest.raises(ValueError):
             run("bad", **bad)
+
+
+def test_every_verdict():
+    """All strategies, sweeps and certificates against the rule, written out."""
+    kinds = [("semantic_map", True), ("semantic_map", False), ("semantic_map", None), ("semantic_search", True), ("semantic_search", False)]
+    make = lambda k: {"operation": kinds[k][0], "context_complete": kinds[k][1], "status": "complete" if kinds[k][1] is not False else "partial", "n": k}
+    for strategy in session.REQUIRED:
+        for chosen in [(), *((k,) for k in range(5)), *((a, b) for a in range(5) for b in range(5))]:
+            for delegated in (False, True):
+                for certificate in (None, False, True):
+                    sweeps, observed = [make(k) for k in chosen], ["rlm_map"] if delegated else []
+                    verdict, basis = session.grounded(strategy, sweeps, observed, certificate)
+                    if strategy == "auto":
+                        want, shown = None, None
+                    elif strategy == "recursive":
+                        want, shown = (certificate if delegated else False), None
+                    else:
+                        fit = [k for k in chosen if kinds[k][1] is True and (strategy == "map" or kinds[k][0] == "semantic_map")]
+                        want, shown = bool(fit), fit[-1] if fit else None
+                    assert verdict is want and (basis["n"] if basis else None) == shown
+                    basis = basis or (sweeps[-1] if sweeps else None)
+                    for answered in (False, True):
+                        status, valid = session.verdict_of(strategy, answered, verdict, basis)
+                        if not answered:
+                            assert (status, valid) == ("failed", False)
+                        elif want is False:
+                            assert (status, valid) == ("partial", False)
+                        elif (strategy == "recursive" and want is None) or (strategy == "auto" and not basis):
+                            assert (status, valid) == ("unverified", True)
+                        else:
+                            assert (status, valid) == ("complete" if not basis or basis["status"] == "complete" else "partial", True)
+
+
+def test_one_changed_unit_asks_one_request_again(spark, ctx, tmp_path):
+    """Requests with the same words and items take the replies that earlier sweeps had."""
+    asked = []
+
+    def counting(requests):
+        asked.append(requests.count())
+        return RULE(requests)
+
+    first = sweep.Sweeps(spark, str(tmp_path), counting).semantic_search(ctx, "q")
+    n = asked[-1]
+    assert n > 3 and first.envelope["reused"] == 0
+    edited = spark.createDataFrame([(1, TEXT.replace("shift 300 handover", "shift 300 routine!")), (2, "one handover\n\n")], "ctx_id int, text string")
+    budget = Budget(max_calls=1)
+    second = sweep.Sweeps(spark, str(tmp_path), counting, budget).semantic_search(edited, "q")
+    assert asked[-1] == 1 and second.envelope["reused"] == n - 1 and budget.ledger.calls == 1
+    assert second.envelope["status"] == "complete" and second.envelope["positive_count"] == first.envelope["positive_count"] - 1
+    assert second.sweep_id != first.sweep_id and second.envelope["rows_digest"] != first.envelope["rows_digest"]
+    rows = sweep.Sweeps(spark, str(tmp_path), counting).rows_of(second.envelope["rows_ref"])
+    assert rows.count() == 601 and sorted(rows.collect()) == sorted(second.rows.collect())
+    third = sweep.Sweeps(spark, str(tmp_path), counting).semantic_search(edited, "another question")
+    assert asked[-1] == n and third.envelope["reused"] == 0  # other words
+
+
+def test_replies_that_were_not_whole_are_not_kept(spark, ctx, tmp_path):
+    sweep.Sweeps(spark, str(tmp_path), sweep.fault_judge(RULE, lambda r: F.lit("what?"), 1, 2)).semantic_search(ctx, "q")
+    again = sweep.Sweeps(spark, str(tmp_path), RULE).semantic_search(ctx, "q").envelope
+    assert (again["status"], again["reused"], again["attempt"]) == ("complete", 0, 1)

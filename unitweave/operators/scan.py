@@ -18,11 +18,11 @@ from unitweave.sources.work import settle
 WIDTH = 1 << 16
 
 
-def stretches(rows: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
+def stretches(rows: DataFrame, order: str, width: int | None = None) -> DataFrame:
     """rows with `stretch`, which never falls as `order` (an integer, date or timestamp) rises; null where order is."""
     kind = dict(rows.dtypes)[order]
     place = F.unix_date(order) if kind == "date" else F.unix_seconds(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.col(order)
-    return rows.withColumn("stretch", F.call_function("div", place.cast("long"), F.lit(width)))
+    return rows.withColumn("stretch", F.call_function("div", place.cast("long"), F.lit(width or WIDTH)))
 
 
 def inside(key: str, *order: str) -> WindowSpec:

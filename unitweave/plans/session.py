@@ -11,6 +11,7 @@ from unitweave.functions.text import digest
 from unitweave.operators import provenance, text
 from unitweave.operators.sweep import Judge, Sweeps
 from unitweave.plans.budget import Budget
+from unitweave.sources.work import settle
 
 #: What each strategy requires to have run.
 REQUIRED = {"auto": (), "classify": ("semantic_map",), "map": ("semantic_map", "semantic_search"), "recursive": ("rlm_map",)}
@@ -18,23 +19,42 @@ REQUIRED = {"auto": (), "classify": ("semantic_map",), "map": ("semantic_map", "
 EXHAUSTIVE = ("classify", "map")
 
 
-def satisfied(strategy: str, sweeps: list[dict[str, Any]], observed: list[str] = (), recursive_complete: bool | None = None) -> bool | None:
-    """None where a strategy asserts nothing. Operation and completeness must come from one and the same sweep (operation, context_complete)."""
+def grounded(strategy: str, sweeps: list[dict[str, Any]], observed: list[str] = (), recursive_complete: bool | None = None) -> tuple[bool | None, dict[str, Any] | None]:
+    """Whether what a strategy requires has happened, and the one sweep that shows it.
+
+    None where a strategy asserts nothing, or where delegation ran and nothing shows how much it
+    covered. Operation and completeness come from one and the same sweep (operation,
+    context_complete), the last that has both.
+    """
     required = REQUIRED[strategy]
     if not required:
-        return None
+        return None, None
     if not any(op in required for op in [*observed, *(s["operation"] for s in sweeps)]):
-        return False
-    if strategy in EXHAUSTIVE:
-        return any(s["operation"] in required and s["context_complete"] is True for s in sweeps)
-    return recursive_complete
+        return False, None
+    if strategy not in EXHAUSTIVE:
+        return recursive_complete, None
+    whole = [s for s in sweeps if s["operation"] in required and s["context_complete"] is True]
+    return bool(whole), whole[-1] if whole else None
+
+
+def satisfied(strategy: str, sweeps: list[dict[str, Any]], observed: list[str] = (), recursive_complete: bool | None = None) -> bool | None:
+    """The verdict of grounded() alone."""
+    return grounded(strategy, sweeps, observed, recursive_complete)[0]
 
 
-def status_of(answered: bool, verdict: bool | None, partial: bool) -> str:
-    """failed, partial, unverified or complete."""
+def verdict_of(strategy: str, answered: bool, verdict: bool | None, basis: dict[str, Any] | None) -> tuple[str, bool]:
+    """(status, answer_valid) of an answer that rests on the sweep `basis` (or on none).
+
+    Only a verdict of False stops an answer from being valid. The status looks at the basis: an
+    answer without one is unverified under auto, one on an incomplete sweep is partial.
+    """
     if not answered:
-        return "failed"
-    return "complete" if verdict else "partial" if partial or verdict is False else "unverified"
+        return "failed", False
+    if verdict is False:
+        return "partial", False
+    if strategy == "recursive" and verdict is None or strategy == "auto" and basis is None:
+        return "unverified", True
+    return "complete" if basis is None or basis["status"] == "complete" else "partial", True
 
 
 def rlm_map(spark: SparkSession, ctx: DataFrame, question: str, judge: Judge, folder: str, budget: Budget, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -42,17 +62,18 @@ def rlm_map(spark: SparkSession, ctx: DataFrame, question: str, judge: Judge, fo
 
     First: ctx_id, part, start, end, status (ok, empty, budget or error), usable, examined, total,
     positive. Second: the recursive certificate of each context by the parts that were wholly
-    read. Parts are at most as many as nodes are left.
+    read. Each part is a node: the nodes left are shared between the contexts, and what is
+    booked is the parts that were made. The sweep runs under a child's allowances.
     """
-    left = budget.max_nodes - budget.ledger.nodes
-    if slots is not None and slots > left:
-        raise ValueError(f"{slots} parts need as many nodes; {left} are left")
-    n = slots or left
-    budget.child()
-    budget.ledger.nodes += n - 1
-    cut = text.parts(ctx, n, text=True)
+    left, n_ctx = budget.max_nodes - budget.ledger.nodes, max(1, ctx.count())
+    n = slots or left // n_ctx
+    if n * n_ctx > left or n < 1:
+        raise ValueError(f"{max(1, n)} parts of each of {n_ctx} contexts need {max(1, n) * n_ctx} nodes; {left} are left")
+    cut = settle(text.parts(ctx, n, text=True), "parts")
+    own = budget.child()
+    budget.ledger.nodes += max(0, cut.count() - 1)
     child = cut.select(F.concat_ws("/", F.col("ctx_id").cast("string"), F.col("part").cast("string")).alias("ctx_id"), "text")
-    sweep = Sweeps(spark, folder, judge, budget, question).semantic_search(child)
+    sweep = Sweeps(spark, folder, judge, own, question).semantic_search(child)
     done = sweep.rows.groupBy("ctx_id").agg(F.count("*").alias("examined"), F.count_if(F.col("value") == "true").alias("positive"))
     lost = sweep.failed.groupBy("ctx_id").agg(F.count("*").alias("lost"), F.bool_and(F.col("problem") == "unsent").alias("unsent"))
     key = F.concat_ws("/", F.col("ctx_id").cast("string"), F.col("part").cast("string"))
@@ -70,7 +91,7 @@ def analyze(spark: SparkSession, ctx: DataFrame, question: str, judge: Judge, fo
 
     strategy: map (which units meet the question), classify (a value of `schema` for each
     unit), recursive (over parts), auto (as map, nothing asserted). The result has status,
-    answer_valid (only a complete one), strategy_satisfied, the answer (a count, or
+    answer_valid (verdict_of()), strategy_satisfied, the answer (a count, or
     counts by value), rows, the envelope, the ledger, and for recursive the parts.
     """
     if strategy not in REQUIRED:
@@ -85,18 +106,20 @@ def analyze(spark: SparkSession, ctx: DataFrame, question: str, judge: Judge, fo
     if strategy == "recursive":
         parts, certificate = rlm_map(spark, ctx, question, judge, folder, budget)
         real = parts.where("total > 0")  # blank texts have nothing to read
-        c = real.agg(F.coalesce(F.sum("positive"), F.lit(0)), F.coalesce(F.sum("examined"), F.lit(0)), F.coalesce(F.bool_and("usable"), F.lit(False))).first()
-        short = real.select("ctx_id").distinct().join(certificate.where("complete"), "ctx_id", "left_anti").isEmpty()
-        verdict = satisfied(strategy, [], ["rlm_map"], bool(c[2]) and short)
+        c = real.agg(F.coalesce(F.sum("positive"), F.lit(0)), F.coalesce(F.sum("examined"), F.lit(0))).first()
+        shown = real.select("ctx_id").distinct().join(certificate.select("ctx_id", "complete"), "ctx_id", "left")
+        all_, known = shown.agg(F.bool_and(F.coalesce("complete", F.lit(True))), F.bool_and(F.col("complete").isNotNull())).first()
+        # A certificate that falls short says no; where a context has none, nothing is shown of it.
+        verdict, basis = grounded(strategy, [], ["rlm_map"], False if all_ is False else True if known else None)
         out |= {"answer": c[0] if c[1] else None, "parts": parts, "certificate": certificate, "operations": ["rlm_map"]}
-        partial = not verdict and c[1] > 0
     else:
         sweeps = Sweeps(spark, folder, judge, budget, question)
         sweep = sweeps.semantic_map(ctx, question, schema) if strategy == "classify" else sweeps.semantic_search(ctx)
         e = sweep.envelope
-        verdict = satisfied(strategy, [e])
+        verdict, basis = grounded(strategy, [e])
+        basis = basis or e
         counts = {r["value"]: r["count"] for r in sweep.rows.groupBy("value").count().collect()} if strategy == "classify" else e["positive_count"]
         out |= {"answer": counts if e["valid"] else None, "rows": sweep.rows, "failed": sweep.failed, "envelope": e, "operations": [sweep.operation]}
-        partial = not e["complete"]
-    status = status_of(out["answer"] is not None, verdict if strategy != "auto" else None, partial)
-    return out | {"status": status, "answer_valid": status == "complete" or (status == "unverified" and strategy == "auto"), "strategy_satisfied": verdict, "ledger": budget.ledger.snapshot()}
+    status, valid = verdict_of(strategy, out["answer"] is not None, verdict, basis)
+    coverage = {k: basis.get(k) for k in ("operation", "scope", "status", "valid", "total", "complete", "context_complete", "sweep_id", "retry_exhausted", "rows_ref", "rows_digest")} if basis else None
+    return out | {"status": status, "answer_valid": valid, "strategy_satisfied": verdict, "coverage": coverage, "ledger": budget.ledger.snapshot()}
