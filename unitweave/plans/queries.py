@@ -36,10 +36,10 @@ KINDS = {"signup": "human being", "error": "abbreviation", "click": "entity", "v
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """Events of one in 37 as labelled records, a year earlier."""
+    """All events as records, a year earlier; those of small values, and some views of larger ones, have a label."""
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    label = F.when((F.col("event_type") == "view") & (F.col("value") > 50), "description and abstract concept").otherwise(F.try_element_at(kinds, F.col("event_type")))
-    return _t(spark, d, "events").where("event_id % 37 < 3").select(F.col("event_id").alias("index"), F.col("user_id").alias("user"), label.alias("label"), F.add_months(F.to_date("ts"), -12).alias("date"))
+    label = F.when((F.col("event_type") == "view") & F.col("value").between(50, 55), "description and abstract concept").when(F.col("value") < 5, F.try_element_at(kinds, F.col("event_type")))
+    return _t(spark, d, "events").select(F.col("event_id").alias("index"), F.col("user_id").alias("user"), label.alias("label"), F.add_months(F.to_date("ts"), -12).alias("date"))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def _asym_sql(s: pairs.Asym) -> str:
     return f"{ENTRIES}, x AS ({side(s.a)}), y AS ({side(s.b)}), p AS (SELECT DISTINCT least(x.u, y.u) AS a, greatest(x.u, y.u) AS b FROM x, y WHERE x.u <> y.u)"
 
 
-LABELLED = "r AS (SELECT event_id AS i, user_id AS u, CASE WHEN event_type = 'view' AND value > 50 THEN 'description and abstract concept' " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END AS label, (ts::DATE - INTERVAL 12 MONTH)::DATE AS d FROM events WHERE event_id % 37 < 3), e AS (SELECT u, label, d FROM r)"
+LABELLED = "r AS (SELECT event_id AS i, user_id AS u, CASE WHEN event_type = 'view' AND value BETWEEN 50 AND 55 THEN 'description and abstract concept' WHEN value >= 5 THEN NULL " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END AS label, (ts::DATE - INTERVAL 12 MONTH)::DATE AS d FROM events), e AS (SELECT u, label, d FROM r)"
 RATES = "round_even(CASE WHEN predicted + truth = 0 THEN 1.0 WHEN predicted = 0 THEN 0.0 ELSE hits / predicted END, 4)::DOUBLE AS precision, round_even(CASE WHEN predicted + truth = 0 THEN 1.0 WHEN truth = 0 THEN 0.0 ELSE hits / truth END, 4)::DOUBLE AS recall, round_even(CASE WHEN predicted + truth = 0 THEN 1.0 ELSE 2 * hits / (predicted + truth) END, 4)::DOUBLE AS f1"
 
 
@@ -127,7 +127,7 @@ def queries() -> dict[str, Query]:
     for task, spec in TASKS.items():
         found[f"pairs_task_{task:02d}"] = lambda s, d, spec=spec: pairs.pairs(_labelled(s, d), spec)
     found["pairs_macro"] = lambda s, d: pairs.macro(pairs.task_counts(_labelled(s, d), TASKS).select("task", "floor", (F.col("task") % 4 / 4).alias("f1")))
-    found["pairs_overlaid"] = lambda s, d: pairs.pairs(pairs.overlaid(_records(s, d), _records(s, d).where("index % 10 < 9 OR user % 3 = 0").select("index", F.when(F.col("index") % 7 == 0, F.lit("entity")).otherwise(F.col("label")).alias("label")), True), TASKS[2])
+    found["pairs_overlaid"] = lambda s, d: pairs.pairs(pairs.overlaid(_records(s, d), _records(s, d).where("index % 10 < 9 OR user % 3 = 0").select("index", F.when(F.col("index") % 7 == 0, F.lit("entity")).otherwise(F.coalesce("label", F.lit("no label"))).alias("label")), True), TASKS[2])
     found["pairs_digest"] = lambda s, d: pairs.pair_set_sha256(_t(s, d, "events").select((F.col("user_id") % 50).alias("answer_id"), (F.col("event_id") % 13).alias("a"), (F.col("event_id") % 17 + 13).alias("b")))
     found["answer_parse_paper"] = lambda s, d: pairs.parse_answer(_answers(s, d), key="answer_id")
     found["answer_parse_loose"] = lambda s, d: pairs.parse_answer_loose(_answers(s, d), key="answer_id")
