@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from unitweave.functions.leaf import parse_replies, validate
 from unitweave.functions.text import digest
 from unitweave.functions import scalars
-from unitweave.operators import coverage, delivery, pairs, provenance, sweep, text
+from unitweave.operators import chunked, coverage, delivery, pairs, provenance, sweep, text
 from unitweave.plans import deep_queries
 from unitweave.plans.pair_specs import TASKS
 from unitweave.plans.schema import parse
@@ -56,6 +56,13 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return text.contexts(_t(spark, d, "documents"))
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as texts that come in chunks of 997 characters."""
+    n = F.ceil(F.length("text") / 997).cast("int")
+    cut = _docs(spark, d).where("text <> ''").select("ctx_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    return cut.select("ctx_id", "chunk", F.substring("text", F.col("chunk") * 997 + 1, F.lit(997)).alias("text"))
+
+
 def _test(label: str, op: str, n: int) -> str:
     return f"count(*) FILTER (WHERE label = '{label}') {'=' if op == '==' else op} {n}"
 
@@ -136,6 +143,8 @@ def queries() -> dict[str, Query]:
     found["doc_digest"] = lambda s, d: _docs(s, d).select("ctx_id", digest(F.col("text")).alias("digest"))
     found["doc_units"] = lambda s, d: text.units(_docs(s, d), source=False)
     found["doc_segments"] = lambda s, d: text.segments(_docs(s, d))
+    found["chunk_units"] = lambda s, d: chunked.units(_chunks(s, d))
+    found["chunk_segments"] = lambda s, d: chunked.segments(_chunks(s, d), width=10_000).select("ctx_id", "seg_no", "ref", "start", "end", "units")
     found["doc_tiles"] = lambda s, d: text.tiles(text.segments(_docs(s, d)), _docs(s, d))
     found["doc_parts"] = lambda s, d: text.parts(_docs(s, d), 4)
     found["doc_manifest"] = lambda s, d: text.manifest(_docs(s, d)).withColumn("first_refs", F.array_join("first_refs", ","))
@@ -336,6 +345,8 @@ def oracle_sql() -> dict[str, str]:
         e AS (SELECT doc_id, k, c, sum(c) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM z)
         SELECT doc_id AS ctx_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS item, (e - c)::BIGINT AS start, e::BIGINT AS "end" FROM e"""
     found["doc_segments"] = f"""{SEGMENTS}, k AS ({found['doc_structure']}) SELECT g.ctx_id, seg_no::INT AS seg_no, ref, a AS start, b AS "end", k.structure AS kind, units FROM g JOIN k ON g.ctx_id = k.ctx_id"""
+    found["chunk_units"] = found["doc_units"]
+    found["chunk_segments"] = f'''{SEGMENTS} SELECT ctx_id, seg_no::BIGINT AS seg_no, ref, a AS start, b AS "end", units FROM g'''
     found["doc_tiles"] = f"""{SEGMENTS}, j AS (SELECT *, lead(a, 1, b) OVER (PARTITION BY ctx_id ORDER BY seg_no) = b AS joined FROM g),
         t AS (SELECT ctx_id, min(a) AS first, max(b) AS last, bool_and(joined) AS joined FROM j GROUP BY ctx_id)
         SELECT doc_id AS ctx_id, coalesce(first = 0 AND last = length(text) AND joined, false) AS tiles FROM documents LEFT JOIN t ON doc_id = ctx_id"""
