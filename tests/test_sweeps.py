@@ -244,3 +244,25 @@ def test_replies_that_were_not_whole_are_not_kept(spark, ctx, tmp_path):
     sweep.Sweeps(spark, str(tmp_path), sweep.fault_judge(RULE, lambda r: F.lit("what?"), 1, 2)).semantic_search(ctx, "q")
     again = sweep.Sweeps(spark, str(tmp_path), RULE).semantic_search(ctx, "q").envelope
     assert (again["status"], again["reused"], again["attempt"]) == ("complete", 0, 1)
+
+
+def test_the_second_wave_is_told_what_was_wrong(spark, tmp_path):
+    small = spark.createDataFrame([(1, "\n".join(f"shift {k} handover" for k in range(12)))], "ctx_id int, text string")
+    s = sweep.Sweeps(spark, str(tmp_path), sweep.fault_judge(RULE, broken(5), 1, 2)).semantic_search(small, "q")
+    assert [(r.item, r.problem, r.why) for r in s.failed.collect()] == [(5, "invalid", "'maybe' is not yes or no")]
+    path = f"{tmp_path}/{s.sweep_id}/0"
+    first, second = (spark.read.parquet(f"{path}/asked-{k}").first().instruction for k in (1, 2))
+    assert "could not be used" not in first
+    assert second.endswith("The items: 5\nEarlier answers that could not be used:\nitem 5: 'maybe' is not yes or no")
+
+
+@pytest.mark.parametrize(("raw", "value", "problem"), [
+    ('{"a": "Yes.", "b": "x"}', '{"a":"true","b":"x"}', None), ('{"a": null, "b": null}', None, "a may not be null"), ('{"b": "line\\nline", "c": 1, "d": 2}', None, "a is missing; b has more than one line; c is not asked for; d is not asked for"),
+    ('{"a": {"x": 1}, "b": ""}', None, """a '{"x":1}' is not yes or no; b is empty"""), ("[1]", None, "is no JSON object"), ("{x}", None, "is no valid JSON"), ("", None, "is empty"), (None, None, "is empty"), ("{}", None, "a is missing; b is missing"),
+])
+def test_all_problems_of_an_object(spark, raw, value, problem):
+    from unitweave.functions.leaf import validate
+
+    leaf = parse({"type": "object", "properties": {"a": {"type": "boolean"}, "b": {"type": ["string", "null"]}}})
+    r = spark.createDataFrame([(raw,)], "raw string").select(validate(F.col("raw"), leaf).alias("r")).first().r
+    assert (r.ok, r.value, r.problem) == (problem is None, value, problem)

@@ -178,11 +178,15 @@ def provided_items(items: DataFrame, leaf: Leaf) -> DataFrame:
 
 
 def requests(placed: DataFrame, instruction: str, leaf: Leaf, wave: int = 1) -> DataFrame:
-    """request, ctx_id, ref, items, instruction, source: one row for each request of a wave; a later one names the items it asks for."""
-    r = placed.groupBy("ctx_id", "ref").agg(F.array_sort(F.collect_list(F.struct("item", "source"))).alias("items"))
+    """request, ctx_id, ref, items, instruction, source: one row for each request of a wave, which names its items; a later one says what was wrong with earlier answers (`why`)."""
+    why = F.col("why") if "why" in placed.columns else F.lit(None).cast("string")
+    wrong = F.array_sort(F.collect_list(F.when(why.isNotNull(), F.struct("item", why.alias("why")))))
+    r = placed.groupBy("ctx_id", "ref").agg(F.array_sort(F.collect_list(F.struct("item", "source"))).alias("items"), wrong.alias("wrong"))
     shown = F.transform("items", lambda x: F.concat(F.lit("[item "), x["item"].cast("string"), F.lit("]\n"), x["source"]))
     ids = F.array_join(F.transform("items", lambda x: x["item"].cast("string")), ", ")
     asked = F.concat(F.lit(contract(instruction, leaf) + "\nThe items: "), ids)
+    told = F.transform("wrong", lambda x: F.concat(F.lit("\nitem "), x["item"].cast("string"), F.lit(": "), x["why"]))
+    asked = F.concat(asked, F.when(F.size("wrong") > 0, F.concat(F.lit("\nEarlier answers that could not be used:"), F.array_join(told, ""))).otherwise(""))
     name = F.concat(F.col("ctx_id").cast("string"), F.lit("/"), "ref", F.lit(f"#{wave}"))
     return r.select(name.alias("request"), "ctx_id", "ref", "items", asked.alias("instruction"), F.array_join(shown, "\n\n").alias("source"))
 
@@ -192,34 +196,34 @@ class Sweep:
     sweep_id: str
     operation: str
     rows: DataFrame  # ctx_id, item, value, source, start, end
-    failed: DataFrame  # ctx_id, item, source, start, end, ref, problem
+    failed: DataFrame  # ctx_id, item, source, start, end, ref, problem, why
     envelope: dict[str, Any]
 
 
 def _unasked(items: DataFrame) -> DataFrame:
     """The state before the first wave."""
-    return items.selectExpr("*", "false AS presented", "false AS returned", "false AS ok", "CAST(NULL AS STRING) AS value", "'unsent' AS problem")
+    return items.selectExpr("*", "false AS presented", "false AS returned", "false AS ok", "CAST(NULL AS STRING) AS value", "'unsent' AS problem", "CAST(NULL AS STRING) AS why")
 
 
 def _read(wave: DataFrame, leaf: Leaf) -> DataFrame:
-    """request, ctx_id, item, presented, problem, value: what a wave says of each item it asked for."""
+    """request, ctx_id, item, presented, problem, value, why: what a wave says of each item it asked for."""
     wanted = wave.select(F.col("request").alias("fragment"), "ctx_id", F.explode("items.item").alias("item"), F.col("reply").isNotNull().alias("presented"))
     p = parse_replies(wave.select(F.col("request").alias("fragment"), F.coalesce("reply", F.lit("")).alias("reply")), wanted.select("fragment", "item"), leaf)
     p = p.where("problem IS NULL OR problem <> 'foreign'")
-    return wanted.join(p, ["fragment", "item"]).select(F.col("fragment").alias("request"), "ctx_id", "item", "presented", "problem", "value")
+    return wanted.join(p, ["fragment", "item"]).select(F.col("fragment").alias("request"), "ctx_id", "item", "presented", "problem", "value", "why")
 
 
 def _after(state: DataFrame, said: DataFrame) -> DataFrame:
-    """state with presented, returned, ok, value, problem after one more wave; the first valid value stays."""
+    """state with presented, returned, ok, value, problem, why after one more wave; the first valid value stays."""
     good = F.col("problem").isNull()
     s = said.groupBy("ctx_id", "item").agg(
         F.bool_or("presented").alias("p"), F.bool_or(F.col("presented") & (good | (F.col("problem") != "missing"))).alias("r"), F.bool_or(good).alias("o"),
-        F.max(F.when(good, F.struct("value")))["value"].alias("v"), F.max("problem").alias("last"),
+        F.max(F.when(good, F.struct("value")))["value"].alias("v"), F.max("problem").alias("last"), F.max("why").alias("w"),
     )
     j = state.join(s, ["ctx_id", "item"], "left").na.fill(False, ["p", "r", "o"])
     presented, ok = F.col("presented") | F.col("p"), F.col("ok") | F.col("o")
     problem = F.when(ok, None).when(~presented, "unsent").otherwise(F.coalesce("last", "problem"))
-    return j.select(*PLACED, presented.alias("presented"), (F.col("returned") | F.col("r")).alias("returned"), ok.alias("ok"), F.when(F.col("ok"), F.col("value")).otherwise(F.col("v")).alias("value"), problem.alias("problem"))
+    return j.select(*PLACED, presented.alias("presented"), (F.col("returned") | F.col("r")).alias("returned"), ok.alias("ok"), F.when(F.col("ok"), F.col("value")).otherwise(F.col("v")).alias("value"), problem.alias("problem"), F.when(~ok, F.coalesce("w", "why")).alias("why"))
 
 
 def note(e: dict[str, Any]) -> str:
@@ -303,7 +307,7 @@ class Sweeps:
         k, path = e["waves"] + 1, f"{self.folder}/{e['sweep_id']}/{e['attempt']}"
         leaf, kept = parse(e["schema"]), f"{self.folder}/replies"
         state = self._state(e)
-        todo = requests(state.where("NOT ok").select(*PLACED), e["instruction"], leaf, k).withColumn("asked", hashed(F.col("instruction"), F.col("source")))
+        todo = requests(state.where("NOT ok").select(*PLACED, "why"), e["instruction"], leaf, k).withColumn("asked", hashed(F.col("instruction"), F.col("source")))
         todo.write.mode("overwrite").parquet(f"{path}/asked-{k}")
         todo = self.spark.read.parquet(f"{path}/asked-{k}")
         columns = ["request", "ctx_id", "ref", "items", "asked", "reply"]
@@ -361,7 +365,7 @@ class Sweeps:
         """The sweep as tables, also as the views semantic_rows and, of a search, search_results."""
         state = self._state(e)
         rows = state.where("ok").select("ctx_id", "item", "value", "source", "start", "end")
-        failed = state.where("NOT ok").select("ctx_id", "item", "source", "start", "end", "ref", "problem")
+        failed = state.where("NOT ok").select("ctx_id", "item", "source", "start", "end", "ref", "problem", "why")
         done = Sweep(e["sweep_id"], e["operation"], rows, failed, e | {"note": note(e)})
         rows.createOrReplaceTempView("semantic_rows")
         if e["operation"] == "semantic_search":

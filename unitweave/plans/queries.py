@@ -179,6 +179,7 @@ def queries() -> dict[str, Query]:
     found["trace_asof_batch"] = lambda s, d: coverage.last_before(_t(s, d, "events").withColumn("mark", F.col("event_type") == "signup"), "user_id", "event_id", "mark", "event_id").select("event_id", "as_of")
     found["leaf_validate_bool"] = lambda s, d: _t(s, d, "events").select("event_id", validate(F.when(F.col("value") > 50, F.concat(F.lit(" **Yes** "), F.lit("."))).when(F.col("value") > 20, F.lit("no")).otherwise(F.col("event_type")), parse({"type": "boolean"})).alias("r")).select("event_id", "r.ok", "r.value")
     found["leaf_validate_enum"] = lambda s, d: _t(s, d, "events").select("event_id", validate(F.upper("event_type"), parse({"type": "string", "enum": ["click", "View", "error"]})).alias("r")).select("event_id", "r.ok", "r.value")
+    found["leaf_validate_object"] = _objects
     found["reply_parse"] = _reply_parse
     found["out_pair_issues"] = lambda s, d: delivery.check_pairs(_answers(s, d)).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
     found["out_record_issues"] = lambda s, d: delivery.check_records(_answers(s, d), delivery.Records(("integer", "integer"), ", ", "(", ")", ascending=True)).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
@@ -301,7 +302,22 @@ def _reply_parse(spark: SparkSession, d: str) -> DataFrame:
     line = F.struct("event_id", F.format_string("item %d: %s", F.col("item"), F.col("event_type")).alias("line"))
     replies = e.groupBy(F.col("user_id").alias("fragment")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("reply"))
     wanted = replies.select("fragment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("item"))
-    return parse_replies(replies, wanted, parse({"type": "string", "enum": ["click", "view", "purchase"]}))
+    return parse_replies(replies, wanted, parse({"type": "string", "enum": ["click", "view", "purchase"]})).drop("why")
+
+
+OBJECT = {"type": "object", "properties": {"kind": {"type": "string", "enum": ["click", "View", "error"]}, "late": {"type": "boolean"}, "note": {"type": ["string", "null"]}}}
+
+
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects made of events: some whole, some with fields that are missing, wrong or not asked for, some no objects."""
+    kind, late = F.col("event_type"), F.when(F.col("value") > 20, "yes").otherwise("No.")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = (
+        text('{"kind": "', kind, '", "late": "', late, '", "note": "n', F.col("event_id").cast("string"), '"}'), text(' {"late": true, "note": null, "kind": "', F.upper(kind), '"}\n'), text('{"kind": "', kind, '", "note": "x"}'),
+        text('{"kind": "', kind, '", "late": "maybe", "note": "', F.repeat(F.lit("y"), 61), '", "more": 1, "also": 2}'), text('{"kind": "', kind, '", "late": "'), text('["', kind, '"]'), F.lit("  "),
+    )
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int"))
+    return _t(spark, d, "events").select("event_id", validate(raw, parse(OBJECT)).alias("r")).select("event_id", "r.ok", "r.value", "r.problem")
 
 
 def _case(k: str, values: tuple[str, ...]) -> str:
@@ -441,6 +457,18 @@ def oracle_sql() -> dict[str, str]:
     found["trace_evidence"] = """SELECT user_id AS run_id, event_id AS seq, event_type AS source_ref, length(props) AS source_chars, substr(sha256(props), 1, 16) AS source_sha256, substr(repeat(props, 20), 1, 300) AS excerpt, substr(trim(props), 1, 300) AS said
         FROM events WHERE event_type = 'purchase' AND value <= 150 AND event_id % 4 > 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 8"""
     found["trace_batches"] = "SELECT run_id, seq, batch FROM (SELECT user_id AS run_id, event_id AS seq, event_type, coalesce(max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS batch FROM events) WHERE event_type = 'purchase'"
+    found["leaf_validate_object"] = """WITH e AS (SELECT event_id, event_id % 7 AS f, event_type AS k, CASE WHEN value > 20 THEN 'yes' ELSE 'No.' END AS l FROM events),
+ r AS (SELECT event_id, CASE f WHEN 0 THEN '{"kind": "' || k || '", "late": "' || l || '", "note": "n' || event_id || '"}' WHEN 1 THEN ' {"late": true, "note": null, "kind": "' || upper(k) || '"}' || chr(10) WHEN 2 THEN '{"kind": "' || k || '", "note": "x"}'
+   WHEN 3 THEN '{"kind": "' || k || '", "late": "maybe", "note": "' || repeat('y', 61) || '", "more": 1, "also": 2}' WHEN 4 THEN '{"kind": "' || k || '", "late": "' WHEN 5 THEN '["' || k || '"]' ELSE '  ' END AS raw FROM e),
+ t AS (SELECT event_id, trim(raw, chr(10) || ' ') AS x FROM r), j AS (SELECT event_id, x, CASE WHEN x LIKE '{%}' AND json_valid(x) THEN x::JSON END AS j FROM t),
+ v AS (SELECT event_id, x, j, json_keys(j) AS keys, json_extract_string(j, '$.kind') AS k, lower(rtrim(json_extract_string(j, '$.late'), '.')) AS l, json_extract_string(j, '$.note') AS n FROM j),
+ c AS (SELECT *, CASE lower(k) WHEN 'click' THEN 'click' WHEN 'view' THEN 'View' WHEN 'error' THEN 'error' END AS kv, CASE WHEN l IN ('yes', 'true') THEN 'true' WHEN l IN ('no', 'false') THEN 'false' END AS lv FROM v),
+ p AS (SELECT *, CASE WHEN x = '' THEN 'is empty' WHEN x NOT LIKE '{%}' THEN 'is no JSON object' WHEN j IS NULL THEN 'is no valid JSON' ELSE nullif(array_to_string(list_filter(list_concat([
+   CASE WHEN NOT list_contains(keys, 'kind') THEN 'kind is missing' WHEN kv IS NULL THEN 'kind ''' || k || ''' is none of the labels' END,
+   CASE WHEN NOT list_contains(keys, 'late') THEN 'late is missing' WHEN lv IS NULL THEN 'late ''' || l || ''' is not yes or no' END,
+   CASE WHEN NOT list_contains(keys, 'note') THEN 'note is missing' WHEN length(n) > 60 THEN 'note has more than 60 characters' END],
+   list_transform(list_sort(list_filter(keys, lambda y: y NOT IN ('kind', 'late', 'note'))), lambda y: y || ' is not asked for')), lambda y: y IS NOT NULL), '; '), '') END AS problem FROM c)
+SELECT event_id, problem IS NULL AS ok, CASE WHEN problem IS NULL THEN '{"kind":"' || kv || '","late":"' || lv || '","note":' || coalesce('"' || n || '"', 'null') || '}' END AS value, problem FROM p"""
     found["trace_rollup"] = """WITH e AS (SELECT event_id + 1000000000 AS n, user_id AS u, user_id % 10 + 100000000 AS g, event_id % 5 AS c, event_id % 4 AS p FROM events), u AS (SELECT DISTINCT u, g FROM e)
         SELECT n AS node_id, c AS calls, p AS peak FROM e UNION ALL SELECT u, sum(c)::BIGINT + 1, greatest(2, max(p)) FROM e GROUP BY u
         UNION ALL SELECT g, (sum(c) + (SELECT count(*) FROM u WHERE u.g = e.g))::BIGINT, greatest(2, max(p)) FROM e GROUP BY g"""
