@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitweave.operators import scan
+from unitweave.sources.work import settle
 
 #: Nodes that one hash is made of.
 FAN = 1024
@@ -24,14 +25,13 @@ def tree_digests(leaves: DataFrame, key: str, place: str, leaf: str, fan: int =
     a key has one; so no task holds more than `fan` of a key's hashes, and a change
     of one leaf changes its own way up only. Leaves of one place are taken in their own order.
     """
-    level = leaves.select(F.col(key).alias("key"), F.col(place).cast("long").alias("place"), F.col(leaf).alias("digest"))
-    most = level.agg(F.max("place")).first()[0] or 0
-    while True:
+    level, most = leaves.select(F.col(key).alias("key"), F.col(place).cast("long").alias("place"), F.col(leaf).alias("digest")), None
+    while most is None or most > 0:
         here = F.transform(F.array_sort(F.collect_list(F.struct(F.col("place") % fan, "digest"))), lambda x: F.concat_ws(":", x["col1"].cast("string"), x["digest"]))
         level = level.groupBy("key", F.call_function("div", F.col("place"), F.lit(fan)).alias("above")).agg(F.sha2(F.array_join(here, ";"), 256).alias("digest")).select("key", F.col("above").alias("place"), "digest")
-        most //= fan
-        if not most:
-            return level.select(F.col("key").alias(key), "digest")
+        level = settle(level, "digests")  # a row for `fan` of those before
+        most = level.agg(F.max("place")).first()[0] or 0
+    return level.select(F.col("key").alias(key), "digest")
 
 
 def content_digest(rows: DataFrame, key: str, place: str, *values: str) -> str:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import urllib.request
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -34,7 +35,7 @@ from unitweave.operators.identity import content_digest, hashed
 from unitweave.operators.text import _each
 from unitweave.plans.budget import Budget
 from unitweave.plans.schema import Leaf, parse
-from unitweave.sources.work import exists
+from unitweave.sources.work import exists, remove
 
 Judge = Callable[[DataFrame], DataFrame]
 REQUEST_CHARS, MAX_SOURCE = 4_000, 12_000
@@ -258,14 +259,15 @@ class Sweeps:
             raise TypeError("an instruction is a text that says what to judge")
         leaf, kind = parse(schema), "context" if items is None else "provided_items"
         placed = context_items(ctx, leaf) if items is None else provided_items(items, leaf)
-        sweep_id = self.identity(operation, instruction, schema, placed, kind)
+        made = f"{self.folder}/items-{uuid.uuid4().hex}"
+        placed.write.parquet(made)
+        sweep_id = self.identity(operation, instruction, schema, self.spark.read.parquet(made), kind)
         found = self._load(sweep_id)
         if found and found["status"] in ("complete", "partial"):
+            remove(self.spark, made)
             return self._publish(found | {"cache_hit": True})
         attempt = 0 if not found else found["attempt"] + 1
-        path = f"{self.folder}/{sweep_id}/{attempt}"
-        placed.write.mode("overwrite").parquet(f"{path}/items")
-        e = {"sweep_id": sweep_id, "operation": operation, "instruction": instruction, "schema": schema, "scope": kind, "attempt": attempt, "waves": 0, "reused": 0, "retry_exhausted": bool(found and found["retry_exhausted"])}
+        e = {"sweep_id": sweep_id, "items": made, "operation": operation, "instruction": instruction, "schema": schema, "scope": kind, "attempt": attempt, "waves": 0, "reused": 0, "retry_exhausted": bool(found and found["retry_exhausted"])}
         for _ in range(2):
             if e["waves"] and self._counts(e)["unresolved"] == 0:
                 break
@@ -296,7 +298,7 @@ class Sweeps:
     def _state(self, e: dict) -> DataFrame:
         """The items with what is known of each: a table that each wave writes."""
         path = f"{self.folder}/{e['sweep_id']}/{e['attempt']}"
-        return self.spark.read.parquet(f"{path}/state-{e['waves']}") if e["waves"] else _unasked(self.spark.read.parquet(f"{path}/items"))
+        return self.spark.read.parquet(f"{path}/state-{e['waves']}") if e["waves"] else _unasked(self.spark.read.parquet(e["items"]))
 
     def _wave(self, e: dict) -> dict:
         """Sends what is unresolved, as far as calls are left, in order; a request without a reply counts as not sent.
