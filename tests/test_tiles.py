@@ -20,6 +20,13 @@ def test_pairs_are_made_by_all_tasks(spark):
     assert pairs.pairs(rows, pairs.Sym(("x",))).distinct().count() == 3000 * 2999 // 2
 
 
+def test_every_pair_is_made_by_all_tasks(spark):
+    rows = spark.range(3000).select((F.col("id") * 7 - 9000).alias("user"))
+    assert made_by(pairs.every_pair(rows.unionByName(rows))) == (4, 3000 * 2999 // 2)
+    few = spark.createDataFrame([(5,), (None,), (-3,), (5,), (9,)], "user long")
+    assert sorted(map(tuple, pairs.every_pair(few).collect())) == [(-3, 5), (-3, 9), (5, 9)]
+
+
 def test_pairs_of_two_sides_over_many_blocks(spark):
     rng = random.Random(5)
     of = {u: rng.choice(["p", "q", "pq", "r"]) for u in rng.sample(range(10**6), 1500)}
