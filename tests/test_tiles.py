@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from unitweave.operators import pairs
+from unitweave.operators import intervals, pairs
 
 
 def made_by(df):
@@ -36,3 +36,17 @@ def test_pairs_of_two_sides_over_many_blocks(spark):
     want = {(a, b) for i, a in enumerate(users) for b in users[i + 1 :] if "p" in of[a] and "q" in of[b] or "q" in of[a] and "p" in of[b]}
     found = list(map(tuple, got.collect()))
     assert len(found) == len(want) and set(found) == want
+
+
+def test_on_duty_is_made_by_all_tasks(spark):
+    day = F.date_add(F.lit(datetime.date(2024, 1, 1)), (F.col("id") % 5).cast("int"))
+    notes = spark.range(9000).select(F.when(F.col("id") > 0, F.col("id")).alias("note_id"), F.when(F.col("id") != 8999, 3).alias("crew"), day.alias("day")).distinct()
+    roster = spark.range(600).select(F.lit(3).alias("crew"), day.alias("first_day"), F.date_add(day, 1).alias("last_day"), F.concat(F.lit("L"), F.col("id")).alias("lead"))
+    got = intervals.on_duty(notes, roster)
+    # Day 0 has the leads of one first day, the others of two; 1,800 notes each but for the one without a crew.
+    want = 1800 * 120 + 3 * 1800 * 240 + 1799 * 240
+    tasks, rows = made_by(got)
+    assert tasks == 4 and rows == want
+    assert got.where("note_id IS NULL").count() == 120  # a note without an id stays
+    n, lead = F.col("note_id"), F.substring("lead", 2, 9).cast("int")
+    assert got.where(~(n % 5 - lead % 5).isin(0, 1)).count() == 0 and got.where("note_id IS NOT NULL").distinct().count() == want - 120
