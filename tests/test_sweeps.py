@@ -266,3 +266,20 @@ def test_all_problems_of_an_object(spark, raw, value, problem):
     leaf = parse({"type": "object", "properties": {"a": {"type": "boolean"}, "b": {"type": ["string", "null"]}}})
     r = spark.createDataFrame([(raw,)], "raw string").select(validate(F.col("raw"), leaf).alias("r")).first().r
     assert (r.ok, r.value, r.problem) == (problem is None, value, problem)
+
+
+def test_later_waves_write_only_what_they_asked_for(spark, tmp_path):
+    """A value stays in the table of its wave; texts are in what a wave asks and in its state, once each."""
+    rule = sweep.rule_judge(lambda x: F.when(F.contains(x, F.lit("a")), "yes").otherwise("no"))
+    faulty = sweep.fault_judge(rule, lambda r: F.regexp_replace(r, r"(?m)^item (\d*3): \w+", "item $1: maybe"), 1, 2)
+    items = spark.createDataFrame([(1, k, f"text {k} " + "abc"[k % 3]) for k in range(40)], "ctx_id int, item long, source string")
+    runs = sweep.Sweeps(spark, str(tmp_path), faulty)
+    s = runs.semantic_map(None, "is there an a?", {"type": "boolean"}, items)
+    s = runs.retry_failed(s)
+    path = f"{tmp_path}/{s.sweep_id}/0"
+    assert [spark.read.parquet(f"{path}/state-{k}").count() for k in (1, 2, 3)] == [40, 4, 4]
+    assert "source" not in spark.read.parquet(f"{path}/asked-1").columns and "items" not in spark.read.parquet(f"{path}/wave-1").columns
+    want = [(k, str(k % 3 == 0 or "a" in f"text {k} ").lower(), f"text {k} " + "abc"[k % 3]) for k in range(40)]
+    for rows in (s.rows, runs.rows_of(s.envelope["rows_ref"])):
+        assert sorted((r.item, r.value, r.source) for r in rows.collect()) == want
+    assert s.envelope["status"] == "complete" and s.envelope["waves"] == 3

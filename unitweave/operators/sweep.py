@@ -22,6 +22,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -183,13 +184,16 @@ def requests(placed: DataFrame, instruction: str, leaf: Leaf, wave: int = 1) ->
     why = F.col("why") if "why" in placed.columns else F.lit(None).cast("string")
     wrong = F.array_sort(F.collect_list(F.when(why.isNotNull(), F.struct("item", why.alias("why")))))
     r = placed.groupBy("ctx_id", "ref").agg(F.array_sort(F.collect_list(F.struct("item", "source"))).alias("items"), wrong.alias("wrong"))
-    shown = F.transform("items", lambda x: F.concat(F.lit("[item "), x["item"].cast("string"), F.lit("]\n"), x["source"]))
     ids = F.array_join(F.transform("items", lambda x: x["item"].cast("string")), ", ")
     asked = F.concat(F.lit(contract(instruction, leaf) + "\nThe items: "), ids)
     told = F.transform("wrong", lambda x: F.concat(F.lit("\nitem "), x["item"].cast("string"), F.lit(": "), x["why"]))
     asked = F.concat(asked, F.when(F.size("wrong") > 0, F.concat(F.lit("\nEarlier answers that could not be used:"), F.array_join(told, ""))).otherwise(""))
     name = F.concat(F.col("ctx_id").cast("string"), F.lit("/"), "ref", F.lit(f"#{wave}"))
-    return r.select(name.alias("request"), "ctx_id", "ref", "items", asked.alias("instruction"), F.array_join(shown, "\n\n").alias("source"))
+    return r.select(name.alias("request"), "ctx_id", "ref", "items", asked.alias("instruction"), F.array_join(_shown(F.col("items")), "\n\n").alias("source"))
+
+
+def _shown(items: Column) -> Column:
+    return F.transform(items, lambda x: F.concat(F.lit("[item "), x["item"].cast("string"), F.lit("]\n"), x["source"]))
 
 
 @dataclass
@@ -201,6 +205,10 @@ class Sweep:
     envelope: dict[str, Any]
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def _unasked(items: DataFrame) -> DataFrame:
     """The state before the first wave."""
     return items.selectExpr("*", "false AS presented", "false AS returned", "false AS ok", "CAST(NULL AS STRING) AS value", "'unsent' AS problem", "CAST(NULL AS STRING) AS why")
@@ -208,7 +216,7 @@ def _unasked(items: DataFrame) -> DataFrame:
 
 def _read(wave: DataFrame, leaf: Leaf) -> DataFrame:
     """request, ctx_id, item, presented, problem, value, why: what a wave says of each item it asked for."""
-    wanted = wave.select(F.col("request").alias("fragment"), "ctx_id", F.explode("items.item").alias("item"), F.col("reply").isNotNull().alias("presented"))
+    wanted = wave.select(F.col("request").alias("fragment"), "ctx_id", F.explode("ids").alias("item"), F.col("reply").isNotNull().alias("presented"))
     p = parse_replies(wave.select(F.col("request").alias("fragment"), F.coalesce("reply", F.lit("")).alias("reply")), wanted.select("fragment", "item"), leaf)
     p = p.where("problem IS NULL OR problem <> 'foreign'")
     return wanted.join(p, ["fragment", "item"]).select(F.col("fragment").alias("request"), "ctx_id", "item", "presented", "problem", "value", "why")
@@ -260,7 +268,7 @@ class Sweeps:
         leaf, kind = parse(schema), "context" if items is None else "provided_items"
         placed = context_items(ctx, leaf) if items is None else provided_items(items, leaf)
         made = f"{self.folder}/items-{uuid.uuid4().hex}"
-        placed.write.parquet(made)
+        _write(placed, made)
         sweep_id = self.identity(operation, instruction, schema, self.spark.read.parquet(made), kind)
         found = self._load(sweep_id)
         if found and found["status"] in ("complete", "partial"):
@@ -296,9 +304,12 @@ class Sweeps:
         return self._publish(self._save(e) | {"cache_hit": False, "operation_run": "retry_failed"})
 
     def _state(self, e: dict) -> DataFrame:
-        """The items with what is known of each: a table that each wave writes."""
-        path = f"{self.folder}/{e['sweep_id']}/{e['attempt']}"
-        return self.spark.read.parquet(f"{path}/state-{e['waves']}") if e["waves"] else _unasked(self.spark.read.parquet(e["items"]))
+        """The items with what is known of each. A wave writes those that it asked for; what had a value before stays in the table of its wave."""
+        return self._waves(f"{e['sweep_id']}/{e['attempt']}", e["waves"]) if e["waves"] else _unasked(self.spark.read.parquet(e["items"]))
+
+    def _waves(self, path: str, last: int) -> DataFrame:
+        states = [self.spark.read.parquet(f"{self.folder}/{path}/state-{k}") for k in range(1, last + 1)]
+        return reduce(DataFrame.unionByName, [*(s.where("ok") for s in states[:-1]), states[-1]])
 
     def _wave(self, e: dict) -> dict:
         """Sends what is unresolved, as far as calls are left, in order; a request without a reply counts as not sent.
@@ -308,11 +319,11 @@ class Sweeps:
         """
         k, path = e["waves"] + 1, f"{self.folder}/{e['sweep_id']}/{e['attempt']}"
         leaf, kept = parse(e["schema"]), f"{self.folder}/replies"
-        state = self._state(e)
-        todo = requests(state.where("NOT ok").select(*PLACED, "why"), e["instruction"], leaf, k).withColumn("asked", hashed(F.col("instruction"), F.col("source")))
-        todo.write.mode("overwrite").parquet(f"{path}/asked-{k}")
-        todo = self.spark.read.parquet(f"{path}/asked-{k}")
-        columns = ["request", "ctx_id", "ref", "items", "asked", "reply"]
+        state = self._state(e).where("NOT ok")
+        todo = requests(state.select(*PLACED, "why"), e["instruction"], leaf, k).withColumn("asked", hashed(F.col("instruction"), F.col("source")))
+        _write(todo.drop("source"), f"{path}/asked-{k}")
+        todo = self.spark.read.parquet(f"{path}/asked-{k}").withColumns({"source": F.array_join(_shown(F.col("items")), "\n\n"), "ids": F.col("items.item")})
+        columns = ["request", "ctx_id", "ref", "ids", "asked", "reply"]
         fresh, old = todo, None
         if exists(self.spark, f"{kept}/_SUCCESS"):
             known = self.spark.read.parquet(kept).groupBy(F.col("asked").alias("a")).agg(F.min("reply").alias("reply"))
@@ -324,12 +335,12 @@ class Sweeps:
         replies = self.judge(sent).select(F.col("request").alias("r"), "reply")
         answered = sent.join(replies, F.col("request") == F.col("r"), "left").select(*columns)
         table = f"{path}/wave-{k}"
-        (answered if old is None else answered.unionByName(old)).write.mode("overwrite").parquet(table)
+        _write(answered if old is None else answered.unionByName(old), table)
         wave = self.spark.read.parquet(table)
         self.budget.ledger.release(wave.where("reply IS NULL").count())
-        _read(wave, leaf).write.mode("overwrite").parquet(f"{path}/said-{k}")
+        _write(_read(wave, leaf), f"{path}/said-{k}")
         said = self.spark.read.parquet(f"{path}/said-{k}")
-        _after(state, said).write.mode("overwrite").parquet(f"{path}/state-{k}")
+        _write(_after(state, said), f"{path}/state-{k}")
         whole = said.groupBy(F.col("request").alias("w")).agg(F.bool_and(F.col("problem").isNull()).alias("whole")).where("whole")
         wave.join(whole, F.col("request") == F.col("w"), "left_semi").select("asked", "reply").write.mode("append").parquet(kept)
         return e | {"waves": k, "reused": e.get("reused", 0) + todo.count() - n}
@@ -357,7 +368,8 @@ class Sweeps:
 
     def rows_of(self, ref: str) -> DataFrame:
         """The rows behind an envelope's rows_ref."""
-        return self.spark.read.parquet(f"{self.folder}/{ref}").where("ok").select("ctx_id", "item", "value", "source", "start", "end")
+        path, last = ref.rsplit("/state-", 1)
+        return self._waves(path, int(last)).where("ok").select("ctx_id", "item", "value", "source", "start", "end")
 
     def _load(self, sweep_id: str) -> dict | None:
         path = f"{self.folder}/{sweep_id}/envelope"
