@@ -140,6 +140,43 @@ def test_rings_are_errors(spark, ring):
         trees.ancestors(spark.createDataFrame(ring, "node_id long, parent_id long"))
 
 
+def test_unions_of_few_and_of_many_spans(spark, width):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), a := rng.randrange(200), a + rng.randrange(-1, 6)) for _ in range(120)] + [(4, 5, 6), (5, 7, 9), (5, 9, 12), (5, 7, 8), (6, None, 3), (6, 3, None)]
+    got = coverage.union_written(spark.createDataFrame(rows, "ctx_id long, start long, end long"))
+    texts = defaultdict(list)
+    for c, a, b in rows:
+        texts[c].append((a, b))
+    assert sorted(map(tuple, got.collect())) == sorted((c, a, b) for c in (1, 2, 3, 4, 5) for a, b in islands(texts[c]))
+
+
+def test_certificates_of_a_forest_from_one_ladder(spark, width, monkeypatch):
+    """Deep, with unplaced nodes and failed ones; the jumps are written once for spans and for what is bad."""
+    rng = random.Random(9)
+    nodes = [(i, p, rng.choice([None, 0, 10, 30, 60]) if i % 5 == 0 else rng.randrange(40)) for i, p in forest(60, 4)]
+    spans = [(i, rng.randrange(30), rng.randrange(40, 110)) for i in range(60) if i % 7] + [(None, 0, 100), (1000, 0, 100)]
+    failed = {k for k in range(60) if k % 23 == 22}
+    parent, at, read = {i: p for i, p, _ in nodes}, {i: a for i, _, a in nodes}, defaultdict(list)
+    for i, a, b in spans:
+        while i is not None:
+            read[i].append((a, b))
+            if at.get(i) is None or parent[i] is None:
+                break
+            a, b, i = a + at[i], b + at[i], parent[i]
+    bad = {i for i, *_ in nodes if i in failed or sum(b - a for a, b in islands(read[i])) < 98}
+    bad |= {p for i, p, a in nodes if p is not None and a is None}
+    for i in sorted(bad):
+        while i is not None:
+            bad.add(i)
+            i = parent[i]
+    written, settle = [], trees.settle
+    monkeypatch.setattr(trees, "settle", lambda df, name: (written.append(name), settle(df, name))[1])
+    df = spark.createDataFrame([(*n, 100) for n in nodes], "node_id long, parent_id long, placed_at long, chars long")
+    got = coverage.tree_certificate(spark.createDataFrame(spans, "node_id long, start long, end long"), df, spark.createDataFrame([(k,) for k in failed], "node_id long"))
+    assert sorted(map(tuple, got.collect())) == [(i, i not in bad) for i in range(60)] and 0 < len(bad) < 60
+    assert len([n for n in written if n == "jumps-0"]) == 1
+
+
 def test_spans_of_four_nested_nodes_reach_the_root(spark):
     """Each inside the one above at 10; the deepest read to a tenth: none above it covers."""
     nodes = [(1, None, None, 100), (2, 1, 0, 100), (3, 2, 0, 100), (4, 3, 0, 100)]

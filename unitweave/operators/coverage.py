@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitweave.operators import scan, trees
+from unitweave.sources.work import settle
 
 
 def union(spans: DataFrame) -> DataFrame:
@@ -26,6 +29,23 @@ def union(spans: DataFrame) -> DataFrame:
     return s.withColumn("own", own).groupBy("ctx_id", "own").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("own")
 
 
+def union_written(spans: DataFrame) -> DataFrame:
+    """union() of spans of a written table that are few a text, as a rule: one window a text, dealt once.
+
+    Texts of more than scan.WIDTH spans, which are counted first, go through stretches. Null texts are left out.
+    """
+    spans = spans.where("ctx_id IS NOT NULL AND end > start").select("ctx_id", "start", "end")
+    many = settle(spans.groupBy("ctx_id").agg(F.count("*").alias("n")).where(F.col("n") > scan.WIDTH).select("ctx_id"), "many")
+    rest = None if many.isEmpty() else union(spans.join(many, "ctx_id", "left_semi"))
+    few = spans if rest is None else spans.join(many, "ctx_id", "left_anti")
+    w = Window.partitionBy("ctx_id").orderBy("start")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = few.withColumn("first", F.when(reach.isNull() | (F.col("start") > reach), F.col("start")))
+    own = first.withColumn("own", F.max("first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = own.groupBy("ctx_id", "own").agg(F.max("end").alias("end")).select("ctx_id", F.col("own").alias("start"), "end")
+    return joined if rest is None else joined.unionByName(rest.select("ctx_id", "start", "end"))
+
+
 def gaps(spans: DataFrame, sizes: DataFrame) -> DataFrame:
     """ctx_id, start, end: what the spans leave of each text of `sizes` (ctx_id, chars)."""
     edge = sizes.select("ctx_id", F.col("chars").cast("long").alias("start"), F.col("chars").cast("long").alias("end"))
@@ -38,7 +58,11 @@ def gaps(spans: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def fraction(spans: DataFrame, sizes: DataFrame) -> DataFrame:
     """ctx_id, covered (characters), chars, share; an empty text has share 0."""
-    c = union(spans).groupBy("ctx_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
+    return _shares(union(spans), sizes)
+
+
+def _shares(disjoint: DataFrame, sizes: DataFrame) -> DataFrame:
+    c = disjoint.groupBy("ctx_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
     j = sizes.join(c, "ctx_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
     return j.select("ctx_id", "covered", F.col("chars").cast("long").alias("chars"), F.when(F.col("chars") > 0, F.col("covered") / F.col("chars")).otherwise(0.0).alias("share"))
 
@@ -111,16 +135,24 @@ def tree_certificate(spans: DataFrame, nodes: DataFrame, failed: DataFrame, thre
 
     nodes (node_id, parent_id, placed_at, chars), failed (node_id). On their way up, a
     node's spans are kept as their union, so a root doesn't hold all spans of its tree.
+    Spans and what is bad go up one ladder, whose jumps over an unplaced node have no `by`.
     """
     sizes = nodes.select(F.col("node_id").alias("ctx_id"), "chars")
     own = spans.select(F.col("node_id").alias("ctx_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    read = trees.climb(_placed(nodes), own, lambda known, jumps: union(_shifted(known, jumps)))
-    each = certificate(fraction(read, sizes), failed.select(F.col("node_id").alias("ctx_id")), threshold)
+    steps = trees.ladder(nodes.select("node_id", "parent_id", F.col("placed_at").alias("by")))
+    placed = itertools.takewhile(lambda jumps: not jumps.isEmpty(), (jumps.where("by IS NOT NULL") for jumps in steps))
+
+    def read_below(known: DataFrame, jumps: DataFrame) -> DataFrame:
+        return union_written(settle(_shifted(known, jumps), "read"))
+
+    own = settle(union_written(settle(own, "own")), "own-joined")
+    read = trees.ascend(placed, own, read_below)
+    each = settle(certificate(_shares(read, sizes), failed.select(F.col("node_id").alias("ctx_id")), threshold), "each")
     unplaced = nodes.where("parent_id IS NOT NULL AND placed_at IS NULL").select(F.col("parent_id").alias("ctx_id"))
-    bad = each.where("NOT covers").select("ctx_id").unionByName(unplaced).distinct()
+    bad = settle(each.where("NOT covers").select("ctx_id").unionByName(unplaced).distinct(), "bad")
 
     def spread(known: DataFrame, jumps: DataFrame) -> DataFrame:
         return known.unionByName(known.join(jumps, F.col("ctx_id") == F.col("node")).select(F.col("above").alias("ctx_id"))).distinct()
 
-    bad = trees.climb(trees.edges_of(nodes), bad, spread).withColumn("bad", F.lit(True))
+    bad = trees.ascend(steps, bad, spread).withColumn("bad", F.lit(True))
     return each.join(bad, "ctx_id", "left").select(F.col("ctx_id").alias("node_id"), F.col("bad").isNull().alias("covers"))
