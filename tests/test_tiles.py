@@ -38,6 +38,14 @@ def test_pairs_of_two_sides_over_many_blocks(spark):
     assert len(found) == len(want) and set(found) == want
 
 
+def test_a_stage_holds_pairs_of_one_user_at_a_time(spark):
+    """Blocks of the left side are taken apart before they meet blocks of the right, in a stage of their own."""
+    rows = spark.range(3000).select(F.col("id").alias("user"), F.lit("x").alias("label"), F.lit(datetime.date(2024, 1, 1)).alias("date"))
+    plan = pairs.pairs(rows, pairs.Sym(("x",)))._jdf.queryExecution().sparkPlan().toString().splitlines()
+    steps = [line for line in plan if "Generate explode" in line or "Join" in line]
+    assert "Generate explode(b" in steps[0] and "SortMergeJoin" in steps[1] and "Generate explode(a" in steps[2]
+
+
 def test_on_duty_is_made_by_all_tasks(spark):
     day = F.date_add(F.lit(datetime.date(2024, 1, 1)), (F.col("id") % 5).cast("int"))
     notes = spark.range(9000).select(F.when(F.col("id") > 0, F.col("id")).alias("note_id"), F.when(F.col("id") != 8999, 3).alias("crew"), day.alias("day")).distinct()
