@@ -106,13 +106,13 @@ def partition(ctx: DataFrame, target_chars: int | None = None) -> DataFrame:
     return made.select("ctx_id", F.col("seg_no").alias("part"), "text")
 
 
-def tiles(segs: DataFrame, ctx: DataFrame) -> DataFrame:
-    """ctx_id, tiles: do the segments cover the text exactly, in order?"""
+def tiles(segs: DataFrame, ctx: DataFrame, empty: bool = True) -> DataFrame:
+    """ctx_id, tiles: do the segments cover the text exactly, in order? An empty text without segments counts as `empty`."""
     w = Window.partitionBy("ctx_id").orderBy("seg_no")
     s = segs.withColumn("joined", F.coalesce(F.lead("start").over(w) == F.col("end"), F.lit(True)))
     s = s.groupBy("ctx_id").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.bool_and("joined").alias("joined"))
     all_ = ctx.select("ctx_id", F.length("text").alias("chars")).join(s, "ctx_id", "left")
-    return all_.select("ctx_id", F.when(F.col("chars") == 0, F.col("first").isNull()).otherwise(F.coalesce((F.col("first") == 0) & (F.col("last") == F.col("chars")) & F.col("joined"), F.lit(False))).alias("tiles"))
+    return all_.select("ctx_id", F.when(F.col("chars") == 0, F.col("first").isNull() & F.lit(empty)).otherwise(F.coalesce((F.col("first") == 0) & (F.col("last") == F.col("chars")) & F.col("joined"), F.lit(False))).alias("tiles"))
 
 
 def parts(ctx: DataFrame, slots: int, target: int = TARGET_CHARS, low: int = MIN_CHARS, high: int = MAX_CHARS, text: bool = False) -> DataFrame:
